@@ -62,3 +62,289 @@ def fused_topk_max(spark, sf):
     demos = emb.select(F.col("vec_id").alias("demo_id"), "embedding", "label")
     return topk_similar(evals, demos, 3, kinds=[Cosine("embedding"), Equality("label")],
                         mode="max", exclude_self=True)
+
+
+# ---------------------------------------------------------------------------
+# Reports (A4, A5, A6, A7, U3)
+# ---------------------------------------------------------------------------
+
+def _labelled_docs(spark, sf):
+    """labels ⨝ documents as an evaluation log: accurate = quality, exact =
+    quality and not toxic, ran = not toxic; the five reported feature flags
+    come from lang / toxic; n_chars/1000 stands in for seconds."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    lab = table(spark, sf, "labels")
+    x = lab.join(d, "doc_id")
+    return x.select(
+        F.col("quality").alias("ex"),
+        ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("em"),
+        (F.col("toxic") == 0).cast("int").alias("no_error"),
+        (F.col("lang") == "en").cast("int").alias("insert"),
+        (F.col("lang") == "de").cast("int").alias("update"),
+        (F.col("lang") == "fr").cast("int").alias("delete"),
+        (F.col("lang") == "es").cast("int").alias("if"),
+        F.col("toxic").alias("loop"),
+        (F.col("n_chars").cast("double") / 1000.0).alias("secs"))
+
+
+_EVAL_SQL = """
+with x as (
+  select l.quality as ex, case when l.quality = 1 and l.toxic = 0 then 1 else 0 end as em,
+         case when l.toxic = 0 then 1 else 0 end as no_error,
+         case when d.lang = 'en' then 1 else 0 end as f_insert, case when d.lang = 'de' then 1 else 0 end as f_update,
+         case when d.lang = 'fr' then 1 else 0 end as f_delete, case when d.lang = 'es' then 1 else 0 end as f_if,
+         l.toxic as f_loop, cast(d.n_chars as double) / 1000.0 as secs
+  from labels l join documents d using (doc_id))
+select cast(count(*) as bigint) as n, cast(sum(ex) as bigint) as accurate, cast(sum(em) as bigint) as exact,
+       round(sum(ex) / count(*), 6) as ex, round(sum(em) / count(*), 6) as em,
+       cast(sum(no_error) as bigint) as no_error,
+       round(sum(f_insert * ex) / greatest(sum(f_insert), 1), 6) as insert_acc, cast(sum(f_insert) as bigint) as insert_total,
+       round(sum(f_update * ex) / greatest(sum(f_update), 1), 6) as update_acc, cast(sum(f_update) as bigint) as update_total,
+       round(sum(f_delete * ex) / greatest(sum(f_delete), 1), 6) as delete_acc, cast(sum(f_delete) as bigint) as delete_total,
+       round(sum(f_if * ex) / greatest(sum(f_if), 1), 6) as if_acc, cast(sum(f_if) as bigint) as if_total,
+       round(sum(f_loop * ex) / greatest(sum(f_loop), 1), 6) as loop_acc, cast(sum(f_loop) as bigint) as loop_total,
+       round(sum(secs), 6) as total_seconds, round(avg(secs), 6) as mean_seconds
+from x
+"""
+
+
+def _round_doubles(df, places=6):
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@register("evaluation_report", sql=_EVAL_SQL)
+def evaluation_report_q(spark, sf):
+    from ..operators.metrics import evaluation_report
+    rep = evaluation_report(_labelled_docs(spark, sf), ex="ex", em="em", no_error="no_error", seconds="secs")
+    return _round_doubles(rep)
+
+
+_AUC_SQL_ONE = """
+  (select round((sum(case when y = 1 then rk else 0 end) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6)
+   from (select y, rank() over (order by sc) + (count(*) over (partition by sc) - 1) / 2.0 as rk
+         from (select l.{label} as y, cast(d.n_chars as double) as sc from labels l join documents d using (doc_id))))
+"""
+
+
+@register("auc_report", sql=f"""
+select cast({_AUC_SQL_ONE.format(label='quality')} as double) as quality_auc,
+       cast({_AUC_SQL_ONE.format(label='toxic')} as double) as toxic_auc,
+       cast(round({_AUC_SQL_ONE.format(label='quality')} + {_AUC_SQL_ONE.format(label='toxic')}, 6) as double) as auc_sum
+""")
+def auc_report_q(spark, sf):
+    from ..operators.metrics import auc
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    x = table(spark, sf, "labels").join(d, "doc_id")
+    both = (auc(x, "quality", "n_chars").withColumn("m", F.lit("q"))
+            .unionByName(auc(x, "toxic", "n_chars").withColumn("m", F.lit("t"))))
+    j = both.agg(F.max(F.when(F.col("m") == "q", F.col("auc"))).alias("quality_auc"),
+                 F.max(F.when(F.col("m") == "t", F.col("auc"))).alias("toxic_auc"))
+    return j.select(F.round("quality_auc", 6).alias("quality_auc"), F.round("toxic_auc", 6).alias("toxic_auc"),
+                    F.round(F.col("quality_auc") + F.col("toxic_auc"), 6).alias("auc_sum"))
+
+
+_COVER_SQL = """
+with r as (select l_orderkey, l_returnflag,
+                  row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) as rk
+           from lineitem),
+m as (select l_orderkey, max(case when l_returnflag = 'R' then rk else 0 end) as need,
+             max(case when l_returnflag = 'R' then 1 else 0 end) as has
+      from r group by l_orderkey),
+ks as (select unnest(range(1, 101)) as k)
+select cast(k as integer) as k, cast(sum(case when need <= k then 1 else 0 end) as bigint) as covered,
+       cast(count(*) as bigint) as total
+from m, ks {where} group by k
+"""
+
+
+def _coverage(spark, sf, only_pos):
+    from ..operators.metrics import coverage_at_k
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_returnflag") == "R").alias("is_used"))
+    return coverage_at_k(li, group=["l_orderkey"], score="l_extendedprice", pos="l_linenumber",
+                         label="is_used", max_k=100, only_with_positives=only_pos)
+
+
+@register("coverage_at_k_tables", sql=_COVER_SQL.format(where=""))
+def coverage_tables_q(spark, sf):
+    return _coverage(spark, sf, False)
+
+
+@register("coverage_at_k_columns", sql=_COVER_SQL.format(where="where has = 1"))
+def coverage_columns_q(spark, sf):
+    return _coverage(spark, sf, True)
+
+
+# ---------------------------------------------------------------------------
+# Schema pruning (W2, W3, A11, L1, L2): task = customer, table = order,
+# column = line item; scores are prices, labels are status / return flag.
+# ---------------------------------------------------------------------------
+
+def _schema_scores(spark, sf):
+    o = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("table_pos"),
+        F.col("o_totalprice").alias("prob"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))
+    li = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("table_pos"), F.col("l_linenumber").alias("col_pos"),
+        F.col("l_extendedprice").alias("prob"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    cols = li.join(o.select("task_id", "table_pos"), "table_pos")
+    return o, cols
+
+
+@register("prune_schema_eval", sql="""
+with t as (select o_custkey as task_id, o_orderkey as table_pos,
+                  row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as table_rank
+           from orders),
+kt as (select * from t where table_rank <= 6),
+c as (select kt.task_id, kt.table_pos, kt.table_rank, l.l_linenumber,
+             row_number() over (partition by kt.table_pos order by l.l_extendedprice desc, l.l_linenumber) as col_rank
+      from kt join lineitem l on l.l_orderkey = kt.table_pos)
+select task_id, cast(table_rank as integer) as table_rank, table_pos,
+       string_agg(cast(l_linenumber as varchar), ',' order by col_rank) as column_ids
+from c where col_rank <= 10 group by task_id, table_rank, table_pos
+""")
+def prune_schema_eval_q(spark, sf):
+    from ..operators.schema_items import prune_eval, regroup
+    o, cols = _schema_scores(spark, sf)
+    tables, kept = prune_eval(o, cols, 6, 10)
+    per_table = regroup(kept, ["task_id", "table_pos"], "col_rank", ["col_pos"], "cols")
+    return (tables.join(per_table, ["task_id", "table_pos"])
+            .select("task_id", F.col("table_rank").cast("int").alias("table_rank"), "table_pos",
+                    F.array_join(F.transform("cols", lambda x: x["col_pos"].cast("string")), ",")
+                    .alias("column_ids")))
+
+
+@register("prune_schema_train", sql="""
+with t as (select o_custkey as task_id, o_orderkey as table_pos,
+                  case when o_orderstatus = 'F' then 1 else 0 end as label from orders),
+np as (select task_id, sum(label) as npos from t group by task_id),
+neg as (select t.*, row_number() over (partition by task_id
+          order by md5('42:' || cast(task_id as varchar) || ':' || cast(table_pos as varchar)), table_pos) as r
+        from t where label = 0),
+kept as (select task_id, table_pos from t where label = 1
+         union all select neg.task_id, neg.table_pos from neg join np using (task_id) where r <= 6 - npos),
+ko as (select *, row_number() over (partition by task_id
+          order by md5('42s:' || cast(task_id as varchar) || ':' || cast(table_pos as varchar)), table_pos) as table_order
+       from kept),
+c as (select ko.task_id, ko.table_pos, l.l_linenumber as col_pos,
+             case when l.l_returnflag = 'R' then 1 else 0 end as label
+      from ko join lineitem l on l.l_orderkey = ko.table_pos),
+cnp as (select task_id, table_pos, sum(label) as npos from c group by task_id, table_pos),
+cneg as (select c.*, row_number() over (partition by task_id, table_pos
+           order by md5('42:' || cast(task_id as varchar) || ':' || cast(table_pos as varchar) || ':' || cast(col_pos as varchar)), col_pos) as r
+         from c where label = 0),
+ckept as (select task_id, table_pos, col_pos from c where label = 1
+          union all select cneg.task_id, cneg.table_pos, cneg.col_pos from cneg join cnp using (task_id, table_pos)
+          where r <= 10 - npos),
+co as (select *, row_number() over (partition by task_id, table_pos
+          order by md5('42s:' || cast(task_id as varchar) || ':' || cast(table_pos as varchar) || ':' || cast(col_pos as varchar)), col_pos) as col_order
+       from ckept)
+select ko.task_id, ko.table_pos, cast(ko.table_order as integer) as table_order,
+       coalesce(string_agg(cast(co.col_pos as varchar), ',' order by co.col_order), '') as column_ids
+from ko left join co on co.task_id = ko.task_id and co.table_pos = ko.table_pos
+group by ko.task_id, ko.table_pos, ko.table_order
+""")
+def prune_schema_train_q(spark, sf):
+    from ..operators.schema_items import label_topup_sample, regroup
+    o, cols = _schema_scores(spark, sf)
+    kept_t = label_topup_sample(o, ["task_id"], "table_pos", "label", 6, order_col="table_order")
+    c = cols.join(kept_t.select("task_id", "table_pos"), ["task_id", "table_pos"], "left_semi")
+    kept_c = label_topup_sample(c, ["task_id", "table_pos"], "col_pos", "label", 10, order_col="col_order")
+    per_table = regroup(kept_c, ["task_id", "table_pos"], "col_order", ["col_pos"], "cols")
+    return (kept_t.join(per_table, ["task_id", "table_pos"], "left")
+            .select("task_id", "table_pos", F.col("table_order").cast("int").alias("table_order"),
+                    F.coalesce(F.array_join(F.transform("cols", lambda x: x["col_pos"].cast("string")), ","),
+                               F.lit("")).alias("column_ids")))
+
+
+# ---------------------------------------------------------------------------
+# Candidate choice (W7, J3): task = conversation, beam position = turn,
+# a user turn stands for a candidate that failed to run.
+# ---------------------------------------------------------------------------
+
+@register("first_valid_candidate", sql="""
+with c as (select conv_id as task_id, turn as cand_pos, text as code,
+                  case when role = 'user' then 'failed' end as error from conversations),
+ok as (select task_id, min(cand_pos) as p from c where error is null group by task_id),
+f as (select task_id, min(cand_pos) as p from c group by task_id),
+j as (select f.task_id, ok.p as ok_p, f.p as first_p, oc.code as ok_code, fc.code as first_code
+      from f left join ok on ok.task_id = f.task_id
+      left join c oc on oc.task_id = f.task_id and oc.cand_pos = ok.p
+      join c fc on fc.task_id = f.task_id and fc.cand_pos = f.p)
+select task_id,
+       case when ok_p is not null then ok_p
+            when regexp_replace(first_code, '^\\s+|\\s+$', '', 'g') <> '' then first_p end as chosen_pos,
+       md5(case when ok_p is not null then ok_code
+                when regexp_replace(first_code, '^\\s+|\\s+$', '', 'g') <> '' then first_code
+                else 'PLSQL placeholder' end) as code_md5,
+       case when ok_p is not null then 1 else 0 end as no_error
+from j
+""")
+def first_valid_candidate_q(spark, sf):
+    from ..operators.candidates import first_valid_candidate
+    c = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("task_id"), F.col("turn").alias("cand_pos"), F.col("text").alias("code"),
+        F.when(F.col("role") == "user", F.lit("failed")).alias("error"))
+    ch = first_valid_candidate(c)
+    return ch.select("task_id", "chosen_pos", F.md5("code").alias("code_md5"), "no_error")
+
+
+# ---------------------------------------------------------------------------
+# Snapshots (S8, J10, U2, A10): "before" and "after" snapshots of a few
+# tables; the after side applies a status update, appends duplicates and
+# reorders rows; one table exists only before, one only after.
+# ---------------------------------------------------------------------------
+
+def _snapshots(spark, sf):
+    orders = table(spark, sf, "orders")
+    after_orders = orders.withColumn(
+        "o_orderstatus",
+        F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "O"), F.lit("F"))
+        .otherwise(F.col("o_orderstatus")))
+    li = table(spark, sf, "lineitem")
+    after_li = li.unionByName(li.where((F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "R")))
+    cust = table(spark, sf, "customer")
+    before = {"orders": orders, "lineitem": li, "customer": cust, "nation": table(spark, sf, "nation")}
+    after = {"orders": after_orders, "lineitem": after_li, "customer": cust.orderBy(F.desc("c_custkey")),
+             "part": table(spark, sf, "part")}
+    return before, after, ["orders", "lineitem", "customer", "nation", "part", "region"]
+
+
+_ORDERS_AFTER = """(select o_orderkey, o_custkey,
+   case when o_orderpriority = '1-URGENT' and o_orderstatus = 'O' then 'F' else o_orderstatus end as o_orderstatus,
+   o_totalprice, o_orderdate, o_orderpriority from orders)"""
+_LI_AFTER = "(select * from lineitem union all select * from lineitem where l_linenumber = 1 and l_returnflag = 'R')"
+
+
+def _diff_sql(name, a, b):
+    return (f"select '{name}' as table_name, "
+            f"case when a_only = 0 and b_only = 0 then 'same' else 'differs' end as status, a_only, b_only from "
+            f"(select (select count(*) from (select * from {a} except all select * from {b})) as a_only, "
+            f"(select count(*) from (select * from {b} except all select * from {a})) as b_only)")
+
+
+_SNAP_SQL = " union all ".join([
+    _diff_sql("orders", "orders", _ORDERS_AFTER),
+    _diff_sql("lineitem", "lineitem", _LI_AFTER),
+    _diff_sql("customer", "customer", "customer"),
+    "select 'nation', 'missing_b', cast(null as bigint), cast(null as bigint)",
+    "select 'part', 'missing_a', cast(null as bigint), cast(null as bigint)",
+])
+
+
+@register("snapshot_diff", sql=_SNAP_SQL)
+def snapshot_diff_q(spark, sf):
+    from ..operators.snapshots import compare_snapshots
+    before, after, tables = _snapshots(spark, sf)
+    return compare_snapshots(spark, before, after, tables)
+
+
+@register("snapshot_report", sql=f"""
+select coalesce(bool_and(status = 'same'), true) as overall_same, cast(count(*) as bigint) as tables_compared,
+       array_to_string(list_sort(list(table_name) filter (where status <> 'same')), ',') as differing_tables
+from ({_SNAP_SQL})
+""")
+def snapshot_report_q(spark, sf):
+    from ..operators.snapshots import compare_snapshots, snapshot_report
+    before, after, tables = _snapshots(spark, sf)
+    return snapshot_report(compare_snapshots(spark, before, after, tables))
