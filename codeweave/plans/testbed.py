@@ -348,3 +348,75 @@ def snapshot_report_q(spark, sf):
     from ..operators.snapshots import compare_snapshots, snapshot_report
     before, after, tables = _snapshots(spark, sf)
     return snapshot_report(compare_snapshots(spark, before, after, tables))
+
+
+# ---------------------------------------------------------------------------
+# Corpus build (S2, P1, P2, U1, A8, W6, L3, L4): documents by language are the
+# corpora; English is listed twice (weight 2), as one corpus is in the reference.
+# ---------------------------------------------------------------------------
+
+_LANG_WEIGHTS = [("en", 2), ("de", 1), ("fr", 1), ("es", 1)]
+
+
+def _corpora(spark, sf):
+    from ..functions.text import corpus_text
+    from ..operators.packing import mix_corpora, tokenize
+    docs = table(spark, sf, "documents")
+    parts = []
+    for lang, w in _LANG_WEIGHTS:
+        d = docs.where(F.col("lang") == lang).select(F.col("doc_id").alias("row_id"),
+                                                     corpus_text("text").alias("text"))
+        parts.append((lang, d, w))
+    return tokenize(mix_corpora(parts), "text")
+
+
+_CORPUS_SQL = """
+with w as (select * from (values ('en', 0, 2), ('de', 1, 1), ('fr', 2, 1), ('es', 3, 1)) t(corpus, corpus_pos, weight)),
+d as (select w.corpus, w.corpus_pos, c.copy, doc_id as row_id,
+             cast(len(regexp_extract_all(regexp_replace(text, '^\\s+|\\s+$', '', 'g'),
+                                         '([\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s])', 1)) + 1 as bigint) as length
+      from documents join w on documents.lang = w.corpus
+      cross join lateral (select unnest(range(1, w.weight + 1)) as copy) c)
+"""
+
+
+@register("mix_and_count", sql=_CORPUS_SQL + """
+select corpus, cast(count(*) as bigint) as n_docs, cast(sum(length) as bigint) as n_tokens from d group by corpus
+union all
+select null, cast(count(*) as bigint), cast(sum(length) as bigint) from d
+""")
+def mix_and_count_q(spark, sf):
+    from ..operators.packing import token_totals
+    return token_totals(_corpora(spark, sf))
+
+
+@register("pack_blocks", sql=_CORPUS_SQL + """
+, o as (select *, coalesce(sum(length) over (order by corpus_pos, copy, row_id
+                                             rows between unbounded preceding and 1 preceding), 0) as start from d),
+t as (select cast(sum(length) as bigint) as total from d),
+b as (select unnest(range(0, (select total from t) // 1024)) as block_id)
+select b.block_id, f.row_id as first_row, b.block_id * 1024 - f.start as first_offset,
+       l.row_id as last_row, b.block_id * 1024 + 1023 - l.start as last_offset
+from b join o f on f.start <= b.block_id * 1024 and b.block_id * 1024 < f.start + f.length
+       join o l on l.start <= b.block_id * 1024 + 1023 and b.block_id * 1024 + 1023 < l.start + l.length
+""")
+def pack_blocks_q(spark, sf):
+    from ..operators.packing import pack_blocks
+    blocks = pack_blocks(_corpora(spark, sf), 1024)
+    return blocks.select("block_id", "first_row", "first_offset", "last_row", "last_offset")
+
+
+@register("shards_and_batches", sql="""
+with d as (select doc_id, ntile(16) over (order by doc_id) as shard,
+                  row_number() over (order by doc_id) - 1 as position, count(*) over () as n from documents)
+select doc_id, cast(shard as integer) as shard, cast(position as bigint) as position,
+       cast(position // 8 as bigint) as batch
+from d where position // 8 < n // 8
+""")
+def shards_and_batches_q(spark, sf):
+    from ..operators.packing import contiguous_shards, fixed_batches
+    docs = table(spark, sf, "documents").select("doc_id")
+    sh = contiguous_shards(docs, 16, ["doc_id"]).select("doc_id", "shard")
+    bt = fixed_batches(docs, 8, ["doc_id"], drop_last=True)
+    return bt.join(sh, "doc_id").select("doc_id", "shard", F.col("position").cast("long").alias("position"),
+                                        "batch")
