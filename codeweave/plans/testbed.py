@@ -420,3 +420,145 @@ def shards_and_batches_q(spark, sf):
     bt = fixed_batches(docs, 8, ["doc_id"], drop_last=True)
     return bt.join(sh, "doc_id").select("doc_id", "shard", F.col("position").cast("long").alias("position"),
                                         "batch")
+
+
+# ---------------------------------------------------------------------------
+# Code text (P8, P9, P10, A9, S9, S10): procedures synthesised from customer
+# rows, in four written variants chosen by the key.  The expression text is
+# valid in both Spark SQL and DuckDB.
+# ---------------------------------------------------------------------------
+
+_CENTS = "cast(cast(floor(c_acctbal * 100) as bigint) as string)"
+ORACLE_CODE_SQL = f"""(case c_custkey % 4
+ when 0 then concat('CREATE OR REPLACE PROCEDURE sp(para_bal IN NUMBER) IS BEGIN UPDATE "customer" SET "c_acctbal" = para_bal WHERE "c_custkey" = ', cast(c_custkey as string), '; END;')
+ when 1 then concat('create or replace procedure sp( para_bal number ) is begin update "customer" set "c_acctbal"=para_bal where "c_custkey"=', cast(c_custkey as string), ' ; end;')
+ when 2 then concat('CREATE OR REPLACE PROCEDURE sp(para_seg VARCHAR2) IS  BEGIN', chr(10), '  DELETE FROM "customer" WHERE "c_mktsegment" = para_seg AND "c_nationkey" = ', cast(c_nationkey as string), ';', chr(10), 'END;')
+ else concat('CREATE OR REPLACE PROCEDURE sp(para_x IN NUMBER) IS v_cnt NUMBER; BEGIN SELECT COUNT ( * ) INTO v_cnt FROM "customer" WHERE "c_acctbal" > ', {_CENTS}, ' ; IF v_cnt > 0 THEN UPDATE "customer" SET "c_name" = ''', c_mktsegment, ''' WHERE "c_custkey" = para_x; END IF; END;')
+ end)"""
+POSTGRES_CODE_SQL = f"""(case c_custkey % 4
+ when 0 then concat('CREATE OR REPLACE PROCEDURE sp(para_bal IN numeric) LANGUAGE plpgsql AS $$ BEGIN UPDATE customer SET c_acctbal = para_bal WHERE c_custkey = ', cast(c_custkey as string), '; END; $$;')
+ when 1 then concat('create or replace procedure sp( para_bal numeric )  language plpgsql as $$ begin update customer set c_acctbal=para_bal where c_custkey=', cast(c_custkey as string), ' ; end ; $$ ;')
+ when 2 then concat('CREATE OR REPLACE PROCEDURE sp(para_seg text) LANGUAGE plpgsql AS $$', chr(10), 'BEGIN DELETE FROM customer WHERE c_mktsegment = para_seg AND c_nationkey = ', cast(c_nationkey as string), '; END; $$;')
+ else concat('CREATE OR REPLACE PROCEDURE sp(para_x integer) LANGUAGE plpgsql AS $$ DECLARE v_cnt integer; BEGIN SELECT COUNT(*) INTO v_cnt FROM customer WHERE c_acctbal > ', {_CENTS}, '; IF v_cnt > 0 THEN UPDATE customer SET c_name = ''', c_mktsegment, ''' WHERE c_custkey = para_x; END IF; EXCEPTION WHEN OTHERS THEN RAISE NOTICE ''failed''; END; $$;')
+ end)"""
+# A "prediction" for every gold procedure: renamed variable and other spacing
+# (same shape) unless the key is a multiple of 3, where the statement differs.
+ORACLE_PRED_SQL = f"""(case when c_custkey % 3 = 0 then replace(replace({ORACLE_CODE_SQL}, 'UPDATE "customer" SET', 'INSERT INTO "customer" VALUES'), 'update "customer" set', 'insert into "customer" values')
+ else replace(replace({ORACLE_CODE_SQL}, 'para_', 'p_'), ' = ', '  =  ') end)"""
+POSTGRES_PRED_SQL = f"""(case when c_custkey % 3 = 0 then replace({POSTGRES_CODE_SQL}, ' = ', ' > ')
+ else replace(replace({POSTGRES_CODE_SQL}, 'para_', 'arg_'), 'BEGIN', chr(10) || 'BEGIN ') end)"""
+
+
+def _duck_regex_chain(expr: str, dialect: str) -> str:
+    from ..functions import code as C
+
+    def lit(s):
+        return "'" + s.replace("'", "''") + "'"
+
+    def repl(r):
+        return r.replace("\\$", "$").replace("$1", "\\1").replace("$2", "\\2").replace("$3", "\\3")
+
+    def collapse(e):
+        return f"regexp_replace(regexp_replace({e}, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')"
+    e = collapse(expr)
+    rules = C.oracle_rules() if dialect == "oracle" else C.postgres_rules()
+    for pat, rp, icase in rules:
+        e = f"regexp_replace({e}, {lit(pat)}, {lit(repl(rp))}, '{'gi' if icase else 'g'}')"
+    e = collapse(e)
+    if dialect != "oracle":
+        e = f"regexp_replace({e}, {lit(C._BODY_OPEN + '(.*?)' + C._BODY_CLOSE)}, '$$\\1$$', 'g')"
+    return e
+
+
+def _duck_fingerprint(norm_expr: str, dialect: str) -> str:
+    from ..functions import code as C
+    kws = C.ORACLE_KEYWORDS if dialect == "oracle" else C.POSTGRES_KEYWORDS + C.POSTGRES_SYSTEM_NAMES
+    kw = "[" + ", ".join("'" + k + "'" for k in dict.fromkeys(kws)) + "]"
+    pat = "'" + C.FINGERPRINT_TOKEN.replace("'", "''") + "'"
+    cls = (f"list_transform(regexp_extract_all({norm_expr}, {pat}, 1), lambda t: case "
+           f"when starts_with(t, '''') then '<STRING>' when regexp_matches(t, '^\\d') then '<NUMBER>' "
+           f"when list_contains({kw}, upper(t)) then upper(t) "
+           f"when regexp_matches(t, '^[A-Za-z_\"]') then '<IDENTIFIER>' else t end)")
+    return f"sha256(array_to_string({cls}, ' '))"
+
+
+@register("normalize_code_oracle", sql=f"""
+select c_custkey, {_duck_regex_chain(ORACLE_CODE_SQL, 'oracle')} as normalized from customer
+""")
+def normalize_code_oracle_q(spark, sf):
+    from ..functions.code import normalize_code
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", normalize_code(F.expr(ORACLE_CODE_SQL), "oracle").alias("normalized"))
+
+
+@register("normalize_code_postgres", sql=f"""
+select c_custkey, {_duck_regex_chain(POSTGRES_CODE_SQL, 'postgres')} as normalized from customer
+""")
+def normalize_code_postgres_q(spark, sf):
+    from ..functions.code import normalize_code
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", normalize_code(F.expr(POSTGRES_CODE_SQL), "postgres").alias("normalized"))
+
+
+@register("code_fingerprint_groups", sql=f"""
+select dialect, fingerprint, cast(count(*) as bigint) as n from (
+  select 'oracle' as dialect, {_duck_fingerprint(_duck_regex_chain(ORACLE_CODE_SQL, 'oracle'), 'oracle')} as fingerprint from customer
+  union all
+  select 'postgres', {_duck_fingerprint(_duck_regex_chain(POSTGRES_CODE_SQL, 'postgres'), 'postgres')} from customer)
+group by dialect, fingerprint
+""")
+def code_fingerprint_groups_q(spark, sf):
+    from ..functions.code import code_fingerprint
+    c = table(spark, sf, "customer")
+    fp = (c.select(F.lit("oracle").alias("dialect"), code_fingerprint(F.expr(ORACLE_CODE_SQL), "oracle").alias("fingerprint"))
+          .unionByName(c.select(F.lit("postgres").alias("dialect"),
+                                code_fingerprint(F.expr(POSTGRES_CODE_SQL), "postgres").alias("fingerprint"))))
+    return fp.groupBy("dialect", "fingerprint").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("exact_match_rate", sql=f"""
+select dialect, cast(count(*) as bigint) as n, cast(sum(em) as bigint) as exact, round(sum(em) / count(*), 6) as em_rate from (
+  select 'oracle' as dialect, case when {_duck_fingerprint(_duck_regex_chain(ORACLE_CODE_SQL, 'oracle'), 'oracle')}
+       = {_duck_fingerprint(_duck_regex_chain(ORACLE_PRED_SQL, 'oracle'), 'oracle')} then 1 else 0 end as em from customer
+  union all
+  select 'postgres', case when {_duck_fingerprint(_duck_regex_chain(POSTGRES_CODE_SQL, 'postgres'), 'postgres')}
+       = {_duck_fingerprint(_duck_regex_chain(POSTGRES_PRED_SQL, 'postgres'), 'postgres')} then 1 else 0 end from customer)
+group by dialect
+""")
+def exact_match_rate_q(spark, sf):
+    from ..functions.code import exact_match
+    c = table(spark, sf, "customer")
+    em = (c.select(F.lit("oracle").alias("dialect"),
+                   exact_match(F.expr(ORACLE_CODE_SQL), F.expr(ORACLE_PRED_SQL), "oracle").alias("em"))
+          .unionByName(c.select(F.lit("postgres").alias("dialect"),
+                                exact_match(F.expr(POSTGRES_CODE_SQL), F.expr(POSTGRES_PRED_SQL), "postgres")
+                                .alias("em"))))
+    return em.groupBy("dialect").agg(F.count(F.lit(1)).cast("long").alias("n"),
+                                     F.sum("em").cast("long").alias("exact"),
+                                     F.round(F.sum("em") / F.count(F.lit(1)), 6).alias("em_rate"))
+
+
+# One dump file per customer: a table, a commented-out insert (lost with its
+# comment line, as in the reference), an update, and blank statements.
+SCRIPT_FILE_SQL = "concat(lower(c_mktsegment), '-', cast(c_custkey as string), '.sqlite.sql')"
+SCRIPT_SQL = ("concat('CREATE TABLE t_', cast(c_custkey as string), '(x INT); -- created', chr(10), "
+              "'-- seed row', chr(10), 'INSERT INTO t_', cast(c_custkey as string), ' VALUES (', "
+              "cast(c_nationkey as string), ');', chr(10), ' ; ', chr(10), "
+              "'UPDATE t_', cast(c_custkey as string), ' SET x = x + 1;', chr(9))")
+
+
+@register("split_scripts", sql=f"""
+with s as (select {SCRIPT_FILE_SQL} as file, {SCRIPT_SQL} as content from customer),
+p as (select file, list_filter(list_transform(string_split(content, ';'),
+              lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '' and not starts_with(x, '--')) as l from s)
+select file, lower(substr(regexp_replace(regexp_replace(file, '(\\.sqlite\\.sql|\\.sql)$', ''), '[^a-zA-Z0-9_]', '_', 'g'), 1, 30)) as schema_name,
+       cast(unnest(generate_series(1, len(l))) as integer) as stmt_pos, unnest(l) as stmt
+from p
+""")
+def split_scripts_q(spark, sf):
+    from ..functions.code import schema_name_from_path, split_statements
+    c = table(spark, sf, "customer")
+    s = c.select(F.expr(SCRIPT_FILE_SQL).alias("file"), F.expr(SCRIPT_SQL).alias("content"))
+    return (s.select("file", schema_name_from_path("file").alias("schema_name"),
+                     F.explode(split_statements("content")).alias("s"))
+            .select("file", "schema_name", F.col("s.stmt_pos").cast("int").alias("stmt_pos"), "s.stmt"))
