@@ -562,3 +562,217 @@ def split_scripts_q(spark, sf):
     return (s.select("file", schema_name_from_path("file").alias("schema_name"),
                      F.explode(split_statements("content")).alias("s"))
             .select("file", "schema_name", F.col("s.stmt_pos").cast("int").alias("stmt_pos"), "s.stmt"))
+
+
+# ---------------------------------------------------------------------------
+# Schema text and prompts (P3, P4, P5, P6, P11, J4): every order is a task
+# whose schema has an orders and a customer table filled from its own rows.
+# ---------------------------------------------------------------------------
+
+def _order_schema(spark, sf):
+    o = table(spark, sf, "orders")
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    x = o.join(c, o.o_custkey == c.c_custkey)
+    s = F.array().cast("array<string>")
+    orders_item = F.struct(
+        F.lit("orders").alias("table_name"), F.lit("").alias("table_comment"),
+        F.array(F.lit("o_orderkey"), F.lit("o_orderstatus"), F.lit("o_orderpriority")).alias("column_names"),
+        F.array(F.lit("NUMBER"), F.lit("VARCHAR2"), F.lit("VARCHAR2")).alias("column_types"),
+        F.array(F.lit(""), F.lit(""), F.lit("priority class")).alias("column_comments"),
+        F.array(F.array(F.col("o_orderkey").cast("string")), F.array(F.col("o_orderstatus")), s)
+        .alias("column_contents"),
+        F.array(F.lit(1), F.lit(0), F.lit(0)).alias("pk_indicators"))
+    cust_item = F.struct(
+        F.lit("customer").alias("table_name"), F.lit("buyers").alias("table_comment"),
+        F.array(F.lit("c_custkey"), F.lit("c_mktsegment")).alias("column_names"),
+        F.array(F.lit("NUMBER"), F.lit("VARCHAR2")).alias("column_types"),
+        F.array(F.lit(""), F.lit("")).alias("column_comments"),
+        F.array(s, F.array(F.col("c_mktsegment"))).alias("column_contents"),
+        F.array(F.lit(1), F.lit(0)).alias("pk_indicators"))
+    fks = F.array(F.array(F.lit("orders"), F.lit("o_custkey"), F.lit("customer"), F.lit("c_custkey")))
+    return x.select("o_orderkey", F.struct(F.array(orders_item, cust_item).alias("schema_items"),
+                                           fks.alias("foreign_keys")).alias("schema"))
+
+
+_ORDER_SCHEMA_SQL = """('database schema :' || chr(10) ||
+ 'table orders , columns = [ o_orderkey ( NUMBER | primary key | values : ' || cast(o_orderkey as varchar) ||
+ ' ) , o_orderstatus ( VARCHAR2 | values : ' || o_orderstatus || ' ) , o_orderpriority ( VARCHAR2 | comment : priority class ) ]' || chr(10) ||
+ 'table customer , columns = [ c_custkey ( NUMBER | primary key ) , c_mktsegment ( VARCHAR2 | values : ' || c_mktsegment || ' ) ]' || chr(10) ||
+ 'foreign keys :' || chr(10) || 'orders.o_custkey = customer.c_custkey')"""
+
+
+@register("schema_sequence", sql=f"""
+select o_orderkey, {_ORDER_SCHEMA_SQL} as schema_sequence,
+       'orders,o_orderkey,o_orderstatus,o_orderpriority,customer,c_custkey,c_mktsegment' as terms
+from orders join customer on o_custkey = c_custkey
+""")
+def schema_sequence_q(spark, sf):
+    from ..functions.text import schema_terms
+    from ..operators.prompts import schema_sequence
+    x = _order_schema(spark, sf)
+    return x.select("o_orderkey", schema_sequence("schema").alias("schema_sequence"),
+                    F.array_join(schema_terms("schema.schema_items"), ",").alias("terms"))
+
+
+def _doc_schema_seq():
+    """Schema text of a one-table database describing a document row."""
+    return F.concat(F.lit("database schema :\ntable documents , columns = [ doc_id ( NUMBER | primary key | values : "),
+                    F.col("doc_id").cast("string"), F.lit(" ) , lang ( VARCHAR2 | values : "), F.col("lang"),
+                    F.lit(" ) , source ( VARCHAR2 | comment : origin ) ]\nforeign keys : None"))
+
+
+_DOC_SCHEMA_SQL = """('database schema :' || chr(10) || 'table documents , columns = [ doc_id ( NUMBER | primary key | values : '
+ || cast(doc_id as varchar) || ' ) , lang ( VARCHAR2 | values : ' || lang || ' ) , source ( VARCHAR2 | comment : origin ) ]'
+ || chr(10) || 'foreign keys : None')"""
+
+
+def _cot_sql(text):
+    from ..functions.text import COT_ORACLE, COT_POSTGRES
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    return f"(case when contains(lower({text}), 'oracle') then {q(COT_ORACLE)} else {q(COT_POSTGRES)} end)"
+
+
+@register("prompts", sql=_PAIRS_SQL + f"""
+, r as (select eval_id, demo_id, row_number() over (partition by eval_id order by round(s1, 6) desc, demo_id) as rk from p),
+k as (select * from r where rk <= 3),
+shots as (select k.eval_id, string_agg(d.text || chr(10) || 'SELECT * FROM documents WHERE doc_id = ' ||
+                 cast(d.doc_id as varchar) || ';' || chr(10) || chr(10), '' order by k.rk) as block
+          from k join documents d on d.doc_id = k.demo_id group by k.eval_id),
+t as (select doc_id as eval_id, text, {_DOC_SCHEMA_SQL} as schema_sequence, source from documents
+      where doc_id in (select vec_id from embeddings)),
+pr as (select t.eval_id,
+              {_cot_sql('t.text')} || chr(10) || coalesce(s.block, '') || t.schema_sequence || chr(10) || t.text || chr(10) as few,
+              t.schema_sequence || chr(10) || 'Skeleton: ' || t.source || chr(10) || t.text || chr(10) ||
+              'Output the PL/SQL procedure. Begin with CREATE OR REPLACE PROCEDURE sp();' || chr(10) as zero
+       from t left join shots s on s.eval_id = t.eval_id)
+select eval_id, md5(few) as few_shot_md5, cast(length(few) as integer) as few_shot_len,
+       md5(zero) as zero_shot_md5, cast(length(zero) as integer) as zero_shot_len from pr
+""")
+def prompts_q(spark, sf):
+    from ..operators.prompts import few_shot_prompts, zero_shot_prompt
+    emb = table(spark, sf, "embeddings")
+    topk = topk_similar(emb.select(F.col("vec_id").alias("eval_id"), "embedding"),
+                        emb.select(F.col("vec_id").alias("demo_id"), "embedding"), 3,
+                        kinds=[Cosine("embedding")], exclude_self=True)
+    docs = table(spark, sf, "documents")
+    tasks = (docs.join(emb.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+             .select(F.col("doc_id").alias("eval_id"), "text", "source", _doc_schema_seq().alias("schema_sequence")))
+    demos = docs.select(F.col("doc_id").alias("demo_id"), "text",
+                        F.concat(F.lit("SELECT * FROM documents WHERE doc_id = "), F.col("doc_id").cast("string"),
+                                 F.lit(";")).alias("plsql"))
+    few = few_shot_prompts(tasks, topk, demos, cot=True)
+    out = few.withColumn("zero", zero_shot_prompt("text", "schema_sequence", skeleton="source"))
+    return out.select("eval_id", F.md5("prompt").alias("few_shot_md5"), F.length("prompt").alias("few_shot_len"),
+                      F.md5("zero").alias("zero_shot_md5"), F.length("zero").alias("zero_shot_len"))
+
+
+# ---------------------------------------------------------------------------
+# Supervised examples (P2, P14, P15): a user turn is the prefix, the next
+# assistant turn of the same conversation the target.
+# ---------------------------------------------------------------------------
+
+_TOK = "regexp_extract_all({t}, '([\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s])', 1)"
+
+
+@register("training_examples", sql=f"""
+with pairs as (select u.conv_id, u.turn, len({_TOK.format(t='u.text')}) as np, len({_TOK.format(t='a.text')}) as nt
+               from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1
+               where u.role = 'user' and a.role = 'assistant'),
+x as (select *, (np + 1) + (nt + 1) as l from pairs)
+select conv_id, turn, cast(least(l, 256) as integer) as mask_ones,
+       cast(case when l <= 256 then nt + 1 else least(nt + 1, 256) end as integer) as label_tokens,
+       cast(case when l <= 256 then 256 - l else 0 end as integer) as pad_tokens,
+       cast(case when np > 128 then 128 else np end as integer) as prompt_len
+from x
+""")
+def training_examples_q(spark, sf):
+    from ..operators.packing import hashed_tokenizer
+    from ..operators.prompts import sft_example, truncate_left
+    conv = table(spark, sf, "conversations")
+    tok = hashed_tokenizer()
+    u = conv.where(F.col("role") == "user").select("conv_id", "turn", tok(F.col("text")).alias("p"))
+    a = conv.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), tok(F.col("text")).alias("t"))
+    ex = u.join(a, ["conv_id", "turn"]).select(
+        "conv_id", "turn", sft_example("p", "t", 256, bos=1, eos=2, pad=0).alias("ex"),
+        F.size(truncate_left("p", 128, bos=[1])).alias("prompt_len"))
+    return ex.select(
+        "conv_id", "turn",
+        F.aggregate("ex.attention_mask", F.lit(0), lambda acc, x: acc + x).alias("mask_ones"),
+        F.size(F.filter("ex.labels", lambda x: x != -100)).alias("label_tokens"),
+        F.size(F.filter("ex.input_ids", lambda x: x == 0)).alias("pad_tokens"),
+        "prompt_len")
+
+
+# ---------------------------------------------------------------------------
+# Foreign keys and matched contents after pruning (J5, J6): a customer task
+# has one table per order and one customer table; every order table refers
+# to the customer table.  Line items are columns; returned lines have
+# matched values.
+# ---------------------------------------------------------------------------
+
+def _fk_tables(spark, sf):
+    o = table(spark, sf, "orders")
+    c = table(spark, sf, "customer")
+    ot = o.select(F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("table_pos"),
+                  F.concat(F.lit("orders_"), F.col("o_orderkey").cast("string")).alias("table_name"),
+                  F.col("o_totalprice").alias("prob"))
+    ct = c.select(F.col("c_custkey").alias("task_id"), F.lit(-1).cast("long").alias("table_pos"),
+                  F.concat(F.lit("customer_"), F.col("c_custkey").cast("string")).alias("table_name"),
+                  (F.col("c_acctbal") * 100).alias("prob"))
+    fks = ot.select("task_id", F.col("table_name").alias("src_table"), F.lit("o_custkey").alias("src_col"),
+                    F.concat(F.lit("customer_"), F.col("task_id").cast("string")).alias("dst_table"),
+                    F.lit("c_custkey").alias("dst_col"))
+    return ot.unionByName(ct), fks
+
+
+_FK_TABLES_SQL = """
+with tb as (select o_custkey as task_id, o_orderkey as table_pos, 'orders_' || cast(o_orderkey as varchar) as table_name,
+                   o_totalprice as prob from orders
+            union all
+            select c_custkey, -1, 'customer_' || cast(c_custkey as varchar), c_acctbal * 100 from customer),
+kt as (select * from (select *, row_number() over (partition by task_id order by prob desc, table_pos) as rk from tb)
+       where rk <= 6)
+"""
+
+
+@register("filter_foreign_keys", sql=_FK_TABLES_SQL + """
+select o.o_custkey as task_id, 'orders_' || cast(o.o_orderkey as varchar) as src_table, 'o_custkey' as src_col,
+       'customer_' || cast(o.o_custkey as varchar) as dst_table, 'c_custkey' as dst_col
+from orders o
+where exists (select 1 from kt where kt.task_id = o.o_custkey and kt.table_name = 'orders_' || cast(o.o_orderkey as varchar))
+  and exists (select 1 from kt where kt.task_id = o.o_custkey and kt.table_name = 'customer_' || cast(o.o_custkey as varchar))
+""")
+def filter_foreign_keys_q(spark, sf):
+    from ..operators.schema_items import filter_foreign_keys, topk_per_group
+    tables, fks = _fk_tables(spark, sf)
+    kept = topk_per_group(tables, ["task_id"], "prob", "table_pos", 6).select("task_id", "table_name")
+    return filter_foreign_keys(fks, kept)
+
+
+@register("filter_matched_contents", sql=_FK_TABLES_SQL + """
+, kc as (select kt.task_id, kt.table_name, 'l' || cast(l.l_linenumber as varchar) as column_name,
+                row_number() over (partition by kt.task_id, kt.table_name order by l.l_extendedprice desc, l.l_linenumber) as crk
+         from kt join lineitem l on kt.table_name = 'orders_' || cast(l.l_orderkey as varchar)),
+m as (select o.o_custkey as task_id, 'orders_' || cast(l.l_orderkey as varchar) || '.l' || cast(l.l_linenumber as varchar) as key,
+             l.l_linestatus as val
+      from lineitem l join orders o on o.o_orderkey = l.l_orderkey where l.l_returnflag = 'R')
+select task_id, key, val from m
+where exists (select 1 from kc where kc.crk <= 3 and kc.task_id = m.task_id and kc.table_name || '.' || kc.column_name = m.key)
+""")
+def filter_matched_contents_q(spark, sf):
+    from ..operators.schema_items import filter_matched_contents, topk_per_group
+    tables, _ = _fk_tables(spark, sf)
+    kept = topk_per_group(tables, ["task_id"], "prob", "table_pos", 6).select("task_id", "table_name", "table_pos")
+    li = table(spark, sf, "lineitem")
+    cols = (kept.join(li.select(F.col("l_orderkey").alias("table_pos"), "l_linenumber", "l_extendedprice"), "table_pos")
+            .select("task_id", "table_name", F.concat(F.lit("l"), F.col("l_linenumber").cast("string")).alias("column_name"),
+                    F.col("l_extendedprice").alias("prob"), F.col("l_linenumber").alias("col_pos")))
+    kept_cols = topk_per_group(cols, ["task_id", "table_name"], "prob", "col_pos", 3)
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("task_id"))
+    matched = (li.where(F.col("l_returnflag") == "R").join(o, li.l_orderkey == o.o_orderkey)
+               .select("task_id",
+                       F.concat(F.lit("orders_"), F.col("l_orderkey").cast("string"), F.lit(".l"),
+                                F.col("l_linenumber").cast("string")).alias("key"),
+                       F.col("l_linestatus").alias("val")))
+    return filter_matched_contents(matched, kept_cols)
