@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark.sql import Column
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +58,17 @@ def exclusive_prefix_sums(df: DataFrame, order_cols: Sequence[str], value_cols:
     for v in value_cols:
         out = out.withColumn(f"{v}_before", F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(wi), F.lit(0)))
     return out.drop("_range", *[f"_o_{v}" for v in value_cols])
+
+
+def grouped_exclusive_prefix(df: DataFrame, lead: "Column", order_cols: Sequence[str], value_col: str,
+                             group_cols: Sequence[str], out: str, n_ranges: int = DEFAULT_RANGES) -> DataFrame:
+    """Exclusive running sum of ``value_col`` inside each group, computed as
+    a global running sum (``lead`` must be a numeric image that is monotone
+    in (group, order)) minus the group's starting value.  Unlike a
+    partitioned window this splits a hot group across many tasks."""
+    keyed = df.withColumn("_lead", lead)
+    g = exclusive_prefix_sums(keyed, ["_lead", *group_cols, *order_cols], [value_col], n_ranges)
+    before = f"{value_col}_before"
+    starts = g.groupBy(*group_cols).agg(F.min(before).alias("_gstart"))
+    return (g.join(starts, list(group_cols)).withColumn(out, F.col(before) - F.col("_gstart"))
+            .drop("_lead", before, "_gstart"))

@@ -121,3 +121,117 @@ def merge_chunk_scores(tables: DataFrame, chunk_tables: DataFrame, chunk_columns
             .select(task, table, F.coalesce("table_prob", F.lit(0.0)).alias("table_prob"),
                     F.coalesce(F.transform("_c", lambda x: x["prob"]), F.array().cast("array<double>"))
                     .alias("column_probs")))
+
+
+# ---------------------------------------------------------------------------
+# Length-budgeted chunks (W5), scoring plug point (F3), name -> token
+# alignment
+# ---------------------------------------------------------------------------
+
+def piece_count(word: str | Column, width: int = 4) -> Column:
+    """Default token count of one word: pieces of at most ``width`` characters
+    per whitespace-free run (a stand-in for a subword tokenizer)."""
+    w = F.col(word) if isinstance(word, str) else word
+    return F.size(F.regexp_extract_all(w, F.lit(r"(\S{1,%d})" % width), 1))
+
+
+def budget_chunks(items: DataFrame, texts: DataFrame, budget: int = 500, task: str = "task_id",
+                  table: str = "table_pos", col: str = "col_pos", table_name: str = "table_name",
+                  column_name: str = "column_name", text: str = "text", length=piece_count) -> DataFrame:
+    """Cut each task's (table, column) items, in schema order, into
+    chunks whose linearised length (2 specials + text + ``| table :`` +
+    columns joined by ``,``) stays below ``budget``: an item joins the current
+    chunk when the length including it is < budget, else it opens a new chunk.
+    Names are the decorated ones the caller passes.  An empty leading chunk
+    (first item alone too long) is not emitted.  Returns items + chunk_pos.
+
+    The fold is sequential inside a task, so it is an ``aggregate`` over the
+    task's ordered items (one task's schema per group)."""
+    base = texts.select(task, (F.lit(2) + length(F.col(text))).alias("_base"))
+    it = items.select(task, table, col, length(F.col(table_name)).alias("_tl"),
+                      length(F.col(column_name)).alias("_cl"))
+    per_task = (it.groupBy(task).agg(F.array_sort(F.collect_list(F.struct(table, col, "_tl", "_cl"))).alias("_it"))
+                .join(base, task))
+    init = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("n"), F.col("_base").cast("int").alias("len"),
+                    F.lit(None).cast("long").alias("cur"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, x):
+        same = acc["cur"].isNotNull() & (acc["cur"] == x[table].cast("long"))
+        inc = F.when(same, x["_cl"] + 1).otherwise(x["_tl"] + 2 + x["_cl"])
+        fits = (acc["len"] + inc) < budget
+        fresh = F.col("_base") + x["_tl"] + 2 + x["_cl"]
+        new_chunk = F.when(fits | (acc["n"] == 0), acc["chunk"]).otherwise(acc["chunk"] + 1)
+        new_len = F.when(fits, acc["len"] + inc).when(acc["n"] == 0, fresh).otherwise(fresh)
+        new_n = F.when(fits | (acc["n"] == 0), acc["n"] + 1).otherwise(F.lit(1))
+        return F.struct(new_chunk.alias("chunk"), new_n.cast("int").alias("n"), new_len.cast("int").alias("len"),
+                        x[table].cast("long").alias("cur"), F.concat(acc["out"], F.array(new_chunk)).alias("out"))
+    folded = per_task.select(task, "_it", F.aggregate("_it", init, step, lambda a: a["out"]).alias("_ch"))
+    z = folded.select(task, F.explode(F.arrays_zip("_it", "_ch")).alias("z"))
+    return z.select(task, F.col(f"z._it.{table}").alias(table), F.col(f"z._it.{col}").alias(col),
+                    F.col("z._ch").alias("chunk_pos"))
+
+
+def score_schema_items(chunked: DataFrame, texts: DataFrame, scorer=None, task: str = "task_id",
+                       name: str = "name", text: str = "text", out_schema: str | None = None) -> DataFrame:
+    """scores for (task, chunk, table, column) items.  Default: the share
+    of a name's words that occur in the task text (JVM).  A model scorer is a
+    pandas function given to ``mapInPandas`` (batches of items with their
+    text) returning rows of ``out_schema``."""
+    j = chunked.join(texts.select(task, F.col(text).alias("_text")), task)
+    if scorer is not None:
+        return j.mapInPandas(scorer, out_schema)
+    words = F.split(F.lower(F.regexp_replace(F.col(name), r"[^\p{L}\p{N}]+", " ")), " ")
+    words = F.filter(words, lambda w: w != "")
+    text_words = F.split(F.lower(F.regexp_replace("_text", r"[^\p{L}\p{N}]+", " ")), " ")
+    share = F.when(F.size(words) > 0, F.size(F.array_intersect(words, text_words)) / F.size(words)).otherwise(0.0)
+    return j.withColumn("prob", share.cast("double")).drop("_text")
+
+
+def name_token_spans(texts: DataFrame, tables: DataFrame, columns: DataFrame, max_length: int = 512,
+                     task: str = "task_id", table: str = "table_pos", col: str = "col_pos",
+                     length=piece_count) -> DataFrame:
+    """P16 + J8: linearise ``[text, |, table, :, col, ',', col, ...]`` per task,
+    give each word its token positions (position 0 is the leading special
+    token, truncation keeps positions < max_length - 1), and return every
+    table/column name that keeps at least one token:
+    (task, table_pos, col_pos (-1 for the table name), first_token, n_tokens).
+
+    ``tables(task, table_pos, table_name)``, ``columns(task, table_pos,
+    col_pos, column_name)``.  Offsets come from a grouped prefix sum that is
+    split by ranges, not a window per task."""
+    from .prefix import grouped_exclusive_prefix
+    ncols = columns.groupBy(task, table).agg(F.max(col).alias("_last"))
+    t = tables.join(ncols, [task, table], "left")
+    words = (
+        texts.select(task, F.lit(-1).cast("long").alias(table), F.lit(0).cast("long").alias("_slot"),
+                     F.lit(None).cast("long").alias(col), length(F.col("text")).alias("_n"))
+        .unionByName(t.select(task, F.col(table).cast("long").alias(table), F.lit(-3).cast("long").alias("_slot"),
+                              F.lit(None).cast("long").alias(col), F.lit(1).alias("_n")))
+        .unionByName(t.select(task, F.col(table).cast("long").alias(table), F.lit(-2).cast("long").alias("_slot"),
+                              F.lit(-1).cast("long").alias(col), length(F.col("table_name")).alias("_n")))
+        .unionByName(t.where(F.col("_last").isNotNull())
+                     .select(task, F.col(table).cast("long").alias(table), F.lit(-1).cast("long").alias("_slot"),
+                             F.lit(None).cast("long").alias(col), F.lit(1).alias("_n")))
+        .unionByName(columns.select(task, F.col(table).cast("long").alias(table),
+                                    (F.col(col) * 2).cast("long").alias("_slot"), F.col(col).cast("long").alias(col),
+                                    length(F.col("column_name")).alias("_n")))
+        .unionByName(columns.join(ncols, [task, table]).where(F.col(col) < F.col("_last"))
+                     .select(task, F.col(table).cast("long").alias(table),
+                             (F.col(col) * 2 + 1).cast("long").alias("_slot"),
+                             F.lit(None).cast("long").alias(col), F.lit(1).alias("_n"))))
+    lead = (F.col(task).cast("double") * F.lit(1e12) + (F.col(table).cast("double") + 1) * F.lit(1e6)
+            + F.col("_slot").cast("double"))
+    off = grouped_exclusive_prefix(words, lead, [table, "_slot"], "_n", [task], "_before")
+    first = F.col("_before") + 1
+    kept = F.greatest(F.least(F.col("_n"), F.lit(max_length - 1) - first), F.lit(0))
+    return (off.where(F.col(col).isNotNull())
+            .select(task, table, col, first.cast("long").alias("first_token"), kept.cast("int").alias("n_tokens"))
+            .where(F.col("n_tokens") > 0))
+
+
+def realign_counts(spans: DataFrame, task: str = "task_id", table: str = "table_pos",
+                   col: str = "col_pos") -> DataFrame:
+    """Per table the number of columns that still have tokens after
+    truncation (recounted from the surviving spans)."""
+    return (spans.where(F.col(col) >= 0).groupBy(task, table)
+            .agg(F.count(F.lit(1)).cast("int").alias("n_columns")))

@@ -64,6 +64,18 @@ def fused_topk_max(spark, sf):
                         mode="max", exclude_self=True)
 
 
+# Line numbers repeat inside an order in the driver data, so line items used
+# as "columns" get a unique 0-based position l_pos per order (same in SQL).
+LINES_SQL = ("(select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1"
+             " as l_pos from lineitem)")
+
+
+def _lines(spark, sf):
+    from pyspark.sql import Window
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return table(spark, sf, "lineitem").withColumn("l_pos", (F.row_number().over(w) - 1).cast("int"))
+
+
 # ---------------------------------------------------------------------------
 # Reports (A4, A5, A6, A7, U3)
 # ---------------------------------------------------------------------------
@@ -145,8 +157,8 @@ def auc_report_q(spark, sf):
 
 _COVER_SQL = """
 with r as (select l_orderkey, l_returnflag,
-                  row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) as rk
-           from lineitem),
+                  row_number() over (partition by l_orderkey order by l_extendedprice desc, l_pos) as rk
+           from {lines}),
 m as (select l_orderkey, max(case when l_returnflag = 'R' then rk else 0 end) as need,
              max(case when l_returnflag = 'R' then 1 else 0 end) as has
       from r group by l_orderkey),
@@ -159,18 +171,18 @@ from m, ks {where} group by k
 
 def _coverage(spark, sf, only_pos):
     from ..operators.metrics import coverage_at_k
-    li = table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_returnflag") == "R").alias("is_used"))
-    return coverage_at_k(li, group=["l_orderkey"], score="l_extendedprice", pos="l_linenumber",
+    li = _lines(spark, sf).select(
+        "l_orderkey", "l_pos", "l_extendedprice", (F.col("l_returnflag") == "R").alias("is_used"))
+    return coverage_at_k(li, group=["l_orderkey"], score="l_extendedprice", pos="l_pos",
                          label="is_used", max_k=100, only_with_positives=only_pos)
 
 
-@register("coverage_at_k_tables", sql=_COVER_SQL.format(where=""))
+@register("coverage_at_k_tables", sql=_COVER_SQL.format(where="", lines=LINES_SQL))
 def coverage_tables_q(spark, sf):
     return _coverage(spark, sf, False)
 
 
-@register("coverage_at_k_columns", sql=_COVER_SQL.format(where="where has = 1"))
+@register("coverage_at_k_columns", sql=_COVER_SQL.format(where="where has = 1", lines=LINES_SQL))
 def coverage_columns_q(spark, sf):
     return _coverage(spark, sf, True)
 
@@ -184,8 +196,8 @@ def _schema_scores(spark, sf):
     o = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("table_pos"),
         F.col("o_totalprice").alias("prob"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))
-    li = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("table_pos"), F.col("l_linenumber").alias("col_pos"),
+    li = _lines(spark, sf).select(
+        F.col("l_orderkey").alias("table_pos"), F.col("l_pos").alias("col_pos"),
         F.col("l_extendedprice").alias("prob"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
     cols = li.join(o.select("task_id", "table_pos"), "table_pos")
     return o, cols
@@ -196,11 +208,11 @@ with t as (select o_custkey as task_id, o_orderkey as table_pos,
                   row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as table_rank
            from orders),
 kt as (select * from t where table_rank <= 6),
-c as (select kt.task_id, kt.table_pos, kt.table_rank, l.l_linenumber,
-             row_number() over (partition by kt.table_pos order by l.l_extendedprice desc, l.l_linenumber) as col_rank
-      from kt join lineitem l on l.l_orderkey = kt.table_pos)
+c as (select kt.task_id, kt.table_pos, kt.table_rank, l.l_pos,
+             row_number() over (partition by kt.table_pos order by l.l_extendedprice desc, l.l_pos) as col_rank
+      from kt join LINES l on l.l_orderkey = kt.table_pos)
 select task_id, cast(table_rank as integer) as table_rank, table_pos,
-       string_agg(cast(l_linenumber as varchar), ',' order by col_rank) as column_ids
+       string_agg(cast(l_pos as varchar), ',' order by col_rank) as column_ids
 from c where col_rank <= 10 group by task_id, table_rank, table_pos
 """)
 def prune_schema_eval_q(spark, sf):
@@ -226,9 +238,9 @@ kept as (select task_id, table_pos from t where label = 1
 ko as (select *, row_number() over (partition by task_id
           order by md5('42s:' || cast(task_id as varchar) || ':' || cast(table_pos as varchar)), table_pos) as table_order
        from kept),
-c as (select ko.task_id, ko.table_pos, l.l_linenumber as col_pos,
+c as (select ko.task_id, ko.table_pos, l.l_pos as col_pos,
              case when l.l_returnflag = 'R' then 1 else 0 end as label
-      from ko join lineitem l on l.l_orderkey = ko.table_pos),
+      from ko join LINES l on l.l_orderkey = ko.table_pos),
 cnp as (select task_id, table_pos, sum(label) as npos from c group by task_id, table_pos),
 cneg as (select c.*, row_number() over (partition by task_id, table_pos
            order by md5('42:' || cast(task_id as varchar) || ':' || cast(table_pos as varchar) || ':' || cast(col_pos as varchar)), col_pos) as r
@@ -751,12 +763,12 @@ def filter_foreign_keys_q(spark, sf):
 
 
 @register("filter_matched_contents", sql=_FK_TABLES_SQL + """
-, kc as (select kt.task_id, kt.table_name, 'l' || cast(l.l_linenumber as varchar) as column_name,
-                row_number() over (partition by kt.task_id, kt.table_name order by l.l_extendedprice desc, l.l_linenumber) as crk
-         from kt join lineitem l on kt.table_name = 'orders_' || cast(l.l_orderkey as varchar)),
-m as (select o.o_custkey as task_id, 'orders_' || cast(l.l_orderkey as varchar) || '.l' || cast(l.l_linenumber as varchar) as key,
+, kc as (select kt.task_id, kt.table_name, 'l' || cast(l.l_pos as varchar) as column_name,
+                row_number() over (partition by kt.task_id, kt.table_name order by l.l_extendedprice desc, l.l_pos) as crk
+         from kt join LINES l on kt.table_name = 'orders_' || cast(l.l_orderkey as varchar)),
+m as (select o.o_custkey as task_id, 'orders_' || cast(l.l_orderkey as varchar) || '.l' || cast(l.l_pos as varchar) as key,
              l.l_linestatus as val
-      from lineitem l join orders o on o.o_orderkey = l.l_orderkey where l.l_returnflag = 'R')
+      from LINES l join orders o on o.o_orderkey = l.l_orderkey where l.l_returnflag = 'R')
 select task_id, key, val from m
 where exists (select 1 from kc where kc.crk <= 3 and kc.task_id = m.task_id and kc.table_name || '.' || kc.column_name = m.key)
 """)
@@ -764,15 +776,124 @@ def filter_matched_contents_q(spark, sf):
     from ..operators.schema_items import filter_matched_contents, topk_per_group
     tables, _ = _fk_tables(spark, sf)
     kept = topk_per_group(tables, ["task_id"], "prob", "table_pos", 6).select("task_id", "table_name", "table_pos")
-    li = table(spark, sf, "lineitem")
-    cols = (kept.join(li.select(F.col("l_orderkey").alias("table_pos"), "l_linenumber", "l_extendedprice"), "table_pos")
-            .select("task_id", "table_name", F.concat(F.lit("l"), F.col("l_linenumber").cast("string")).alias("column_name"),
-                    F.col("l_extendedprice").alias("prob"), F.col("l_linenumber").alias("col_pos")))
+    li = _lines(spark, sf)
+    cols = (kept.join(li.select(F.col("l_orderkey").alias("table_pos"), "l_pos", "l_extendedprice"), "table_pos")
+            .select("task_id", "table_name", F.concat(F.lit("l"), F.col("l_pos").cast("string")).alias("column_name"),
+                    F.col("l_extendedprice").alias("prob"), F.col("l_pos").alias("col_pos")))
     kept_cols = topk_per_group(cols, ["task_id", "table_name"], "prob", "col_pos", 3)
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("task_id"))
     matched = (li.where(F.col("l_returnflag") == "R").join(o, li.l_orderkey == o.o_orderkey)
                .select("task_id",
                        F.concat(F.lit("orders_"), F.col("l_orderkey").cast("string"), F.lit(".l"),
-                                F.col("l_linenumber").cast("string")).alias("key"),
+                                F.col("l_pos").cast("string")).alias("key"),
                        F.col("l_linestatus").alias("val")))
     return filter_matched_contents(matched, kept_cols)
+
+
+# ---------------------------------------------------------------------------
+# Chunked scoring (W5, F3, J7, W4, P17) and name/token alignment (P16, J8,
+# J9): a customer is a task (its name is the text), its orders are tables,
+# its line items are columns.
+# ---------------------------------------------------------------------------
+
+def _cust_schema(spark, sf):
+    from ..operators.schema_items import decorate_name
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("task_id"), F.col("c_name").alias("text"))
+    o = table(spark, sf, "orders")
+    tables = o.select(F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("table_pos"),
+                      F.concat(F.lit("orders_"), F.col("o_orderkey").cast("string")).alias("raw_name"),
+                      F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).otherwise(F.lit("")).alias("comment"),
+                      "o_totalprice")
+    tables = tables.withColumn("table_name", decorate_name("raw_name", "comment"))
+    li = _lines(spark, sf)
+    cols = (li.join(o.select("o_orderkey", F.col("o_custkey").alias("task_id")), li.l_orderkey == o.o_orderkey)
+            .select("task_id", F.col("l_orderkey").alias("table_pos"), F.col("l_pos").alias("col_pos"),
+                    F.concat(F.lit("l"), F.col("l_pos").cast("string")).alias("raw_name"),
+                    F.when(F.col("l_returnflag") == "R", F.lit("returned item")).otherwise(F.lit("")).alias("comment"),
+                    "l_extendedprice"))
+    cols = cols.withColumn("column_name", decorate_name("raw_name", "comment"))
+    return c, tables, cols
+
+
+@register("merge_chunk_scores")
+def merge_chunk_scores_q(spark, sf):
+    """Rows-only: the greedy length budget is a sequential fold (checked
+    against a brute-force Python loop in tests/test_schema_items.py)."""
+    from ..operators.schema_items import budget_chunks, merge_chunk_scores, prefix_offsets, score_schema_items
+    texts, tables, cols = _cust_schema(spark, sf)
+    items = cols.join(tables.select("task_id", "table_pos", "table_name"), ["task_id", "table_pos"])
+    chunks = budget_chunks(items, texts, budget=40)
+    # F3 default scorer on the chunked items, made chunk-dependent on purpose
+    scored = score_schema_items(
+        chunks.join(items.select("task_id", "table_pos", "col_pos", F.col("column_name").alias("name")),
+                    ["task_id", "table_pos", "col_pos"]), texts)
+    chunk_cols = scored.withColumn("prob", F.round(F.col("prob") + F.col("chunk_pos") * 0.01, 6))
+    chunk_tables = (chunk_cols.select("task_id", "chunk_pos", "table_pos").distinct()
+                    .join(tables.select("task_id", "table_pos", "o_totalprice"), ["task_id", "table_pos"])
+                    .select("task_id", "chunk_pos", "table_pos",
+                            F.round(F.col("o_totalprice") / 1e6 + F.col("chunk_pos") * 0.01, 6).alias("prob")))
+    merged = merge_chunk_scores(tables.select("task_id", "table_pos"), chunk_tables, chunk_cols)
+    counts = merged.select("task_id", "table_pos", F.size("column_probs").alias("n_cols"))
+    offs = prefix_offsets(counts, ["task_id"], "table_pos", "n_cols")
+    return (merged.join(offs, ["task_id", "table_pos"])
+            .select("task_id", "table_pos", "table_prob",
+                    F.array_join(F.transform("column_probs", lambda p: F.format_number(p, 6)), ",").alias("column_probs"),
+                    "offset"))
+
+
+_SPAN_SQL = """
+with tk as (select c_custkey as task_id, len(regexp_extract_all(c_name, '(\\S{1,4})', 1)) as tn from customer),
+tb as (select o_custkey as task_id, o_orderkey as table_pos,
+              'orders_' || cast(o_orderkey as varchar) ||
+              case when o_orderstatus = 'F' then ' ( ' || o_orderpriority || ' ) ' else '' end as name from orders),
+tb2 as (select *, len(regexp_extract_all(name, '(\\S{1,4})', 1)) as tl from tb),
+cl as (select o.o_custkey as task_id, l.l_orderkey as table_pos, l.l_pos as col_pos,
+              len(regexp_extract_all('l' || cast(l.l_pos as varchar) ||
+                  case when l.l_returnflag = 'R' then ' ( returned item ) ' else '' end, '(\\S{1,4})', 1)) as cl
+       from LINES l join orders o on o.o_orderkey = l.l_orderkey),
+cs as (select task_id, table_pos, sum(cl) as scl, count(*) as nc from cl group by task_id, table_pos),
+tl3 as (select tb2.task_id, tb2.table_pos, tb2.tl,
+               1 + tb2.tl + case when cs.nc > 0 then 1 + cs.scl + cs.nc - 1 else 0 end as wl
+        from tb2 left join cs on cs.task_id = tb2.task_id and cs.table_pos = tb2.table_pos),
+ts as (select tl3.*, tk.tn + coalesce(sum(wl) over (partition by tl3.task_id order by tl3.table_pos
+                                      rows between unbounded preceding and 1 preceding), 0) as ot
+       from tl3 join tk on tk.task_id = tl3.task_id),
+names as (
+  select task_id, table_pos, -1 as col_pos, 1 + ot + 1 as first_token, tl as n from ts
+  union all
+  select cl.task_id, cl.table_pos, cl.col_pos,
+         1 + ts.ot + 1 + ts.tl + 1 + coalesce(sum(cl.cl + 1) over (partition by cl.task_id, cl.table_pos order by cl.col_pos
+                                              rows between unbounded preceding and 1 preceding), 0),
+         cl.cl
+  from cl join ts on ts.task_id = cl.task_id and ts.table_pos = cl.table_pos),
+spans as (select task_id, table_pos, cast(col_pos as bigint) as col_pos, cast(first_token as bigint) as first_token,
+                 cast(greatest(least(n, 63 - first_token), 0) as integer) as n_tokens from names)
+"""
+
+
+@register("word_token_alignment", sql=_SPAN_SQL + "select * from spans where n_tokens > 0")
+def word_token_alignment_q(spark, sf):
+    from ..operators.schema_items import name_token_spans
+    texts, tables, cols = _cust_schema(spark, sf)
+    return name_token_spans(texts, tables.select("task_id", "table_pos", "table_name"),
+                            cols.select("task_id", "table_pos", "col_pos", "column_name"), max_length=64)
+
+
+@register("realign_counts", sql=_SPAN_SQL + """
+select task_id, table_pos, cast(count(*) as integer) as n_columns from spans
+where n_tokens > 0 and col_pos >= 0 group by task_id, table_pos
+""")
+def realign_counts_q(spark, sf):
+    from ..operators.schema_items import realign_counts
+    return realign_counts(word_token_alignment_q(spark, sf))
+
+
+def _expand_lines_alias():
+    """Queries above write ``LINES l`` for line items with their l_pos."""
+    from .registry import _QUERIES
+    for q in _QUERIES.values():
+        if q.sql and "LINES l" in q.sql:
+            q.sql = q.sql.replace("LINES l", LINES_SQL + " l")
+
+
+_expand_lines_alias()
