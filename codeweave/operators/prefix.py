@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 DEFAULT_RANGES = 512
 
 
@@ -47,6 +47,9 @@ def exclusive_prefix_sums(df: DataFrame, order_cols: Sequence[str], value_cols:
     numeric; the others break ties).  Rows need a total order for the result
     to be deterministic."""
     lead = order_cols[0]
+    # the input is read three times (quantiles, range totals, running sums):
+    # materialise it once in the shared checkpoint folder
+    df = cut_lineage(df)
     ranged = range_ids(df, lead, n_ranges)
     totals = ranged.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     # the range table has at most n_ranges rows: one task is fine here
@@ -67,7 +70,7 @@ def grouped_exclusive_prefix(df: DataFrame, lead: "Column", order_cols: Sequence
     in (group, order)) minus the group's starting value.  Unlike a
     partitioned window this splits a hot group across many tasks."""
     keyed = df.withColumn("_lead", lead)
-    g = exclusive_prefix_sums(keyed, ["_lead", *group_cols, *order_cols], [value_col], n_ranges)
+    g = cut_lineage(exclusive_prefix_sums(keyed, ["_lead", *group_cols, *order_cols], [value_col], n_ranges))
     before = f"{value_col}_before"
     starts = g.groupBy(*group_cols).agg(F.min(before).alias("_gstart"))
     return (g.join(starts, list(group_cols)).withColumn(out, F.col(before) - F.col("_gstart"))
