@@ -87,26 +87,46 @@ _SQUEEZE = [(r"\s*\(\s*", "(", False), (r"\s*\)\s*", ")", False),
             (r"\s*;\s*", ";", False), (r"\s*,\s*", ",", False)]
 
 
-def oracle_rules() -> list[tuple[str, str, bool]]:
-    return ([_PARAM_MODE, _CALL_STAR, _CALL_ARGS] + _SQUEEZE + [(r"\s*=\s*", "=", False)]
-            + [_kw_rule(k) for k in ORACLE_SPACED_KEYWORDS])
-
-
-def postgres_rules() -> list[tuple[str, str, bool]]:
-    return ([(r"\$\$([^$]*)\$\$", _BODY_OPEN + "$1" + _BODY_CLOSE, False),
-             (r"\s+LANGUAGE\s+plpgsql\s+", " LANGUAGE plpgsql ", True),
-             _PARAM_MODE]
-            + [_kw_rule(t.lower(), t) for t in POSTGRES_TYPES]
-            + [(r"(\w+)\s+(%TYPE|%ROWTYPE)", "$1$2", True),
-               (r"\s+EXCEPTION\s+WHEN\s+", " EXCEPTION WHEN ", True),
-               (r"\s+WHEN\s+OTHERS\s+", " WHEN OTHERS ", True),
-               (r"\s+CURRENT\s+OF\s+", " CURRENT OF ", True),
-               (r"\s+EXIT\s+WHEN\s+", " EXIT WHEN ", True),
-               (r"\s+NOT\s+FOUND\s*", " NOT FOUND ", True),
-               _CALL_STAR, _CALL_ARGS] + _SQUEEZE
-            + [(r"\s*=\s*", "=", False), (r"\s*>\s*", ">", False), (r"\s*<\s*", "<", False),
-               (r"\s*:=\s*", ":=", False), (r'\s*"\s*([^"]+)\s*"\s*', '"$1"', False)]
-            + [_kw_rule(k) for k in POSTGRES_SPACED_KEYWORDS])
+def oracle_rules(with_keywords: bool = True) -> list[tuple[str, str, bool]]:
+    rules = [_PARAM_MODE, _CALL_STAR, _CALL_ARGS] + _SQUEEZE + [(r"\s*=\s*", "=", False)]
+    return rules + ([_kw_rule(k) for k in ORACLE_SPACED_KEYWORDS] if with_keywords else [])
+
+
+def postgres_rules(with_keywords: bool = True) -> list[tuple[str, str, bool]]:
+    rules = ([(r"\$\$([^$]*)\$\$", _BODY_OPEN + "$1" + _BODY_CLOSE, False),
+              (r"\s+LANGUAGE\s+plpgsql\s+", " LANGUAGE plpgsql ", True),
+              _PARAM_MODE]
+             + [_kw_rule(t.lower(), t) for t in POSTGRES_TYPES]
+             + [(r"(\w+)\s+(%TYPE|%ROWTYPE)", "$1$2", True),
+                (r"\s+EXCEPTION\s+WHEN\s+", " EXCEPTION WHEN ", True),
+                (r"\s+WHEN\s+OTHERS\s+", " WHEN OTHERS ", True),
+                (r"\s+CURRENT\s+OF\s+", " CURRENT OF ", True),
+                (r"\s+EXIT\s+WHEN\s+", " EXIT WHEN ", True),
+                (r"\s+NOT\s+FOUND\s*", " NOT FOUND ", True),
+                _CALL_STAR, _CALL_ARGS] + _SQUEEZE
+             + [(r"\s*=\s*", "=", False), (r"\s*>\s*", ">", False), (r"\s*<\s*", "<", False),
+                (r"\s*:=\s*", ":=", False), (r'\s*"\s*([^"]+)\s*"\s*', '"$1"', False)])
+    return rules + ([_kw_rule(k) for k in POSTGRES_SPACED_KEYWORDS] if with_keywords else [])
+
+
+def _space_keywords(c: Column, keywords: list[str]) -> Column:
+    """Blank around every whole-word keyword, keyword in its listed spelling.
+
+    One alternation pass inserts the blanks (case kept); after it every
+    keyword is a blank-delimited token, so one split/transform/join sets the
+    spelling.  Same text as one replacement per keyword, in far fewer passes."""
+    kws = list(dict.fromkeys(keywords))
+    c = F.regexp_replace(c, r"(?i)\b(" + "|".join(kws) + r")\b", " $1 ")
+    spelled = {k.upper(): k for k in kws}
+    is_kw = r"(?i)^(?:" + "|".join(kws) + r")$"
+
+    def spell(t: Column) -> Column:
+        out = F.upper(t)
+        for up, k in spelled.items():
+            if k != up:
+                out = F.when(F.upper(t) == up, F.lit(k)).otherwise(out)
+        return F.when(t.rlike(is_kw), out).otherwise(t)
+    return F.array_join(F.transform(F.split(c, " "), spell), " ")
 
 
 def _collapse(c: Column) -> Column:
@@ -119,9 +139,10 @@ def normalize_code(code: str | Column, dialect: str = "oracle") -> Column:
     (upper-cased), blanks collapsed.  Keywords inside quotes are rewritten
     too, as in the reference."""
     c = _collapse(col(code))
-    rules = oracle_rules() if dialect == "oracle" else postgres_rules()
-    for pat, repl, icase in rules:
+    oracle = dialect == "oracle"
+    for pat, repl, icase in (oracle_rules(False) if oracle else postgres_rules(False)):
         c = F.regexp_replace(c, ("(?i)" if icase else "") + pat, repl)
+    c = _space_keywords(c, ORACLE_SPACED_KEYWORDS if oracle else POSTGRES_SPACED_KEYWORDS)
     c = _collapse(c)
     if dialect != "oracle":
         c = F.regexp_replace(c, _BODY_OPEN + "(.*?)" + _BODY_CLOSE, r"\$\$$1\$\$")
@@ -142,13 +163,15 @@ def fingerprint_tokens(normalized: str | Column, dialect: str = "oracle") -> Col
     names that are not keywords (including table and column names) become
     <IDENTIFIER>, keywords are upper-cased, symbols stay."""
     kws = ORACLE_KEYWORDS if dialect == "oracle" else POSTGRES_KEYWORDS + POSTGRES_SYSTEM_NAMES
-    kw_arr = F.array(*[F.lit(k) for k in dict.fromkeys(kws)])
+    # an upper-cased token can only equal the upper-case entries (the
+    # lower-case 'plpgsql' entry never matches, as in the reference)
+    is_kw = r"(?i)^(?:" + "|".join(k for k in dict.fromkeys(kws) if k == k.upper()) + r")$"
     toks = F.regexp_extract_all(col(normalized), F.lit(FINGERPRINT_TOKEN), 1)
 
     def cls(t: Column) -> Column:
         return (F.when(t.startswith("'"), F.lit("<STRING>"))
                 .when(t.rlike(r"^\d"), F.lit("<NUMBER>"))
-                .when(F.array_contains(kw_arr, F.upper(t)), F.upper(t))
+                .when(t.rlike(is_kw), F.upper(t))
                 .when(t.rlike(r'^[A-Za-z_"]'), F.lit("<IDENTIFIER>"))
                 .otherwise(t))
     return F.transform(toks, cls)
@@ -243,3 +266,13 @@ def schema_name_from_path(path: str | Column) -> Column:
     base = F.regexp_extract(col(path), r"([^/]*)$", 1)
     stem = F.regexp_replace(base, r"(\.sqlite\.sql|\.sql)$", "")
     return F.lower(F.substring(F.regexp_replace(stem, r"[^a-zA-Z0-9_]", "_"), 1, 30))
+
+
+def code_skeleton(code: str | Column, dialect: str = "oracle") -> Column:
+    """Skeleton of a procedure: the normalised token classes with every
+    name and literal written as ``_`` (the template form the skeleton trees
+    and the skeleton column of a task use)."""
+    toks = fingerprint_tokens(normalize_code(code, dialect), dialect)
+    masked = F.transform(toks, lambda t: F.when(t.isin("<IDENTIFIER>", "<NUMBER>", "<STRING>"), F.lit("_"))
+                         .otherwise(t))
+    return F.regexp_replace(F.array_join(masked, " "), r"_( _)+", "_")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from ..session import guarded_broadcast
 from .text import col
@@ -80,7 +81,7 @@ def skeleton_tree(skeleton: str | Column) -> Column:
     return F.aggregate(toks, init, step, lambda acc: acc["out"])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def tree_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """edit distance of two preorder trees per row (Arrow batches; equal
     subtree pairs are computed once per worker through a memo)."""

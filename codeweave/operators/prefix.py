@@ -29,15 +29,20 @@ def _range_expr(col: str, splits: Sequence[float]):
 
 
 def range_ids(df: DataFrame, order_col: str, n_ranges: int = DEFAULT_RANGES) -> DataFrame:
-    """Add ``_range`` so that ranges are contiguous in ``order_col`` order."""
+    """Add ``_range`` so that ranges are contiguous in ``order_col`` order.
+    Boundaries are approximate quantiles; the lookup is ML's ``Bucketizer``
+    (a binary search on the JVM)."""
+    from pyspark.ml.feature import Bucketizer
     probs = [i / n_ranges for i in range(1, n_ranges)]
     splits = sorted(set(df.approxQuantile(order_col, probs, 0.001))) if n_ranges > 1 else []
-    if len(splits) > 64:
-        # binary search in a literal array keeps the expression small
-        arr = F.array(*[F.lit(float(s)) for s in splits])
-        pos = F.expr(f"size(filter(_splits, s -> s <= cast(`{order_col}` as double)))")
-        return df.withColumn("_splits", arr).withColumn("_range", pos).drop("_splits")
-    return df.withColumn("_range", _range_expr(order_col, splits))
+    if len(splits) <= 8:
+        return df.withColumn("_range", _range_expr(order_col, splits))
+    edges = [float("-inf")] + [float(s) for s in splits] + [float("inf")]
+    # Bucketizer puts x into [edge_i, edge_i+1); values equal to a split go up,
+    # matching _range_expr
+    tmp = df.withColumn("_rk", F.col(order_col).cast("double"))
+    out = Bucketizer(splits=edges, inputCol="_rk", outputCol="_rb", handleInvalid="keep").transform(tmp)
+    return out.withColumn("_range", F.col("_rb").cast("int")).drop("_rk", "_rb")
 
 
 def exclusive_prefix_sums(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[str],

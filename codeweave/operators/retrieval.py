@@ -72,20 +72,31 @@ class Equality:
 class TreeDistance:
     """Edit distance of skeleton trees given as preorder arrays of
     struct(depth, value) (see ``functions.skeleton.skeleton_tree``).  It is a
-    distance: the fused score uses (max - d) / (max - min)."""
+    distance: the fused score uses (max - d) / (max - min).  Only distinct
+    tree pairs are computed; rows share the results by index."""
     column: str
     is_distance: bool = True
 
-    def eval_state(self, values: Sequence) -> list:
-        return [_tree_key(v) for v in values]
+    def eval_state(self, values: Sequence):
+        return _distinct_trees(values)
 
-    def block(self, state: list, values: Sequence) -> np.ndarray:
-        demo_keys = [_tree_key(v) for v in values]
-        out = np.empty((len(demo_keys), len(state)), dtype=np.float64)
-        for i, dk in enumerate(demo_keys):
-            for j, ek in enumerate(state):
-                out[i, j] = tree_edit_distance(dk, ek)
-        return out
+    def block(self, state, values: Sequence) -> np.ndarray:
+        e_keys, e_inv = state
+        d_keys, d_inv = _distinct_trees(values)
+        uniq = np.empty((len(d_keys), len(e_keys)), dtype=np.float64)
+        for i, dk in enumerate(d_keys):
+            for j, ek in enumerate(e_keys):
+                uniq[i, j] = tree_edit_distance(dk, ek)
+        return uniq[d_inv][:, e_inv]
+
+
+def _distinct_trees(values: Sequence):
+    index: dict = {}
+    inv = np.empty(len(values), dtype=np.int64)
+    for i, v in enumerate(values):
+        key = _tree_key(v)
+        inv[i] = index.setdefault(key, len(index))
+    return list(index), inv
 
 
 def _unit_rows(values: Sequence) -> np.ndarray:
@@ -108,6 +119,7 @@ def _tree_key(preorder) -> tuple:
     stack = [root]
     for item in preorder if preorder is not None else []:
         depth, value = (item["depth"], item["value"]) if isinstance(item, dict) else (item[0], item[1])
+        depth = int(depth)
         node: list = [value, []]
         del stack[depth + 1:]
         stack[-1][1].append(node)
@@ -176,16 +188,17 @@ def _stats_fn(kinds, bc, eval_id, demo_id, exclude_self):
         states = [k.eval_state(eval_pdf[k.column].tolist()) for k in kinds]
         lo = [math.inf] * len(kinds)
         hi = [-math.inf] * len(kinds)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            blocks, mask = _pair_scores(kinds, states, pdf, eval_ids, pdf[demo_id].to_numpy(), exclude_self)
-            for i, blk in enumerate(blocks):
-                vals = blk if mask is None else blk[~mask]
-                vals = vals[~np.isnan(vals)]
-                if vals.size:
-                    lo[i] = min(lo[i], float(vals.min()))
-                    hi[i] = max(hi[i], float(vals.max()))
+        for batch in batches:
+            for pdf in _sub_blocks(batch, len(eval_ids)):
+                if len(pdf) == 0:
+                    continue
+                blocks, mask = _pair_scores(kinds, states, pdf, eval_ids, pdf[demo_id].to_numpy(), exclude_self)
+                for i, blk in enumerate(blocks):
+                    vals = blk if mask is None else blk[~mask]
+                    vals = vals[~np.isnan(vals)]
+                    if vals.size:
+                        lo[i] = min(lo[i], float(vals.min()))
+                        hi[i] = max(hi[i], float(vals.max()))
         row = {}
         for i in range(len(kinds)):
             row[f"lo{i}"] = [None if math.isinf(lo[i]) else lo[i]]
@@ -214,40 +227,64 @@ def _fused(kinds, blocks, mode, weights, extrema):
     return total
 
 
-_EXCLUDED = np.iinfo(np.int64).max  # demo id used to push self pairs out
+# Integer score keys: rounded score * 2^21 plus the demo's rank by id inside
+# the block, so argpartition selects exactly (ties -> lower demo id).
+_SHIFT = 1 << 21
+_NAN_SCORE = -(1 << 40)        # undefined similarity: ranks after every real score
+_SELF_SCORE = -(1 << 40) - 1   # excluded self pair: never emitted
+_BLOCK_CELLS = 4_000_000       # cells per scored block (about 32 MB of doubles)
+
+
+def _sub_blocks(pdf: pd.DataFrame, n_eval: int):
+    step = max(1, _BLOCK_CELLS // max(n_eval, 1))
+    for lo in range(0, len(pdf), step):
+        yield pdf.iloc[lo:lo + step]
+
+
+def _block_topk(score_int: np.ndarray, demo_ids: np.ndarray, k: int):
+    """score_int (n_eval, m) -> best k (scores, demo ids) per eval row."""
+    order = np.argsort(demo_ids, kind="stable")
+    ids = demo_ids[order]
+    sc = score_int[:, order]
+    m = len(ids)
+    if m <= k:
+        return sc, np.broadcast_to(ids[None, :], sc.shape).copy()
+    key = sc * _SHIFT + (_SHIFT - 1 - np.arange(m, dtype=np.int64))[None, :]
+    part = np.argpartition(-key, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(sc, part, axis=1), ids[part]
 
 
 def _topk_fn(kinds, bc, eval_id, demo_id, k, mode, weights, extrema, exclude_self):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         eval_pdf = bc.value
-        eval_ids = eval_pdf[eval_id].to_numpy()
+        eval_ids = eval_pdf[eval_id].to_numpy().astype(np.int64)
         n_eval = len(eval_ids)
         states = [k_.eval_state(eval_pdf[k_.column].tolist()) for k_ in kinds]
-        best_s = np.empty((n_eval, 0), dtype=np.float64)
+        best_s = np.empty((n_eval, 0), dtype=np.int64)
         best_d = np.empty((n_eval, 0), dtype=np.int64)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            demo_ids = pdf[demo_id].to_numpy().astype(np.int64)
-            blocks, mask = _pair_scores(kinds, states, pdf, eval_ids, demo_ids, exclude_self)
-            score = np.rint(_fused(kinds, blocks, mode, weights, extrema) * SCALE)
-            score = np.where(np.isnan(score), -np.inf, score).T  # (n_eval, batch)
-            cand_d = np.broadcast_to(demo_ids[None, :], score.shape)
-            if mask is not None:
-                score = np.where(mask.T, -np.inf, score)
-                cand_d = np.where(mask.T, _EXCLUDED, cand_d)
-            merged_s = np.concatenate([best_s, score], axis=1)
-            merged_d = np.concatenate([best_d, cand_d], axis=1)
-            order = np.lexsort((merged_d, -merged_s), axis=-1)[:, :k]
-            best_s = np.take_along_axis(merged_s, order, axis=1)
-            best_d = np.take_along_axis(merged_d, order, axis=1)
+        for batch in batches:
+            for pdf in _sub_blocks(batch, n_eval):
+                if len(pdf) == 0:
+                    continue
+                demo_ids = pdf[demo_id].to_numpy().astype(np.int64)
+                blocks, mask = _pair_scores(kinds, states, pdf, eval_ids, demo_ids, exclude_self)
+                score = np.rint(_fused(kinds, blocks, mode, weights, extrema) * SCALE).T  # (n_eval, m)
+                score_int = np.where(np.isnan(score), _NAN_SCORE, score).astype(np.int64)
+                if mask is not None:
+                    score_int = np.where(mask.T, _SELF_SCORE, score_int)
+                cs, cd = _block_topk(score_int, demo_ids, k)
+                ms = np.concatenate([best_s, cs], axis=1)
+                md = np.concatenate([best_d, cd], axis=1)
+                order = np.lexsort((md, -ms), axis=-1)[:, :k]
+                best_s = np.take_along_axis(ms, order, axis=1)
+                best_d = np.take_along_axis(md, order, axis=1)
         if best_s.shape[1] == 0:
             return
-        flat_e = np.repeat(eval_ids.astype(np.int64), best_s.shape[1])
+        flat_e = np.repeat(eval_ids, best_s.shape[1])
         flat_s = best_s.reshape(-1)
         flat_d = best_d.reshape(-1)
-        keep = flat_d != _EXCLUDED
-        sims = pd.array([None if math.isinf(v) else v / SCALE for v in flat_s[keep]], dtype="Float64")
+        keep = flat_s != _SELF_SCORE
+        sims = pd.array([None if v == _NAN_SCORE else v / SCALE for v in flat_s[keep].tolist()], dtype="Float64")
         yield pd.DataFrame({"eval_id": flat_e[keep], "demo_id": flat_d[keep], "sim": sims})
     return run
 
@@ -338,3 +375,22 @@ def fuse_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], col_a: str, col_
     else:
         val = F.lit(w) * F.col(col_a) + F.lit(1 - w) * F.col(col_b)
     return j.withColumn(out, val)
+
+
+def tfidf_vectors(df: DataFrame, text: str, out: str, num_features: int = 1024,
+                  fit_on: DataFrame | None = None) -> DataFrame:
+    """F2 default encoder: hashed term frequencies weighted by inverse
+    document frequency (``pyspark.ml`` HashingTF + IDF; the IDF fit is one
+    distributed aggregation, its vector has ``num_features`` entries) as a
+    dense array<double> for the ``Cosine`` kind.  A model encoder is any
+    vector column the caller adds instead (e.g. ``embeddings``)."""
+    from pyspark.ml.feature import IDF, HashingTF
+    from pyspark.ml.functions import vector_to_array
+    from ..functions.text import WORD_OR_SYMBOL
+
+    def toks(d):
+        return d.withColumn("_tok", F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_OR_SYMBOL), 1))
+    htf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
+    model = IDF(inputCol="_tf", outputCol="_tfidf").fit(htf.transform(toks(fit_on if fit_on is not None else df)))
+    vec = model.transform(htf.transform(toks(df)))
+    return vec.withColumn(out, vector_to_array("_tfidf")).drop("_tok", "_tf", "_tfidf")

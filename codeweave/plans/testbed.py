@@ -897,3 +897,79 @@ def _expand_lines_alias():
 
 
 _expand_lines_alias()
+
+
+# ---------------------------------------------------------------------------
+# Rows-only queries (no SQL oracle; brute-force checks in tests/)
+# ---------------------------------------------------------------------------
+
+@register("skeleton_tree_similarity")
+def skeleton_tree_similarity_q(spark, sf):
+    """P13 + F4 + J2 + A2: block trees of every customer's procedure, the
+    3 most similar other procedures by normalised tree edit distance."""
+    from ..functions.code import code_skeleton
+    from ..functions.skeleton import skeleton_tree
+    from ..operators.retrieval import TreeDistance
+    c = table(spark, sf, "customer")
+    trees = c.select(F.col("c_custkey").alias("id"),
+                     skeleton_tree(code_skeleton(F.expr(ORACLE_CODE_SQL), "oracle")).alias("tree"))
+    return topk_similar(trees.withColumnRenamed("id", "eval_id"), trees.withColumnRenamed("id", "demo_id"), 3,
+                        kinds=[TreeDistance("tree")], mode="weighted", weights=[1.0], exclude_self=True)
+
+
+def _word_lexicon(docs):
+    """Caller-side lexicon stand-in: words seen in at most two documents are
+    tagged NN (content words); the others get no masking tag."""
+    from ..functions.text import WORD_OR_SYMBOL
+    w = docs.select("doc_id", F.explode(F.array_distinct(
+        F.regexp_extract_all("text", F.lit(WORD_OR_SYMBOL), 1))).alias("word"))
+    return (w.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+            .select("word", F.when(F.col("df") <= 2, F.lit("NN")).otherwise(F.lit("DT")).alias("tag")))
+
+
+@register("text_skeleton_topk")
+def text_skeleton_topk_q(spark, sf):
+    """P7 + F2 + J1 + A3(max) + W1: benchmark items retrieve documents by
+    the larger of text and question-skeleton TF-IDF cosine similarity."""
+    from ..functions.skeleton import question_skeleton
+    from ..operators.retrieval import tfidf_vectors
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    bench = table(spark, sf, "benchmark").select("item_id", "text")
+    lex = _word_lexicon(docs)
+    d = question_skeleton(docs, "text", lex, out="skel", key="doc_id")
+    b = question_skeleton(bench, "text", lex, out="skel", key="item_id")
+    d = tfidf_vectors(tfidf_vectors(d, "text", "v_text"), "skel", "v_skel")
+    b = tfidf_vectors(tfidf_vectors(b, "text", "v_text", fit_on=docs),
+                      "skel", "v_skel", fit_on=d.select(F.col("skel")))
+    return topk_similar(b.withColumnRenamed("item_id", "eval_id"), d.withColumnRenamed("doc_id", "demo_id"), 3,
+                        kinds=[Cosine("v_text"), Cosine("v_skel")], mode="max")
+
+
+@register("clean_candidates")
+def clean_candidates_q(spark, sf):
+    """P11 + P12: procedures written with unquoted names, a renamed
+    procedure, split operators and trailing text are cleaned against the
+    customer schema terms (checked against a Python loop in tests/)."""
+    from ..functions.code import clean_candidate
+    c = table(spark, sf, "customer")
+    raw = F.concat(
+        F.lit("CREATE OR REPLACE PROCEDURE update_acct ( c_custkey IN NUMBER , v_bal IN NUMBER ) IS BEGIN "
+              "UPDATE customer SET c_acctbal = v_bal WHERE c_custkey = c_custkey AND c_acctbal > = "),
+        F.regexp_replace(F.format_number(F.col("c_acctbal"), 2), ",", ""),
+        F.lit(" AND c_name < > 'x' ; v_bal : = 0 . 5 ; END; trailing words after the end"))
+    terms = F.array(*[F.lit(x) for x in ["customer", "c_custkey", "c_name", "c_acctbal", "c_mktsegment"]])
+    return c.select("c_custkey", clean_candidate(raw, terms, "oracle").alias("cleaned"))
+
+
+@register("catalog_diff")
+def catalog_diff_q(spark, sf):
+    """S7 + J11 + L6: catalogs (table, column, type) of the before/after
+    snapshots compared by a null-safe full outer join, in ORDER BY 1 order."""
+    from ..operators.snapshots import compare_catalogs, order_by_first
+    from ..sources.catalog import table_catalog
+    before, after, _ = _snapshots(spark, sf)
+    after = dict(after)
+    after["orders"] = after["orders"].withColumn("o_totalprice", F.col("o_totalprice").cast("string"))
+    cat_a = table_catalog(spark, before)
+    cat_b = table_catalog(spark, after)
+    return order_by_first(compare_catalogs(cat_a, cat_b))
