@@ -84,7 +84,8 @@ def skeleton_tree(skeleton: str | Column) -> Column:
 @pandas_udf(DoubleType())
 def tree_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """edit distance of two preorder trees per row (Arrow batches; equal
-    subtree pairs are computed once per worker through a memo)."""
+    subtree pairs are computed once per worker through a memo).  Pass tree
+    columns (project ``skeleton_tree`` first), not the inline expression."""
     from ..operators.retrieval import _tree_key, tree_edit_distance
 
     def conv(v):

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 # Fixed value: the text used when no candidate ran and the first one is blank.
 PLACEHOLDER = "PLSQL placeholder"
 
@@ -22,7 +24,7 @@ def first_valid_candidate(cands: DataFrame, task: str = "task_id", pos: str = "c
         F.min_by(F.col(code), F.when(ok, F.col(pos))).alias("_ok_code"),
         F.min(F.col(pos)).alias("_first_pos"),
         F.min_by(F.col(code), F.col(pos)).alias("_first_code"))
-    first_usable = F.trim(F.coalesce(F.col("_first_code"), F.lit(""))) != ""
+    first_usable = strip(F.coalesce(F.col("_first_code"), F.lit(""))) != ""
     return agg.select(
         task,
         F.when(F.col("_ok_pos").isNotNull(), F.col("_ok_pos"))
