@@ -961,7 +961,18 @@ def clean_candidates_q(spark, sf):
     return c.select("c_custkey", clean_candidate(raw, terms, "oracle").alias("cleaned"))
 
 
-@register("catalog_diff")
+@register("catalog_diff", sql="""
+with cols as (select table_name, column_name, cast(ordinal_position as integer) as ordinal, data_type
+              from information_schema.columns),
+a as (select * from cols where table_name in ('orders', 'lineitem', 'customer', 'nation')),
+b as (select table_name, column_name, ordinal,
+             case when table_name = 'orders' and column_name = 'o_totalprice' then 'VARCHAR' else data_type end as data_type
+      from cols where table_name in ('orders', 'lineitem', 'customer', 'part'))
+select coalesce(a.table_name, b.table_name) as table_name, coalesce(a.column_name, b.column_name) as column_name,
+       a.table_name is not null as in_a, b.table_name is not null as in_b,
+       coalesce(a.ordinal = b.ordinal and a.data_type = b.data_type, false) as same
+from a full outer join b on a.table_name = b.table_name and a.column_name = b.column_name
+""")
 def catalog_diff_q(spark, sf):
     """S7 + J11 + L6: catalogs (table, column, type) of the before/after
     snapshots compared by a null-safe full outer join, in ORDER BY 1 order."""
