@@ -202,20 +202,28 @@ def clean_candidate(code: str | Column, terms: str | Column, dialect: str = "ora
     """Cut after the first terminator, tokenise, quote tokens found in
     the schema terms, call the procedure ``sp``, unquote its parameter list,
     (PostgreSQL) join ``$ $``, glue split operators, join by one blank and
-    repair quotes and decimals."""
+    repair quotes and decimals.
+
+    Lambdas only read fields of their own element: neighbours come from
+    ``arrays_zip`` with shifted slices, so every array is computed once per
+    row (an array expression looked up inside a lambda would be recomputed
+    for every element)."""
     term_arr = col(terms)
     cut = _cut_after(col(code), ORACLE_TERMINATOR if dialect == "oracle" else POSTGRES_TERMINATOR)
     toks = F.regexp_extract_all(cut, F.lit(CODE_TOKEN), 1)
-    quoted = F.transform(toks, lambda t: F.when(F.array_contains(term_arr, t),
-                                                F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t))
-    n = F.size(quoted)
+    n = F.size(toks)
+    prev = F.concat(F.array(F.lit(None).cast("string")), F.slice(toks, 1, F.greatest(n - 1, F.lit(0))))
+    nxt = F.concat(F.slice(toks, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+    zipped = F.arrays_zip(toks.alias("t"), prev.alias("p"), nxt.alias("q"))
+
+    def quote(t: Column) -> Column:
+        return F.when(F.array_contains(term_arr, t), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t)
 
-    def rename(t, i):
-        left = F.lower(F.element_at(quoted, F.greatest(i, F.lit(1))))  # i is 0-based; element_at 1-based
-        right = F.element_at(quoted, F.least(i + 2, n))
-        hit = (i >= 1) & (i < n - 1) & left.isin("procedure", "function") & (right == "(")
-        return F.when(hit, F.lit("sp")).otherwise(t)
-    named = F.transform(quoted, rename)
+    def rename(e, i):
+        hit = ((i >= 1) & e["q"].isNotNull() & F.lower(quote(e["p"])).isin("procedure", "function")
+               & (quote(e["q"]) == "("))
+        return F.when(hit, F.lit("sp")).otherwise(quote(e["t"]))
+    named = F.transform(zipped, rename)
 
     # stateful pass: inside "sp ... ( ... )" strip double quotes
     init = F.struct(F.lit(False).alias("mon"), F.lit(False).alias("meet"),
@@ -230,9 +238,10 @@ def clean_candidate(code: str | Column, terms: str | Column, dialect: str = "ora
 
     if dialect != "oracle":
         m = F.size(unquoted)
-        dollars = F.transform(unquoted, lambda t, i: F.when(
-            (t == "$") & (i + 1 < m) & (F.element_at(unquoted, F.least(i + 2, m)) == "$"), F.lit("$$"))
-            .otherwise(t))
+        after = F.concat(F.slice(unquoted, 2, F.greatest(m - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+        pairs = F.arrays_zip(unquoted.alias("t"), after.alias("q"))
+        dollars = F.transform(pairs, lambda e: F.when((e["t"] == "$") & (e["q"] == "$"), F.lit("$$"))
+                              .otherwise(e["t"]))
         unquoted = F.filter(dollars, lambda t: t != "$")
 
     text = F.array_join(unquoted, " ")

@@ -7,9 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
-from ..session import guarded_broadcast
 from .text import col
 
 # ---------------------------------------------------------------------------
@@ -26,21 +25,57 @@ QUESTION_TOKEN = r"('s|''|--|[\p{L}\p{N}_]+(?:\.[\p{N}]+)?|[^\p{L}\p{N}_\s])"
 SKELETON_TOKEN = r"((?i:END(?:\s+(?:IF|LOOP|CASE))?)(?![\w])|\w+|[^\w\s])"
 
 
+def _assemble(tokens, lex: dict) -> str:
+    """Small per-row helper of the broadcast path: tag, mask, drop, join,
+    repair -- the same rules as the join path below."""
+    import re
+    import unicodedata
+    words = []
+    for t in tokens:
+        tag = "CD" if t and unicodedata.category(t[0]).startswith("N") else lex.get(t)
+        if tag in _MASKED:
+            words.append("_")
+        elif t not in _DROPPED:
+            words.append(t)
+    out = " ".join(words).replace("_ 's", "_").replace(" 's", "'s")
+    out = re.sub(r"_( _)+", "_", out)
+    return out[2:] if out.startswith("_ ") else out
+
+
+_MASKED = frozenset(MASKED_TAGS)
+_DROPPED = frozenset(DROPPED_TOKENS)
+
+
 def question_skeleton(df: DataFrame, text: str, lexicon: DataFrame, out: str = "question_skeleton",
-                      key: str | None = None) -> DataFrame:
+                      key: str | None = None, max_broadcast_bytes: int = 256 * 1024 * 1024) -> DataFrame:
     """Tokens tagged by a caller-given ``lexicon(word, tag)`` (numbers
     are tagged CD by rule); masked tags become ``_``, listed punctuation is
     dropped, the rest is kept; joined by blanks, ``'s`` repaired, runs of
-    ``_`` collapsed and a leading ``_ `` removed.
+    ``_`` collapsed and a leading ``_ `` removed.  A word listed twice takes
+    its smallest tag.  The POS model of the reference is not built.
+
+    When the lexicon's size estimate is within ``max_broadcast_bytes`` it is
+    shipped once as a broadcast variable and each row is assembled in an
+    Arrow batch (no shuffle).  Beyond that, tokens are exploded, joined to
+    the lexicon by shuffle and regrouped per row (``key`` must be unique)."""
+    from ..session import estimated_bytes
+    lex = lexicon.groupBy("word").agg(F.min("tag").alias("tag"))
+    toks = F.regexp_extract_all(F.col(text), F.lit(QUESTION_TOKEN), 1)
+    size = estimated_bytes(lexicon)
+    if size is not None and size <= max_broadcast_bytes:
+        spark = df.sparkSession
+        bc = spark.sparkContext.broadcast({r["word"]: r["tag"] for r in lex.collect()})  # size-checked above
+
+        @pandas_udf(StringType())
+        def assemble(tokens: pd.Series) -> pd.Series:
+            table = bc.value
+            return pd.Series([_assemble(t, table) for t in tokens])
+        return df.withColumn(out, assemble(toks))
 
-    The POS model of the reference is not built; the lexicon is broadcast
-    only when its size estimate is small, else joined by shuffle."""
     key = key or "_row"
     base = df if key in df.columns else df.withColumn(key, F.monotonically_increasing_id())
-    toks = base.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(QUESTION_TOKEN), 1))
-                       .alias("pos", "tok"))
-    lex = guarded_broadcast(lexicon.select(F.col("word").alias("tok"), "tag"))
-    tagged = toks.join(lex, "tok", "left").withColumn(
+    exploded = base.select(key, F.posexplode(toks).alias("pos", "tok"))
+    tagged = exploded.join(lex.select(F.col("word").alias("tok"), "tag"), "tok", "left").withColumn(
         "tag", F.when(F.col("tok").rlike(r"^\p{N}"), F.lit("CD")).otherwise(F.col("tag")))
     shown = tagged.select(
         key, "pos",

@@ -175,16 +175,58 @@ def _eval_blocks(evals: DataFrame, id_col: str, cols: list[str], max_bytes: int)
     return [evals.where(part == b).select(id_col, *cols).toPandas() for b in range(n_blocks)]
 
 
-def _pair_scores(kinds, states, demo_pdf, eval_ids, demo_ids, exclude_self):
+def _pair_scores(kinds, states, demo_pdf, single_ids, demo_ids, exclude_self):
+    """Score matrices (demos x distinct eval values).  With ``exclude_self``
+    the mask marks a (demo, value) cell whose only eval is that demo: the
+    cell then holds no real pair."""
     blocks = [k.block(s, demo_pdf[k.column].tolist()) for k, s in zip(kinds, states)]
-    mask = (demo_ids[:, None] == eval_ids[None, :]) if exclude_self else None
+    mask = (demo_ids[:, None] == single_ids[None, :]) if exclude_self else None
     return blocks, mask
 
 
+def _hashable(v):
+    if isinstance(v, dict):
+        return tuple(sorted((k, _hashable(x)) for k, x in v.items()))
+    if isinstance(v, (list, tuple, np.ndarray)):
+        return tuple(_hashable(x) for x in v)
+    if isinstance(v, float) and math.isnan(v):
+        return ("nan",)
+    return v
+
+
+_NO_SINGLE = np.iinfo(np.int64).min
+
+
+def _dedupe(block: pd.DataFrame, id_col: str, cols: list[str], offset: int):
+    """Distinct eval values of a block: (values with a value index in
+    ``eval_id``, mapping eval id -> value index).  Evals with equal values
+    have equal score rows, so each distinct value is scored once."""
+    index: dict = {}
+    vidx = np.empty(len(block), dtype=np.int64)
+    first: list[int] = []
+    members: list[list[int]] = []
+    ids = block[id_col].to_numpy().astype(np.int64)
+    columns = [block[c].tolist() for c in cols]
+    for i in range(len(block)):
+        key = _hashable(tuple(col[i] for col in columns))
+        j = index.get(key)
+        if j is None:
+            j = index[key] = len(first)
+            first.append(i)
+            members.append([])
+        members[j].append(int(ids[i]))
+        vidx[i] = j
+    uniq = block.iloc[first][cols].reset_index(drop=True)
+    uniq.insert(0, "eval_id", offset + np.arange(len(first), dtype=np.int64))
+    uniq["_single"] = np.array([m[0] if len(m) == 1 else _NO_SINGLE for m in members], dtype=np.int64)
+    mapping = pd.DataFrame({"eval_id": ids, "_v": offset + vidx})
+    return uniq, mapping
+
+
 def _stats_fn(kinds, bc, eval_id, demo_id, exclude_self):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         eval_pdf = bc.value
-        eval_ids = eval_pdf[eval_id].to_numpy()
+        eval_ids = eval_pdf["_single"].to_numpy()
         states = [k.eval_state(eval_pdf[k.column].tolist()) for k in kinds]
         lo = [math.inf] * len(kinds)
         hi = [-math.inf] * len(kinds)
@@ -267,11 +309,9 @@ def _topk_fn(kinds, bc, eval_id, demo_id, k, mode, weights, extrema, exclude_sel
                 if len(pdf) == 0:
                     continue
                 demo_ids = pdf[demo_id].to_numpy().astype(np.int64)
-                blocks, mask = _pair_scores(kinds, states, pdf, eval_ids, demo_ids, exclude_self)
+                blocks, _ = _pair_scores(kinds, states, pdf, eval_ids, demo_ids, False)
                 score = np.rint(_fused(kinds, blocks, mode, weights, extrema) * SCALE).T  # (n_eval, m)
                 score_int = np.where(np.isnan(score), _NAN_SCORE, score).astype(np.int64)
-                if mask is not None:
-                    score_int = np.where(mask.T, _SELF_SCORE, score_int)
                 cs, cd = _block_topk(score_int, demo_ids, k)
                 ms = np.concatenate([best_s, cs], axis=1)
                 md = np.concatenate([best_d, cd], axis=1)
@@ -313,8 +353,14 @@ def topk_similar(evals: DataFrame, demos: DataFrame, k: int, *,
                                T.StructField("demo_id", T.LongType()),
                                T.StructField("sim", T.DoubleType())])
     parts = []
-    blocks = _eval_blocks(evals.select(F.col(eval_id).cast("long").alias(eval_id), *cols),
-                          eval_id, cols, max_broadcast_bytes)
+    raw_blocks = _eval_blocks(evals.select(F.col(eval_id).cast("long").alias(eval_id), *cols),
+                              eval_id, cols, max_broadcast_bytes)
+    blocks, mappings, offset = [], [], 0
+    for rb in raw_blocks:
+        uniq, mapping = _dedupe(rb, eval_id, cols, offset)
+        offset += len(uniq)
+        blocks.append(uniq)
+        mappings.append(mapping)
     extrema = None
     if mode == "weighted":
         stats_schema = T.StructType([f for i in range(len(kinds)) for f in (
@@ -323,23 +369,31 @@ def topk_similar(evals: DataFrame, demos: DataFrame, k: int, *,
         for block in blocks:
             bc = spark.sparkContext.broadcast(block)
             partials.append(demo_side.mapInPandas(
-                _stats_fn(kinds, bc, eval_id, demo_id, exclude_self), stats_schema))
+                _stats_fn(kinds, bc, "eval_id", demo_id, exclude_self), stats_schema))
         stats = partials[0]
         for p in partials[1:]:
             stats = stats.unionByName(p)
         row = stats.agg(*[g for i in range(len(kinds)) for g in (
             F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}"))]).first()
         extrema = [(row[f"lo{i}"], row[f"hi{i}"]) for i in range(len(kinds))]
+    # one extra candidate per distinct value when the eval itself must go
+    k_value = k + 1 if exclude_self else k
     for block in blocks:
         bc = spark.sparkContext.broadcast(block)
         parts.append(demo_side.mapInPandas(
-            _topk_fn(kinds, bc, eval_id, demo_id, k, mode, weights, extrema, exclude_self), out_schema))
+            _topk_fn(kinds, bc, "eval_id", demo_id, k_value, mode, weights, extrema, exclude_self), out_schema))
     if not parts:
         return spark.createDataFrame([], "eval_id long, rank int, demo_id long, sim double")
     cands = parts[0]
     for p in parts[1:]:
         cands = cands.unionByName(p)
-    return rank_within(cands, "eval_id", k)
+    per_value = rank_within(cands, "eval_id", k_value).withColumnRenamed("eval_id", "_v").drop("rank")
+    # the mapping has one row per eval (already bounded by the broadcast check)
+    mapping = spark.createDataFrame(pd.concat(mappings, ignore_index=True), "eval_id long, _v long")
+    expanded = per_value.join(F.broadcast(mapping), "_v").drop("_v")
+    if exclude_self:
+        expanded = expanded.where(F.col("demo_id") != F.col("eval_id"))
+    return rank_within(expanded, "eval_id", k)
 
 
 def rank_within(cands: DataFrame, key: str, k: int, score: str = "sim", tie: str = "demo_id") -> DataFrame:

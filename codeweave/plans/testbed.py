@@ -933,11 +933,14 @@ def text_skeleton_topk_q(spark, sf):
     the larger of text and question-skeleton TF-IDF cosine similarity."""
     from ..functions.skeleton import question_skeleton
     from ..operators.retrieval import tfidf_vectors
+    from ..session import cut_lineage
     docs = table(spark, sf, "documents").select("doc_id", "text")
     bench = table(spark, sf, "benchmark").select("item_id", "text")
-    lex = _word_lexicon(docs)
-    d = question_skeleton(docs, "text", lex, out="skel", key="doc_id")
-    b = question_skeleton(bench, "text", lex, out="skel", key="item_id")
+    # the lexicon and the skeletons feed two IDF fits, the size probe and the
+    # scoring pass: materialise them once in the shared checkpoint folder
+    lex = cut_lineage(_word_lexicon(docs))
+    d = cut_lineage(question_skeleton(docs, "text", lex, out="skel", key="doc_id"))
+    b = cut_lineage(question_skeleton(bench, "text", lex, out="skel", key="item_id"))
     d = tfidf_vectors(tfidf_vectors(d, "text", "v_text"), "skel", "v_skel")
     b = tfidf_vectors(tfidf_vectors(b, "text", "v_text", fit_on=docs),
                       "skel", "v_skel", fit_on=d.select(F.col("skel")))
