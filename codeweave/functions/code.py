@@ -140,7 +140,18 @@ def normalize_code(code: str | Column, dialect: str = "oracle") -> Column:
     too, as in the reference."""
     c = _collapse(col(code))
     oracle = dialect == "oracle"
-    for pat, repl, icase in (oracle_rules(False) if oracle else postgres_rules(False)):
+    rules = oracle_rules(False) if oracle else postgres_rules(False)
+    # the blank squeezes around single characters only delete blanks next to
+    # their own character, so their order does not matter: one pass does all
+    squeeze = {r[0]: r[1] for r in _SQUEEZE + [(r"\s*=\s*", "="), (r"\s*>\s*", ">"), (r"\s*<\s*", "<")]}
+    chars = "".join(squeeze[pat] for pat, _, _ in rules if pat in squeeze)
+    done = False
+    for pat, repl, icase in rules:
+        if pat in squeeze:
+            if not done:
+                c = F.regexp_replace(c, r"\s*([" + "".join("\\" + ch for ch in chars) + r"])\s*", "$1")
+                done = True
+            continue
         c = F.regexp_replace(c, ("(?i)" if icase else "") + pat, repl)
     c = _space_keywords(c, ORACLE_SPACED_KEYWORDS if oracle else POSTGRES_SPACED_KEYWORDS)
     c = _collapse(c)
