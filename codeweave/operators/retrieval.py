@@ -342,6 +342,10 @@ def topk_similar(evals: DataFrame, demos: DataFrame, k: int, *,
     (leave-one-out retrieval inside one table).
 
     Returns ``(eval_id, rank, demo_id, sim)`` with ``sim`` rounded to 6 places.
+
+    The eval side is read twice (size probe, collect) and the demo side once
+    per pass (two passes for ``'weighted'``): checkpoint inputs that are
+    expensive to derive before calling.
     """
     kinds = list(kinds)
     if mode == "weighted":
@@ -431,20 +435,28 @@ def fuse_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], col_a: str, col_
     return j.withColumn(out, val)
 
 
-def tfidf_vectors(df: DataFrame, text: str, out: str, num_features: int = 1024,
-                  fit_on: DataFrame | None = None) -> DataFrame:
-    """F2 default encoder: hashed term frequencies weighted by inverse
-    document frequency (``pyspark.ml`` HashingTF + IDF; the IDF fit is one
-    distributed aggregation, its vector has ``num_features`` entries) as a
-    dense array<double> for the ``Cosine`` kind.  A model encoder is any
-    vector column the caller adds instead (e.g. ``embeddings``)."""
+def fit_tfidf(df: DataFrame, text: str, num_features: int = 1024):
+    """F2 default encoder, fitted: hashed term frequencies and the inverse
+    document frequencies of ``df`` (one distributed aggregation; the IDF
+    vector has ``num_features`` entries).  Apply with ``tfidf_vectors``."""
     from pyspark.ml.feature import IDF, HashingTF
-    from pyspark.ml.functions import vector_to_array
+    htf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
+    model = IDF(inputCol="_tf", outputCol="_tfidf").fit(htf.transform(_tfidf_tokens(df, text)))
+    return htf, model
+
+
+def _tfidf_tokens(df: DataFrame, text: str) -> DataFrame:
     from ..functions.text import WORD_OR_SYMBOL
+    return df.withColumn("_tok", F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_OR_SYMBOL), 1))
 
-    def toks(d):
-        return d.withColumn("_tok", F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_OR_SYMBOL), 1))
-    htf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
-    model = IDF(inputCol="_tf", outputCol="_tfidf").fit(htf.transform(toks(fit_on if fit_on is not None else df)))
-    vec = model.transform(htf.transform(toks(df)))
+
+def tfidf_vectors(df: DataFrame, text: str, out: str, num_features: int = 1024,
+                  fit_on: DataFrame | None = None, fitted=None) -> DataFrame:
+    """TF-IDF vector of ``text`` as a dense array<double> for the ``Cosine``
+    kind; ``fitted`` (from ``fit_tfidf``) reuses weights, else they are fitted
+    on ``fit_on`` (default: ``df``).  A model encoder is any vector column the
+    caller adds instead (e.g. ``embeddings``)."""
+    from pyspark.ml.functions import vector_to_array
+    htf, model = fitted or fit_tfidf(fit_on if fit_on is not None else df, text, num_features)
+    vec = model.transform(htf.transform(_tfidf_tokens(df, text)))
     return vec.withColumn(out, vector_to_array("_tfidf")).drop("_tok", "_tf", "_tfidf")

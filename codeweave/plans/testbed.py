@@ -910,9 +910,12 @@ def skeleton_tree_similarity_q(spark, sf):
     from ..functions.code import code_skeleton
     from ..functions.skeleton import skeleton_tree
     from ..operators.retrieval import TreeDistance
+    from ..session import cut_lineage
     c = table(spark, sf, "customer")
-    trees = c.select(F.col("c_custkey").alias("id"),
-                     skeleton_tree(code_skeleton(F.expr(ORACLE_CODE_SQL), "oracle")).alias("tree"))
+    # the trees are read by the size probe, the eval collect and two demo
+    # passes: derive them once
+    trees = cut_lineage(c.select(F.col("c_custkey").alias("id"),
+                                 skeleton_tree(code_skeleton(F.expr(ORACLE_CODE_SQL), "oracle")).alias("tree")))
     return topk_similar(trees.withColumnRenamed("id", "eval_id"), trees.withColumnRenamed("id", "demo_id"), 3,
                         kinds=[TreeDistance("tree")], mode="weighted", weights=[1.0], exclude_self=True)
 
@@ -932,18 +935,25 @@ def text_skeleton_topk_q(spark, sf):
     """P7 + F2 + J1 + A3(max) + W1: benchmark items retrieve documents by
     the larger of text and question-skeleton TF-IDF cosine similarity."""
     from ..functions.skeleton import question_skeleton
-    from ..operators.retrieval import tfidf_vectors
+    from ..operators.retrieval import fit_tfidf, tfidf_vectors
     from ..session import cut_lineage
     docs = table(spark, sf, "documents").select("doc_id", "text")
     bench = table(spark, sf, "benchmark").select("item_id", "text")
-    # the lexicon and the skeletons feed two IDF fits, the size probe and the
-    # scoring pass: materialise them once in the shared checkpoint folder
-    lex = cut_lineage(_word_lexicon(docs))
-    d = cut_lineage(question_skeleton(docs, "text", lex, out="skel", key="doc_id"))
-    b = cut_lineage(question_skeleton(bench, "text", lex, out="skel", key="item_id"))
-    d = tfidf_vectors(tfidf_vectors(d, "text", "v_text"), "skel", "v_skel")
-    b = tfidf_vectors(tfidf_vectors(b, "text", "v_text", fit_on=docs),
-                      "skel", "v_skel", fit_on=d.select(F.col("skel")))
+    lex = _word_lexicon(docs)
+    # one skeleton pass over both tables (one lexicon join); the
+    # result feeds the IDF fits, the size probe and the scoring pass
+    both = (docs.select(F.lit("d").alias("side"), F.col("doc_id").alias("id"), "text")
+            .unionByName(bench.select(F.lit("b").alias("side"), F.col("item_id").alias("id"), "text")))
+    both = both.withColumn("row_key", F.concat_ws(":", "side", F.col("id").cast("string")))
+    sk = cut_lineage(question_skeleton(both, "text", lex, out="skel", key="row_key"))
+    d_sk = sk.where(F.col("side") == "d")
+    b_sk = sk.where(F.col("side") == "b")
+    # both sides use the IDF weights fitted on the document pool
+    fit_text, fit_skel = fit_tfidf(d_sk, "text"), fit_tfidf(d_sk, "skel")
+    d = cut_lineage(tfidf_vectors(tfidf_vectors(d_sk, "text", "v_text", fitted=fit_text), "skel", "v_skel",
+                                  fitted=fit_skel).select(F.col("id").alias("doc_id"), "v_text", "v_skel"))
+    b = tfidf_vectors(tfidf_vectors(b_sk, "text", "v_text", fitted=fit_text), "skel", "v_skel",
+                      fitted=fit_skel).select(F.col("id").alias("item_id"), "v_text", "v_skel")
     return topk_similar(b.withColumnRenamed("item_id", "eval_id"), d.withColumnRenamed("doc_id", "demo_id"), 3,
                         kinds=[Cosine("v_text"), Cosine("v_skel")], mode="max")
 

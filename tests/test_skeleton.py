@@ -49,9 +49,9 @@ def test_question_skeleton(spark):
                                "id long, text string")
     lex = spark.createDataFrame([("city", "NN"), ("banks", "NNS"), ("in", "IN"), ("states", "NNS"), ("Show", "VB")],
                                 "word string, tag string")
-    for budget in (1 << 30, 0):  # broadcast path, then the shuffle-join path
+    for py in (True, False):  # broadcast-variable path, then the join path
         got = {r["id"]: r["q"] for r in question_skeleton(df, "text", lex, out="q", key="id",
-                                                            max_broadcast_bytes=budget).collect()}
+                                                            python_lookup=py).collect()}
         assert got[1] == "Show the _"  # city 's banks in 3 states -> one _
         assert got[2] == "list _ all"
 
@@ -60,6 +60,6 @@ def test_question_skeleton_paths_agree(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     from codeweave.plans.testbed import _word_lexicon
     lex = _word_lexicon(docs)
-    a = question_skeleton(docs, "text", lex, out="q", key="doc_id").select("doc_id", "q")
-    b = question_skeleton(docs, "text", lex, out="q", key="doc_id", max_broadcast_bytes=0).select("doc_id", "q")
+    a = question_skeleton(docs, "text", lex, out="q", key="doc_id", python_lookup=True).select("doc_id", "q")
+    b = question_skeleton(docs, "text", lex, out="q", key="doc_id").select("doc_id", "q")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
