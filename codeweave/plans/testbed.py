@@ -407,8 +407,8 @@ def mix_and_count_q(spark, sf):
                                              rows between unbounded preceding and 1 preceding), 0) as start from d),
 t as (select cast(sum(length) as bigint) as total from d),
 b as (select unnest(range(0, (select total from t) // 1024)) as block_id)
-select b.block_id, f.row_id as first_row, b.block_id * 1024 - f.start as first_offset,
-       l.row_id as last_row, b.block_id * 1024 + 1023 - l.start as last_offset
+select b.block_id, f.row_id as first_row, cast(b.block_id * 1024 - f.start as bigint) as first_offset,
+       l.row_id as last_row, cast(b.block_id * 1024 + 1023 - l.start as bigint) as last_offset
 from b join o f on f.start <= b.block_id * 1024 and b.block_id * 1024 < f.start + f.length
        join o l on l.start <= b.block_id * 1024 + 1023 and b.block_id * 1024 + 1023 < l.start + l.length
 """)
