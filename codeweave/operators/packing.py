@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from typing import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,6 @@ def hashed_tokenizer(vocab_size: int = DEFAULT_VOCAB) -> Tokenizer:
 def pretrained_tokenizer(tokenizer_json: str) -> Tokenizer:
     """F1 plug point for a real subword tokenizer (a ``tokenizers`` JSON
     file): an Arrow-batched pandas UDF; the file is loaded once per worker."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     state: dict = {}
