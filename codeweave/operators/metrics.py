@@ -57,23 +57,24 @@ def auc(df: DataFrame, label: str, score: str) -> Column | DataFrame:
 def coverage_at_k(items: DataFrame, *, group: Sequence[str], score: str, pos: str, label: str,
                   max_k: int = 100, only_with_positives: bool = False) -> DataFrame:
     """For k = 1..max_k the number of groups whose positives all sit in
-    the top k by (score desc, pos asc), and the number of groups counted.
+    the top k by (score desc, pos asc), and the number of groups counted
+    (every group, or only those with a positive).
 
-    The rank of the worst positive equals the number of items that sort at or
-    before it, found with two partial aggregations (no per-group sort)."""
+    The rank of a group's worst positive equals the number of its items that
+    sort at or before it.  Two partial aggregations over the items find it
+    (no per-group sort): the worst positive per group (NULL without one),
+    then the count after joining it back."""
     group = list(group)
     flag = F.col(label).cast("boolean")
-    worst = (items.where(flag).groupBy(*group)
-             .agg(F.min(F.struct(F.col(score).alias("ws"), (-F.col(pos)).alias("wp"))).alias("w")))
+    worst = items.groupBy(*group).agg(
+        F.min(F.when(flag, F.struct(F.col(score).alias("ws"), (-F.col(pos)).alias("wp")))).alias("w"))
+    if only_with_positives:
+        worst = worst.where(F.col("w").isNotNull())
     at_or_before = ((F.col(score) > F.col("w.ws")) |
                     ((F.col(score) == F.col("w.ws")) & (F.col(pos) <= -F.col("w.wp"))))
-    need_pos = (items.join(worst, group)
-                .groupBy(*group).agg(F.sum(at_or_before.cast("long")).alias("need")))
-    if only_with_positives:
-        need = need_pos
-    else:
-        need = (items.select(*group).distinct().join(need_pos, group, "left")
-                .select(*group, F.coalesce("need", F.lit(0)).alias("need")))
+    need = (items.join(worst, group)
+            .groupBy(*group).agg(F.sum(F.when(F.col("w").isNull(), F.lit(0))
+                                       .otherwise(at_or_before.cast("long"))).alias("need")))
     hist = need.groupBy("need").agg(F.count(F.lit(1)).alias("n"))
     total = hist.agg(F.sum("n")).first()[0] or 0  # one number reaches the driver
     ks = F.when(F.col("need") <= max_k, F.sequence(F.greatest(F.col("need"), F.lit(1)).cast("int"),

@@ -378,8 +378,8 @@ def _corpora(spark, sf):
     for lang, w in _LANG_WEIGHTS:
         d = docs.where(F.col("lang") == lang).select(F.col("doc_id").alias("row_id"),
                                                      corpus_text("text").alias("text"))
-        parts.append((lang, d, w))
-    return tokenize(mix_corpora(parts), "text")
+        parts.append((lang, tokenize(d, "text"), w))  # tokenise once, then repeat by weight
+    return mix_corpora(parts)
 
 
 _CORPUS_SQL = """
@@ -820,8 +820,10 @@ def merge_chunk_scores_q(spark, sf):
     """Rows-only: the greedy length budget is a sequential fold (checked
     against a brute-force Python loop in tests/test_schema_items.py)."""
     from ..operators.schema_items import budget_chunks, merge_chunk_scores, prefix_offsets, score_schema_items
+    from ..session import cut_lineage
     texts, tables, cols = _cust_schema(spark, sf)
-    items = cols.join(tables.select("task_id", "table_pos", "table_name"), ["task_id", "table_pos"])
+    # items feed the chunking and the scorer: derive them once
+    items = cut_lineage(cols.join(tables.select("task_id", "table_pos", "table_name"), ["task_id", "table_pos"]))
     chunks = budget_chunks(items, texts, budget=40)
     # F3 default scorer on the chunked items, made chunk-dependent on purpose
     scored = score_schema_items(
