@@ -17,9 +17,20 @@ def similarity_lines(pairs: DataFrame, eval_id: str = "eval_id", demo_id: str =
             .select(eval_id, F.array_join(F.transform("_r", lambda r: r[sim].cast("string")), ", ").alias("line")))
 
 
-def write_similarity(pairs: DataFrame, path: str, long_form: bool = True, **cols) -> None:
+MAX_LINE_ITEMS = 1_000_000  # scores per text line (one group, one task)
+
+
+def write_similarity(pairs: DataFrame, path: str, long_form: bool = True,
+                     max_line_items: int = MAX_LINE_ITEMS, **cols) -> None:
+    """Long parquet form (``eval_id, demo_id, sim``) by default.  The text
+    form is written only when the demo pool is proven small enough for one
+    line per eval; beyond that the long form is the way to go."""
     if long_form:
         pairs.write.mode("overwrite").parquet(path)
         return
+    demo_id = cols.get("demo_id", "demo_id")
+    n_demos = pairs.agg(F.countDistinct(demo_id)).first()[0] or 0
+    if n_demos > max_line_items:
+        raise ValueError(f"{n_demos} demos per line exceed {max_line_items}; write the long form instead")
     lines = similarity_lines(pairs, **cols)
     lines.orderBy(cols.get("eval_id", "eval_id")).select("line").write.mode("overwrite").text(path)
