@@ -171,3 +171,34 @@ def read_blocks_for_training(blocks: DataFrame) -> DataFrame:
 
 def window_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+
+
+def frequency_vocab(df: DataFrame, text: str = "text", max_size: int = 49152 - 3,
+                    first_id: int = 3) -> DataFrame:
+    """P2 vocabulary: the ``max_size`` most frequent word/symbol tokens
+    (ties by token text), ids from ``first_id`` in frequency order.  Counts
+    are partial aggregates; the top list is an ordered take of at most
+    ``max_size`` rows, so the table has a proven size bound."""
+    words = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(WORD_OR_SYMBOL), 1)).alias("token"))
+    top = (words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+           .orderBy(F.desc("n"), F.asc("token")).limit(max_size))
+    # the top list holds at most max_size rows, numbering it in one task is bounded
+    w = Window.orderBy(F.desc("n"), F.asc("token"))
+    return top.select("token", (F.row_number().over(w) - 1 + first_id).cast("int").alias("id"))
+
+
+def tokenize_with_vocab(df: DataFrame, key: str, vocab: DataFrame, text: str = "text",
+                        unk_id: int = 0, eos_id: int = EOS_ID) -> DataFrame:
+    """P2 with a vocabulary table: ids in token order, unknown tokens ->
+    ``unk_id``, EOS appended, ``length``.  The vocabulary side is joined by
+    broadcast (its size is bounded by construction); tokens are regrouped per
+    row (``key`` unique), one group per text."""
+    toks = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(WORD_OR_SYMBOL), 1))
+                     .alias("pos", "token"))
+    ided = toks.join(F.broadcast(vocab.select("token", "id")), "token", "left")
+    ids = (ided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unk_id))
+                                                                        .alias("id")))).alias("_s"))
+           .select(key, F.transform("_s", lambda x: x["id"]).alias("_ids")))
+    out = df.join(ids, key, "left").withColumn(
+        "input_ids", F.concat(F.coalesce("_ids", F.array().cast("array<int>")), F.array(F.lit(eos_id))))
+    return out.drop("_ids").withColumn("length", F.size("input_ids"))

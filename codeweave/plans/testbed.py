@@ -418,6 +418,30 @@ def pack_blocks_q(spark, sf):
     return blocks.select("block_id", "first_row", "first_offset", "last_row", "last_offset")
 
 
+@register("vocab_tokenize", sql="""
+with t as (select doc_id, unnest(regexp_extract_all(text, '([\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s])', 1)) as token
+           from documents),
+c as (select token, count(*) as n from t group by token),
+r as (select token, row_number() over (order by n desc, token) as rk from c),
+v as (select token, rk - 1 + 3 as id from r where rk <= 1000),
+x as (select t.doc_id, count(*) as ntok, sum(case when v.id is null then 1 else 0 end) as unk,
+             sum(coalesce(v.id, 0)) as s
+      from t left join v on v.token = t.token group by t.doc_id)
+select d.doc_id, cast(coalesce(x.ntok, 0) + 1 as integer) as length, cast(coalesce(x.unk, 0) as bigint) as n_unknown,
+       cast(coalesce(x.s, 0) + 2 as bigint) as id_sum
+from documents d left join x on x.doc_id = d.doc_id
+""")
+def vocab_tokenize_q(spark, sf):
+    """P2 with a frequency vocabulary (1,000 most frequent tokens of all
+    documents, ties by token), unknown tokens -> 0, EOS 2."""
+    from ..operators.packing import frequency_vocab, tokenize_with_vocab
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    tok = tokenize_with_vocab(docs, "doc_id", frequency_vocab(docs, max_size=1000))
+    return tok.select("doc_id", "length",
+                      F.size(F.filter("input_ids", lambda x: x == 0)).cast("long").alias("n_unknown"),
+                      F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+
+
 @register("shards_and_batches", sql="""
 with d as (select doc_id, ntile(16) over (order by doc_id) as shard,
                   row_number() over (order by doc_id) - 1 as position, count(*) over () as n from documents)

@@ -71,3 +71,12 @@ def test_blocks_roundtrip_and_range_check(spark, scratch):
     except Exception:
         raised = True
     assert raised
+
+
+def test_frequency_vocab_and_tokenize(spark):
+    from codeweave.operators.packing import frequency_vocab, tokenize_with_vocab
+    df = spark.createDataFrame([(1, "a b a c"), (2, "b a"), (3, "")], "k long, text string")
+    vocab = {r["token"]: r["id"] for r in frequency_vocab(df, max_size=2).collect()}
+    assert vocab == {"a": 3, "b": 4}  # c is cut by the size bound
+    got = {r["k"]: r["input_ids"] for r in tokenize_with_vocab(df, "k", frequency_vocab(df, max_size=2)).collect()}
+    assert got == {1: [3, 4, 3, 0, 2], 2: [4, 3, 2], 3: [2]}
