@@ -169,10 +169,6 @@ def read_blocks_for_training(blocks: DataFrame) -> DataFrame:
                          F.col("input_ids").alias("labels"))
 
 
-def window_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> Column:
-    return F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-
-
 def frequency_vocab(df: DataFrame, text: str = "text", max_size: int = 49152 - 3,
                     first_id: int = 3) -> DataFrame:
     """P2 vocabulary: the ``max_size`` most frequent word/symbol tokens
