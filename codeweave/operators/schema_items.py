@@ -177,14 +177,17 @@ def score_schema_items(chunked: DataFrame, texts: DataFrame, scorer=None, task:
     of a name's words that occur in the task text (JVM).  A model scorer is a
     pandas function given to ``mapInPandas`` (batches of items with their
     text) returning rows of ``out_schema``."""
-    j = chunked.join(texts.select(task, F.col(text).alias("_text")), task)
     if scorer is not None:
-        return j.mapInPandas(scorer, out_schema)
-    words = F.split(F.lower(F.regexp_replace(F.col(name), r"[^\p{L}\p{N}]+", " ")), " ")
-    words = F.filter(words, lambda w: w != "")
-    text_words = F.split(F.lower(F.regexp_replace("_text", r"[^\p{L}\p{N}]+", " ")), " ")
-    share = F.when(F.size(words) > 0, F.size(F.array_intersect(words, text_words)) / F.size(words)).otherwise(0.0)
-    return j.withColumn("prob", share.cast("double")).drop("_text")
+        return chunked.join(texts.select(task, F.col(text).alias("_text")), task).mapInPandas(scorer, out_schema)
+
+    def word_set(c):
+        return F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), " "),
+                                         lambda w: w != ""))
+    # the text's words once per task, not once per schema item
+    j = chunked.join(texts.select(task, word_set(F.col(text)).alias("_tw")), task)
+    words = word_set(F.col(name))
+    share = F.when(F.size(words) > 0, F.size(F.array_intersect(words, F.col("_tw"))) / F.size(words)).otherwise(0.0)
+    return j.withColumn("prob", share.cast("double")).drop("_tw")
 
 
 def name_token_spans(texts: DataFrame, tables: DataFrame, columns: DataFrame, max_length: int = 512,
