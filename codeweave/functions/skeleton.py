@@ -63,7 +63,7 @@ def question_skeleton(df: DataFrame, text: str, lexicon: DataFrame, out: str = "
     lexicon once as a broadcast variable -- only when its size estimate is
     within ``max_broadcast_bytes`` -- and assembles each row in Arrow batches
     without any shuffle; on local runs the JVM path measured faster."""
-    from ..session import estimated_bytes
+    from ..session import estimated_bytes, guarded_broadcast
     lex = lexicon.groupBy("word").agg(F.min("tag").alias("tag"))
     toks = F.regexp_extract_all(F.col(text), F.lit(QUESTION_TOKEN), 1)
     size = estimated_bytes(lexicon) if python_lookup else None
@@ -80,7 +80,10 @@ def question_skeleton(df: DataFrame, text: str, lexicon: DataFrame, out: str = "
     key = key or "_row"
     base = df if key in df.columns else df.withColumn(key, F.monotonically_increasing_id())
     exploded = base.select(key, F.posexplode(toks).alias("pos", "tok"))
-    tagged = exploded.join(lex.select(F.col("word").alias("tok"), "tag"), "tok", "left").withColumn(
+    # broadcast when the estimate is within the budget: a shuffle join here
+    # would put every occurrence of a common word into one task
+    lex_side = lex.select(F.col("word").alias("tok"), "tag")
+    tagged = exploded.join(guarded_broadcast(lex_side, max_broadcast_bytes), "tok", "left").withColumn(
         "tag", F.when(F.col("tok").rlike(r"^\p{N}"), F.lit("CD")).otherwise(F.col("tag")))
     shown = tagged.select(
         key, "pos",
