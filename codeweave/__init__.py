@@ -1,0 +1,13 @@
+"""codeweave: preparing, retrieving over and evaluating text-to-code data
+sets with Spark DataFrames.
+
+* ``codeweave.sources``   -- task records, corpora, token blocks, caches,
+  similarity dumps, catalogs and snapshots.
+* ``codeweave.functions`` -- column expressions for text, code and skeletons.
+* ``codeweave.operators`` -- DataFrame operators: retrieval, schema-item
+  pruning, prompts, packing, candidates, snapshots, metrics.
+* ``codeweave.plans``     -- end-to-end flows and the driver's query registry.
+* ``codeweave.streaming`` -- the row-wise operators on a file stream.
+"""
+
+__version__ = "0.1.0"
