@@ -1001,7 +1001,7 @@ def clean_candidates_q(spark, sf):
 
 
 @register("catalog_diff", sql="""
-with cols as (select table_name, column_name, cast(ordinal_position as integer) as ordinal, data_type
+with cols as (select distinct table_name, column_name, cast(ordinal_position as integer) as ordinal, data_type
               from information_schema.columns),
 a as (select * from cols where table_name in ('orders', 'lineitem', 'customer', 'nation')),
 b as (select table_name, column_name, ordinal,
