@@ -1043,7 +1043,42 @@ def text_skeleton_topk_q(spark, sf):
                         kinds=[Cosine("v_text"), Cosine("v_skel")], mode="max")
 
 
-@register("clean_candidates")
+_RAW_CAND_SQL = ("('CREATE OR REPLACE PROCEDURE update_acct ( c_custkey IN NUMBER , v_bal IN NUMBER ) IS BEGIN "
+                 "UPDATE customer SET c_acctbal = v_bal WHERE c_custkey = c_custkey AND c_acctbal > = ' || "
+                 "printf('%.2f', c_acctbal) || ' AND c_name < > ''x'' ; v_bal : = 0 . 5 ; END; trailing words after the end')")
+_TERMS_SQL = "['customer', 'c_custkey', 'c_name', 'c_acctbal', 'c_mktsegment']"
+
+_CLEAN_SQL = f"""
+with raw as (select c_custkey, {_RAW_CAND_SQL} as code from customer),
+cut as (select c_custkey, case when strpos(code, 'END;') > 0 then substr(code, 1, strpos(code, 'END;') + 3)
+                          else code end as code from raw),
+tk as (select c_custkey, regexp_extract_all(code, '(\\w+|[^\\w\\s])', 1) as t from cut),
+q as (select c_custkey, list_transform(t, lambda x: case when list_contains({_TERMS_SQL}, x) then '"' || x || '"' else x end)
+             as q from tk),
+nm as (select c_custkey, list_transform(q, lambda x, i: case
+          when i >= 2 and i <= len(q) - 1 and lower(q[i - 1]) in ('procedure', 'function') and q[i + 1] = '('
+          then 'sp' else x end) as n from q),
+uq as (select c_custkey, list_transform(n, lambda x, i: case
+          when list_contains(n[coalesce(i - list_position(list_reverse(n[1:i]), ')') + 1, 0) + 1:i], 'sp')
+           and list_contains(n[coalesce(i - list_position(list_reverse(n[1:i]), ')') + 1, 0) + 1:i], '(')
+          then replace(x, '"', '') else x end) as u from nm),
+gl as (select c_custkey, u,
+              regexp_replace(' ' || array_to_string(u[1:len(u) - 1], ' '),
+                             ' (?:([=<>!:]) (=)|(<) (>)|(\\|) (\\|))', ' \\1\\2\\3\\4\\5\\6 ', 'g') as head
+       from uq),
+j as (select c_custkey, substr(case when len(u) = 0 then ''
+                                    when len(u) = 1 then ' ' || u[1]
+                                    else head || ' ' || u[len(u)] end, 2) as txt from gl),
+tr as (select c_custkey, regexp_replace(' ' || txt || ' ', ' '' % ''(?: |$)', ' ''%''   ', 'g') as txt from j)
+select c_custkey,
+       regexp_replace(regexp_replace(regexp_replace(substr(txt, 2, length(txt) - 2), '" +"', '"', 'g'),
+                                     '(\\d+)\\s*\\.\\s*(\\d+)', '\\1.\\2', 'g'),
+                      '"\\s*(.*?)\\s*"', '"\\1"', 'g') as cleaned
+from tr
+"""
+
+
+@register("clean_candidates", sql=_CLEAN_SQL)
 def clean_candidates_q(spark, sf):
     """P11 + P12: procedures written with unquoted names, a renamed
     procedure, split operators and trailing text are cleaned against the
