@@ -58,3 +58,13 @@ def test_pretraining_blocks_and_pruner(spark):
     rep = pruner_evaluation(items, max_k=3)
     assert rep["table_auc"].first()["auc"] == 1.0
     assert [r["covered"] for r in rep["column_coverage"].orderBy("k").collect()] == [1, 1, 1]
+
+
+def test_few_shot_with_caller_vectors(spark, scratch):
+    tasks, ts, cs = _fixture(spark, scratch)
+    vec = F.when(F.col("task_id") == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    t2 = tasks.withColumn("qv", vec)
+    few = few_shot_inputs(t2, t2, ts, cs, k_demos=1, question_vec="qv", w=1.0).collect()
+    # with w = 1 only the caller's vectors count: each task's best demo is itself
+    by = {r["eval_id"]: r["prompt"] for r in few}
+    assert by[0].count("sets the city") >= 2 and by[1].count("deletes loans") >= 2
