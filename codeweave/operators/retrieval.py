@@ -460,3 +460,20 @@ def tfidf_vectors(df: DataFrame, text: str, out: str, num_features: int = 1024,
     htf, model = fitted or fit_tfidf(fit_on if fit_on is not None else df, text, num_features)
     vec = model.transform(htf.transform(_tfidf_tokens(df, text)))
     return vec.withColumn(out, vector_to_array("_tfidf")).drop("_tok", "_tf", "_tfidf")
+
+
+def hashed_tf(df: DataFrame, text: str, out: str, num_features: int = 1024) -> DataFrame:
+    """Hashed term frequencies of ``text`` (the first half of ``tfidf_vectors``),
+    for callers that fit and apply IDF on a materialised TF column."""
+    from pyspark.ml.feature import HashingTF
+    htf = HashingTF(inputCol="_tok", outputCol=out, numFeatures=num_features)
+    return htf.transform(_tfidf_tokens(df, text)).drop("_tok")
+
+
+def idf_vectors(df: DataFrame, tf_col: str, out: str, fit_on: DataFrame | None = None, model=None):
+    """IDF-weighted dense vectors from a TF column; returns (frame, model) so
+    the weights fitted on one side are reused on the other."""
+    from pyspark.ml.feature import IDF
+    from pyspark.ml.functions import vector_to_array
+    model = model or IDF(inputCol=tf_col, outputCol="_tfidf").fit(fit_on if fit_on is not None else df)
+    return model.transform(df).withColumn(out, vector_to_array("_tfidf")).drop("_tfidf"), model

@@ -1020,7 +1020,7 @@ def text_skeleton_topk_q(spark, sf):
     """P7 + F2 + J1 + A3(max) + W1: benchmark items retrieve documents by
     the larger of text and question-skeleton TF-IDF cosine similarity."""
     from ..functions.skeleton import question_skeleton
-    from ..operators.retrieval import fit_tfidf, tfidf_vectors
+    from ..operators.retrieval import hashed_tf, idf_vectors
     from ..session import cut_lineage
     docs = table(spark, sf, "documents").select("doc_id", "text")
     bench = table(spark, sf, "benchmark").select("item_id", "text")
@@ -1031,14 +1031,18 @@ def text_skeleton_topk_q(spark, sf):
             .unionByName(bench.select(F.lit("b").alias("side"), F.col("item_id").alias("id"), "text")))
     both = both.withColumn("row_key", F.concat_ws(":", "side", F.col("id").cast("string")))
     sk = cut_lineage(question_skeleton(both, "text", lex, out="skel", key="row_key"))
-    d_sk = sk.where(F.col("side") == "d")
-    b_sk = sk.where(F.col("side") == "b")
-    # both sides use the IDF weights fitted on the document pool
-    fit_text, fit_skel = fit_tfidf(d_sk, "text"), fit_tfidf(d_sk, "skel")
-    d = cut_lineage(tfidf_vectors(tfidf_vectors(d_sk, "text", "v_text", fitted=fit_text), "skel", "v_skel",
-                                  fitted=fit_skel).select(F.col("id").alias("doc_id"), "v_text", "v_skel"))
-    b = tfidf_vectors(tfidf_vectors(b_sk, "text", "v_text", fitted=fit_text), "skel", "v_skel",
-                      fitted=fit_skel).select(F.col("id").alias("item_id"), "v_text", "v_skel")
+    # term frequencies once (the texts are tokenised a single time), then IDF
+    # fitted on the document pool and applied to both sides
+    tf = cut_lineage(hashed_tf(hashed_tf(sk, "text", "tf_text"), "skel", "tf_skel")
+                     .select("side", "id", "tf_text", "tf_skel"))
+    d_tf = tf.where(F.col("side") == "d")
+    b_tf = tf.where(F.col("side") == "b")
+    d1, m_text = idf_vectors(d_tf, "tf_text", "v_text")
+    d2, m_skel = idf_vectors(d1, "tf_skel", "v_skel")
+    d = cut_lineage(d2.select(F.col("id").alias("doc_id"), "v_text", "v_skel"))
+    b1, _ = idf_vectors(b_tf, "tf_text", "v_text", model=m_text)
+    b2, _ = idf_vectors(b1, "tf_skel", "v_skel", model=m_skel)
+    b = b2.select(F.col("id").alias("item_id"), "v_text", "v_skel")
     return topk_similar(b.withColumnRenamed("item_id", "eval_id"), d.withColumnRenamed("doc_id", "demo_id"), 3,
                         kinds=[Cosine("v_text"), Cosine("v_skel")], mode="max")
 
