@@ -10,4 +10,12 @@ sets with Spark DataFrames.
 * ``codeweave.streaming`` -- the row-wise operators on a file stream.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Python kernels travel to the executors by value, so a job started outside the
+# source folder needs no copy of the package on the workers.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
