@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Bytes of a column batch handed to a Python kernel.
 BATCH_BYTES = 8 * 1024 * 1024
@@ -45,3 +46,11 @@ def kept_table(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def column_udf(kernel: Callable[[pa.Array], pa.Array], returns: str):
+    """An Arrow function of whole columns as a Spark column function."""
+    def run(column: pa.Array) -> pa.Array:
+        return kernel(column)
+
+    return F.arrow_udf(run, returns)

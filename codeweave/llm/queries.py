@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import secrets
+from . import repetition, secrets
+from .frames import bounded_batches
 from .registry import register, table
 
 
@@ -21,3 +22,46 @@ def op10_secret_scan(spark, sf_dir):
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in secrets.BASE_KINDS),
                         F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP9_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, {WORDS_SQL} AS ws FROM documents),
+grams AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5),
+counted AS (
+  SELECT doc_id, i, ws, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ')) AS c FROM grams),
+found AS (SELECT doc_id, i, ws FROM counted WHERE c > 1),
+inside AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM found, (SELECT unnest(range(5)) AS k) GROUP BY doc_id),
+longer AS (
+  SELECT DISTINCT doc_id FROM (
+    SELECT doc_id, array_to_string(ws[i:i + 200], ' ') AS g FROM found WHERE i + 200 <= len(ws))
+  GROUP BY doc_id, g HAVING count(*) > 1),
+lines AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w),
+dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+measured AS (
+  SELECT w.doc_id, len(ws) AS n_words,
+    length(array_to_string(ws, '')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(dup.n, 0) AS n_dup_lines, coalesce(inside.n, 0) AS n_repeat_words, longer.doc_id IS NOT NULL AS has_long
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN inside USING (doc_id) LEFT JOIN longer USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR has_long) AS kept
+FROM measured"""
+
+
+@register("op9_repetition_rules", OP9_SQL)
+def op9_repetition_rules(spark, sf_dir):
+    """Suffix-array repetition of every whole document."""
+    bounded_batches(spark)
+    r = F.col("r")
+    return (table(spark, sf_dir, "documents").select("doc_id", repetition.repetition(F.col("text")).alias("r"))
+            .select("doc_id", *(r[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+                    repetition.base_failed(r).alias("base_failed"), repetition.accepted(r).alias("kept")))
