@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import repetition, secrets
+from . import bpe, repetition, secrets
 from .frames import bounded_batches
 from .registry import register, table
 
@@ -65,3 +66,14 @@ def op9_repetition_rules(spark, sf_dir):
     return (table(spark, sf_dir, "documents").select("doc_id", repetition.repetition(F.col("text")).alias("r"))
             .select("doc_id", *(r[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
                     repetition.base_failed(r).alias("base_failed"), repetition.accepted(r).alias("kept")))
+
+
+@register("op1_byte_bpe")
+def op1_byte_bpe(spark, sf_dir):
+    """Every whole document encoded, and its ids decoded again."""
+    bounded_batches(spark)
+    tokens = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), tokens, public_tokenizers.PATTERN).alias("ids"))
+    decoded = encoded.withColumn("decoded", bpe.decode(F.col("ids"), tokens))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
