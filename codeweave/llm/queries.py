@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, repetition, secrets
+from . import bpe, exact, mixing, repetition, secrets
 from .frames import bounded_batches
 from .registry import register, table
 
@@ -77,3 +77,49 @@ def op1_byte_bpe(spark, sf_dir):
     decoded = encoded.withColumn("decoded", bpe.decode(F.col("ids"), tokens))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+OP8_SQL = """
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)"""
+
+
+@register("op8_block_naming", OP8_SQL)
+def op8_block_naming(spark, sf_dir):
+    """Exact copies of whole documents."""
+    return exact.duplicates(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, len({WORDS_SQL})::BIGINT AS size, md5('mix:' || doc_id::VARCHAR) AS h FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS most,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM d GROUP BY source),
+f AS (
+  SELECT *, most * (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))
+    <= (sum(source_size) OVER () - coalesce(sum(most) OVER b, 0)) * weight AS is_full
+  FROM s WINDOW b AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT source, source_size, CASE WHEN is_full THEN most::DOUBLE ELSE
+    weight * ((sum(source_size) OVER () - sum(CASE WHEN is_full THEN most ELSE 0 END) OVER ())::DOUBLE
+      / (sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ())) END AS target FROM f),
+r AS (
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS each,
+    row_number() OVER (PARTITION BY d.source ORDER BY floor(log2(size + 1) * 16), substr(h, 1, 1), size, h, doc_id) AS rank,
+    ('0x' || substr(md5('mix:offset:' || coalesce(d.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS shift
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  least(floor(rank * each + shift) - floor((rank - 1) * each + shift), 3)::BIGINT * size AS taken FROM r"""
+
+
+@register("op7_systematic_mix", OP7_SQL)
+def op7_systematic_mix(spark, sf_dir):
+    """What a mix with source weights 5, 2, 1 takes of every document."""
+    m = F.col("_mix")
+    return mixing.mix(table(spark, sf_dir, "documents"), [5, 2, 1], max_repeats=3) \
+        .select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"),
+                (m["copies"] * m["size"]).alias("taken"))
