@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, repetition, secrets
-from .frames import bounded_batches
+from . import bpe, chat, exact, mixing, repetition, secrets
+from .frames import bounded_batches, kept_table
 from .registry import register, table
 
 
@@ -123,3 +123,40 @@ def op7_systematic_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), [5, 2, 1], max_repeats=3) \
         .select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"),
                 (m["copies"] * m["size"]).alias("taken"))
+
+
+def _escaped_sql(column: str) -> str:
+    """``chat.escaped`` in DuckDB."""
+    sql = f"replace(coalesce({column}, ''), '\\', '\\\\')"
+    for c in chat.CONTROL:
+        sql = f"replace({sql}, '{c}', '{c[0]}\\{c[1:]}')"
+    return sql
+
+
+OP4_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length({_escaped_sql("role")}) + length({_escaped_sql("text")}) + {len(chat.TURN + chat.TEXT + chat.END)})::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id"""
+
+
+@register("op4_reply_trees", OP4_SQL)
+def op4_reply_trees(spark, sf_dir):
+    """Every conversation formatted, written and read back."""
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
+    output = kept_table(chat.format_paths(chat.branch_paths(chat.threads(rows))), "conversations")
+    said = output.select("tree", "formatted", chat.read_turns(F.col("formatted")).alias("turns"),
+                         F.array_join(chat.read_loss(F.col("formatted"), F.col("loss")), "").alias("learnt"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return said.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+                       F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+                       F.char_length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"),
+                       F.char_length("formatted").cast("long").alias("formatted_chars"))
