@@ -20,10 +20,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .frames import column_udf
+from .words import pieces
 
-# Encoded pre-tokens a task remembers; longer or later ones are encoded again.
-CACHE_ENTRIES = 200_000
-CACHE_CHARS = 64
+# Encoded pre-tokens a task remembers; beyond that they are encoded in each piece anew.
+CACHE_ENTRIES = 400_000
 
 
 def byte_characters() -> list[str]:
@@ -101,18 +101,15 @@ class Encoder:
         merged = iter(self.model.encode(rest, num_threads=1) if rest else [])
         return {p: (self.whole[m],) if m in self.whole else tuple(next(merged)) for p, m in zip(parts, mapped)}
 
-    def __call__(self, text: str) -> list[int]:
-        parts = self.split(text)
-        known = self.known
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if not new:
-            return list(chain.from_iterable(map(known.__getitem__, parts)))
-        here = self._new(new)
-        here |= {p: known[p] for p in parts if p in known}
-        if len(known) + len(new) > CACHE_ENTRIES:
-            known.clear()
-        known.update((p, here[p]) for p in new[:CACHE_ENTRIES] if len(p) <= CACHE_CHARS)
-        return list(chain.from_iterable(map(here.__getitem__, parts)))
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        parts, known = [self.split(t) for t in texts], self.known
+        new = list(set(chain.from_iterable(parts)).difference(known))
+        known.update(self._new(new))
+        ids = [list(chain.from_iterable(map(known.__getitem__, p))) for p in parts]
+        if len(known) > CACHE_ENTRIES:  # what came first, and so is common, stays
+            for p in new:
+                del known[p]
+        return ids
 
 
 def encode(text: Column, tokens: list[bytes], pattern: str) -> Column:
@@ -123,12 +120,12 @@ def encode(text: Column, tokens: list[bytes], pattern: str) -> Column:
     def run(column: pa.Array) -> pa.Array:
         if not made:
             made.append(Encoder(proto, pattern))
-        at, flat = [0], []
-        for value in column:
-            ids = made[0](value.as_py() or "")
-            flat.append(np.array(ids, np.int32))
-            at.append(at[-1] + len(ids))
-        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int32()))
+        at, flat = [0], [np.zeros(0, np.int32)]
+        for i, j in pieces(column):
+            for ids in made[0]([t or "" for t in column.slice(i, j - i).to_pylist()]):
+                flat.append(np.array(ids, np.int32))
+                at.append(at[-1] + len(ids))
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(flat)))
 
     return column_udf(run, "array<int>")(text)
 
