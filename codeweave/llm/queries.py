@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, mixing, repetition, secrets
+from . import bpe, chat, exact, mixing, repetition, secrets, warc
 from .frames import bounded_batches, kept_table
 from .registry import register, table
 
@@ -160,3 +160,23 @@ def op4_reply_trees(spark, sf_dir):
                        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
                        F.char_length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"),
                        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages),
+g AS (SELECT t, max(page_id) AS original FROM p WHERE n >= 1000 GROUP BY t)
+SELECT page_id, n AS payload_bytes, sha1(p.t) AS payload_digest,
+  CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN original <> page_id THEN original END AS refers_to
+FROM p LEFT JOIN g ON p.t = g.t AND p.n >= 1000"""
+
+
+@register("op3_warc", OP3_SQL)
+def op3_warc(spark, sf_dir):
+    """Every page written to WARC archives and read back by byte ranges."""
+    manifest = warc.write_archives(warc.with_revisits(table(spark, sf_dir, "pages")))
+    return warc.read_archives(manifest).select(
+        F.col("key").alias("page_id"), "payload_bytes",
+        F.when(F.col("record_type") == "revisit", F.col("digest")).otherwise(F.sha1("payload")).alias("payload_digest"),
+        "record_type", "refers_to")
