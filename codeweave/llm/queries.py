@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, mixing, repetition, secrets, warc
-from .frames import bounded_batches, kept_table
+from . import bpe, chat, exact, mixing, repetition, secrets, tokenfile, warc
+from .frames import bounded_batches, kept_table, shared_folder
 from .registry import register, table
 
 
@@ -180,3 +180,13 @@ def op3_warc(spark, sf_dir):
         F.col("key").alias("page_id"), "payload_bytes",
         F.when(F.col("record_type") == "revisit", F.col("digest")).otherwise(F.sha1("payload")).alias("payload_digest"),
         "record_type", "refers_to")
+
+
+@register("op2_token_grammar")
+def op2_token_grammar(spark, sf_dir):
+    """Every whole document's ids written as Re-Pair blocks and read back."""
+    path = shared_folder(spark, "tokens")
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    read = tokenfile.read_tokens(spark.read.parquet(path))
+    return read.select(F.col("key").alias("doc_id"), "start", F.size("ids").cast("long").alias("n_tokens"),
+                       tokenfile.ids_crc32(F.col("ids")).alias("ids_crc32"))
