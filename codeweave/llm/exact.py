@@ -40,13 +40,15 @@ def normalized(text: Column) -> Column:
 def named(rows: DataFrame, values: list[str], place: list[str]) -> DataFrame:
     """``rows`` with the columns ``values`` replaced by one integer ``name``: equal
     values share it, different values never do.  ``place`` are the other columns."""
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*values), F.lit(BUCKETS))) \
-                .withColumn("_part", F.pmod(F.xxhash64(F.lit(17), *place), F.lit(SPLITS)))
-    # every column is part of the order, so both uses below read the same shuffle
+    whole = lambda c: F.coalesce(c, F.lit(0))  # noqa: E731  never null
+    dealt = rows.withColumn("_bucket", whole(F.pmod(F.xxhash64(*values), F.lit(BUCKETS)))) \
+                .withColumn("_part", whole(F.pmod(F.xxhash64(F.lit(17), *place), F.lit(SPLITS))))
+    # every column is part of the order and no join key can be null, so both uses
+    # below have the same plan up to the shuffle and read one copy of it
     order = W.partitionBy("_bucket", "_part").orderBy(*values, *place)
     same = reduce(lambda a, b: a & b, (F.lag(v).over(order).eqNullSafe(F.col(v)) for v in values))
     own = dealt.withColumn("_new", F.when(same & (F.row_number().over(order) > 1), 0).otherwise(1)) \
-               .withColumn("_own", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+               .withColumn("_own", whole(F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))))
     names = own.where("_new = 1").select(
         "_bucket", "_part", "_own",
         (F.dense_rank().over(W.partitionBy("_bucket").orderBy(*values)).cast("long") * BUCKETS + F.col("_bucket")).alias("name"))
@@ -60,7 +62,7 @@ def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block_c
     blocks = F.when(F.col("_text") == "", F.array(F.lit(""))) \
               .otherwise(F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
     cut = base.select("key", F.sha2("_text", 256).alias("text_sha256"), blocks.alias("_blocks")) \
-              .select("key", "text_sha256", F.size("_blocks").alias("n"), F.posexplode("_blocks").alias("at", "block"))
+              .select("key", "text_sha256", F.size("_blocks").alias("n"), F.posexplode_outer("_blocks").alias("at", "block"))
     level, current = 0, kept_table(named(cut, ["block"], ["key", "text_sha256", "n", "at"]), "block-names")
     done = []
     while True:
