@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, mixing, repetition, secrets, tokenfile, warc
+from . import bpe, chat, exact, mixing, repetition, secrets, substrings, tokenfile, warc
 from .frames import bounded_batches, kept_table, shared_folder
 from .registry import register, table
 
@@ -190,3 +190,10 @@ def op2_token_grammar(spark, sf_dir):
     read = tokenfile.read_tokens(spark.read.parquet(path))
     return read.select(F.col("key").alias("doc_id"), "start", F.size("ids").cast("long").alias("n_tokens"),
                        tokenfile.ids_crc32(F.col("ids")).alias("ids_crc32"))
+
+
+@register("op5_cover_substrings")
+def op5_cover_substrings(spark, sf_dir):
+    """Words of every whole document that repeat 50 words of an earlier one."""
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
