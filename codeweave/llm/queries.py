@@ -31,15 +31,16 @@ OP9_SQL = rf"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, {WORDS_SQL} AS ws FROM documents),
 grams AS (
-  SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5),
-counted AS (
-  SELECT doc_id, i, ws, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ')) AS c FROM grams),
-found AS (SELECT doc_id, i, ws FROM counted WHERE c > 1),
+  SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i,
+    unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM w WHERE len(ws) >= 5),
+found AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
 inside AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM found, (SELECT unnest(range(5)) AS k) GROUP BY doc_id),
 longer AS (
   SELECT DISTINCT doc_id FROM (
-    SELECT doc_id, array_to_string(ws[i:i + 200], ' ') AS g FROM found WHERE i + 200 <= len(ws))
+    SELECT doc_id, unnest(list_transform(range(1, len(ws) - 199), lambda i: md5(array_to_string(ws[i:i + 200], ' ')))) AS g
+    FROM w WHERE len(ws) > 200 AND doc_id IN (SELECT doc_id FROM found))
   GROUP BY doc_id, g HAVING count(*) > 1),
 lines AS (
   SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w),
@@ -192,7 +193,21 @@ def op2_token_grammar(spark, sf_dir):
                        tokenfile.ids_crc32(F.col("ids")).alias("ids_crc32"))
 
 
-@register("op5_cover_substrings")
+OP5_SQL = rf"""
+WITH w AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+g AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i,
+    unnest(list_transform(range(1, len(ws) - 48), lambda i: md5(array_to_string(ws[i:i + 49], ' ')))) AS h FROM w WHERE len(ws) >= 50),
+bad AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM g) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM bad, (SELECT unnest(range(50)) AS k)),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@register("op5_cover_substrings", OP5_SQL)
 def op5_cover_substrings(spark, sf_dir):
     """Words of every whole document that repeat 50 words of an earlier one."""
     cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
