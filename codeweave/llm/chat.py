@@ -13,6 +13,8 @@ to exactly the same turns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,22 +87,33 @@ def branch_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     parents = links.select("tree", F.col("node").alias("up"))
     climb = links.alias("a").join(parents.alias("b"), _same("a.parent", "b.up"), "left") \
         .select("a.tree", "a.node", "b.up", F.lit(1).cast("long").alias("length"), F.col("a.score").alias("total"))
-    # climb k: 2**k steps up from each node: where they lead (null: past the root), how many nodes, their scores
-    steps = [kept_table(climb, "climb")]
-    depth = steps[0].where("up IS NOT NULL").groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    while 1 << (len(steps) - 1) <= depth and not steps[-1].where("up IS NOT NULL").isEmpty():
-        near, far = steps[-1].alias("a"), steps[-1].alias("b")
-        steps.append(kept_table(near.join(far, _same("a.up", "b.node"), "left").select(
-            "a.tree", "a.node", "b.up", (F.col("a.length") + F.coalesce("b.length", F.lit(0))).alias("length"),
-            (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total")), "climb"))
-    leaves = steps[-1].where("up IS NULL").alias("a").join(links.alias("b"), _same("a.node", "b.parent"), "left_anti")
+    # after round k: where 2**k steps up from a node lead (null: past the root), how many
+    # nodes that passes, and their scores; trees that have got there are set aside
+    current, settled, steps = kept_table(climb, "climb"), [], []
+    most = current.where("up IS NOT NULL").groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    same_tree = F.col("a.tree").eqNullSafe(F.col("b.tree"))
+    while 1 << len(steps) <= most:
+        open_trees = current.where("up IS NOT NULL").select("tree").distinct().alias("b")
+        settled.append(current.alias("a").join(open_trees, same_tree, "left_anti"))
+        moving = kept_table(current.alias("a").join(open_trees, same_tree, "left_semi"), "climb")
+        if moving.isEmpty():
+            break
+        steps.append(moving.where("up IS NOT NULL"))
+        further = steps[-1].alias("a").join(moving.alias("b"), _same("a.up", "b.node")).select(
+            "a.tree", "a.node", "b.up", (F.col("a.length") + F.col("b.length")).alias("length"), (F.col("a.total") + F.col("b.total")).alias("total"))
+        current = kept_table(moving.where("up IS NULL").unionByName(further), "climb")
+    else:
+        settled.append(current)
+    rooted = reduce(DataFrame.unionByName, settled).where("up IS NULL").alias("a")
+    leaves = rooted.join(links.alias("b"), _same("a.node", "b.parent"), "left_anti")
     best = W.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("length")), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
-    path = chosen.select("tree", F.col("node").alias("leaf"), "node", "length", F.lit(0).cast("long").alias("dist"))
-    for k, step in enumerate(steps[:-1]):
-        up = path.alias("a").join(step.where("up IS NOT NULL").alias("b"), _same("a.node", "b.node")) \
+    found = [kept_table(chosen.select("tree", F.col("node").alias("leaf"), "node", "length", F.lit(0).cast("long").alias("dist")), "paths")]
+    for k, step in enumerate(steps):
+        up = reduce(DataFrame.unionByName, found).alias("a").join(step.alias("b"), _same("a.node", "b.node")) \
             .select("a.tree", "a.leaf", F.col("b.up").alias("node"), "a.length", (F.col("a.dist") + (1 << k)).alias("dist"))
-        path = kept_table(path.unionByName(up), "paths")
+        found.append(kept_table(up, "paths"))
+    path = reduce(DataFrame.unionByName, found)
     return path.alias("a").join(nodes.alias("b"), _same("a.node", "b.node")).select(
         "a.tree", "a.leaf", (F.col("a.length") - 1 - F.col("a.dist")).alias("pos"), "b.role", "b.text")
 
