@@ -13,7 +13,7 @@ from __future__ import annotations
 from typing import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD_OR_SYMBOL
@@ -80,34 +80,30 @@ def token_totals(df: DataFrame, corpus: str = "corpus", length: str = "length")
                                   F.sum(length).cast("long").alias("n_tokens")))
 
 
-def _order_key(df: DataFrame, row_id: str) -> Column:
-    # Monotone (possibly rounded) numeric image of (corpus_pos, copy, row_id):
-    # only used to cut the order into ranges, the exact columns sort inside.
-    return (F.col("corpus_pos").cast("double") * F.lit(1e15) + F.col("copy").cast("double") * F.lit(1e12)
-            + F.col(row_id).cast("double"))
-
-
 def token_offsets(df: DataFrame, row_id: str = "row_id", length: str = "length") -> DataFrame:
-    """Start offset of every document in the global token stream."""
-    keyed = df.withColumn("_k", _order_key(df, row_id))
-    out = exclusive_prefix_sums(keyed, ["_k", "corpus_pos", "copy", row_id], [length])
-    return out.withColumnRenamed(f"{length}_before", "start").drop("_k")
+    """Start offset of every document in the global token stream, whose order
+    is (corpus_pos, copy, row_id), each compared exactly."""
+    out = exclusive_prefix_sums(df, ["corpus_pos", "copy", row_id], [length])
+    return out.withColumnRenamed(f"{length}_before", "start")
 
 
 def pack_blocks(df: DataFrame, block_size: int, row_id: str = "row_id") -> DataFrame:
     """Concatenate all ids in global order and cut blocks
-    [i*B, (i+1)*B); the last partial block is dropped.
+    [i*B, (i+1)*B); the last partial block is dropped.  (corpus_pos, copy,
+    row_id) names a row.
 
+    Offsets are computed on keys and lengths alone; the ids join them once.
     Returns (block_id, input_ids, first_row, first_offset, last_row,
     last_offset) -- the rows/offsets say where the block starts and ends."""
     B = int(block_size)
-    offs = token_offsets(df.select(row_id, "corpus_pos", "copy", "input_ids", "length"), row_id)
+    keys = ["corpus_pos", "copy", row_id]
+    starts = token_offsets(df.select(*keys, "length"), row_id).select(*[F.col(c).alias(f"_k_{c}") for c in keys], "start")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]
+    offs = df.where(F.col("length") > 0).select(*keys, "input_ids", "length").join(starts, same)
     total_tokens = F.col("start") + F.col("length")
-    first_b = F.floor(F.col("start") / B)
-    last_b = F.floor((total_tokens - 1) / B)
-    pieces = offs.where(F.col("length") > 0).select(
+    pieces = offs.select(
         row_id, "start", "input_ids",
-        F.explode(F.sequence(first_b, last_b)).alias("block_id"))
+        F.explode(F.sequence(F.floor(F.col("start") / B), F.floor((total_tokens - 1) / B))).alias("block_id"))
     lo = F.greatest(F.col("block_id") * B, F.col("start"))
     hi = F.least((F.col("block_id") + 1) * B, F.col("start") + F.size("input_ids"))
     pieces = pieces.select(
@@ -169,31 +165,29 @@ def read_blocks_for_training(blocks: DataFrame) -> DataFrame:
                          F.col("input_ids").alias("labels"))
 
 
-def frequency_vocab(df: DataFrame, text: str = "text", max_size: int = 49152 - 3,
-                    first_id: int = 3) -> DataFrame:
-    """P2 vocabulary: the ``max_size`` most frequent word/symbol tokens
-    (ties by token text), ids from ``first_id`` in frequency order.  Counts
-    are partial aggregates; the top list is an ordered take of at most
-    ``max_size`` rows, so the table has a proven size bound."""
+def frequency_vocab(df: DataFrame, text: str = "text", first_id: int = 3) -> DataFrame:
+    """P2 vocabulary: every word/symbol token, ids from ``first_id`` by
+    frequency (ties by token text).  Numbered by a range-parallel prefix sum,
+    whatever the number of tokens."""
     words = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(WORD_OR_SYMBOL), 1)).alias("token"))
-    top = (words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.desc("n"), F.asc("token")).limit(max_size))
-    # the top list holds at most max_size rows, numbering it in one task is bounded
-    w = Window.orderBy(F.desc("n"), F.asc("token"))
-    return top.select("token", (F.row_number().over(w) - 1 + first_id).cast("int").alias("id"))
+    counts = words.groupBy("token").agg((-F.count(F.lit(1))).alias("_n")).withColumn("_one", F.lit(1))
+    ranked = exclusive_prefix_sums(counts, ["_n", "token"], ["_one"])
+    return ranked.select("token", (F.col("_one_before") + first_id).cast("int").alias("id"))
 
 
 def tokenize_with_vocab(df: DataFrame, key: str, vocab: DataFrame, text: str = "text",
                         unk_id: int = 0, eos_id: int = EOS_ID) -> DataFrame:
     """P2 with a vocabulary table: ids in token order, unknown tokens ->
-    ``unk_id``, EOS appended, ``length``.  The vocabulary side is joined by
-    broadcast (its size is bounded by construction); tokens are regrouped per
-    row (``key`` unique), one group per text."""
+    ``unk_id``, EOS appended, ``length``.  Each text joins the vocabulary once
+    for each of its distinct tokens (a frequent token is split by AQE's skewed
+    join); positions return with the id as one array for each text (``key``
+    unique)."""
     toks = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(WORD_OR_SYMBOL), 1))
                      .alias("pos", "token"))
-    ided = toks.join(F.broadcast(vocab.select("token", "id")), "token", "left")
-    ids = (ided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unk_id))
-                                                                        .alias("id")))).alias("_s"))
+    places = toks.groupBy(key, "token").agg(F.collect_list("pos").alias("at"))
+    ided = places.join(vocab.select("token", "id"), "token", "left").select(
+        key, F.transform("at", lambda p: F.struct(p.alias("pos"), F.coalesce("id", F.lit(unk_id)).alias("id"))).alias("at"))
+    ids = (ided.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("_s"))
            .select(key, F.transform("_s", lambda x: x["id"]).alias("_ids")))
     out = df.join(ids, key, "left").withColumn(
         "input_ids", F.concat(F.coalesce("_ids", F.array().cast("array<int>")), F.array(F.lit(eos_id))))

@@ -49,15 +49,14 @@ def label_topup_sample(items: DataFrame, group: Sequence[str], item: str, label:
                        seed: int = 42, order_col: str = "order") -> DataFrame:
     """L1 + L2: keep every positive item of a group (even more than k), top it
     up to k with negatives picked by a seeded hash, then give the kept items
-    a seeded shuffled order ``order_col`` (1-based)."""
+    a seeded shuffled order ``order_col`` (1-based).  One window ranks
+    the positives before the negatives; rows with a null label go."""
     group = list(group)
-    n_pos = items.groupBy(*group).agg(F.sum(F.col(label).cast("int")).alias("_npos"))
-    neg = items.where(F.col(label).cast("int") == 0)
-    w = Window.partitionBy(*group).orderBy(seeded_key(seed, *group, item), F.col(item))
-    neg = (neg.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-           .join(n_pos, group).where(F.col("_r") <= F.col("_npos") * -1 + k)
-           .drop("_r", "_npos"))
-    kept = items.where(F.col(label).cast("int") == 1).unionByName(neg)
+    positive = F.col(label).cast("int") == 1
+    known = items.where(F.col(label).cast("int").isin(0, 1))
+    pick = Window.partitionBy(*group).orderBy((~positive).cast("int"), seeded_key(seed, *group, item), F.col(item))
+    ranked = known.withColumn("_r", F.row_number().over(pick))  # positives first: a negative's rank counts them
+    kept = ranked.where(positive | (F.col("_r") <= F.lit(k))).drop("_r")
     w2 = Window.partitionBy(*group).orderBy(seeded_key(f"{seed}s", *group, item), F.col(item))
     return kept.withColumn(order_col, F.row_number().over(w2))
 
@@ -222,9 +221,7 @@ def name_token_spans(texts: DataFrame, tables: DataFrame, columns: DataFrame, ma
                      .select(task, F.col(table).cast("long").alias(table),
                              (F.col(col) * 2 + 1).cast("long").alias("_slot"),
                              F.lit(None).cast("long").alias(col), F.lit(1).alias("_n"))))
-    lead = (F.col(task).cast("double") * F.lit(1e12) + (F.col(table).cast("double") + 1) * F.lit(1e6)
-            + F.col("_slot").cast("double"))
-    off = grouped_exclusive_prefix(words, lead, [table, "_slot"], "_n", [task], "_before")
+    off = grouped_exclusive_prefix(words, [table, "_slot"], "_n", [task], "_before")
     first = F.col("_before") + 1
     kept = F.greatest(F.least(F.col("_n"), F.lit(max_length - 1) - first), F.lit(0))
     return (off.where(F.col(col).isNotNull())

@@ -403,27 +403,38 @@ def mix_and_count_q(spark, sf):
 
 
 @register("pack_blocks", sql=_CORPUS_SQL + """
-, o as (select *, coalesce(sum(length) over (order by corpus_pos, copy, row_id
-                                             rows between unbounded preceding and 1 preceding), 0) as start from d),
-t as (select cast(sum(length) as bigint) as total from d),
-b as (select unnest(range(0, (select total from t) // 1024)) as block_id)
-select b.block_id, f.row_id as first_row, cast(b.block_id * 1024 - f.start as bigint) as first_offset,
-       l.row_id as last_row, cast(b.block_id * 1024 + 1023 - l.start as bigint) as last_offset
-from b join o f on f.start <= b.block_id * 1024 and b.block_id * 1024 < f.start + f.length
-       join o l on l.start <= b.block_id * 1024 + 1023 and b.block_id * 1024 + 1023 < l.start + l.length
+, docs as (select doc_id, list_append(regexp_extract_all(regexp_replace(text, '^\\s+|\\s+$', '', 'g'),
+            '([\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s])', 1), chr(2)) as l from documents),
+tok as (select doc_id, unnest(l) as token, unnest(range(len(l))) as i from docs),
+v as (select token, case when token = chr(2) then 2 else 2 + row_number() over (order by token = chr(2), n desc, token) end as id
+      from (select token, count(*) as n from tok group by token)),
+o as (select *, coalesce(sum(length) over (order by corpus_pos, copy, row_id
+                                           rows between unbounded preceding and 1 preceding), 0) as start from d),
+s as (select o.start + tok.i as p, v.id, o.row_id, tok.i from o join tok on tok.doc_id = o.row_id join v on v.token = tok.token),
+t as (select cast(sum(length) as bigint) as total from d)
+select cast(p // 1024 as bigint) as block_id, arg_min(row_id, p) as first_row, cast(arg_min(i, p) as bigint) as first_offset,
+       arg_max(row_id, p) as last_row, cast(arg_max(i, p) as bigint) as last_offset,
+       md5(string_agg(cast(id as varchar), ',' order by p)) as ids_md5
+from s, t where p // 1024 < total // 1024 group by p // 1024
 """)
 def pack_blocks_q(spark, sf):
-    from ..operators.packing import pack_blocks
-    blocks = pack_blocks(_corpora(spark, sf), 1024)
-    return blocks.select("block_id", "first_row", "first_offset", "last_row", "last_offset")
+    """W6 on vocabulary ids; the ids of every block are compared."""
+    from ..functions.text import corpus_text
+    from ..operators.packing import frequency_vocab, mix_corpora, pack_blocks, tokenize_with_vocab
+    from ..session import cut_lineage
+    docs = table(spark, sf, "documents").select("doc_id", "lang", corpus_text("text").alias("text"))
+    ids = cut_lineage(tokenize_with_vocab(docs, "doc_id", frequency_vocab(docs)).drop("text"))
+    parts = [(lang, ids.where(F.col("lang") == lang).withColumnRenamed("doc_id", "row_id"), w) for lang, w in _LANG_WEIGHTS]
+    blocks = pack_blocks(mix_corpora(parts), 1024)
+    return blocks.select("block_id", "first_row", "first_offset", "last_row", "last_offset",
+                         F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids_md5"))
 
 
 @register("vocab_tokenize", sql="""
 with t as (select doc_id, unnest(regexp_extract_all(text, '([\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s])', 1)) as token
            from documents),
 c as (select token, count(*) as n from t group by token),
-r as (select token, row_number() over (order by n desc, token) as rk from c),
-v as (select token, rk - 1 + 3 as id from r where rk <= 1000),
+v as (select token, row_number() over (order by n desc, token) - 1 + 3 as id from c),
 x as (select t.doc_id, count(*) as ntok, sum(case when v.id is null then 1 else 0 end) as unk,
              sum(coalesce(v.id, 0)) as s
       from t left join v on v.token = t.token group by t.doc_id)
@@ -432,11 +443,11 @@ select d.doc_id, cast(coalesce(x.ntok, 0) + 1 as integer) as length, cast(coales
 from documents d left join x on x.doc_id = d.doc_id
 """)
 def vocab_tokenize_q(spark, sf):
-    """P2 with a frequency vocabulary (1,000 most frequent tokens of all
-    documents, ties by token), unknown tokens -> 0, EOS 2."""
+    """P2 with a frequency vocabulary (all tokens of all documents, ties by
+    token), EOS 2."""
     from ..operators.packing import frequency_vocab, tokenize_with_vocab
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    tok = tokenize_with_vocab(docs, "doc_id", frequency_vocab(docs, max_size=1000))
+    tok = tokenize_with_vocab(docs, "doc_id", frequency_vocab(docs))
     return tok.select("doc_id", "length",
                       F.size(F.filter("input_ids", lambda x: x == 0)).cast("long").alias("n_unknown"),
                       F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
@@ -952,7 +963,7 @@ names as (
          cl.cl
   from cl join ts on ts.task_id = cl.task_id and ts.table_pos = cl.table_pos),
 spans as (select task_id, table_pos, cast(col_pos as bigint) as col_pos, cast(first_token as bigint) as first_token,
-                 cast(greatest(least(n, 63 - first_token), 0) as integer) as n_tokens from names)
+                 cast(greatest(least(n, 511 - first_token), 0) as integer) as n_tokens from names)
 """
 
 
@@ -961,7 +972,7 @@ def word_token_alignment_q(spark, sf):
     from ..operators.schema_items import name_token_spans
     texts, tables, cols = _cust_schema(spark, sf)
     return name_token_spans(texts, tables.select("task_id", "table_pos", "table_name"),
-                            cols.select("task_id", "table_pos", "col_pos", "column_name"), max_length=64)
+                            cols.select("task_id", "table_pos", "col_pos", "column_name"), max_length=512)
 
 
 @register("realign_counts", sql=_SPAN_SQL + """

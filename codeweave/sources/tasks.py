@@ -19,10 +19,14 @@ TASK_DDL = (
 )
 
 
-def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Read task files (one JSON array per file, or JSON lines).  ``task_id``
-    must be in the records: file position is not a stable key in Spark."""
-    return spark.read.schema(TASK_DDL).option("multiLine", True).json(path)
+def read_tasks(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
+    """Read task files.  ``layout`` is ``"array"`` (one JSON array in each file; a
+    file is one task, so split large inputs into several files) or ``"lines"``
+    (JSON lines; splittable).  ``task_id`` must be in the records: file position
+    is not a stable key in Spark."""
+    if layout not in ("array", "lines"):
+        raise ValueError(f"layout is 'array' or 'lines', not {layout!r}")
+    return spark.read.schema(TASK_DDL).option("multiLine", layout == "array").json(path)
 
 
 def schema_tables(tasks: DataFrame) -> DataFrame:

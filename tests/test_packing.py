@@ -75,8 +75,31 @@ def test_blocks_roundtrip_and_range_check(spark, scratch):
 
 def test_frequency_vocab_and_tokenize(spark):
     from codeweave.operators.packing import frequency_vocab, tokenize_with_vocab
-    df = spark.createDataFrame([(1, "a b a c"), (2, "b a"), (3, "")], "k long, text string")
-    vocab = {r["token"]: r["id"] for r in frequency_vocab(df, max_size=2).collect()}
-    assert vocab == {"a": 3, "b": 4}  # c is cut by the size bound
-    got = {r["k"]: r["input_ids"] for r in tokenize_with_vocab(df, "k", frequency_vocab(df, max_size=2)).collect()}
-    assert got == {1: [3, 4, 3, 0, 2], 2: [4, 3, 2], 3: [2]}
+    df = spark.createDataFrame([(1, "a b a c"), (2, "b a"), (3, ""), (4, None)], "k long, text string")
+    vocab = frequency_vocab(df)
+    assert {r["token"]: r["id"] for r in vocab.collect()} == {"a": 3, "b": 4, "c": 5}
+    got = {r["k"]: r["input_ids"] for r in tokenize_with_vocab(df, "k", vocab.where("token <> 'c'")).collect()}
+    assert got == {1: [3, 4, 3, 0, 2], 2: [4, 3, 2], 3: [2], 4: [2]}
+
+
+def test_row_ids_above_1e12_keep_their_copies_apart(spark):
+    df = spark.createDataFrame([(0, [1]), (2 * 10 ** 12, [2])], "row_id long, input_ids array<int>").withColumn("length", F.size("input_ids"))
+    blocks = pack_blocks(mix_corpora([("a", df, 2)]), 4).collect()
+    assert [b["input_ids"] for b in blocks] == [[1, 2, 1, 2]]
+
+
+def test_null_and_nan_order_keys_are_kept(spark):
+    from codeweave.operators.prefix import exclusive_prefix_sums
+    rows = [(float(i), 1) for i in range(1000)] + [(None, 1), (float("nan"), 1)]
+    df = spark.createDataFrame(rows, "x double, v int").repartition(5)
+    got = {str(r["x"]): r["v_before"] for r in exclusive_prefix_sums(df, ["x"], ["v"]).collect()}
+    assert len(got) == 1002 and got["None"] == 0 and got["0.0"] == 1 and got["nan"] == 1001
+    ids = spark.createDataFrame([(None,), *[(i,) for i in range(1000)]], "k long")
+    assert fixed_batches(ids, 1, ["k"]).count() == 1001
+
+
+def test_order_by_strings_and_several_columns(spark):
+    from codeweave.operators.prefix import exclusive_prefix_sums
+    rows = [("b", 2, 5), ("a", 9, 1), ("b", 1, 7), (None, 3, 2)]
+    got = {(r["s"], r["n"]): r["v_before"] for r in exclusive_prefix_sums(spark.createDataFrame(rows, "s string, n int, v long"), ["s", "n"], ["v"]).collect()}
+    assert got == {(None, 3): 0, ("a", 9): 2, ("b", 1): 3, ("b", 2): 10}

@@ -145,3 +145,16 @@ def test_name_token_spans_brute_force(spark):
     assert got == want
     counts = {r["table_pos"]: r["n_columns"] for r in realign_counts(spans).collect()}
     assert counts == {t: sum(1 for (tt, c) in want if tt == t and c >= 0) for t in {t for t, c in want if c >= 0}}
+
+
+def test_spans_of_table_positions_above_1e6(spark):
+    from codeweave.operators.schema_items import name_token_spans
+    texts = spark.createDataFrame([(1, "ab cd"), (2, "ef")], "task_id long, text string")
+    tables = spark.createDataFrame([(1, 999_999, "t1"), (1, 1_000_003, "t2"), (2, 0, "u1"), (2, 5_000_000, "u2")],
+                                   "task_id long, table_pos long, table_name string")
+    columns = spark.createDataFrame([(1, 999_999, 0, "c"), (1, 1_000_003, 0, "d"), (2, 0, 0, "e"), (2, 5_000_000, 0, "f")],
+                                    "task_id long, table_pos long, col_pos long, column_name string")
+    got = {(r["task_id"], r["table_pos"], r["col_pos"]): r["first_token"] for r in name_token_spans(texts, tables, columns).collect()}
+    # [special] ab cd | t1 : c | t2 : d   and   [special] ef | u1 : e | u2 : f
+    assert got == {(1, 999_999, -1): 4, (1, 999_999, 0): 6, (1, 1_000_003, -1): 8, (1, 1_000_003, 0): 10,
+                   (2, 0, -1): 3, (2, 0, 0): 5, (2, 5_000_000, -1): 7, (2, 5_000_000, 0): 9}

@@ -49,3 +49,19 @@ def test_long_tables_roundtrip(spark, scratch):
     fk = foreign_keys(tasks)
     rebuilt = rebuild_schema(tb, co, fk)
     assert rebuilt.select(schema_sequence("schema")).first()[0] == GOLDEN
+
+
+def test_task_layouts(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from codeweave.sources.tasks import read_tasks
+    records = [{"task_id": i, "text": f"t{i}", "matched_contents": {"a.b": ["x"]}} for i in range(5)]
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, records)))
+    (tmp_path / "array.json").write_text(json.dumps(records, indent=1))
+    for layout in ("lines", "array"):
+        got = read_tasks(spark, str(tmp_path / f"{layout}.json"), layout).select("task_id", "matched_contents").collect()
+        assert sorted(r["task_id"] for r in got) == list(range(5)) and got[0]["matched_contents"] == {"a.b": ["x"]}
+    with pytest.raises(ValueError, match="layout"):
+        read_tasks(spark, "x", "csv")
