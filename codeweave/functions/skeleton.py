@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from .text import col
 
@@ -25,81 +25,33 @@ QUESTION_TOKEN = r"('s|''|--|[\p{L}\p{N}_]+(?:\.[\p{N}]+)?|[^\p{L}\p{N}_\s])"
 SKELETON_TOKEN = r"((?i:END(?:\s+(?:IF|LOOP|CASE))?)(?![\w])|\w+|[^\w\s])"
 
 
-def _assemble(tokens, lex: dict) -> str:
-    """Small per-row helper of the broadcast path: tag, mask, drop, join,
-    repair -- the same rules as the join path below."""
-    import re
-    import unicodedata
-    words = []
-    for t in tokens:
-        first = t[:1]
-        numeric = bool(first) and not first.isalpha() and unicodedata.category(first)[0] == "N"
-        tag = "CD" if numeric else lex.get(t)
-        if tag in _MASKED:
-            words.append("_")
-        elif t not in _DROPPED:
-            words.append(t)
-    out = " ".join(words).replace("_ 's", "_").replace(" 's", "'s")
-    out = re.sub(r"_( _)+", "_", out)
-    return out[2:] if out.startswith("_ ") else out
-
-
-_MASKED = frozenset(MASKED_TAGS)
-_DROPPED = frozenset(DROPPED_TOKENS)
-
-
 def question_skeleton(df: DataFrame, text: str, lexicon: DataFrame, out: str = "question_skeleton",
-                      key: str | None = None, python_lookup: bool = False,
-                      max_broadcast_bytes: int = 256 * 1024 * 1024) -> DataFrame:
+                      *, key: str) -> DataFrame:
     """Tokens tagged by a caller-given ``lexicon(word, tag)`` (numbers
     are tagged CD by rule); masked tags become ``_``, listed punctuation is
     dropped, the rest is kept; joined by blanks, ``'s`` repaired, runs of
     ``_`` collapsed and a leading ``_ `` removed.  A word listed twice takes
     its smallest tag.  The POS model of the reference is not built.
 
-    Default (JVM): tokens are exploded, joined to the lexicon (Spark
-    broadcasts it when its estimate is small, else shuffles) and regrouped
-    per row (``key`` must be unique).  ``python_lookup`` instead ships the
-    lexicon once as a broadcast variable -- only when its size estimate is
-    within ``max_broadcast_bytes`` -- and assembles each row in Arrow batches
-    without any shuffle; on local runs the JVM path measured faster."""
-    from ..session import estimated_bytes, guarded_broadcast
-    lex = lexicon.groupBy("word").agg(F.min("tag").alias("tag"))
+    ``key`` is unique in ``df``.  A row joins the lexicon once for each of its
+    distinct tokens (AQE splits the join's hot words) and is put together
+    again from their positions."""
+    lex = lexicon.groupBy(F.col("word").alias("tok")).agg(F.min("tag").alias("tag"))
     toks = F.regexp_extract_all(F.col(text), F.lit(QUESTION_TOKEN), 1)
-    size = estimated_bytes(lexicon) if python_lookup else None
-    if size is not None and size <= max_broadcast_bytes:
-        spark = df.sparkSession
-        bc = spark.sparkContext.broadcast({r["word"]: r["tag"] for r in lex.collect()})  # size-checked above
-
-        @pandas_udf(StringType())
-        def assemble(tokens: pd.Series) -> pd.Series:
-            table = bc.value
-            return pd.Series([_assemble(t, table) for t in tokens])
-        return df.withColumn(out, assemble(toks))
-
-    key = key or "_row"
-    base = df if key in df.columns else df.withColumn(key, F.monotonically_increasing_id())
-    exploded = base.select(key, F.posexplode(toks).alias("pos", "tok"))
-    # broadcast when the estimate is within the budget: a shuffle join here
-    # would put every occurrence of a common word into one task
-    lex_side = lex.select(F.col("word").alias("tok"), "tag")
-    tagged = exploded.join(guarded_broadcast(lex_side, max_broadcast_bytes), "tok", "left").withColumn(
-        "tag", F.when(F.col("tok").rlike(r"^\p{N}"), F.lit("CD")).otherwise(F.col("tag")))
-    shown = tagged.select(
-        key, "pos",
-        F.when(F.col("tag").isin(*MASKED_TAGS), F.lit("_"))
-         .when(F.col("tok").isin(*DROPPED_TOKENS), F.lit(None))
-         .otherwise(F.col("tok")).alias("w"))
-    joined = (shown.where(F.col("w").isNotNull()).groupBy(key)
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))),
-                                            lambda s: s["w"]), " ").alias("_j")))
+    places = (df.select(key, F.posexplode(toks).alias("pos", "tok")).groupBy(key, "tok")
+              .agg(F.collect_list("pos").alias("at")))
+    tag = F.when(F.col("tok").rlike(r"^\p{N}"), F.lit("CD")).otherwise(F.col("tag"))
+    shown = (F.when(tag.isin(*MASKED_TAGS), F.lit("_"))
+             .when(F.col("tok").isin(*DROPPED_TOKENS), F.lit(None)).otherwise(F.col("tok")))
+    words = places.join(lex, "tok", "left").withColumn("w", shown).where(F.col("w").isNotNull())
+    joined = (words.select(key, F.transform("at", lambda p: F.struct(p.alias("pos"), F.col("w").alias("w"))).alias("at"))
+              .groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("at"))), lambda s: s["w"]), " ").alias("_j")))
     s = F.replace(F.col("_j"), F.lit("_ 's"), F.lit("_"))
     s = F.replace(s, F.lit(" 's"), F.lit("'s"))
     s = F.regexp_replace(s, "_( _)+", "_")
     s = F.regexp_replace(s, "^_ ", "")
     res = joined.select(key, s.alias(out))
-    out_df = base.join(res, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
-    return out_df if key in df.columns else out_df.drop(key)
+    return df.join(res, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
 
 
 def skeleton_tree(skeleton: str | Column) -> Column:
@@ -126,12 +78,9 @@ def skeleton_tree(skeleton: str | Column) -> Column:
 
 @pandas_udf(DoubleType())
 def tree_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """edit distance of two preorder trees per row (Arrow batches; equal
-    subtree pairs are computed once per worker through a memo).  Pass tree
-    columns (project ``skeleton_tree`` first), not the inline expression."""
-    from ..operators.retrieval import _tree_key, tree_edit_distance
+    """edit distance of two preorder trees per row (Arrow batches; a null tree
+    is the root alone).  Pass tree columns (project ``skeleton_tree`` first), not
+    the inline expression."""
+    from ..operators.retrieval import Tree, tree_edit_distance
 
-    def conv(v):
-        return [] if v is None else [(int(x["depth"]), x["value"]) for x in v]
-    return pd.Series([float(tree_edit_distance(_tree_key(conv(x)), _tree_key(conv(y))))
-                      for x, y in zip(a, b)])
+    return pd.Series([float(tree_edit_distance(Tree(x), Tree(y))) for x, y in zip(a, b)])

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import INSTRUCTION_LINE, SKELETON_LABEL, col, cot_hint, strip
-from ..session import guarded_broadcast
 
 IGNORE_INDEX = -100
 
@@ -71,7 +70,7 @@ def few_shot_prompts(tasks: DataFrame, topk: DataFrame, demos: DataFrame, *, tas
     ``topk(eval_id, rank, demo_id)``; demo texts are looked up with a join
     that is broadcast only when the demo table is estimated small."""
     d = demos.select(F.col(demo_id).alias(demo_id), F.col(demo_text).alias("_dt"), F.col(demo_code).alias("_dc"))
-    shots = (topk.select(task_id, "rank", demo_id).join(guarded_broadcast(d), demo_id)
+    shots = (topk.select(task_id, "rank", demo_id).join(d, demo_id)
              .groupBy(task_id)
              .agg(F.array_sort(F.collect_list(F.struct("rank", "_dt", "_dc"))).alias("_shots")))
     block = F.array_join(F.transform("_shots", lambda s: F.concat(s["_dt"], F.lit("\n"), s["_dc"], F.lit("\n\n"))), "")

@@ -3,39 +3,33 @@ fusion and per-eval top-k (J1, J2 via similarity kinds, A1-A3, W1).
 
 Plan shape
 ----------
-The reference scores every (eval, demo) pair and sorts each row.  Here the
-pair set is never materialised as rows:
-
-* the eval side is collected once behind a size check and shipped to the
-  executors as a broadcast variable (split into several passes when it is
-  bigger than the budget, so no side is ever unbounded);
-* the demo side is streamed through ``mapInPandas`` in Arrow batches; every
-  task scores its batches against the whole eval block with one matrix
-  product and keeps only a running top-k per eval;
-* Spark then ranks the few survivors per eval with a ``row_number`` window
-  (``WindowGroupLimit`` prunes before the shuffle).
-
-Fusion of two similarities with global min-max normalisation (A1/A2/A3)
-needs the global extrema first; they come from one extra pass whose tasks
-emit a single row of partial extrema each.
+All (eval, demo) pairs count, as in the reference, but they are never rows:
+
+* both sides are reduced to distinct values by ``groupBy``; of a demo value only
+  the k smallest demo ids can be in any top k, of an eval value one row is scored;
+* distinct values are dealt into blocks; a block meets each block of the other
+  side in a task of its own (a co-group), which scores them with one matrix product
+  and keeps the k best for each eval value;
+* Spark ranks these few survivors with a ``row_number`` window
+  (``WindowGroupLimit`` prunes before the shuffle) and joins the evals back.
+
+Nothing is collected or broadcast; only the numbers of blocks and the global
+extrema (A1/A2/A3; from the partial extrema of the same blocks) reach the driver.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import lru_cache
-from typing import Iterator, Sequence
+from typing import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..session import DEFAULT_BROADCAST_BYTES
 
 SCALE = 1_000_000  # scores are rounded to 6 decimals before ranking
+EVAL_ROWS, DEMO_ROWS = 1024, 512  # distinct values in a block
 
 
 # ---------------------------------------------------------------------------
@@ -72,31 +66,16 @@ class Equality:
 class TreeDistance:
     """Edit distance of skeleton trees given as preorder arrays of
     struct(depth, value) (see ``functions.skeleton.skeleton_tree``).  It is a
-    distance: the fused score uses (max - d) / (max - min).  Only distinct
-    tree pairs are computed; rows share the results by index."""
+    distance: scores use (max - d) / (max - min)."""
     column: str
     is_distance: bool = True
 
     def eval_state(self, values: Sequence):
-        return _distinct_trees(values)
+        return [Tree(v) for v in values]
 
     def block(self, state, values: Sequence) -> np.ndarray:
-        e_keys, e_inv = state
-        d_keys, d_inv = _distinct_trees(values)
-        uniq = np.empty((len(d_keys), len(e_keys)), dtype=np.float64)
-        for i, dk in enumerate(d_keys):
-            for j, ek in enumerate(e_keys):
-                uniq[i, j] = tree_edit_distance(dk, ek)
-        return uniq[d_inv][:, e_inv]
-
-
-def _distinct_trees(values: Sequence):
-    index: dict = {}
-    inv = np.empty(len(values), dtype=np.int64)
-    for i, v in enumerate(values):
-        key = _tree_key(v)
-        inv[i] = index.setdefault(key, len(index))
-    return list(index), inv
+        return np.array([[tree_edit_distance(d, e) for e in state] for d in map(Tree, values)],
+                        dtype=np.float64).reshape(len(values), len(state))
 
 
 def _unit_rows(values: Sequence) -> np.ndarray:
@@ -109,292 +88,171 @@ def _unit_rows(values: Sequence) -> np.ndarray:
 
 
 # ---------------------------------------------------------------------------
-# Tree edit distance (F4).  Trees are tuples (value, (children...)).
+# Tree edit distance
 # ---------------------------------------------------------------------------
 
-def _tree_key(preorder) -> tuple:
-    """Rebuild a nested tuple tree from a preorder (depth, value) list; the
-    synthetic root ``ROOT`` sits above depth 0."""
-    root: list = ["ROOT", []]
-    stack = [root]
-    for item in preorder if preorder is not None else []:
-        depth, value = (item["depth"], item["value"]) if isinstance(item, dict) else (item[0], item[1])
-        depth = int(depth)
-        node: list = [value, []]
-        del stack[depth + 1:]
-        stack[-1][1].append(node)
-        stack.append(node)
-
-    def freeze(n):
-        return (n[0], tuple(freeze(c) for c in n[1]))
-    return freeze(root)
-
-
-@lru_cache(maxsize=1 << 16)
-def _size(tree: tuple) -> int:
-    return 1 + sum(_size(c) for c in tree[1])
-
-
-@lru_cache(maxsize=1 << 18)
-def tree_edit_distance(a: tuple, b: tuple) -> int:
-    """Root relabel cost plus an alignment of the two child lists.  Deleting
-    or inserting a child costs its subtree size, but the first row/column of
-    the alignment table counts children (not nodes) -- the scoring rule the
-    reference uses, kept because its similarities depend on it."""
-    cost = 0 if a[0] == b[0] else 1
-    ca, cb = a[1], b[1]
-    prev = list(range(len(cb) + 1))
-    for i in range(1, len(ca) + 1):
-        cur = [i] + [0] * len(cb)
-        for j in range(1, len(cb) + 1):
-            cur[j] = min(prev[j] + _size(ca[i - 1]),
-                         cur[j - 1] + _size(cb[j - 1]),
-                         prev[j - 1] + tree_edit_distance(ca[i - 1], cb[j - 1]))
-        prev = cur
-    return cost + prev[len(cb)]
+class Tree:
+    """A preorder (depth, value) list under a synthetic root ``ROOT``, as child lists
+    by level; no recursion, so depth is not limited."""
+
+    def __init__(self, preorder):
+        self.values: list = ["ROOT"]
+        self.children: list[list[int]] = [[]]
+        self.levels: list[list[int]] = [[0]]
+        path = [0]
+        for item in preorder if preorder is not None else []:
+            depth, value = (item["depth"], item["value"]) if isinstance(item, dict) else (item[0], item[1])
+            del path[int(depth) + 1:]
+            node = len(self.values)
+            self.values.append(value)
+            self.children.append([])
+            self.children[path[-1]].append(node)
+            if len(path) == len(self.levels):
+                self.levels.append([])
+            self.levels[len(path)].append(node)
+            path.append(node)
+        self.sizes = [1] * len(self.values)
+        for node in range(len(self.values) - 1, -1, -1):
+            self.sizes[node] += sum(self.sizes[c] for c in self.children[node])
+
+
+def tree_edit_distance(a: Tree, b: Tree) -> int:
+    """Root relabel cost plus an alignment of the two child lists, from the deepest
+    common level up.  Deleting or inserting a child costs its subtree size, but the
+    first row/column of the alignment table counts children (not nodes) -- the
+    scoring rule the reference uses, kept because its similarities depend on it."""
+    below: dict[tuple[int, int], int] = {}
+    for level in range(min(len(a.levels), len(b.levels)) - 1, -1, -1):
+        here = {}
+        for x in a.levels[level]:
+            for y in b.levels[level]:
+                kids_x, kids_y = a.children[x], b.children[y]
+                row = list(range(len(kids_y) + 1))
+                for i, p in enumerate(kids_x, 1):
+                    last, row = row, [i] + [0] * len(kids_y)
+                    for j, q in enumerate(kids_y, 1):
+                        row[j] = min(last[j] + a.sizes[p], row[j - 1] + b.sizes[q], last[j - 1] + below[p, q])
+                here[x, y] = row[-1] + (a.values[x] != b.values[y])
+        below = here
+    return below[0, 0]
 
 
 # ---------------------------------------------------------------------------
 # The distributed kernel
 # ---------------------------------------------------------------------------
 
-def _eval_blocks(evals: DataFrame, id_col: str, cols: list[str], max_bytes: int) -> list[pd.DataFrame]:
-    """Collect the eval side in blocks that each fit the broadcast budget."""
-    probe = evals.select(F.count(F.lit(1)).alias("n"),
-                         *[F.max(F.length(F.to_json(F.struct(F.col(c))))).alias(f"w{i}")
-                           for i, c in enumerate(cols)]).first()
-    n = int(probe["n"] or 0)
-    if n == 0:
-        return []
-    width = 16 + sum(int(probe[f"w{i}"] or 8) for i in range(len(cols)))
-    total = n * width * 2  # json length is a loose upper bound of the in-memory size
-    n_blocks = max(1, math.ceil(total / max_bytes))
-    if n_blocks == 1:
-        return [evals.select(id_col, *cols).toPandas()]
-    part = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks))
-    return [evals.where(part == b).select(id_col, *cols).toPandas() for b in range(n_blocks)]
-
-
-def _pair_scores(kinds, states, demo_pdf, single_ids, demo_ids, exclude_self):
-    """Score matrices (demos x distinct eval values).  With ``exclude_self``
-    the mask marks a (demo, value) cell whose only eval is that demo: the
-    cell then holds no real pair."""
-    blocks = [k.block(s, demo_pdf[k.column].tolist()) for k, s in zip(kinds, states)]
-    mask = (demo_ids[:, None] == single_ids[None, :]) if exclude_self else None
-    return blocks, mask
-
-
-def _hashable(v):
-    if isinstance(v, dict):
-        return tuple(sorted((k, _hashable(x)) for k, x in v.items()))
-    if isinstance(v, (list, tuple, np.ndarray)):
-        return tuple(_hashable(x) for x in v)
-    if isinstance(v, float) and math.isnan(v):
-        return ("nan",)
-    return v
-
-
-_NO_SINGLE = np.iinfo(np.int64).min
-
-
-def _dedupe(block: pd.DataFrame, id_col: str, cols: list[str], offset: int):
-    """Distinct eval values of a block: (values with a value index in
-    ``eval_id``, mapping eval id -> value index).  Evals with equal values
-    have equal score rows, so each distinct value is scored once."""
-    index: dict = {}
-    vidx = np.empty(len(block), dtype=np.int64)
-    first: list[int] = []
-    members: list[list[int]] = []
-    ids = block[id_col].to_numpy().astype(np.int64)
-    columns = [block[c].tolist() for c in cols]
-    for i in range(len(block)):
-        key = _hashable(tuple(col[i] for col in columns))
-        j = index.get(key)
-        if j is None:
-            j = index[key] = len(first)
-            first.append(i)
-            members.append([])
-        members[j].append(int(ids[i]))
-        vidx[i] = j
-    uniq = block.iloc[first][cols].reset_index(drop=True)
-    uniq.insert(0, "eval_id", offset + np.arange(len(first), dtype=np.int64))
-    uniq["_single"] = np.array([m[0] if len(m) == 1 else _NO_SINGLE for m in members], dtype=np.int64)
-    mapping = pd.DataFrame({"eval_id": ids, "_v": offset + vidx})
-    return uniq, mapping
-
-
-def _stats_fn(kinds, bc, eval_id, demo_id, exclude_self):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        eval_pdf = bc.value
-        eval_ids = eval_pdf["_single"].to_numpy()
-        states = [k.eval_state(eval_pdf[k.column].tolist()) for k in kinds]
-        lo = [math.inf] * len(kinds)
-        hi = [-math.inf] * len(kinds)
-        for batch in batches:
-            for pdf in _sub_blocks(batch, len(eval_ids)):
-                if len(pdf) == 0:
-                    continue
-                blocks, mask = _pair_scores(kinds, states, pdf, eval_ids, pdf[demo_id].to_numpy(), exclude_self)
-                for i, blk in enumerate(blocks):
-                    vals = blk if mask is None else blk[~mask]
-                    vals = vals[~np.isnan(vals)]
-                    if vals.size:
-                        lo[i] = min(lo[i], float(vals.min()))
-                        hi[i] = max(hi[i], float(vals.max()))
+def _fused(kinds, blocks, mode, weights, extrema):
+    """Scores from raw similarities: distances count as (max - d) / (max - min) in
+    every mode (constant: 1), similarities are normalised in ``weighted`` only."""
+    out = None
+    for i, (kind, blk) in enumerate(zip(kinds, blocks)):
+        if kind.is_distance or mode == "weighted":
+            lo, hi = extrema[i]
+            if lo is None or hi is None or not hi > lo:
+                blk = np.full_like(blk, 1.0 if kind.is_distance else 0.0)
+            else:
+                blk = (hi - blk if kind.is_distance else blk - lo) / (hi - lo)
+        if mode == "weighted":
+            out = weights[i] * blk if out is None else out + weights[i] * blk
+        else:
+            out = blk if out is None else np.maximum(out, blk)  # NaN wins, as in numpy
+    return out
+
+
+def _raw_blocks(kinds, evals: pd.DataFrame, demos: pd.DataFrame):
+    return [k.block(k.eval_state(evals[k.column].tolist()), demos[k.column].tolist()) for k in kinds]
+
+
+def _extrema_fn(kinds, exclude_self):
+    def run(evals: pd.DataFrame, demos: pd.DataFrame) -> pd.DataFrame:
+        if not len(evals) or not len(demos):
+            return pd.DataFrame()
+        # a value of one eval and a value of one demo with the same id hold no real pair
+        alone = ((demos["_only"].to_numpy()[:, None] == evals["_only"].to_numpy()[None, :])
+                 & (demos["_n"].to_numpy() == 1)[:, None] & (evals["_n"].to_numpy() == 1)[None, :])
         row = {}
-        for i in range(len(kinds)):
-            row[f"lo{i}"] = [None if math.isinf(lo[i]) else lo[i]]
-            row[f"hi{i}"] = [None if math.isinf(hi[i]) else hi[i]]
-        yield pd.DataFrame(row)
+        for i, blk in enumerate(_raw_blocks(kinds, evals, demos)):
+            vals = blk[~alone] if exclude_self else blk.ravel()
+            vals = vals[~np.isnan(vals)]
+            row[f"lo{i}"] = [float(vals.min()) if vals.size else None]
+            row[f"hi{i}"] = [float(vals.max()) if vals.size else None]
+        return pd.DataFrame(row)
     return run
 
 
-def _fused(kinds, blocks, mode, weights, extrema):
-    if mode == "single":
-        return blocks[0]
-    if mode == "max":
-        out = blocks[0]
-        for blk in blocks[1:]:
-            out = np.maximum(out, blk)  # NaN wins, as in numpy
-        return out
-    total = np.zeros_like(blocks[0])
-    for kind, blk, w, (lo, hi) in zip(kinds, blocks, weights, extrema):
-        if lo is None or hi is None or not hi > lo:
-            norm = np.zeros_like(blk)
-        elif kind.is_distance:
-            norm = (hi - blk) / (hi - lo)
-        else:
-            norm = (blk - lo) / (hi - lo)
-        total = total + w * norm
-    return total
-
-
-# Integer score keys: rounded score * 2^21 plus the demo's rank by id inside
-# the block, so argpartition selects exactly (ties -> lower demo id).
-_SHIFT = 1 << 21
-_NAN_SCORE = -(1 << 40)        # undefined similarity: ranks after every real score
-_SELF_SCORE = -(1 << 40) - 1   # excluded self pair: never emitted
-_BLOCK_CELLS = 4_000_000       # cells per scored block (about 32 MB of doubles)
-
-
-def _sub_blocks(pdf: pd.DataFrame, n_eval: int):
-    step = max(1, _BLOCK_CELLS // max(n_eval, 1))
-    for lo in range(0, len(pdf), step):
-        yield pdf.iloc[lo:lo + step]
-
-
-def _block_topk(score_int: np.ndarray, demo_ids: np.ndarray, k: int):
-    """score_int (n_eval, m) -> best k (scores, demo ids) per eval row."""
-    order = np.argsort(demo_ids, kind="stable")
-    ids = demo_ids[order]
-    sc = score_int[:, order]
-    m = len(ids)
-    if m <= k:
-        return sc, np.broadcast_to(ids[None, :], sc.shape).copy()
-    key = sc * _SHIFT + (_SHIFT - 1 - np.arange(m, dtype=np.int64))[None, :]
-    part = np.argpartition(-key, k - 1, axis=1)[:, :k]
-    return np.take_along_axis(sc, part, axis=1), ids[part]
-
-
-def _topk_fn(kinds, bc, eval_id, demo_id, k, mode, weights, extrema, exclude_self):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        eval_pdf = bc.value
-        eval_ids = eval_pdf[eval_id].to_numpy().astype(np.int64)
-        n_eval = len(eval_ids)
-        states = [k_.eval_state(eval_pdf[k_.column].tolist()) for k_ in kinds]
-        best_s = np.empty((n_eval, 0), dtype=np.int64)
-        best_d = np.empty((n_eval, 0), dtype=np.int64)
-        for batch in batches:
-            for pdf in _sub_blocks(batch, n_eval):
-                if len(pdf) == 0:
-                    continue
-                demo_ids = pdf[demo_id].to_numpy().astype(np.int64)
-                blocks, _ = _pair_scores(kinds, states, pdf, eval_ids, demo_ids, False)
-                score = np.rint(_fused(kinds, blocks, mode, weights, extrema) * SCALE).T  # (n_eval, m)
-                score_int = np.where(np.isnan(score), _NAN_SCORE, score).astype(np.int64)
-                cs, cd = _block_topk(score_int, demo_ids, k)
-                ms = np.concatenate([best_s, cs], axis=1)
-                md = np.concatenate([best_d, cd], axis=1)
-                order = np.lexsort((md, -ms), axis=-1)[:, :k]
-                best_s = np.take_along_axis(ms, order, axis=1)
-                best_d = np.take_along_axis(md, order, axis=1)
-        if best_s.shape[1] == 0:
-            return
-        flat_e = np.repeat(eval_ids, best_s.shape[1])
-        flat_s = best_s.reshape(-1)
-        flat_d = best_d.reshape(-1)
-        keep = flat_s != _SELF_SCORE
-        sims = pd.array([None if v == _NAN_SCORE else v / SCALE for v in flat_s[keep].tolist()], dtype="Float64")
-        yield pd.DataFrame({"eval_id": flat_e[keep], "demo_id": flat_d[keep], "sim": sims})
+def _topk_fn(kinds, k, mode, weights, extrema):
+    def run(evals: pd.DataFrame, demos: pd.DataFrame) -> pd.DataFrame:
+        if not len(evals) or not len(demos):
+            return pd.DataFrame()
+        demos = demos.sort_values("_first", kind="stable")
+        score = np.rint(_fused(kinds, _raw_blocks(kinds, evals, demos), mode, weights, extrema) * SCALE).T
+        # the k best demo values of each eval value; equal scores by smallest demo id (the sort is stable)
+        best = np.argsort(np.where(np.isnan(score), np.inf, -score), axis=1, kind="stable")[:, :k]
+        chosen = np.take_along_axis(score, best, axis=1)
+        sims = pd.array([None if math.isnan(v) else v / SCALE for v in chosen.ravel().tolist()], dtype="Float64")
+        return pd.DataFrame({"_v": np.repeat(evals["_v"].to_numpy(), best.shape[1]),
+                             "_d": demos["_d"].to_numpy()[best.ravel()], "sim": sims})
     return run
 
 
+def _distinct(rows: DataFrame, cols: Sequence[str], name: str) -> DataFrame:
+    """One row for each distinct value: ``name`` (its smallest id), ``_n`` rows, the
+    smallest id again as ``_only`` and ``_first``."""
+    return (rows.groupBy(*cols).agg(F.min("_id").alias(name), F.count(F.lit(1)).alias("_n"))
+            .withColumn("_only", F.col(name)).withColumn("_first", F.col(name)))
+
+
+def _same(left: str, right: str, cols: Sequence[str]):
+    return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in cols]
+
+
 def topk_similar(evals: DataFrame, demos: DataFrame, k: int, *,
                  kinds: Sequence, mode: str = "single", weights: Sequence[float] | None = None,
                  eval_id: str = "eval_id", demo_id: str = "demo_id",
-                 exclude_self: bool = False,
-                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+                 exclude_self: bool = False) -> DataFrame:
     """Top-k demos per eval row by one similarity (``mode='single'``), the
     weighted sum of min-max normalised similarities (``'weighted'``, A1-A3),
-    or their element-wise maximum (``'max'``).  Ties at equal rounded score
-    go to the lower demo id, as the stable descending sort of the reference
-    gives the lower index.  ``exclude_self`` drops pairs with equal ids
-    (leave-one-out retrieval inside one table).
+    or their element-wise maximum (``'max'``).  A distance always enters as
+    (max - d) / (max - min).  Ties at equal rounded score go to the lower demo
+    id, as the stable descending sort of the reference gives the lower index.
+    ``exclude_self`` drops pairs with equal ids (leave-one-out retrieval inside
+    one table).
 
     Returns ``(eval_id, rank, demo_id, sim)`` with ``sim`` rounded to 6 places.
-
-    The eval side is read twice (size probe, collect) and the demo side once
-    per pass (two passes for ``'weighted'``): checkpoint inputs that are
-    expensive to derive before calling.
+    Inputs are read several times: checkpoint those that are expensive to
+    derive.  The kinds' columns must be groupable (no maps).
     """
     kinds = list(kinds)
     if mode == "weighted":
         weights = list(weights) if weights is not None else [1.0 / len(kinds)] * len(kinds)
     cols = sorted({kd.column for kd in kinds})
-    spark = evals.sparkSession
-    demo_side = demos.select(F.col(demo_id).cast("long").alias(demo_id), *cols)
-    out_schema = T.StructType([T.StructField("eval_id", T.LongType()),
-                               T.StructField("demo_id", T.LongType()),
-                               T.StructField("sim", T.DoubleType())])
-    parts = []
-    raw_blocks = _eval_blocks(evals.select(F.col(eval_id).cast("long").alias(eval_id), *cols),
-                              eval_id, cols, max_broadcast_bytes)
-    blocks, mappings, offset = [], [], 0
-    for rb in raw_blocks:
-        uniq, mapping = _dedupe(rb, eval_id, cols, offset)
-        offset += len(uniq)
-        blocks.append(uniq)
-        mappings.append(mapping)
+    ev = evals.select(F.col(eval_id).cast("long").alias("_id"), *cols)
+    de = demos.select(F.col(demo_id).cast("long").alias("_id"), *cols)
+    ev_values, de_values = _distinct(ev, cols, "_v"), _distinct(de, cols, "_d")
+    k_value = k + 1 if exclude_self else k  # one more when the eval itself must go
+    blocks = {side: values.count() // size + 1 for side, values, size in (("e", ev_values, EVAL_ROWS), ("d", de_values, DEMO_ROWS))}
+    dealt = lambda values, name, side: values.withColumn(f"_b{side}", F.pmod(F.xxhash64(name), F.lit(blocks[side])))
+    every = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks[side] - 1).cast("long"))).alias(f"_b{side}")
+    left = dealt(ev_values, "_v", "e").select("*", every("d")).groupBy("_be", "_bd")
+    right = dealt(de_values, "_d", "d").select("*", every("e")).groupBy("_be", "_bd")
+    meet = left.cogroup(right)
+
     extrema = None
-    if mode == "weighted":
-        stats_schema = T.StructType([f for i in range(len(kinds)) for f in (
-            T.StructField(f"lo{i}", T.DoubleType()), T.StructField(f"hi{i}", T.DoubleType()))])
-        partials = []
-        for block in blocks:
-            bc = spark.sparkContext.broadcast(block)
-            partials.append(demo_side.mapInPandas(
-                _stats_fn(kinds, bc, "eval_id", demo_id, exclude_self), stats_schema))
-        stats = partials[0]
-        for p in partials[1:]:
-            stats = stats.unionByName(p)
-        row = stats.agg(*[g for i in range(len(kinds)) for g in (
-            F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}"))]).first()
+    if mode == "weighted" or any(kd.is_distance for kd in kinds):
+        names = [f"{x}{i}" for i in range(len(kinds)) for x in ("lo", "hi")]
+        row = meet.applyInPandas(_extrema_fn(kinds, exclude_self), ", ".join(f"{n} double" for n in names)) \
+            .agg(*[(F.min if n.startswith("lo") else F.max)(n).alias(n) for n in names]).first()
         extrema = [(row[f"lo{i}"], row[f"hi{i}"]) for i in range(len(kinds))]
-    # one extra candidate per distinct value when the eval itself must go
-    k_value = k + 1 if exclude_self else k
-    for block in blocks:
-        bc = spark.sparkContext.broadcast(block)
-        parts.append(demo_side.mapInPandas(
-            _topk_fn(kinds, bc, "eval_id", demo_id, k_value, mode, weights, extrema, exclude_self), out_schema))
-    if not parts:
-        return spark.createDataFrame([], "eval_id long, rank int, demo_id long, sim double")
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    per_value = rank_within(cands, "eval_id", k_value).withColumnRenamed("eval_id", "_v").drop("rank")
-    # the mapping has one row per eval (already bounded by the broadcast check)
-    mapping = spark.createDataFrame(pd.concat(mappings, ignore_index=True), "eval_id long, _v long")
-    expanded = per_value.join(F.broadcast(mapping), "_v").drop("_v")
+    found = meet.applyInPandas(_topk_fn(kinds, k_value, mode, weights, extrema), "_v long, _d long, sim double")
+    per_value = rank_within(found, "_v", k_value, tie="_d").drop("rank")
+    # a demo value stands for its k smallest ids: more can't be in any top k
+    by_value = Window.partitionBy("_d").orderBy("_id")
+    members = (de.alias("r").join(de_values.select(*cols, "_d").alias("u"), _same("r", "u", cols)).select("_d", "r._id")
+               .withColumn("_r", F.row_number().over(by_value)).where(F.col("_r") <= k_value).drop("_r"))
+    listed = per_value.join(members.select("_d", F.col("_id").alias(demo_id)), "_d").select("_v", demo_id, "sim")
+    listed = rank_within(listed, "_v", k_value, tie=demo_id).drop("rank")
+    mapping = ev.alias("r").join(ev_values.select(*cols, "_v").alias("u"), _same("r", "u", cols)).select("_v", F.col("r._id").alias("eval_id"))
+    expanded = mapping.join(listed, "_v").select("eval_id", F.col(demo_id).alias("demo_id"), "sim")
     if exclude_self:
         expanded = expanded.where(F.col("demo_id") != F.col("eval_id"))
     return rank_within(expanded, "eval_id", k)

@@ -1,17 +1,13 @@
-"""Session helpers: building a local session for tests, the shared checkpoint
-folder, and the size guard every broadcast goes through."""
+"""Session helpers: building a local session for tests, and the shared checkpoint
+folder."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Default budget for anything shipped to every executor (broadcast variables,
-# broadcast joins). Callers can lower/raise it per call.
-DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
@@ -39,17 +35,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (tests, local runs) pick a
-    fresh scratch folder."""
+    ``spark.checkpoint.dir``.  Where it is unset, a session in one process (tests,
+    local runs) gets a fresh scratch folder; on a cluster executors could not
+    share that, so the setting is required."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
     current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+    if configured or current:
+        if not current:
+            spark.sparkContext.setCheckpointDir(configured)
+        return configured or current
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and the executors of {master} share")
     path = tempfile.mkdtemp(prefix="codeweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -59,21 +57,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer size estimate of a plan, or None when unknown."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:  # pragma: no cover - defensive, API is internal-ish
-        return None
-
-
-def guarded_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint only when the estimate proves the side is small;
-    otherwise leave the join to the planner (sort-merge / shuffle-hash)."""
-    size = estimated_bytes(df)
-    if size is not None and size <= max_bytes:
-        return F.broadcast(df)
-    return df

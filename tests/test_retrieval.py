@@ -70,12 +70,15 @@ def test_constant_matrix_and_k_larger_than_pool(spark):
     assert [j for j, _ in got[0]] == [0, 1, 2, 3, 4]  # ties -> lower demo id first
 
 
-def test_eval_side_split_into_blocks(spark):
+def test_sides_split_into_blocks(spark, monkeypatch):
+    from codeweave.operators import retrieval
     rng = np.random.default_rng(5)
     vecs = rng.normal(size=(40, 8))
     ev, de, d = _frames(spark, vecs, [0] * 40)
-    small = topk_similar(ev, de, 3, kinds=[Cosine("v")], max_broadcast_bytes=2_000)  # forces several passes
     big = topk_similar(ev, de, 3, kinds=[Cosine("v")])
+    monkeypatch.setattr(retrieval, "EVAL_ROWS", 7)
+    monkeypatch.setattr(retrieval, "DEMO_ROWS", 9)
+    small = topk_similar(ev, de, 3, kinds=[Cosine("v")])
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
     assert _collect(big) == _brute(d, d, 3)
 
@@ -87,3 +90,32 @@ def test_minmax_normalize(spark):
     assert sim == [0.0, 0.5, 1.0] and dist == [1.0, 0.5, 0.0]
     const = spark.createDataFrame([(2.0,), (2.0,)], "d double")
     assert [r[0] for r in minmax_normalize(const, "d", "n", distance=True).select("n").collect()] == [1.0, 1.0]
+
+
+def _trees(spark, trees):
+    rows = [(i, [(d, v) for d, v in t]) for i, t in enumerate(trees)]
+    df = spark.createDataFrame(rows, "id long, tree array<struct<depth:int,value:string>>")
+    return df.withColumnRenamed("id", "eval_id"), df.withColumnRenamed("id", "demo_id")
+
+
+@pytest.mark.parametrize("mode", ["single", "weighted", "max"])
+def test_near_trees_rank_first_in_every_mode(spark, mode):
+    from codeweave.operators.retrieval import TreeDistance
+    same, far = [(0, "A"), (1, "B")], [(0, "X"), (1, "Y"), (1, "Z")]
+    ev, de = _trees(spark, [same, far, same])
+    got = _collect(topk_similar(ev, de, 2, kinds=[TreeDistance("tree")], mode=mode, weights=[1.0]))
+    assert [j for j, _ in got[0]] == [0, 2] and got[0][0][1] == 1.0
+
+
+def test_equal_distances_count_as_one(spark):
+    from codeweave.operators.retrieval import TreeDistance
+    ev, de = _trees(spark, [[(0, "A")]] * 4)
+    for mode in ("single", "weighted", "max"):
+        got = _collect(topk_similar(ev, de, 3, kinds=[TreeDistance("tree")], mode=mode, weights=[1.0], exclude_self=True))
+        assert all(s == 1.0 for v in got.values() for _, s in v) and [j for j, _ in got[1]] == [0, 2, 3]
+
+
+def test_empty_sides(spark):
+    ev, de, _ = _frames(spark, np.ones((3, 2)), [0] * 3)
+    assert topk_similar(ev.limit(0), de, 2, kinds=[Cosine("v")]).collect() == []
+    assert topk_similar(ev, de.limit(0), 2, kinds=[Cosine("v")], mode="weighted").collect() == []
