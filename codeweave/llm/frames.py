@@ -54,3 +54,12 @@ def column_udf(kernel: Callable[[pa.Array], pa.Array], returns: str):
         return kernel(column)
 
     return F.arrow_udf(run, returns)
+
+
+def worker_store(name: str) -> dict:
+    """A dict that lives as long as the Python worker, which runs many tasks: for
+    loaded models and bounded caches.  Results never depend on what it holds."""
+    import sys
+    import types
+
+    return vars(sys.modules.setdefault("_codeweave_worker", types.ModuleType("_codeweave_worker"))).setdefault(name, {})

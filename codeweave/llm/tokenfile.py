@@ -23,44 +23,82 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, column_udf
+from .bpe import byte_characters
+from .frames import bounded_batches, column_udf, worker_store
 from .words import pieces
 
-BLOCK_TOKENS = 1 << 20
-MIN_COUNT = 16    # replacements that make a rule worth its place
+BLOCK_TOKENS = 1 << 19
+MIN_COUNT = 32    # replacements that make a rule worth its place
 MAX_ROUNDS = 24   # bounds the grammar's depth; the sequence left then is stored as it is
-CACHE_ENTRIES = 400_000
+SLOTS = 20        # bits of the table that sorts out rare pairs before they are counted
+CACHE_ENTRIES = 500_000
+
+# Letters that every Unicode version takes for letters, that composition leaves alone
+# and that lower-case one by one (Latin; without U+0130).
+_PLAIN = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
+
+
+class WordEncoder:
+    """Words to little-endian 32-bit ids, with what was met before remembered.
+
+    A word of plain letters and closing punctuation is two pre-tokens, whose merges
+    are looked up directly; any other goes through the whole tokenizer."""
+
+    def __init__(self, spec: str):
+        import re
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.split = re.compile(r"[^\x20\x09-\x0D]+").findall
+        self.plain = re.compile(rf"({_PLAIN})([.,;:!?]*)").fullmatch
+        self.bytes = str.maketrans(dict(enumerate(byte_characters())))
+        self.known: dict[str, bytes] = {}
+
+    def _whole(self, words: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return {w: np.array(e.ids, "<i4").tobytes() for w, e in zip(words, found)}
+
+    def _new(self, words: set[str]) -> dict[str, bytes]:
+        parts = {w: m.groups() for w in words if (m := self.plain(w))}
+        closing = self._whole(sorted({p for _, p in parts.values()}))
+        merge, stems = self.tokenizer.model.tokenize, {}
+        for stem, _ in parts.values():
+            low = stem.lower()
+            if low not in stems:
+                mapped = low if low.isascii() else low.encode().decode("latin-1").translate(self.bytes)
+                stems[low] = np.array([t.id for t in merge(mapped)], "<i4").tobytes()
+        out = self._whole([w for w in words if w not in parts])
+        out.update((w, stems[stem.lower()] + closing[p]) for w, (stem, p) in parts.items())
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split, known = [self.split(t) for t in texts], self.known
+        new = set(chain.from_iterable(split)).difference(known)
+        known.update(self._new(new))
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(known) > CACHE_ENTRIES:  # what came first, and so is common, stays
+            for w in new:
+                del known[w]
+        return out
 
 
 def encode_words(text: Column, tokenizer_path: str) -> Column:
-    """array<int> of each whole text by a tokenizer file of the tokenizers library
-    that drops white space and encodes what stands between by itself, without
-    special tokens.  Null and empty texts give an empty array."""
+    """array<int> of each whole text by a tokenizer file of the tokenizers library that
+    lower-cases, drops white space, and takes runs of letters or of signs as
+    pre-tokens; without special tokens.  Null and empty texts give an empty array."""
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
-    made: list = []
 
     def run(column: pa.Array) -> pa.Array:
-        import re
-
-        if not made:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-            made.append((Tokenizer.from_str(spec), re.compile(r"[^\x20\x09-\x0D]+").findall, {}))
-        tokenizer, split, known = made[0]
-        at, flat = [0], [np.zeros(0, np.int32)]
-        for i, j in pieces(column):
-            texts = [split(t or "") for t in column.slice(i, j - i).to_pylist()]
-            new = list(set(chain.from_iterable(texts)).difference(known))
-            known.update((w, e.ids) for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)))
-            for words in texts:
-                ids = np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32)
-                flat.append(ids)
-                at.append(at[-1] + len(ids))
-            if len(known) > CACHE_ENTRIES:  # what came first, and so is common, stays
-                for w in new:
-                    del known[w]
-        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(flat)))
+        made = worker_store("word encoders")
+        if spec not in made:
+            made[spec] = WordEncoder(spec)
+        ids = [made[spec]([t or "" for t in column.slice(i, j - i).to_pylist()]) for i, j in pieces(column)]
+        flat = list(chain.from_iterable(ids))
+        at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in flat])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(flat), "<i4")))
 
     return column_udf(run, "array<int>")(text)
 
@@ -111,26 +149,32 @@ def re_pair(ids: np.ndarray, min_count: int = MIN_COUNT, max_rounds: int = MAX_R
         if len(sequence) < 2:
             break
         top = base + len(grammar.rules)
-        pairs, kind, count = np.unique(sequence[:-1] * top + sequence[1:], return_inverse=True, return_counts=True)
-        weight = count[kind]
+        codes = sequence[:-1] * top + sequence[1:]
+        slot = (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).view(np.int64)
+        often = np.flatnonzero((np.bincount(slot, minlength=1 << SLOTS) >= min_count)[slot])  # no frequent pair is lost
+        pairs, own, count = np.unique(codes[often], return_inverse=True, return_counts=True)
+        weight = np.zeros(len(codes), np.int64)
+        weight[often] = count[own]
         best = weight >= min_count
         best[1:] &= weight[1:] >= weight[:-1]
         best[:-1] &= weight[:-1] >= weight[1:]
         run = np.flatnonzero(best & ~np.concatenate([[False], best[:-1]]))  # in a run of equals every second one
-        place = np.arange(len(best))
-        best &= (place - run[np.searchsorted(run, place, "right") - 1]) % 2 == 0 if len(run) else False
-        used = np.bincount(kind[best], minlength=len(pairs))
-        best &= (used >= min_count)[kind]
-        at = np.flatnonzero(best)
+        if not len(run):
+            break
+        place = np.flatnonzero(best)
+        place = place[(place - run[np.searchsorted(run, place, "right") - 1]) % 2 == 0]
+        kind = np.searchsorted(pairs, codes[place])
+        enough = np.bincount(kind, minlength=len(pairs)) >= min_count
+        at, kind = place[enough[kind]], kind[enough[kind]]
         if not len(at):
             break
-        fresh = np.unique(kind[at])
+        fresh = np.unique(kind)
         symbol = np.zeros(len(pairs), np.int64)
         symbol[fresh] = top + np.arange(len(fresh))
         rules = np.stack([pairs[fresh] // top, pairs[fresh] % top], axis=1)
         lengths = grammar.sizes(rules.ravel()).reshape(-1, 2).sum(axis=1)
         sequence = sequence.copy()
-        sequence[at] = symbol[kind[at]]
+        sequence[at] = symbol[kind]
         grammar = Grammar(base, np.concatenate([grammar.rules, rules]), np.concatenate([grammar.lengths, lengths]), np.delete(sequence, at + 1))
     return grammar
 
@@ -207,18 +251,16 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 g = grammar_of(row)
                 ids = g.expand(g.sequence)
                 ends = np.cumsum(row["counts"])
-                n = len(ends)
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(row["keys"], pa.int64()), "shard": pa.array([row["shard"]] * n, pa.int32()),
-                    "block": pa.array([row["block"]] * n, pa.int32()), "at": pa.array(ends - row["counts"], pa.int64()),
+                    "key": pa.array(row["keys"], pa.int64()), "start": pa.array(row["start"] + ends - row["counts"], pa.int64()),
                     "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))})
 
-    docs = blocks.mapInArrow(run, "key long, shard int, block int, at long, ids array<int>")
-    return docs.join(block_starts(blocks), ["shard", "block"]).select("key", (F.col("start") + F.col("at")).alias("start"), "ids")
+    return blocks.join(block_starts(blocks), ["shard", "block"]).mapInArrow(run, "key long, start long, ids array<int>")
 
 
 def ids_crc32(ids: Column) -> Column:
