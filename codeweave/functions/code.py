@@ -63,6 +63,28 @@ POSTGRES_SYSTEM_NAMES = [
     "FOUND", "RECORD", "SQLSTATE", "SQLERRM", "ROW_COUNT",
     "CURRENT_USER", "SESSION_USER", "CURRENT_TIMESTAMP", "NOW",
 ]
+# Reserved words of the dialects, from their public documentation: like the lists
+# above they are structure, not names.
+ORACLE_RESERVED = [
+    "ACCESS", "ADD", "ALL", "ALTER", "ANY", "ASC", "AUDIT", "BETWEEN", "BULK", "BY", "CHECK", "CLOSE", "CLUSTER",
+    "COLLECT", "COLUMN", "COMPRESS", "CONNECT", "CROSS", "CURRENT", "DECIMAL", "DEFAULT", "DESC", "DISTINCT", "DROP",
+    "EXCLUSIVE", "EXECUTE", "EXISTS", "FETCH", "FLOAT", "FORALL", "FULL", "GOTO", "GRANT", "GROUP", "HAVING",
+    "IDENTIFIED", "IMMEDIATE", "IN", "INCREMENT", "INDEX", "INITIAL", "INNER", "INTEGER", "INTERSECT", "JOIN", "LEFT",
+    "LIKE", "LIMIT", "LOCK", "LONG", "MERGE", "MINUS", "MODE", "MODIFY", "NATURAL", "NOCOPY", "NOWAIT", "OF", "ON",
+    "OPEN", "OPTION", "ORDER", "OUT", "OUTER", "OVER", "PARTITION", "PRAGMA", "PRIOR", "PRIVILEGES", "PUBLIC", "RAW",
+    "RENAME", "RETURNING", "REVERSE", "REVOKE", "RIGHT", "ROWNUM", "ROWS", "ROWTYPE", "SAVEPOINT", "SHARE", "SMALLINT",
+    "SQL", "START", "SUBTYPE", "SYNONYM", "SYSDATE", "TABLE", "TO", "TRIGGER", "TYPE", "UNION", "UNIQUE", "USING",
+    "VALIDATE", "VARCHAR", "VIEW", "WITH",
+]
+POSTGRES_RESERVED = [
+    "ALL", "ALTER", "ANALYSE", "ANALYZE", "ANY", "ASC", "ASYMMETRIC", "BETWEEN", "BOTH", "CALL", "CAST", "CHECK",
+    "COLLATE", "COLUMN", "CONSTRAINT", "CROSS", "DEFAULT", "DEFERRABLE", "DESC", "DISTINCT", "DO", "DROP", "EXCEPT",
+    "EXISTS", "FOREIGN", "FREEZE", "FULL", "GRANT", "GROUP", "HAVING", "ILIKE", "IN", "INITIALLY", "INNER", "INOUT",
+    "INTERSECT", "IS", "ISNULL", "JOIN", "LATERAL", "LEADING", "LEFT", "LIKE", "LIMIT", "MERGE", "MOVE", "NATURAL",
+    "NOTNULL", "OFFSET", "ON", "ONLY", "ORDER", "OUT", "OUTER", "OVER", "OVERLAPS", "PARTITION", "PLACING", "PRIMARY",
+    "REFERENCES", "RETURNING", "REVOKE", "RIGHT", "SIMILAR", "SOME", "SYMMETRIC", "TABLE", "TO", "TRAILING", "TRUNCATE",
+    "UNION", "UNIQUE", "VARIADIC", "VIEW", "WINDOW", "WITH",
+]
 ORACLE_TERMINATOR = "END;"
 POSTGRES_TERMINATOR = "$$;"
 
@@ -72,8 +94,9 @@ _BODY_OPEN, _BODY_CLOSE = "@@BODY@@", "@@ENDBODY@@"
 
 
 # ---------------------------------------------------------------------------
-# Rewrite rules, shared by the Spark chain and the DuckDB oracle generator.
-# Each rule is (pattern, replacement, ignore_case); replacements use $n.
+# Rewrite rules: fixed values (the normal form must equal the reference's).
+# Each is (pattern, replacement, ignore_case); replacements use $n.  Words are
+# Unicode words: Spark gets (?U) where a pattern has word classes.
 # ---------------------------------------------------------------------------
 
 def _kw_rule(kw: str, repl: str | None = None) -> tuple[str, str, bool]:
@@ -120,7 +143,7 @@ def _space_keywords(c: Column, keywords: list[str]) -> Column:
     keyword is a blank-delimited token, so one split/transform/join sets the
     spelling.  Same text as one replacement per keyword, in far fewer passes."""
     kws = list(dict.fromkeys(keywords))
-    c = F.regexp_replace(c, r"(?i)\b(" + "|".join(kws) + r")\b", " $1 ")
+    c = F.regexp_replace(c, r"(?iU)\b(" + "|".join(kws) + r")\b", " $1 ")
     spelled = {k.upper(): k for k in kws}
 
     def spell(t: Column) -> Column:
@@ -156,7 +179,8 @@ def normalize_code(code: str | Column, dialect: str = "oracle") -> Column:
                 c = F.regexp_replace(c, r"\s*([" + "".join("\\" + ch for ch in chars) + r"])\s*", "$1")
                 done = True
             continue
-        c = F.regexp_replace(c, ("(?i)" if icase else "") + _FASTER.get(pat, pat), repl)
+        flags = ("i" if icase else "") + ("U" if r"\w" in pat or r"\b" in pat else "")
+        c = F.regexp_replace(c, (f"(?{flags})" if flags else "") + _FASTER.get(pat, pat), repl)
     c = _space_keywords(c, ORACLE_SPACED_KEYWORDS if oracle else POSTGRES_SPACED_KEYWORDS)
     c = _collapse(c)
     if dialect != "oracle":
@@ -169,15 +193,17 @@ def normalize_code(code: str | Column, dialect: str = "oracle") -> Column:
 # ---------------------------------------------------------------------------
 
 # string literal | number | dotted name | quoted name | two-char operator | any other symbol
-FINGERPRINT_TOKEN = (r"('[^']*'|\d+(?:\.\d+)?|[A-Za-z_][\w$#]*(?:\.[A-Za-z_][\w$#]*)*"
-                     r"|\"[^\"]*\"|:=|<=|>=|<>|!=|\|\||[^\s\w])")
+FINGERPRINT_TOKEN = (r"('[^']*'|\d+(?:\.\d+)?|[\p{L}_][\p{L}\p{N}_$#]*(?:\.[\p{L}_][\p{L}\p{N}_$#]*)*"
+                     r"|\"[^\"]*\"|:=|<=|>=|<>|!=|\|\||[^\s\p{L}\p{N}_])")
 
 
 def fingerprint_tokens(normalized: str | Column, dialect: str = "oracle") -> Column:
     """Token classes of normalised code: literals become <STRING>/<NUMBER>,
-    names that are not keywords (including table and column names) become
-    <IDENTIFIER>, keywords are upper-cased, symbols stay."""
-    kws = ORACLE_KEYWORDS if dialect == "oracle" else POSTGRES_KEYWORDS + POSTGRES_SYSTEM_NAMES
+    names that are neither keywords nor reserved words (including table and
+    column names, and everything quoted) become <IDENTIFIER>, keywords are
+    upper-cased, symbols stay."""
+    kws = (ORACLE_KEYWORDS + ORACLE_RESERVED if dialect == "oracle"
+           else POSTGRES_KEYWORDS + POSTGRES_SYSTEM_NAMES + POSTGRES_RESERVED)
     # an upper-cased token can only equal the upper-case entries (the
     # lower-case 'plpgsql' entry never matches, as in the reference)
     upper_kws = [k for k in dict.fromkeys(kws) if k == k.upper()]
@@ -188,7 +214,7 @@ def fingerprint_tokens(normalized: str | Column, dialect: str = "oracle") -> Col
         return (F.when(first == "'", F.lit("<STRING>"))
                 .when((first >= "0") & (first <= "9"), F.lit("<NUMBER>"))
                 .when(F.upper(t).isin(*upper_kws), F.upper(t))
-                .when(t.rlike(r'^[A-Za-z_"]'), F.lit("<IDENTIFIER>"))
+                .when(t.rlike(r'^[\p{L}_"]'), F.lit("<IDENTIFIER>"))
                 .otherwise(t))
     return F.transform(toks, cls)
 

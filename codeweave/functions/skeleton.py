@@ -22,7 +22,7 @@ BLOCK_OPENERS = ["BEGIN", "DECLARE", "LOOP", "IF"]
 # double dash, '' quotes, any other single symbol
 QUESTION_TOKEN = r"('s|''|--|[\p{L}\p{N}_]+(?:\.[\p{N}]+)?|[^\p{L}\p{N}_\s])"
 # code skeleton tokens: END [IF|LOOP|CASE] as one token, words, symbols
-SKELETON_TOKEN = r"((?i:END(?:\s+(?:IF|LOOP|CASE))?)(?![\w])|\w+|[^\w\s])"
+SKELETON_TOKEN = r"((?i:END(?:\s+(?:IF|LOOP|CASE))?)(?![\p{L}\p{N}_])|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"
 
 
 def question_skeleton(df: DataFrame, text: str, lexicon: DataFrame, out: str = "question_skeleton",

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 # Word / single-symbol tokens, Unicode letters and digits spelled out so that
 # Java and RE2 (DuckDB) agree: Java's \w is ASCII-only without (?U).
 WORD_OR_SYMBOL = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"
-# The code tokenizer of the cleaning step works on ASCII \w as code is ASCII.
-CODE_TOKEN = r"(\w+|[^\w\s])"
+# The cleaning step's tokens follow the same rule: names may hold any letters.
+CODE_TOKEN = WORD_OR_SYMBOL
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's texts for identical prompts)

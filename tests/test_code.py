@@ -141,3 +141,24 @@ def test_split_statements_and_schema_name(spark):
     assert [(s["stmt_pos"], s["stmt"]) for s in got[0]["s"]] == [(1, "CREATE TABLE a(x INT)"),
                                                                   (2, "UPDATE a SET x = 2")]
     assert got[1]["n"] == "my_db" and got[1]["s"] == []
+
+
+def test_reserved_words_are_not_names(spark):
+    from codeweave.functions.code import exact_match
+    pairs = [("BEGIN OPEN c; END;", "BEGIN CLOSE c; END;", 0), ("SELECT a FROM t ORDER BY a", "SELECT a FROM t GROUP BY a", 0),
+             ("DELETE FROM t WHERE x IN y", "DELETE FROM t WHERE x LIKE y", 0), ("BEGIN OPEN c; END;", "BEGIN open d; END;", 1),
+             ('UPDATE "order" SET a = 1', 'UPDATE "group" SET b = 2', 1)]
+    for dialect in ("oracle", "postgres"):
+        df = spark.createDataFrame(pairs, "a string, b string, same int")
+        for r in df.select("a", "b", "same", exact_match("a", "b", dialect).alias("got")).collect():
+            assert r["got"] == r["same"], r
+
+
+def test_names_of_any_letters(spark):
+    from codeweave.functions.code import clean_candidate, exact_match
+    df = spark.createDataFrame([("CREATE PROCEDURE f ( x NUMBER ) IS BEGIN UPDATE größe SET läufe = 1 ; END;", ["größe", "läufe"])],
+                               "code string, terms array<string>")
+    assert df.select(clean_candidate("code", "terms", "oracle")).first()[0] == \
+        'CREATE PROCEDURE sp ( x NUMBER ) IS BEGIN UPDATE "größe" SET "läufe" = 1 ; END ;'
+    pair = spark.createDataFrame([("UPDATE größe SET ßif = 1", "UPDATE höhe SET längs = 2")], "a string, b string")
+    assert pair.select(exact_match("a", "b", "oracle")).first()[0] == 1
