@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .frames import column_udf
+from .frames import column_udf, worker_store
 from .words import pieces
 
-# Encoded pre-tokens a task remembers; beyond that they are encoded in each piece anew.
+# Encoded pre-tokens a Python worker remembers; beyond that they are encoded in each piece anew.
 CACHE_ENTRIES = 400_000
 
 
@@ -81,7 +81,7 @@ def model_proto(tokens: list[bytes]) -> bytes:
 
 
 class Encoder:
-    """Encodes texts with the model; made once in each task."""
+    """Encodes texts with the model; made once in each Python worker."""
 
     def __init__(self, proto: bytes, pattern: str):
         import regex
@@ -115,14 +115,15 @@ class Encoder:
 def encode(text: Column, tokens: list[bytes], pattern: str) -> Column:
     """array<int> of each whole text: every match of ``pattern`` merged by itself,
     without special tokens.  Null and empty texts give an empty array."""
-    proto, made = model_proto(tokens), []
+    proto = model_proto(tokens)
 
     def run(column: pa.Array) -> pa.Array:
-        if not made:
-            made.append(Encoder(proto, pattern))
+        made = worker_store("byte-level encoders")
+        if (proto, pattern) not in made:
+            made[proto, pattern] = Encoder(proto, pattern)
         at, flat = [0], [np.zeros(0, np.int32)]
         for i, j in pieces(column):
-            for ids in made[0]([t or "" for t in column.slice(i, j - i).to_pylist()]):
+            for ids in made[proto, pattern]([t or "" for t in column.slice(i, j - i).to_pylist()]):
                 flat.append(np.array(ids, np.int32))
                 at.append(at[-1] + len(ids))
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(flat)))
