@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
+from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
@@ -80,8 +82,20 @@ def model_proto(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + _block(2, trainer) + _block(3, normalizer)
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as native 32-bit integers."""
+    return array("i", ids).tobytes()
+
+
+def id_lists(runs: Iterable[bytes]) -> pa.Array:
+    """An array<int> column of packed runs."""
+    runs = list(runs)
+    at = np.cumsum([0, *(len(r) // 4 for r in runs)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(runs), np.int32)))
+
+
 class Encoder:
-    """Encodes texts with the model; made once in each Python worker."""
+    """Encodes texts (to packed ids) with the model; made once in each Python worker."""
 
     def __init__(self, proto: bytes, pattern: str):
         import regex
@@ -92,20 +106,20 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.map = str.maketrans(dict(enumerate(byte_characters())))
         unknown = self.model.unk_id()
-        self.whole = {self.model.id_to_piece(i): i for i in range(self.model.get_piece_size()) if i != unknown}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.whole = {self.model.id_to_piece(i): packed([i]) for i in range(self.model.get_piece_size()) if i != unknown}
+        self.known: dict[str, bytes] = {}
 
-    def _new(self, parts: list[str]) -> dict[str, tuple[int, ...]]:
+    def _new(self, parts: list[str]) -> dict[str, bytes]:
         mapped = [p.encode().decode("latin-1").translate(self.map) for p in parts]
         rest = [m for m in mapped if m not in self.whole]
-        merged = iter(self.model.encode(rest, num_threads=1) if rest else [])
-        return {p: (self.whole[m],) if m in self.whole else tuple(next(merged)) for p, m in zip(parts, mapped)}
+        merged = map(packed, self.model.encode(rest, num_threads=1) if rest else [])
+        return {p: self.whole[m] if m in self.whole else next(merged) for p, m in zip(parts, mapped)}
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
+    def __call__(self, texts: list[str]) -> list[bytes]:
         parts, known = [self.split(t) for t in texts], self.known
         new = list(set(chain.from_iterable(parts)).difference(known))
         known.update(self._new(new))
-        ids = [list(chain.from_iterable(map(known.__getitem__, p))) for p in parts]
+        ids = [b"".join(map(known.__getitem__, p)) for p in parts]
         if len(known) > CACHE_ENTRIES:  # what came first, and so is common, stays
             for p in new:
                 del known[p]
@@ -121,12 +135,8 @@ def encode(text: Column, tokens: list[bytes], pattern: str) -> Column:
         made = worker_store("byte-level encoders")
         if (proto, pattern) not in made:
             made[proto, pattern] = Encoder(proto, pattern)
-        at, flat = [0], [np.zeros(0, np.int32)]
-        for i, j in pieces(column):
-            for ids in made[proto, pattern]([t or "" for t in column.slice(i, j - i).to_pylist()]):
-                flat.append(np.array(ids, np.int32))
-                at.append(at[-1] + len(ids))
-        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(flat)))
+        encoder = made[proto, pattern]
+        return id_lists(chain.from_iterable(encoder([t or "" for t in column.slice(i, j - i).to_pylist()]) for i, j in pieces(column)))
 
     return column_udf(run, "array<int>")(text)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import byte_characters
+from .bpe import byte_characters, id_lists, packed
 from .frames import bounded_batches, column_udf, worker_store
 from .words import pieces
 
@@ -39,7 +39,7 @@ _PLAIN = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
 
 
 class WordEncoder:
-    """Words to little-endian 32-bit ids, with what was met before remembered.
+    """Words to packed 32-bit ids, with what was met before remembered.
 
     A word of plain letters and closing punctuation is two pre-tokens, whose merges
     are looked up directly; any other goes through the whole tokenizer."""
@@ -58,7 +58,7 @@ class WordEncoder:
 
     def _whole(self, words: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<i4").tobytes() for w, e in zip(words, found)}
+        return {w: packed(e.ids) for w, e in zip(words, found)}
 
     def _new(self, words: set[str]) -> dict[str, bytes]:
         parts = {w: m.groups() for w in words if (m := self.plain(w))}
@@ -68,7 +68,7 @@ class WordEncoder:
             low = stem.lower()
             if low not in stems:
                 mapped = low if low.isascii() else low.encode().decode("latin-1").translate(self.bytes)
-                stems[low] = np.array([t.id for t in merge(mapped)], "<i4").tobytes()
+                stems[low] = packed([t.id for t in merge(mapped)])
         out = self._whole([w for w in words if w not in parts])
         out.update((w, stems[stem.lower()] + closing[p]) for w, (stem, p) in parts.items())
         return out
@@ -95,10 +95,8 @@ def encode_words(text: Column, tokenizer_path: str) -> Column:
         made = worker_store("word encoders")
         if spec not in made:
             made[spec] = WordEncoder(spec)
-        ids = [made[spec]([t or "" for t in column.slice(i, j - i).to_pylist()]) for i, j in pieces(column)]
-        flat = list(chain.from_iterable(ids))
-        at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in flat])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(flat), "<i4")))
+        encoder = made[spec]
+        return id_lists(chain.from_iterable(encoder([t or "" for t in column.slice(i, j - i).to_pylist()]) for i, j in pieces(column)))
 
     return column_udf(run, "array<int>")(text)
 
