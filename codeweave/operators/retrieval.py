@@ -49,6 +49,45 @@ class Cosine:
         return _unit_rows(values) @ state.T
 
 
+@dataclass(frozen=True)
+class SparseCosine:
+    """Cosine similarity of two term columns (array<struct<term:long, weight:double>>,
+    see ``tfidf_vectors``).  The eval block is kept as postings by term; every demo
+    adds up the postings of its own terms."""
+    column: str
+    is_distance: bool = False
+
+    def eval_state(self, values: Sequence):
+        rows, terms, weights, norms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], np.zeros(len(values))
+        for i, v in enumerate(values):
+            t, w = _terms(v)
+            norms[i] = np.linalg.norm(w)
+            rows.append(np.full(len(t), i))
+            terms.append(t)
+            weights.append(w)
+        rows, terms, weights = (np.concatenate(x) for x in (rows, terms, weights))
+        order = np.argsort(terms, kind="stable")
+        return rows[order], terms[order], weights[order], norms
+
+    def block(self, state, values: Sequence) -> np.ndarray:
+        rows, terms, weights, norms = state
+        out = np.empty((len(values), len(norms)))
+        for i, v in enumerate(values):
+            t, w = _terms(v)
+            lo = np.searchsorted(terms, t, "left")
+            n = np.searchsorted(terms, t, "right") - lo
+            at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+            dot = np.bincount(rows[at], weights[at] * np.repeat(w, n), minlength=len(norms))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out[i] = dot / (norms * np.linalg.norm(w))  # an empty text has no direction: NaN
+        return out
+
+
+def _terms(value) -> tuple[np.ndarray, np.ndarray]:
+    pairs = [(x["term"], x["weight"]) if isinstance(x, dict) else (x[0], x[1]) for x in value] if value is not None else []
+    return np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.float64)
+
+
 @dataclass(frozen=True)
 class Equality:
     """1.0 when the two values are equal, else 0.0 (a categorical match)."""
@@ -293,45 +332,24 @@ def fuse_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], col_a: str, col_
     return j.withColumn(out, val)
 
 
-def fit_tfidf(df: DataFrame, text: str, num_features: int = 1024):
-    """F2 default encoder, fitted: hashed term frequencies and the inverse
-    document frequencies of ``df`` (one distributed aggregation; the IDF
-    vector has ``num_features`` entries).  Apply with ``tfidf_vectors``."""
-    from pyspark.ml.feature import IDF, HashingTF
-    htf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
-    model = IDF(inputCol="_tf", outputCol="_tfidf").fit(htf.transform(_tfidf_tokens(df, text)))
-    return htf, model
-
-
-def _tfidf_tokens(df: DataFrame, text: str) -> DataFrame:
+def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, n): words and signs of the lower-cased text."""
     from ..functions.text import WORD_OR_SYMBOL
-    return df.withColumn("_tok", F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_OR_SYMBOL), 1))
-
-
-def tfidf_vectors(df: DataFrame, text: str, out: str, num_features: int = 1024,
-                  fit_on: DataFrame | None = None, fitted=None) -> DataFrame:
-    """TF-IDF vector of ``text`` as a dense array<double> for the ``Cosine``
-    kind; ``fitted`` (from ``fit_tfidf``) reuses weights, else they are fitted
-    on ``fit_on`` (default: ``df``).  A model encoder is any vector column the
-    caller adds instead (e.g. ``embeddings``)."""
-    from pyspark.ml.functions import vector_to_array
-    htf, model = fitted or fit_tfidf(fit_on if fit_on is not None else df, text, num_features)
-    vec = model.transform(htf.transform(_tfidf_tokens(df, text)))
-    return vec.withColumn(out, vector_to_array("_tfidf")).drop("_tok", "_tf", "_tfidf")
-
-
-def hashed_tf(df: DataFrame, text: str, out: str, num_features: int = 1024) -> DataFrame:
-    """Hashed term frequencies of ``text`` (the first half of ``tfidf_vectors``),
-    for callers that fit and apply IDF on a materialised TF column."""
-    from pyspark.ml.feature import HashingTF
-    htf = HashingTF(inputCol="_tok", outputCol=out, numFeatures=num_features)
-    return htf.transform(_tfidf_tokens(df, text)).drop("_tok")
-
-
-def idf_vectors(df: DataFrame, tf_col: str, out: str, fit_on: DataFrame | None = None, model=None):
-    """IDF-weighted dense vectors from a TF column; returns (frame, model) so
-    the weights fitted on one side are reused on the other."""
-    from pyspark.ml.feature import IDF
-    from pyspark.ml.functions import vector_to_array
-    model = model or IDF(inputCol=tf_col, outputCol="_tfidf").fit(fit_on if fit_on is not None else df)
-    return model.transform(df).withColumn(out, vector_to_array("_tfidf")).drop("_tfidf"), model
+    return (df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_OR_SYMBOL), 1)).alias("token"))
+            .groupBy(key, "token").agg(F.count(F.lit(1)).alias("n")))
+
+
+def tfidf_vectors(df: DataFrame, text: str, out: str, *, key: str, fit_on: DataFrame | None = None) -> DataFrame:
+    """F2 default encoder: ``out`` = the terms of the text as
+    array<struct<term:long, weight:double>> (a word's 64-bit hash; count times
+    log((N + 1) / (df + 1)) over the N rows of ``fit_on``, default ``df``) for the
+    ``SparseCosine`` kind.  Every word counts, whatever their number.  A model
+    encoder is any vector column that the caller adds instead."""
+    pool = fit_on if fit_on is not None else df
+    total = pool.count()
+    seen = term_counts(pool, key, text).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    weight = F.col("n") * F.log((F.lit(total) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))
+    terms = (term_counts(df, key, text).join(seen, "token", "left")
+             .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("token").alias("term"), weight.alias("weight")))).alias(out)))
+    empty = F.array().cast("array<struct<term:bigint,weight:double>>")
+    return df.join(terms, key, "left").withColumn(out, F.coalesce(F.col(out), empty))

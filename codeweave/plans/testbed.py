@@ -1034,36 +1034,65 @@ def _word_lexicon(docs):
             .select("word", F.when(F.col("df") <= 2, F.lit("NN")).otherwise(F.lit("DT")).alias("tag")))
 
 
-@register("text_skeleton_topk")
+_WORD = r"'([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])'"
+
+
+def _cosine_sql(name: str, column: str) -> str:
+    """CTEs that end in ``<name>``(eval_id, demo_id, s): TF-IDF cosines of a column of
+    ``d`` (pool) and ``b`` (queries)."""
+    return f"""
+{name}_t as (select side, id, token, count(*) as n from (
+    select side, id, unnest(regexp_extract_all(lower({column}), {_WORD}, 1)) as token from sides) group by all),
+{name}_i as (select token, ln(((select count(*) from documents) + 1.0) / (count(*) + 1.0)) as idf from {name}_t where side = 'd' group by token),
+{name}_w as (select side, id, token, n * coalesce(idf, ln((select count(*) from documents) + 1.0)) as w from {name}_t left join {name}_i using (token)),
+{name}_n as (select side, id, sqrt(sum(w * w)) as norm from {name}_w group by all),
+{name}_d as (select e.id as eval_id, d.id as demo_id, sum(e.w * d.w) as dot from {name}_w e join {name}_w d using (token)
+             where e.side = 'b' and d.side = 'd' group by all),
+{name} as (select e.id as eval_id, d.id as demo_id,
+                  case when e.norm > 0 and d.norm > 0 then coalesce(dot, 0) / (e.norm * d.norm) end as s
+           from (select s.id, norm from sides s left join {name}_n n on n.side = s.side and n.id = s.id where s.side = 'b') e
+           cross join (select s.id, norm from sides s left join {name}_n n on n.side = s.side and n.id = s.id where s.side = 'd') d
+           left join {name}_d x on x.eval_id = e.id and x.demo_id = d.id)"""
+
+
+_TEXT_SKELETON_SQL = rf"""
+with words as (select doc_id, unnest(list_distinct(regexp_extract_all(text, {_WORD}, 1))) as word from documents),
+lex as (select word, case when count(*) <= 2 then 'NN' else 'DT' end as tag from words group by word),
+raw as (select 'd' as side, doc_id as id, text from documents union all select 'b', item_id, text from benchmark),
+toks as (select side, id, unnest(t) as tok, unnest(range(len(t))) as pos from (
+  select side, id, regexp_extract_all(text, '(''s|''''|--|[\p{{L}}\p{{N}}_]+(?:\.[\p{{N}}]+)?|[^\p{{L}}\p{{N}}_\s])', 1) as t from raw)),
+shown as (select side, id, pos, case when regexp_matches(tok, '^\p{{N}}') then '_' when lex.tag = 'NN' then '_'
+                                     when tok in ('$', '''''', '(', ')', ',', '--', '.', ':') then null else tok end as w
+          from toks left join lex on lex.word = tok),
+skels as (select side, id, regexp_replace(regexp_replace(replace(replace(string_agg(w, ' ' order by pos), '_ ''s', '_'), ' ''s', '''s'),
+                 '_( _)+', '_', 'g'), '^_ ', '') as skel from shown where w is not null group by all),
+sides as (select raw.side, raw.id, raw.text, coalesce(skel, '') as skel from raw left join skels on skels.side = raw.side and skels.id = raw.id),
+{_cosine_sql('c1', 'text')},
+{_cosine_sql('c2', 'skel')},
+p as (select c1.eval_id, c1.demo_id, round(case when c1.s is null or c2.s is null then null else greatest(c1.s, c2.s) end, 6) as sim
+      from c1 join c2 on c1.eval_id = c2.eval_id and c1.demo_id = c2.demo_id),
+r as (select *, row_number() over (partition by eval_id order by sim desc nulls last, demo_id) as rk from p)
+select eval_id, cast(rk as integer) as rank, demo_id, sim from r where rk <= 3
+"""
+
+
+@register("text_skeleton_topk", sql=_TEXT_SKELETON_SQL)
 def text_skeleton_topk_q(spark, sf):
     """P7 + F2 + J1 + A3(max) + W1: benchmark items retrieve documents by
     the larger of text and question-skeleton TF-IDF cosine similarity."""
     from ..functions.skeleton import question_skeleton
-    from ..operators.retrieval import hashed_tf, idf_vectors
+    from ..operators.retrieval import SparseCosine, tfidf_vectors
     from ..session import cut_lineage
     docs = table(spark, sf, "documents").select("doc_id", "text")
     bench = table(spark, sf, "benchmark").select("item_id", "text")
-    lex = _word_lexicon(docs)
-    # one skeleton pass over both tables (one lexicon join); the
-    # result feeds the IDF fits, the size probe and the scoring pass
-    both = (docs.select(F.lit("d").alias("side"), F.col("doc_id").alias("id"), "text")
-            .unionByName(bench.select(F.lit("b").alias("side"), F.col("item_id").alias("id"), "text")))
-    both = both.withColumn("row_key", F.concat_ws(":", "side", F.col("id").cast("string")))
-    sk = cut_lineage(question_skeleton(both, "text", lex, out="skel", key="row_key"))
-    # term frequencies once (the texts are tokenised a single time), then IDF
-    # fitted on the document pool and applied to both sides
-    tf = cut_lineage(hashed_tf(hashed_tf(sk, "text", "tf_text"), "skel", "tf_skel")
-                     .select("side", "id", "tf_text", "tf_skel"))
-    d_tf = tf.where(F.col("side") == "d")
-    b_tf = tf.where(F.col("side") == "b")
-    d1, m_text = idf_vectors(d_tf, "tf_text", "v_text")
-    d2, m_skel = idf_vectors(d1, "tf_skel", "v_skel")
-    d = cut_lineage(d2.select(F.col("id").alias("doc_id"), "v_text", "v_skel"))
-    b1, _ = idf_vectors(b_tf, "tf_text", "v_text", model=m_text)
-    b2, _ = idf_vectors(b1, "tf_skel", "v_skel", model=m_skel)
-    b = b2.select(F.col("id").alias("item_id"), "v_text", "v_skel")
-    return topk_similar(b.withColumnRenamed("item_id", "eval_id"), d.withColumnRenamed("doc_id", "demo_id"), 3,
-                        kinds=[Cosine("v_text"), Cosine("v_skel")], mode="max")
+    both = (docs.select(F.concat(F.lit("d:"), F.col("doc_id")).alias("row_key"), F.col("doc_id").alias("id"), "text")
+            .unionByName(bench.select(F.concat(F.lit("b:"), F.col("item_id")).alias("row_key"), F.col("item_id").alias("id"), "text")))
+    sk = cut_lineage(question_skeleton(both, "text", _word_lexicon(docs), out="skel", key="row_key"))
+    pool = sk.where(F.col("row_key").startswith("d:"))
+    vec = cut_lineage(tfidf_vectors(tfidf_vectors(sk, "text", "v_text", key="row_key", fit_on=pool),
+                                    "skel", "v_skel", key="row_key", fit_on=pool).select("row_key", "id", "v_text", "v_skel"))
+    sides = [vec.where(F.col("row_key").startswith(s)).withColumnRenamed("id", name) for s, name in (("b:", "eval_id"), ("d:", "demo_id"))]
+    return topk_similar(*sides, 3, kinds=[SparseCosine("v_text"), SparseCosine("v_skel")], mode="max")
 
 
 _RAW_CAND_SQL = ("('CREATE OR REPLACE PROCEDURE update_acct ( c_custkey IN NUMBER , v_bal IN NUMBER ) IS BEGIN "

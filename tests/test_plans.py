@@ -5,8 +5,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from codeweave.plans.text_to_code import (evaluation, few_shot_inputs, pretraining_blocks, pruner_evaluation,
-                                          zero_shot_inputs)
+from codeweave.plans.text_to_code import (evaluation, few_shot_inputs, pretraining_blocks, pruned_schemas,
+                                          pruner_evaluation, training_examples, training_schemas, zero_shot_inputs)
 from codeweave.sources.tasks import read_tasks, schema_columns, schema_tables
 
 from .test_prompts import TASK
@@ -29,8 +29,12 @@ def _fixture(spark, scratch):
 
 def test_few_and_zero_shot_inputs(spark, scratch):
     tasks, ts, cs = _fixture(spark, scratch)
-    few = {r["eval_id"]: r["prompt"] for r in few_shot_inputs(tasks, tasks, ts, cs, k_tables=1, k_columns=2,
-                                                                k_demos=2).collect()}
+    lexicon = spark.createDataFrame([("city", "NN"), ("bank", "NN"), ("loans", "NNS")], "word string, tag string")
+    rows = few_shot_inputs(tasks, tasks, ts, cs, k_tables=1, k_columns=2, k_demos=2, lexicon=lexicon, max_prefix=40).collect()
+    assert all(len(r["input_ids"]) == 40 and r["input_ids"][0] == 1 and r["attention_mask"] == [1] * 40 for r in rows)
+    texts = few_shot_inputs(tasks, tasks, ts, cs, k_demos=1, lexicon=lexicon, mode="texts").collect()
+    assert {r["eval_id"]: r["prompt"].count(r["text"]) for r in texts} == {0: 2, 1: 2}  # its own demo is the nearest
+    few = {r["eval_id"]: r["prompt"] for r in rows}
     assert set(few) == {0, 1}
     assert "table bank , columns = [ state ( VARCHAR2 ) , city ( VARCHAR2 | comment : city name | values : Albany ) ]" in few[0]
     assert "foreign keys : None" in few[0] and "Skeleton: " in few[0]
@@ -68,3 +72,22 @@ def test_few_shot_with_caller_vectors(spark, scratch):
     # with w = 1 only the caller's vectors count: each task's best demo is itself
     by = {r["eval_id"]: r["prompt"] for r in few}
     assert by[0].count("sets the city") >= 2 and by[1].count("deletes loans") >= 2
+
+
+def test_matched_contents_follow_their_columns(spark, scratch):
+    tasks, ts, cs = _fixture(spark, scratch)
+    got = {r["task_id"]: r["matched_contents"] for r in pruned_schemas(tasks, ts, cs, 1, 2).collect()}
+    assert got[0] == {"bank.state": ["NY"]}
+    got = {r["task_id"]: r["matched_contents"] for r in pruned_schemas(tasks, ts, cs, 1, 1).collect()}
+    assert set(got[0]) <= {"bank.state"}
+
+
+def test_training_examples(spark, scratch):
+    tasks, _, _ = _fixture(spark, scratch)
+    for r in training_schemas(tasks, 1, 1).collect():
+        items = {t["table_name"]: t["column_names"] for t in r["schema"]["schema_items"]}
+        assert set(items) == {"bank"} and {"city", "state"} <= set(items["bank"])  # labelled ones stay, even above k
+    for r in training_examples(tasks, max_tokens=300).collect():
+        e = r["example"]
+        assert len(e["input_ids"]) == len(e["labels"]) == len(e["attention_mask"]) == 300
+        assert any(x != -100 for x in e["labels"])
