@@ -66,6 +66,7 @@ def coverage_at_k(items: DataFrame, *, group: Sequence[str], score: str, pos: st
     then the count after joining it back."""
     group = list(group)
     flag = F.col(label).cast("boolean")
+    items = items.withColumn(score, F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))))  # no score ranks last
     worst = items.groupBy(*group).agg(
         F.min(F.when(flag, F.struct(F.col(score).alias("ws"), (-F.col(pos)).alias("wp")))).alias("w"))
     if only_with_positives:

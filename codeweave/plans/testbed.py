@@ -367,7 +367,13 @@ def snapshot_report_q(spark, sf):
 # corpora; English is listed twice (weight 2), as one corpus is in the reference.
 # ---------------------------------------------------------------------------
 
-_LANG_WEIGHTS = [("en", 2), ("de", 1), ("fr", 1), ("es", 1)]
+_LANG_WEIGHTS = [("en", 2), ("de", 1), ("fr", 1), ("es", 1), ("other", 1)]
+
+
+def _corpus_name():
+    """The corpus of a document: its language if listed, else (null too) ``other``."""
+    listed = F.col("lang").isin(*[lang for lang, _ in _LANG_WEIGHTS])
+    return F.when(listed, F.col("lang")).otherwise(F.lit("other"))
 
 
 def _corpora(spark, sf):
@@ -376,18 +382,18 @@ def _corpora(spark, sf):
     docs = table(spark, sf, "documents")
     parts = []
     for lang, w in _LANG_WEIGHTS:
-        d = docs.where(F.col("lang") == lang).select(F.col("doc_id").alias("row_id"),
-                                                     corpus_text("text").alias("text"))
+        d = docs.where(_corpus_name() == lang).select(F.col("doc_id").alias("row_id"),
+                                                      corpus_text("text").alias("text"))
         parts.append((lang, tokenize(d, "text"), w))  # tokenise once, then repeat by weight
     return mix_corpora(parts)
 
 
 _CORPUS_SQL = """
-with w as (select * from (values ('en', 0, 2), ('de', 1, 1), ('fr', 2, 1), ('es', 3, 1)) t(corpus, corpus_pos, weight)),
+with w as (select * from (values ('en', 0, 2), ('de', 1, 1), ('fr', 2, 1), ('es', 3, 1), ('other', 4, 1)) t(corpus, corpus_pos, weight)),
 d as (select w.corpus, w.corpus_pos, c.copy, doc_id as row_id,
              cast(len(regexp_extract_all(regexp_replace(text, '^\\s+|\\s+$', '', 'g'),
                                          '([\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s])', 1)) + 1 as bigint) as length
-      from documents join w on documents.lang = w.corpus
+      from documents join w on case when lang in ('en', 'de', 'fr', 'es') then lang else 'other' end = w.corpus
       cross join lateral (select unnest(range(1, w.weight + 1)) as copy) c)
 """
 
@@ -422,7 +428,7 @@ def pack_blocks_q(spark, sf):
     from ..functions.text import corpus_text
     from ..operators.packing import frequency_vocab, mix_corpora, pack_blocks, tokenize_with_vocab
     from ..session import cut_lineage
-    docs = table(spark, sf, "documents").select("doc_id", "lang", corpus_text("text").alias("text"))
+    docs = table(spark, sf, "documents").select("doc_id", _corpus_name().alias("lang"), corpus_text("text").alias("text"))
     ids = cut_lineage(tokenize_with_vocab(docs, "doc_id", frequency_vocab(docs)).drop("text"))
     parts = [(lang, ids.where(F.col("lang") == lang).withColumnRenamed("doc_id", "row_id"), w) for lang, w in _LANG_WEIGHTS]
     blocks = pack_blocks(mix_corpora(parts), 1024)
@@ -693,8 +699,8 @@ k as (select * from r where rk <= 3),
 shots as (select k.eval_id, string_agg(d.text || chr(10) || 'SELECT * FROM documents WHERE doc_id = ' ||
                  cast(d.doc_id as varchar) || ';' || chr(10) || chr(10), '' order by k.rk) as block
           from k join documents d on d.doc_id = k.demo_id group by k.eval_id),
-t as (select doc_id as eval_id, text, {_DOC_SCHEMA_SQL} as schema_sequence, source from documents
-      where doc_id in (select vec_id from embeddings)),
+t as (select doc_id as eval_id, text || case when doc_id % 3 = 0 then ' for Oracle' else '' end as text,
+             {_DOC_SCHEMA_SQL} as schema_sequence, source from documents),
 pr as (select t.eval_id,
               {_cot_sql('t.text')} || chr(10) || coalesce(s.block, '') || t.schema_sequence || chr(10) || t.text || chr(10) as few,
               t.schema_sequence || chr(10) || 'Skeleton: ' || t.source || chr(10) || t.text || chr(10) ||
@@ -710,8 +716,9 @@ def prompts_q(spark, sf):
                         emb.select(F.col("vec_id").alias("demo_id"), "embedding"), 3,
                         kinds=[Cosine("embedding")], exclude_self=True)
     docs = table(spark, sf, "documents")
-    tasks = (docs.join(emb.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-             .select(F.col("doc_id").alias("eval_id"), "text", "source", _doc_schema_seq().alias("schema_sequence")))
+    # every document is a task (one without a vector gets no demonstrations); a third mention Oracle
+    asked = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit(" for Oracle")).otherwise(F.lit("")))
+    tasks = docs.select(F.col("doc_id").alias("eval_id"), asked.alias("text"), "source", _doc_schema_seq().alias("schema_sequence"))
     demos = docs.select(F.col("doc_id").alias("demo_id"), "text",
                         F.concat(F.lit("SELECT * FROM documents WHERE doc_id = "), F.col("doc_id").cast("string"),
                                  F.lit(";")).alias("plsql"))

@@ -1,36 +1,19 @@
-"""A similarity table written as text, one line per eval row with the
-scores of all demos in demo order, comma-joined (the reference's dump).
-
-Each line is built by its own group, which holds one score per demo: use it
-for pools whose size is bounded; the long parquet form scales without bound."""
+"""Write and read similarities as a long table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
+from pyspark.sql import DataFrame, SparkSession
 
-def similarity_lines(pairs: DataFrame, eval_id: str = "eval_id", demo_id: str = "demo_id",
-                     sim: str = "sim") -> DataFrame:
-    return (pairs.groupBy(eval_id)
-            .agg(F.array_sort(F.collect_list(F.struct(demo_id, sim))).alias("_r"))
-            .select(eval_id, F.array_join(F.transform("_r", lambda r: r[sim].cast("string")), ", ").alias("line")))
+PAIRS = "eval_id long, demo_id long, sim double"
 
 
-MAX_LINE_ITEMS = 1_000_000  # scores per text line (one group, one task)
+def write_similarity(pairs: DataFrame, path: str) -> None:
+    """``pairs(eval_id, demo_id, sim)`` as Parquet, one row for each pair: usually the
+    ranked survivors of ``topk_similar``.  No row of the matrix ever meets in one
+    task, as a line of text for each eval would need."""
+    pairs.select("eval_id", "demo_id", "sim").write.mode("overwrite").parquet(path)
 
 
-def write_similarity(pairs: DataFrame, path: str, long_form: bool = True,
-                     max_line_items: int = MAX_LINE_ITEMS, **cols) -> None:
-    """Long parquet form (``eval_id, demo_id, sim``) by default.  The text
-    form is written only when the demo pool is proven small enough for one
-    line per eval; beyond that the long form is the way to go."""
-    if long_form:
-        pairs.write.mode("overwrite").parquet(path)
-        return
-    demo_id = cols.get("demo_id", "demo_id")
-    n_demos = pairs.agg(F.countDistinct(demo_id)).first()[0] or 0
-    if n_demos > max_line_items:
-        raise ValueError(f"{n_demos} demos per line exceed {max_line_items}; write the long form instead")
-    lines = similarity_lines(pairs, **cols)
-    lines.orderBy(cols.get("eval_id", "eval_id")).select("line").write.mode("overwrite").text(path)
+def read_similarity(spark: SparkSession, path: str) -> DataFrame:
+    """The pairs that ``write_similarity`` wrote."""
+    return spark.read.schema(PAIRS).parquet(path)

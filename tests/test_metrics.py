@@ -77,3 +77,9 @@ def test_first_valid_candidate_cases(spark):
 def test_contains_all(spark):
     df = spark.createDataFrame([([1, 2, 3], [3, 1]), ([1], [1, 2])], "a array<int>, b array<int>")
     assert [r[0] for r in df.select(contains_all("a", "b")).collect()] == [1, 0]
+
+
+def test_coverage_of_a_positive_without_score(spark):
+    df = spark.createDataFrame([(1, 0, None, 1), (1, 1, 0.5, 0), (1, 2, 0.4, 0)], "g int, p int, s double, y int")
+    got = [r["covered"] for r in coverage_at_k(df, group=["g"], score="s", pos="p", label="y", max_k=3).orderBy("k").collect()]
+    assert got == [0, 0, 1]

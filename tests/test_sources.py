@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeweave.operators.prompts import schema_sequence
 from codeweave.sources.cache import materialize_missing
-from codeweave.sources.similarity_sink import similarity_lines, write_similarity
+from codeweave.sources.similarity_sink import read_similarity, write_similarity
 from codeweave.sources.tasks import foreign_keys, read_tasks, rebuild_schema, schema_columns, schema_tables
 
 from .test_prompts import GOLDEN, TASK
@@ -28,14 +28,10 @@ def test_materialize_missing_computes_only_new_keys(spark, scratch):
     assert calls == [2, 1]
 
 
-def test_similarity_lines(spark, scratch):
-    pairs = spark.createDataFrame([(0, 1, 0.5), (0, 0, 1.0), (1, 0, 0.25), (1, 1, 0.75)],
-                                  "eval_id long, demo_id long, sim double")
-    got = {r["eval_id"]: r["line"] for r in similarity_lines(pairs).collect()}
-    assert got == {0: "1.0, 0.5", 1: "0.25, 0.75"}
-    write_similarity(pairs, f"{scratch}/sim", long_form=False)
-    lines = [r[0] for r in spark.read.text(f"{scratch}/sim").collect()]
-    assert sorted(lines) == ["0.25, 0.75", "1.0, 0.5"]
+def test_similarity_round_trip(spark, scratch):
+    pairs = spark.createDataFrame([(0, 1, 0.5), (0, 0, 1.0), (1, 0, None)], "eval_id long, demo_id long, sim double")
+    write_similarity(pairs, f"{scratch}/sim")
+    assert sorted(map(str, read_similarity(spark, f"{scratch}/sim").collect())) == sorted(map(str, pairs.collect()))
 
 
 def test_long_tables_roundtrip(spark, scratch):
