@@ -32,7 +32,7 @@ def register(name: str, sql: str | None = None):
 
 def all_queries() -> dict[str, Query]:
     # importing the plan modules fills the registry
-    from . import testbed  # noqa: F401
+    from . import round_trips, testbed  # noqa: F401
     return dict(_QUERIES)
 
 

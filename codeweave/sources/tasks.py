@@ -40,13 +40,15 @@ def schema_columns(tasks: DataFrame) -> DataFrame:
     column_comment, column_content, is_pk, label)."""
     t = tasks.select("task_id", "column_labels",
                      F.posexplode("schema.schema_items").alias("table_pos", "t"))
+    # parallel arrays; one that a record lacks counts as empty, its values are null
+    part = lambda name, kind: F.coalesce(F.col(f"t.{name}"), F.array().cast(f"array<{kind}>"))
     z = t.select("task_id", "table_pos", F.col("t.table_name").alias("table_name"),
                  F.col("column_labels")[F.col("table_pos")].alias("labels"),
-                 F.arrays_zip(F.col("t.column_names").alias("column_name"),
-                              F.col("t.column_types").alias("column_type"),
-                              F.col("t.column_comments").alias("column_comment"),
-                              F.col("t.column_contents").alias("column_content"),
-                              F.col("t.pk_indicators").alias("is_pk")).alias("z"))
+                 F.arrays_zip(part("column_names", "string").alias("column_name"),
+                              part("column_types", "string").alias("column_type"),
+                              part("column_comments", "string").alias("column_comment"),
+                              part("column_contents", "array<string>").alias("column_content"),
+                              part("pk_indicators", "int").alias("is_pk")).alias("z"))
     c = z.select("task_id", "table_pos", "table_name", "labels", F.posexplode("z").alias("col_pos", "c"))
     return c.select("task_id", "table_pos", "table_name", "col_pos", "c.column_name", "c.column_type",
                     "c.column_comment", "c.column_content", "c.is_pk",
