@@ -5,7 +5,9 @@ Targets share the words of all documents by source weight; a target stops at
 weight.  Within a source every document expects target / words copies.  The
 expected copies are summed up along a fixed order (by size, so that a draw spreads
 over all sizes; then by a hash), one random offset is added, and a document is
-emitted once for each integer its interval crosses.
+emitted once for each integer its interval crosses.  Of evenly spaced offsets after
+a random start a source takes the one that brings its words nearest to its target,
+which matters where one document is a large part of a small source.
 
 The order within a source is cut into cells (size band, first digit of the hash);
 a cell's start is the sum of the cells before it, so no task sorts a whole source.
@@ -17,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BANDS = 16  # size bands for each doubling of the size
+BANDS = 16    # size bands for each doubling of the size
+OFFSETS = 32  # evenly spaced offsets, after a random start, of which a source takes one
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -75,14 +78,19 @@ def mix(docs: DataFrame, weights: list[int], max_repeats: int = 3, key: str = "d
     inside = W.partitionBy(*cell).orderBy("_mix_size", "_mix_hash", key)
     ranked = rows.withColumn("_mix_rank", F.row_number().over(inside)) \
                  .join(starts, cell[0].eqNullSafe(F.col("_c_source")) & (cell[1] == F.col("_c_band")) & (cell[2] == F.col("_c_digit")))
+    placed = ranked.withColumn("_mix_rank", F.col("_start") + F.col("_mix_rank"))
     each = F.when(F.col("_t_size") > 0, F.col("_t_target") / F.col("_t_size")).otherwise(F.lit(0.0))
-    offset = uniform(F.concat(F.lit(f"{seed}:offset:"), F.coalesce(F.col(source).cast("string"), F.lit(""))))
-    upto = lambda rank: F.floor(rank * each + offset)
-    rank = F.col("_start") + F.col("_mix_rank")
-    copies = F.least(upto(rank) - upto(rank - 1), F.lit(max_repeats)).cast("long")
-    return ranked.select(*(F.col(c) for c in docs.columns if c != "_mix"),
-                         F.struct(F.col("_mix_size").alias("size"), F.col("_t_size").alias("source_size"),
-                                  F.col("_t_target").alias("target"), copies.alias("copies")).alias("_mix"))
+    upto = lambda rank, offset: F.floor(rank * each + offset)
+    copies = lambda offset: F.least(upto(F.col("_mix_rank"), offset) - upto(F.col("_mix_rank") - 1, offset),
+                                    F.lit(max_repeats)).cast("long")
+    begin = uniform(F.concat(F.lit(f"{seed}:offset:"), F.coalesce(F.col(source).cast("string"), F.lit(""))))
+    away = lambda j: F.abs(F.sum(F.col("_mix_size") * copies(begin + j / OFFSETS)) - F.max("_t_target"))
+    nearest = F.array_min(F.array(*(F.struct(away(j).alias("away"), F.lit(j).alias("j")) for j in range(OFFSETS))))
+    offsets = placed.groupBy(F.col(source).alias("_o_source")).agg(nearest["j"].alias("_j"))
+    taken = placed.join(offsets, F.col(source).eqNullSafe(F.col("_o_source")))
+    return taken.select(*(F.col(c) for c in docs.columns if c != "_mix"),
+                        F.struct(F.col("_mix_size").alias("size"), F.col("_t_size").alias("source_size"),
+                                 F.col("_t_target").alias("target"), copies(begin + F.col("_j") / OFFSETS).alias("copies")).alias("_mix"))
 
 
 def mixed(docs: DataFrame, weights: list[int], max_repeats: int = 3, **names) -> DataFrame:

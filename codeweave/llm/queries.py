@@ -111,10 +111,15 @@ t AS (
 r AS (
   SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS each,
     row_number() OVER (PARTITION BY d.source ORDER BY floor(log2(size + 1) * 16), substr(h, 1, 1), size, h, doc_id) AS rank,
-    ('0x' || substr(md5('mix:offset:' || coalesce(d.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS shift
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  least(floor(rank * each + shift) - floor((rank - 1) * each + shift), 3)::BIGINT * size AS taken FROM r"""
+    ('0x' || substr(md5('mix:offset:' || coalesce(d.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS begin
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+o AS (
+  SELECT r.*, j, least(floor(rank * each + (begin + j / 32.0::DOUBLE)) - floor((rank - 1) * each + (begin + j / 32.0::DOUBLE)), 3)::BIGINT * size AS taken
+  FROM r, (SELECT unnest(range(32)) AS j)),
+n AS (
+  SELECT source, j, row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken) - max(target)), j) AS nearest FROM o GROUP BY source, j)
+SELECT o.doc_id, o.size, o.source_size, o.target, o.taken
+FROM o JOIN n ON o.source IS NOT DISTINCT FROM n.source AND o.j = n.j AND nearest = 1"""
 
 
 @register("op7_systematic_mix", OP7_SQL)

@@ -50,7 +50,7 @@ def test_targets_copies_and_reruns(spark, docs):
     for r in got:
         biggest[r.source] = max(biggest[r.source], r.size)
     for s, t in want.items():
-        assert abs(taken[s] - t) <= 1.5 * biggest[s], (s, taken[s], t)
+        assert abs(taken[s] - t) <= 0.5 * biggest[s], (s, taken[s], t)
     again = mix(docs(data[::-1]).repartition(7), [5, 2, 1]).select("doc_id", "source", "_mix.*").collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     out = mixed(docs(data), [5, 2, 1])
