@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # Bytes of a column batch handed to a Python kernel.
 BATCH_BYTES = 8 * 1024 * 1024
 
@@ -33,11 +35,8 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.Re
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared one that the cluster names in
-    ``spark.checkpoint.dir`` (tests and local sessions set it as well)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    ``spark.checkpoint.dir`` (a session in one process has a scratch one)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def kept_table(df: DataFrame, purpose: str) -> DataFrame:
