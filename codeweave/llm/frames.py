@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 # Bytes of a column batch handed to a Python kernel.
-BATCH_BYTES = 8 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -31,7 +31,7 @@ BLOCK_TOKENS = 1 << 19
 MIN_COUNT = 32    # replacements that make a rule worth its place
 MAX_ROUNDS = 24   # bounds the grammar's depth; the sequence left then is stored as it is
 SLOTS = 20        # bits of the table that sorts out rare pairs before they are counted
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 
 # Letters that every Unicode version takes for letters, that composition leaves alone
 # and that lower-case one by one (Latin; without U+0130).

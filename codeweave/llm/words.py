@@ -15,7 +15,7 @@ import pyarrow as pa
 
 # Text bytes handled at once; bounds the temporary arrays (about 40 bytes for each
 # text byte).  One longer text is a piece of its own.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 3  # odd, so that it has an inverse modulo 2**64
