@@ -35,7 +35,7 @@ TREES, DEPTH = 16, 8
 MISS = 2e-5            # probability to overlook a pair just at the threshold
 REGION = 1024          # representatives; a region of more is crowded
 BLOCK = 1_000_000      # shingles of a cluster that meet in one block
-BUCKET_ROWS = 20_000   # signatures for each task group
+BUCKET_ROWS = 2_000    # signatures dealt to each group of regions
 
 _U = np.uint64
 _SCALE = seeds(TREES * DEPTH, 21).astype(np.uint32) | np.uint32(1)
@@ -220,7 +220,7 @@ def confirmed_links(clusters: DataFrame, docs: DataFrame, key: str, text: str, l
     wanted = pairs.withColumn("last", F.max("two").over(W.partitionBy("cluster", "one"))).where("one < two OR last = one").drop("last")
     meets = wanted.select("cluster", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
     total = placed.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = total // BLOCK + 1
+    buckets = 8 * total // BLOCK + 1
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     rows = texts.join(placed.select("key", "cluster", "block"), "key")
 
