@@ -28,10 +28,10 @@ from .frames import bounded_batches, column_udf, worker_store
 from .words import pieces
 
 BLOCK_TOKENS = 1 << 19
-MIN_COUNT = 32    # replacements that make a rule worth its place
-MAX_ROUNDS = 24   # bounds the grammar's depth; the sequence left then is stored as it is
+MIN_COUNT = 64    # replacements that make a rule worth its place
+MAX_ROUNDS = 12   # bounds the grammar's depth; the sequence left then is stored as it is
 SLOTS = 20        # bits of the table that sorts out rare pairs before they are counted
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 
 # Letters that every Unicode version takes for letters, that composition leaves alone
 # and that lower-case one by one (Latin; without U+0130).
@@ -52,7 +52,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.split = re.compile(r"[^\x20\x09-\x0D]+").findall
-        self.plain = re.compile(rf"({_PLAIN})([.,;:!?]*)").fullmatch
+        self.plain = re.compile(_PLAIN).fullmatch
         self.bytes = str.maketrans(dict(enumerate(byte_characters())))
         self.known: dict[str, bytes] = {}
 
@@ -61,16 +61,25 @@ class WordEncoder:
         return {w: packed(e.ids) for w, e in zip(words, found)}
 
     def _new(self, words: set[str]) -> dict[str, bytes]:
-        parts = {w: m.groups() for w in words if (m := self.plain(w))}
-        closing = self._whole(sorted({p for _, p in parts.values()}))
-        merge, stems = self.tokenizer.model.tokenize, {}
-        for stem, _ in parts.values():
+        merge, plain, stems, closing = self.tokenizer.model.tokenize, self.plain, {}, {"": b""}
+        out, rest = {}, []
+        for word in words:
+            stem = word.rstrip(".,;:!?")
             low = stem.lower()
-            if low not in stems:
-                mapped = low if low.isascii() else low.encode().decode("latin-1").translate(self.bytes)
-                stems[low] = packed([t.id for t in merge(mapped)])
-        out = self._whole([w for w in words if w not in parts])
-        out.update((w, stems[stem.lower()] + closing[p]) for w, (stem, p) in parts.items())
+            ids = stems.get(low) if stem.isascii() else None
+            if ids is None:
+                if not plain(stem):
+                    rest.append(word)
+                    continue
+                ids = stems.get(low)
+                if ids is None:
+                    mapped = low if low.isascii() else low.encode().decode("latin-1").translate(self.bytes)
+                    ids = stems[low] = packed([t.id for t in merge(mapped)])
+            signs = word[len(stem):]
+            if signs not in closing:
+                closing.update(self._whole([signs]))
+            out[word] = ids + closing[signs]
+        out.update(self._whole(rest))
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
