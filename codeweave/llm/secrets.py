@@ -4,13 +4,15 @@ The named kinds are regular expressions.  On top, every candidate string (a run
 of at least ``WINDOW`` characters that occur in keys) is scanned with a window for
 each character class: the window's entropy follows from character counts that
 change by one in and one out as it moves.  Windows above the class's threshold
-are united to spans; an allow-list suppresses harmless look-alikes.
+are united to spans; an allow-list and the form of words, names and paths suppress
+harmless look-alikes.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from .frames import map_batches
 from .words import find, pieces
 
 BASE_KINDS = ("assign", "access", "hex")
-KINDS = BASE_KINDS + ("entropy_hex", "entropy_mixed")
+KINDS = BASE_KINDS + ("entropy_hex", "entropy_base32", "entropy_alnum", "entropy_mixed", "entropy_url")
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                      re.IGNORECASE | re.ASCII)
@@ -29,25 +31,36 @@ _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_k
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 
-WINDOW = 24
+WINDOW = 16
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
-# Character class -> (pattern of its runs, bits a window must reach).  A random
-# window of 24 has about 3.6 bits over 16 symbols and 4.4 over 64; 24 letters of
-# prose have 3.0 to 3.9.
+# Character class -> (pattern of its runs, bits a window must reach).  The bits are
+# the 1 % quantile of random windows of 16 over 16, 32, 36 and 64 symbols, rounded
+# down; a longer key has many windows, and one is enough.  16 letters of English prose
+# have 2.7 to 3.8, so words are told by their form (_word_like), not by bits alone.
 _CLASSES = {
-    "entropy_hex": (re.compile(rf"[0-9a-fA-F]{{{WINDOW},}}"), 3.0),
-    "entropy_mixed": (re.compile(rf"[A-Za-z0-9+/]{{{WINDOW},}}"), 4.0),
+    "entropy_hex": (re.compile(rf"[0-9a-fA-F]{{{WINDOW},}}"), 2.65),
+    "entropy_base32": (re.compile(rf"[A-Z2-7]{{{WINDOW},}}|[a-z2-7]{{{WINDOW},}}"), 3.07),
+    "entropy_alnum": (re.compile(rf"[A-Z0-9]{{{WINDOW},}}|[a-z0-9]{{{WINDOW},}}"), 3.12),
+    "entropy_mixed": (re.compile(rf"[A-Za-z0-9+/]{{{WINDOW},}}"), 3.37),
+    "entropy_url": (re.compile(rf"[A-Za-z0-9_-]{{{WINDOW},}}"), 3.37),
 }
 # Never secrets: UUIDs, alphabets and digit rows, one kind of letter only.
+_UUID = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
 _ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
     re.compile(r".*(?:abcdefghij|0123456789|ABCDEFGHIJ).*"),
     re.compile(r"[a-z/_=-]+|[A-Z/_=-]+|[0-9/_=+-]+|[A-Z]?[a-z]+(?:[/_=-][A-Z]?[a-z]+)*"),
 )
-_C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # one more while the window moves
+# Parts of names and paths: words in any of the usual cases with digits at either end, or
+# one number inside where the cases are mixed; a part under 12 characters may hold more.
+_TWO = "A[nst]|B[ey]|D[bo]|Ex|Go|I[dfnost]|M[ey]|No|O[fnr]|Py|So|To|U[ip]|We"
+_HUMPS = rf"(?:[A-Z]*+[a-z]{{2,}}+|[A-Z]*(?:{_TWO})(?![a-z]))*+[A-Z]*+"
+_PART = re.compile(rf"[0-9]*+|[0-9]{{0,4}}+{_HUMPS}[0-9]{{0,4}}+|(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z]){_HUMPS}[0-9]{{1,2}}+[a-z]?{_HUMPS}")
+_SHORT_PART = re.compile(r"[0-9]*+(?:[A-Z]?[a-z]++|[A-Z]*+)[0-9]*+(?:[a-z]++|[A-Z]*+)")
+_BETWEEN = re.compile(r"[^+/_=-]+")
+_C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, 26)]  # one more while the window moves
 
 
-def high_entropy_spans(run: str, bits: float, window: int = WINDOW) -> list[tuple[int, int]]:
+def high_entropy_spans(run: str, bits: float, window: int = 24) -> list[tuple[int, int]]:
     """United spans of the windows of ``run`` whose Shannon entropy is ``bits`` or more."""
     spans: list[tuple[int, int]] = []
     counts: dict[str, int] = {}
@@ -71,17 +84,35 @@ def high_entropy_spans(run: str, bits: float, window: int = WINDOW) -> list[tupl
     return spans
 
 
+def _word_like(part: str) -> bool:
+    return bool(_PART.fullmatch(part) or len(part) < 12 and _SHORT_PART.fullmatch(part))
+
+
 def entropy_spans(word: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in ``word`` of what the entropy rule finds."""
+    """(kind, start, end) in ``word`` of what the entropy rule finds; of a span inside
+    another class's, only the longer, and of equal ones the smaller class's."""
     found = []
     for candidate in _CANDIDATE.finditer(word):
-        if any(rule.fullmatch(candidate[0]) for rule in _ALLOWED):
+        text = _UUID.sub(lambda m: "=" * len(m[0]), candidate[0])  # in no class, and a separator
+        if any(rule.fullmatch(text) for rule in _ALLOWED):
+            continue
+        odd = [p.span() for p in _BETWEEN.finditer(text) if not _word_like(p[0])]  # in order
+        if not odd:
             continue
+        ends = [b for _, b in odd]
+        spans = []
         for kind, (runs, bits) in _CLASSES.items():
-            for run in runs.finditer(candidate[0]):
-                at = candidate.start() + run.start()
-                found += [(kind, at + a, at + b) for a, b in high_entropy_spans(run[0], bits)
-                          if not any(rule.fullmatch(run[0][a:b]) for rule in _ALLOWED)]
+            for run in runs.finditer(text):
+                for a, b in high_entropy_spans(run[0], bits, WINDOW):
+                    next_odd = bisect_right(ends, run.start() + a)  # the first that ends inside or behind
+                    if next_odd < len(odd) and odd[next_odd][0] < run.start() + b \
+                            and not any(rule.fullmatch(run[0][a:b]) for rule in _ALLOWED):
+                        spans.append((kind, run.start() + a, run.start() + b))
+        reach = -1
+        for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):  # stable: smaller classes first
+            if b > reach:
+                found.append((kind, candidate.start() + a, candidate.start() + b))
+                reach = b
     return found
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 from codeweave.llm.secrets import BASE_KINDS, KINDS, entropy_spans, find_secrets, high_entropy_spans
@@ -61,3 +62,35 @@ def test_empty_table_and_clashing_columns(spark, docs):
     assert find_secrets(docs([])).collect() == []
     extra = spark.createDataFrame([(1, "token=abcdefgh", 5, "x")], "doc_id long, text string, spans int, key string")
     assert [tuple(s) for s in find_secrets(extra).collect()[0].spans] == [("assign", 0, 14)]
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+ALPHABETS = {"hex": "0123456789abcdef", "lower": LETTERS + "0123456789", "upper": LETTERS.upper() + "0123456789",
+             "base32": LETTERS.upper() + "234567", "base62": LETTERS + LETTERS.upper() + "0123456789",
+             "base64": LETTERS + LETTERS.upper() + "0123456789+/", "base64url": LETTERS + LETTERS.upper() + "0123456789-_"}
+
+
+def test_random_keys_of_every_alphabet_are_found():
+    rnd = random.Random(5)
+    for name, alphabet in ALPHABETS.items():
+        for n, most in ((16, 0.12), (20, 0.06), (24, 0.03), (32, 0.01), (40, 0.005)):
+            keys = ["".join(rnd.choices(alphabet, k=n)) for _ in range(1000)]
+            missed = sum(not entropy_spans(k) for k in keys)
+            assert missed <= most * len(keys), (name, n, missed)
+
+
+def test_a_base64url_key_is_one_span_and_a_hex_key_keeps_its_class():
+    key = "q7Zt-0bVx_9RkP3-mW2y_LsD8fHc4-Ua"
+    assert entropy_spans(f"key={key}") == [("entropy_url", 4, 4 + len(key))]
+    assert entropy_spans("9f86d081884c7d65") == [("entropy_hex", 0, 16)]
+    assert [s[0] for s in entropy_spans("k3z9x0q7w1m5t8b2")] == ["entropy_alnum"]
+
+
+def test_words_paths_and_identifiers_stay_clean():
+    for word in ("internationalization", "/usr/lib/python3.13/site-packages/pyspark/sql/functions", "getElementsByTagNameNS",
+                 "spark_sql_shuffle_partitions_2", "MAX_CONNECTION_RETRY_COUNT", "x86_64-linux-gnu/libstdc++", "2024-01-15T10-30-00Z",
+                 "HTTPServerRequestHandler", "AutoNumberInAList", "removeTestAtIndex", "test_sha256_utf8_round_trip",
+                 "src/main/java/org/apache/hadoop/Log4jConfiguration", "--executor-memory=3000m",
+                 "/users/123e4567-e89b-12d3-a456-426614174000/profile", "4304158793483661",
+                 "/home/user/Documents/Annual-Report-2023/chapter_07", "Content-Transfer-Encoding=quoted-printable"):
+        assert entropy_spans(word) == [], word
