@@ -27,9 +27,8 @@ from .bpe import byte_characters, id_lists, packed
 from .frames import bounded_batches, column_udf, worker_store
 from .words import pieces
 
-BLOCK_TOKENS = 1 << 19
-MIN_COUNT = 64    # replacements that make a rule worth its place
-MAX_ROUNDS = 12   # bounds the grammar's depth; the sequence left then is stored as it is
+BLOCK_TOKENS = 1 << 20
+MIN_COUNT = 16    # replacements that make a rule worth its place
 SLOTS = 20        # bits of the table that sorts out rare pairs before they are counted
 CACHE_ENTRIES = 500_000
 
@@ -144,37 +143,54 @@ class Grammar:
         return self.expand(self.sequence[first:last])[start - zero:start - zero + count]
 
 
-def re_pair(ids: np.ndarray, min_count: int = MIN_COUNT, max_rounds: int = MAX_ROUNDS) -> Grammar:
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    """64 bits for each code, different for different codes."""
+    return codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _replaced(codes: np.ndarray, often: np.ndarray, own: np.ndarray, pairs: np.ndarray, measure: np.ndarray,
+              least: int, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places, without overlap, of pairs of ``least`` measure that no overlapping pair's
+    exceeds (of ties in a row every second), and which pair is there; ``min_count`` or
+    more of each."""
+    weight = np.zeros(len(codes), np.int64)
+    weight[often] = measure[own]
+    best = weight >= least
+    best[1:] &= weight[1:] >= weight[:-1]
+    best[:-1] &= weight[:-1] >= weight[1:]
+    run = np.flatnonzero(best & ~np.concatenate([[False], best[:-1]]))
+    place = np.flatnonzero(best)
+    place = place[(place - run[np.searchsorted(run, place, "right") - 1]) % 2 == 0]
+    kind = np.searchsorted(pairs, codes[place])
+    enough = np.bincount(kind, minlength=len(pairs)) >= min_count
+    return place[enough[kind]], kind[enough[kind]]
+
+
+def re_pair(ids: np.ndarray, min_count: int = MIN_COUNT) -> Grammar:
     """Grammar of a sequence of ids.  In each round a pair is replaced where it is more
-    frequent than the pairs that overlap it (in a run of equals every second), if that happens
-    ``min_count`` times or more."""
+    frequent than the pairs that overlap it, if that happens ``min_count`` times or more;
+    the rounds end when no pair has so many places without overlap."""
     sequence = ids.astype(np.int64)
     base = int(sequence.max()) + 1 if len(sequence) else 0
     grammar = Grammar(base, np.zeros((0, 2), np.int64), np.zeros(0, np.int64), sequence)
-    for _ in range(max_rounds):
-        sequence = grammar.sequence
-        if len(sequence) < 2:
-            break
+    while len(sequence := grammar.sequence) > 1:
         top = base + len(grammar.rules)
         codes = sequence[:-1] * top + sequence[1:]
-        slot = (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).view(np.int64)
-        often = np.flatnonzero((np.bincount(slot, minlength=1 << SLOTS) >= min_count)[slot])  # no frequent pair is lost
+        slot = (_mixed(codes) >> np.uint64(64 - SLOTS)).view(np.int64)
+        often = (np.bincount(slot, minlength=1 << SLOTS) >= min_count)[slot]  # no frequent pair is lost
+        same = np.flatnonzero(sequence[1:] == sequence[:-1])
+        run = np.flatnonzero(np.diff(same, prepend=-2) != 1)
+        nth = np.arange(len(same)) - np.repeat(run, np.diff(run, append=len(same)))
+        often[same[nth % 2 == 1]] = False  # in a run of equals every second
+        often = np.flatnonzero(often)
         pairs, own, count = np.unique(codes[often], return_inverse=True, return_counts=True)
-        weight = np.zeros(len(codes), np.int64)
-        weight[often] = count[own]
-        best = weight >= min_count
-        best[1:] &= weight[1:] >= weight[:-1]
-        best[:-1] &= weight[:-1] >= weight[1:]
-        run = np.flatnonzero(best & ~np.concatenate([[False], best[:-1]]))  # in a run of equals every second one
-        if not len(run):
-            break
-        place = np.flatnonzero(best)
-        place = place[(place - run[np.searchsorted(run, place, "right") - 1]) % 2 == 0]
-        kind = np.searchsorted(pairs, codes[place])
-        enough = np.bincount(kind, minlength=len(pairs)) >= min_count
-        at, kind = place[enough[kind]], kind[enough[kind]]
-        if not len(at):
+        if not (count >= min_count).any():
             break
+        at, kind = _replaced(codes, often, own, pairs, count, min_count, min_count)
+        if not len(at):  # ties cut every pair's places: by rank the most frequent pair gets all of its own
+            rank = np.empty(len(pairs), np.int64)
+            rank[np.lexsort((_mixed(pairs), count))] = np.arange(1, len(pairs) + 1)
+            at, kind = _replaced(codes, often, own, pairs, np.where(count >= min_count, rank, 0), 1, min_count)
         fresh = np.unique(kind)
         symbol = np.zeros(len(pairs), np.int64)
         symbol[fresh] = top + np.arange(len(fresh))

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -42,6 +43,38 @@ def test_grammar_round_trip_and_random_access():
     assert len(tokenfile.re_pair(np.array([1, 2, 3, 4] * 1000), min_count=2).sequence) < 20
 
 
+def most_places(sequence):
+    """Places without overlap of the most frequent pair."""
+    count, last = Counter(), {}
+    for i, pair in enumerate(zip(sequence, sequence[1:])):
+        if last.get(pair, -2) < i - 1:
+            count[pair] += 1
+            last[pair] = i
+    return max(count.values(), default=0)
+
+
+def test_rounds_end_when_no_pair_is_frequent():
+    rnd = random.Random(2)
+    for k in (2, 3, 5, 40, 300):
+        for n in (2, 3, 16):
+            ids = np.array([rnd.randrange(k) for _ in range(3000)] + [1] * 99 + list(range(200)) * 9, np.int64)
+            g = tokenfile.re_pair(ids, min_count=n)
+            assert (g.expand(g.sequence) == ids).all()
+            assert most_places(g.sequence.tolist()) < n
+    deep = np.array([7] * (1 << 18), np.int64)  # more rounds than 12
+    assert most_places(tokenfile.re_pair(deep, min_count=2).sequence.tolist()) < 2
+
+
+def test_twenty_copies_in_a_block_are_compressed():
+    rng = np.random.default_rng(4)
+    passages = rng.integers(0, 49_000, (50, 600))
+    ids = np.concatenate([rng.integers(0, 49_000, 300_000), np.tile(passages, (20, 1))[rng.permutation(1000)].ravel()])
+    assert tokenfile.BLOCK_TOKENS >= len(ids)
+    g = tokenfile.re_pair(ids)
+    assert (g.expand(g.sequence) == ids).all()
+    assert len(g.sequence) < 310_000
+
+
 def test_written_files_equal_the_library(spark, docs):
     rows = [(len(TEXTS) - i, t) for i, t in enumerate(TEXTS)] + [(None, "null key"), (3, "again"), (3, "again")]
     path = shared_folder(spark, "tokens")
