@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
+from string import ascii_lowercase, ascii_uppercase, digits
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,9 @@ _CLASSES = {
 }
 # Never secrets: UUIDs, alphabets and digit rows, one kind of letter only.
 _UUID = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
-_ALLOWED = (
-    re.compile(r".*(?:abcdefghij|0123456789|ABCDEFGHIJ).*"),
-    re.compile(r"[a-z/_=-]+|[A-Z/_=-]+|[0-9/_=+-]+|[A-Z]?[a-z]+(?:[/_=-][A-Z]?[a-z]+)*"),
-)
+_ROW = re.compile("|".join(row[:10] + "".join(f"(?:{c}" for c in row[10:]) + ")?" * len(row[10:])
+                           for row in (ascii_lowercase, ascii_uppercase, digits)))
+_ALLOWED = re.compile(r"[a-z/_=-]+|[A-Z/_=-]+|[0-9/_=+-]+|[A-Z]?[a-z]+(?:[/_=-][A-Z]?[a-z]+)*")
 # Parts of names and paths: words in any of the usual cases with digits at either end, or
 # one number inside where the cases are mixed; a part under 12 characters may hold more.
 _TWO = "A[nst]|B[ey]|D[bo]|Ex|Go|I[dfnost]|M[ey]|No|O[fnr]|Py|So|To|U[ip]|We"
@@ -93,8 +93,10 @@ def entropy_spans(word: str) -> list[tuple[str, int, int]]:
     another class's, only the longer, and of equal ones the smaller class's."""
     found = []
     for candidate in _CANDIDATE.finditer(word):
-        text = _UUID.sub(lambda m: "=" * len(m[0]), candidate[0])  # in no class, and a separator
-        if any(rule.fullmatch(text) for rule in _ALLOWED):
+        text = candidate[0]
+        for harmless in (_UUID, _ROW):  # only they themselves, not what stands beside them
+            text = harmless.sub(lambda m: "=" * len(m[0]), text)  # in no class, and a separator
+        if _ALLOWED.fullmatch(text):
             continue
         odd = [p.span() for p in _BETWEEN.finditer(text) if not _word_like(p[0])]  # in order
         if not odd:
@@ -106,7 +108,7 @@ def entropy_spans(word: str) -> list[tuple[str, int, int]]:
                 for a, b in high_entropy_spans(run[0], bits, WINDOW):
                     next_odd = bisect_right(ends, run.start() + a)  # the first that ends inside or behind
                     if next_odd < len(odd) and odd[next_odd][0] < run.start() + b \
-                            and not any(rule.fullmatch(run[0][a:b]) for rule in _ALLOWED):
+                            and not _ALLOWED.fullmatch(run[0][a:b]):
                         spans.append((kind, run.start() + a, run.start() + b))
         reach = -1
         for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):  # stable: smaller classes first

@@ -94,3 +94,13 @@ def test_words_paths_and_identifiers_stay_clean():
                  "/users/123e4567-e89b-12d3-a456-426614174000/profile", "4304158793483661",
                  "/home/user/Documents/Annual-Report-2023/chapter_07", "Content-Transfer-Encoding=quoted-printable"):
         assert entropy_spans(word) == [], word
+
+
+def test_a_row_hides_itself_only():
+    key = "9aB3xQ7zLp0Vw2Rt5YkM8nC4dF6hJ1sG"
+    for row in ("0123456789", LETTERS, LETTERS.upper()):
+        for sign in "/_=-+":
+            (_, start, end), = entropy_spans(f"{row}{sign}{key}")
+            assert start in (len(row), len(row) + 1) and end == len(row) + 1 + len(key), (row, sign)
+    for word in (LETTERS, LETTERS.upper() + "0123456789", LETTERS.upper() + LETTERS + "0123456789+/", "abcdefghijklmnop0123456789"):
+        assert entropy_spans(word) == [], word
