@@ -1,10 +1,11 @@
-"""Near-duplicate components by a MinHash forest, confirmed on whole shingle sets.
+"""Near-duplicate components by MinHash prefix regions, confirmed on whole shingle sets.
 
 * Documents with equal shingle sets form a class; the smallest key stands for it.
-* A representative has ``TREES`` labels of ``DEPTH`` minimum hashes.  Each tree is a
-  sorted order of the labels; those that share a prefix form a region.  A region
-  ends at the shallow depth, a crowded one at the deep depth: at that depth a pair
-  at the threshold still shares a region of some tree with probability 1 - ``MISS``.
+* A representative has ``TREES`` labels of ``DEPTH`` minimum hashes.  In each tree, those
+  whose hashed prefixes are equal form a region; no order is sorted and no common prefix
+  is measured (banded hashing with one finer step, not a forest's search).  The prefix
+  has the shallow depth, in a crowded region the deep one: at that depth a pair at the
+  threshold still shares a region of some tree with probability 1 - ``MISS``.
 * Within a region, neighbours whose signatures agree enough (five standard
   deviations below the threshold) become candidates.  Only a spanning forest of them
   is kept.  A region that is crowded even at the deep depth is one candidate as a
