@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.prefix import grouped_exclusive_prefix
 from .components import components
 from .frames import bounded_batches, kept_table
 from .words import Words, find, mix, pieces, seeds, window_starts, windows
@@ -207,11 +208,17 @@ def candidate_links(reps: DataFrame, like: Likeness) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(near_in_regions, LINK).unionAll(chained)
 
 
+def in_blocks(clusters: DataFrame) -> DataFrame:
+    """The members (key, n_shingles, cluster) with ``block``: their cluster, by set size, is
+    cut after every ``BLOCK`` shingles.  The running sum is dealt out by ranges."""
+    placed = grouped_exclusive_prefix(clusters.select("key", "n_shingles", "cluster"), ["n_shingles", "key"], "n_shingles", ["cluster"], "before")
+    return placed.select("key", "n_shingles", "cluster", F.floor(F.col("before") / BLOCK).alias("block"))
+
+
 def confirmed_links(clusters: DataFrame, docs: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
     """(a, b): spanning links, true on whole sets, of the members (key, n_shingles,
     cluster) of each cluster."""
-    along = W.partitionBy("cluster").orderBy("n_shingles", "key").rowsBetween(W.unboundedPreceding, -1)
-    placed = kept_table(clusters.withColumn("block", F.floor(F.coalesce(F.sum("n_shingles").over(along), F.lit(0)) / BLOCK)), "blocks")
+    placed = kept_table(in_blocks(clusters), "blocks")
     blocks = placed.groupBy("cluster", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     a, b = blocks.alias("a"), blocks.alias("b")
     pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.block") <= F.col("b.block"))

@@ -6,6 +6,7 @@ import pytest
 from codeweave.llm import neardup
 from codeweave.llm.components import components
 from codeweave.llm.neardup import Likeness, near_duplicates, spanning, without_near_duplicates
+from codeweave.operators import prefix
 
 
 def sets(rows):
@@ -108,3 +109,28 @@ def test_spanning_forest_and_depths():
     forest = spanning(20, lambda i, rest: np.array([(i, j) in adjacent for j in rest]))
     assert {n: r for n, r in forest} == {n: n % 5 for n in range(5, 20)}
     assert Likeness(85).deep == 4 and Likeness(80).deep == 3
+
+
+def test_one_large_cluster_is_summed_over_many_ranges(spark, monkeypatch):
+    ranges, dealt = [], prefix.ranged
+
+    def watched(*args):
+        out = dealt(*args)
+        ranges.extend(r["count"] for r in out.groupBy("_range").count().collect())
+        return out
+
+    monkeypatch.setattr(prefix, "ranged", watched)
+    monkeypatch.setattr(neardup, "BLOCK", 100)
+    members = [(k, 3 + k % 50, 1 if k < 3600 else k // 10) for k in range(4000)]
+    few = "spark.sql.adaptive.coalescePartitions.enabled"  # would join ranges as small as these
+    spark.conf.set(few, "false")
+    try:
+        got = neardup.in_blocks(spark.createDataFrame(members, "key long, n_shingles long, cluster long")).collect()
+    finally:
+        spark.conf.unset(few)
+    want, before = {}, {}
+    for k, n, c in sorted(members, key=lambda m: (m[2], m[1], m[0])):
+        want[k] = (n, c, before.get(c, 0) // 100)
+        before[c] = before.get(c, 0) + n
+    assert {r.key: (r.n_shingles, r.cluster, r.block) for r in got} == want and len(got) == len(members)
+    assert sum(ranges) == len(members) and max(ranges) < 3600
