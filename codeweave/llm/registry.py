@@ -22,4 +22,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # importing the query modules fills the registry
-from . import queries  # noqa: E402,F401
+from . import queries, structure_queries  # noqa: E402,F401
