@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import trie
+from . import phrases, trie
 from .frames import kept_table
 from .registry import register, table
 
@@ -59,3 +59,32 @@ def op11_prefix_trie(spark, sf_dir):
     """The prefix trie of all rebuilt conversations."""
     turns = kept_table(trie.marked_turns(table(spark, sf_dir, "conversations")), "turns")
     return trie.conversation_trie(*rebuilt_turns(turns))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+spans AS (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(ws) >= m),
+f AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*)::HUGEINT AS f FROM spans GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+parts AS (SELECT lang, m, phrase, f, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+cuts AS (
+  SELECT *, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM parts)),
+scored AS (
+  SELECT c.lang, c.phrase, c.m, c.f AS a, k, l.f AS l, r.f AS r, n.n AS n, (1000 * c.f * n.n) // (l.f * r.f) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = x JOIN f r ON r.lang = c.lang AND r.phrase = y JOIN n ON n.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+alone AS (
+  SELECT * FROM lowest s WHERE NOT EXISTS (
+    SELECT 1 FROM f q WHERE q.lang = s.lang AND q.m > s.m AND 100 * q.f >= 100 * s.a AND contains(' ' || q.phrase || ' ', ' ' || s.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM alone QUALIFY rank <= 2000"""
+
+
+@register("op12_phrase_collocations", OP12_SQL)
+def op12_phrase_collocations(spark, sf_dir):
+    """The collocations of each language's documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, best=2000)
