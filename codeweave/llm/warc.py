@@ -4,7 +4,7 @@ Every record is a gzip member of its own.  The reader deals out byte ranges of t
 files; a task scans its range for the gzip magic, takes a candidate as a member
 only if its decoded start is a WARC header, and owns the records that start inside
 the range (the last may end behind it).  Within a range members follow each other,
-so only the first needs the scan.
+so only the first is scanned for; where a member ends, the next must start.
 
 Files go straight to the shared folder through Arrow's file systems.  Each attempt
 of a task writes a file of its own; the manifest, which comes from the attempts
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .frames import BATCH_BYTES, bounded_batches, kept_table, shared_folder
 
 SPLIT_BYTES = 16 * 1024 * 1024
+MAX_RANGES = 100_000
 READ_BYTES = 1024 * 1024
+HEAD_BYTES = 4096     # of a candidate, to see whether a record's header starts there
 MAGIC = b"\x1f\x8b\x08"
 MIN_REVISIT = 1000
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -103,64 +105,81 @@ def write_archives(records: DataFrame, folder: str | None = None) -> DataFrame:
                       .mapInArrow(run, "path string, bytes long, records long"), "warc-manifest")
 
 
-class _Range:
-    """Bytes of a file from an offset on, read ahead in blocks."""
+class _Window:
+    """A file's bytes from an offset on, read ahead in blocks; moving on copies nothing."""
 
     def __init__(self, file, start: int):
-        self.file, self.at, self.held = file, start, b""
+        self.file, self.base, self.held, self.place = file, start, b"", 0
 
-    def fill(self, n: int) -> bool:
-        """Hold at least n bytes, or all up to the file's end; whether there are n."""
-        while len(self.held) < n:
-            more = self.file.read_at(max(READ_BYTES, n - len(self.held)), self.at + len(self.held))
-            if not more:
-                return False
-            self.held += more
-        return True
+    @property
+    def at(self) -> int:
+        return self.base + self.place
 
-    def drop(self, n: int) -> None:
-        self.at, self.held = self.at + n, self.held[n:]
+    def view(self, n: int) -> memoryview:
+        """The next n bytes, fewer only at the file's end."""
+        if len(self.held) - self.place < n:
+            more = self.file.read_at(max(READ_BYTES, n), self.base + len(self.held))
+            self.held, self.base, self.place = self.held[self.place:] + more, self.at, 0
+        return memoryview(self.held)[self.place:self.place + n]
 
 
-def _starts_record(data: bytes) -> bool:
+def _starts_record(data) -> bool:
     try:
         return zlib.decompressobj(31).decompress(data, 8).startswith(b"WARC/1.")
     except zlib.error:
         return False
 
 
-def _first_member(source: _Range, end: int) -> bool:
+def _first_member(window: _Window, end: int) -> bool:
     """Move to the first member that starts before ``end``; False if none does."""
-    while source.at < end:
-        source.fill(READ_BYTES)
-        k = source.held.find(MAGIC)
+    while window.at < end:
+        if len(window.view(HEAD_BYTES)) < len(MAGIC):
+            return False
+        k = window.held.find(MAGIC, window.place)
         if k < 0:
-            if not source.held:
-                return False
-            source.drop(max(1, len(source.held) - len(MAGIC) + 1))
+            window.place = max(window.place + 1, len(window.held) - len(MAGIC) + 1)
             continue
-        source.drop(k)
-        source.fill(4096)
-        if source.at < end and _starts_record(source.held[:4096]):
+        window.place = k
+        if window.at < end and _starts_record(window.view(HEAD_BYTES)):
             return True
-        source.drop(1)
+        window.place += 1
     return False
 
 
-def _decoded(source: _Range, path: str) -> bytes:
-    """The member at the source's place, which moves behind it."""
-    start, unzip, out = source.at, zlib.decompressobj(31), []
+def _decoded(window: _Window, path: str) -> bytes:
+    """The member at the window's place, which moves behind it."""
+    start, unzip, out, step = window.at, zlib.decompressobj(31), [], HEAD_BYTES
     while not unzip.eof:
-        if not source.held and not source.fill(1):
+        chunk = window.view(step)
+        if not chunk:
             raise ValueError(f"{path}: the member at {start} is cut off")
         try:
-            out.append(unzip.decompress(source.held))
+            out.append(unzip.decompress(chunk))
         except zlib.error as e:
             raise ValueError(f"{path}: the member at {start} is damaged: {e}") from e
-        source.drop(len(source.held) - len(unzip.unused_data))
+        window.place += len(chunk) - len(unzip.unused_data)
+        step = min(4 * step, READ_BYTES // 4)
     return b"".join(out)
 
 
+def _members(window: _Window, start: int, end: int, path: str) -> Iterator[tuple[int, bytes]]:
+    """(offset, decoded bytes) of the members that start in [start, end).  Only the first
+    is searched for, and at the file's start not even that: every other one must start
+    where the one before it ended, behind the range's end too.  So each member's start
+    is checked by someone."""
+    if start and not _first_member(window, end):
+        return
+    while True:
+        head = window.view(HEAD_BYTES)
+        if not head:
+            return
+        if not _starts_record(head):
+            raise ValueError(f"{path}: no record starts at {window.at}, where one should")
+        if window.at >= end:
+            return
+        yield window.at, _decoded(window, path)
+
+
 def _fields(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
@@ -171,18 +190,25 @@ def _page(urn: str | None):
     return int(m[1]) if m else None
 
 
-def parse(data: bytes) -> dict:
-    """A decoded member: its header fields, and the payload behind the HTTP headers."""
-    head, _, block = data.partition(b"\r\n\r\n")
-    fields = _fields(head)
-    block = block[:int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    kind = fields.get("warc-type")
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    return {"record_type": kind, "key": _page(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"),
-            "refers_to": _page(fields.get("warc-refers-to")), "digest": base64.b32decode(digest).hex() if digest else None,
-            "payload_bytes": int(_fields(http).get("content-length", len(payload))) if block else 0,
-            "payload": payload if kind == "response" else None}
+def records_of(data: bytes) -> Iterator[dict]:
+    """The records of a decoded member (one, as a rule): their header fields, and the
+    payload behind the HTTP headers."""
+    while data:
+        head, gap, rest = data.partition(b"\r\n\r\n")
+        fields = _fields(head)
+        if not gap or not head.startswith(b"WARC/1.") or not fields.get("content-length", "").isdecimal():
+            raise ValueError("a record has no header")
+        size = int(fields["content-length"])
+        if len(rest) < size:
+            raise ValueError("a record is cut off")
+        block, data = rest[:size], rest[size:].lstrip(b"\r\n")
+        http, _, payload = block.partition(b"\r\n\r\n")
+        kind = fields.get("warc-type")
+        digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+        yield {"record_type": kind, "key": _page(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"),
+               "refers_to": _page(fields.get("warc-refers-to")), "digest": base64.b32decode(digest).hex() if digest else None,
+               "payload_bytes": int(_fields(http).get("content-length", len(payload))) if block else 0,
+               "payload": payload if kind == "response" else None}
 
 
 _SCHEMA = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("key", pa.int64()),
@@ -192,12 +218,18 @@ RECORD = ("path string, offset long, record_type string, key long, url string, r
           "payload_bytes long, payload binary")
 
 
-def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The response and revisit records of files (path, bytes): path, offset, type,
-    key, url, refers_to, digest (declared; hex), payload_bytes (of the full payload)
-    and payload (null for revisits).  A damaged or cut member raises."""
+def read_archives(files: DataFrame, split_bytes: int | None = None) -> DataFrame:
+    """The response and revisit records of files (path, bytes): path, offset (of the
+    member), type, key, url, refers_to, digest (declared; hex), payload_bytes (of the
+    full payload) and payload (null for revisits).
+
+    A member that is damaged or cut off raises, with its path and offset, wherever the
+    fault lies; so do bytes between members.  Ranges have ``split_bytes`` (by default
+    ``SPLIT_BYTES``, or so many that all files have ``MAX_RANGES``)."""
     spark = files.sparkSession
     bounded_batches(spark)
+    if split_bytes is None:
+        split_bytes = max(SPLIT_BYTES, (files.agg(F.sum("bytes")).first()[0] or 0) // MAX_RANGES)
     step = F.lit(split_bytes).cast("long")
     ranges = files.where(F.col("bytes") > 0).select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, step)).alias("start"),
                                                     "bytes").select("path", "start", F.least("bytes", F.col("start") + step).alias("end"))
@@ -208,13 +240,13 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
             for path, start, end in zip(*(c.to_pylist() for c in batch.columns)):
                 store, at = pafs.FileSystem.from_uri(path)
                 with store.open_input_file(at) as file:
-                    source = _Range(file, start)
-                    while _first_member(source, end):
-                        offset = source.at
-                        got = parse(_decoded(source, path))
-                        if got["record_type"] in ("response", "revisit"):
-                            rows.append({"path": path, "offset": offset, **got})
-                            held += len(got["payload"] or b"") + 200
+                    for offset, data in _members(_Window(file, start), start, end, path):
+                        try:
+                            found = [r for r in records_of(data) if r["record_type"] in ("response", "revisit")]
+                        except ValueError as e:
+                            raise ValueError(f"{path}: the member at {offset} is damaged: {e}") from e
+                        rows += [{"path": path, "offset": offset, **r} for r in found]
+                        held += len(data) + 200
                         if held >= BATCH_BYTES:
                             yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
                             rows, held = [], 0

@@ -60,3 +60,55 @@ def test_ranges_own_the_records_that_start_inside(spark, tmp_path):
 def test_empty_table(spark):
     manifest = warc.write_archives(warc.with_revisits(spark.createDataFrame([], SCHEMA)))
     assert warc.read_archives(manifest).collect() == []
+
+
+def archive(tmp_path, data, name="d.warc.gz"):
+    (tmp_path / name).write_bytes(data)
+    return str(tmp_path / name), len(data)
+
+
+def test_no_damage_goes_unseen(spark, tmp_path):
+    """One byte flipped anywhere in a member, at any split: an error with path and offset."""
+    parts = [warc.record(i, "u", bytes([65 + i]) * 90, hashlib.sha1(bytes([65 + i]) * 90).hexdigest(), "response") for i in range(10)]
+    start = sum(map(len, parts[:4]))
+    for k in [0, 1, 2, 3, 10, 12, 20, len(parts[4]) // 2, len(parts[4]) - 6]:
+        data = bytearray(b"".join(parts))
+        data[start + k] ^= 0x55
+        if k == 3:    # a flag byte: other header fields follow
+            data[start + k] = 0xE0
+        path, size = archive(tmp_path, bytes(data), f"d{k}.warc.gz")
+        for split in (size, start, start + 1, 97):
+            with open(path, "rb") as f:
+                seen, wrong = [], 0
+                for a in range(0, size, split):
+                    window = warc._Window(_File(f), a)
+                    try:
+                        for _, got in warc._members(window, a, min(size, a + split), path):
+                            seen += [r["key"] for r in warc.records_of(got)]
+                    except ValueError:
+                        wrong += 1
+            assert wrong or (k in (4, 5, 6, 7, 8, 9) and seen == list(range(10))), (k, split, seen)
+    with pytest.raises(Exception, match=r"d0.warc.gz: no record starts at \d+"):
+        warc.read_archives(spark.createDataFrame([(str(tmp_path / "d0.warc.gz"), size)], "path string, bytes long")).collect()
+
+
+class _File:
+    def __init__(self, f):
+        self.f = f
+
+    def read_at(self, n, at):
+        self.f.seek(at)
+        return self.f.read(n)
+
+
+def test_several_records_in_one_member_and_bytes_between_members(spark, tmp_path):
+    import zlib
+    one = [warc.record(i, "u", b"x" * i, hashlib.sha1(b"x" * i).hexdigest(), "response") for i in range(3)]
+    joined = warc._member(b"".join(zlib.decompress(m, 31) for m in one))
+    got = warc.read_archives(spark.createDataFrame([archive(tmp_path, joined + one[2])], "path string, bytes long")).collect()
+    assert sorted((r.key, r.payload) for r in got) == [(0, b""), (1, b"x"), (2, b"xx"), (2, b"xx")]
+    with pytest.raises(Exception, match="no record starts"):
+        warc.read_archives(spark.createDataFrame([archive(tmp_path, one[0] + b"junk" + one[1], "j.gz")], "path string, bytes long")).collect()
+    short = warc._member(zlib.decompress(one[2], 31)[:-5])
+    with pytest.raises(Exception, match="is damaged"):
+        warc.read_archives(spark.createDataFrame([archive(tmp_path, short, "s.gz")], "path string, bytes long")).collect()
