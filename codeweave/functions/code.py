@@ -192,8 +192,9 @@ def normalize_code(code: str | Column, dialect: str = "oracle") -> Column:
 # Structural fingerprint (P10) and exact match
 # ---------------------------------------------------------------------------
 
-# string literal | number | dotted name | quoted name | two-char operator | any other symbol
-FINGERPRINT_TOKEN = (r"('[^']*'|\d+(?:\.\d+)?|[\p{L}_][\p{L}\p{N}_$#]*(?:\.[\p{L}_][\p{L}\p{N}_$#]*)*"
+# string literal ('' inside stands for a quote) | range dots | number (1, 1.5, .5, 1e5) | dotted name |
+# quoted name | two-char operator | any other symbol
+FINGERPRINT_TOKEN = (r"('[^']*(?:''[^']*)*'|\.\.|(?:\d+(?:\.\d+)?|\.\d+)(?:[eE][+-]?\d+)?|[\p{L}_][\p{L}\p{N}_$#]*(?:\.[\p{L}_][\p{L}\p{N}_$#]*)*"
                      r"|\"[^\"]*\"|:=|<=|>=|<>|!=|\|\||[^\s\p{L}\p{N}_])")
 
 
@@ -212,7 +213,7 @@ def fingerprint_tokens(normalized: str | Column, dialect: str = "oracle") -> Col
     def cls(t: Column) -> Column:
         first = F.substring(t, 1, 1)
         return (F.when(first == "'", F.lit("<STRING>"))
-                .when((first >= "0") & (first <= "9"), F.lit("<NUMBER>"))
+                .when(t.rlike(r"^\.?[0-9]"), F.lit("<NUMBER>"))
                 .when(F.upper(t).isin(*upper_kws), F.upper(t))
                 .when(t.rlike(r'^[\p{L}_"]'), F.lit("<IDENTIFIER>"))
                 .otherwise(t))

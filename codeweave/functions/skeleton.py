@@ -10,6 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from .text import col
+from .trees import Tree, tree_edit_distance
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -81,6 +82,4 @@ def tree_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """edit distance of two preorder trees per row (Arrow batches; a null tree
     is the root alone).  Pass tree columns (project ``skeleton_tree`` first), not
     the inline expression."""
-    from ..operators.retrieval import Tree, tree_edit_distance
-
     return pd.Series([float(tree_edit_distance(Tree(x), Tree(y))) for x, y in zip(a, b)])

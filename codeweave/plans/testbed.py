@@ -534,10 +534,10 @@ _POSTGRES_WORDS = ("CREATE OR REPLACE PROCEDURE LANGUAGE AS BEGIN END UPDATE SET
 
 def _duck_fingerprint(norm_expr: str, dialect: str) -> str:
     kw = "[" + ", ".join(f"'{k}'" for k in (_CODE_WORDS if dialect == "oracle" else _POSTGRES_WORDS)) + "]"
-    pat = (r"'(''[^'']*''|\d+(?:\.\d+)?|[\p{L}_][\p{L}\p{N}_$#]*(?:\.[\p{L}_][\p{L}\p{N}_$#]*)*"
+    pat = (r"'(''[^'']*(?:''''[^'']*)*''|\.\.|(?:\d+(?:\.\d+)?|\.\d+)(?:[eE][+-]?\d+)?|[\p{L}_][\p{L}\p{N}_$#]*(?:\.[\p{L}_][\p{L}\p{N}_$#]*)*"
            r'|"[^"]*"|:=|<=|>=|<>|!=|\|\||[^\s\p{L}\p{N}_])' "'")
     cls = (f"list_transform(regexp_extract_all({norm_expr}, {pat}, 1), lambda t: case "
-           f"when starts_with(t, '''') then '<STRING>' when regexp_matches(t, '^\\d') then '<NUMBER>' "
+           f"when starts_with(t, '''') then '<STRING>' when regexp_matches(t, '^\\.?\\d') then '<NUMBER>' "
            f"when list_contains({kw}, upper(t)) then upper(t) "
            f"when regexp_matches(t, '^[\\p{{L}}_\"]') then '<IDENTIFIER>' else t end)")
     return f"sha256(array_to_string({cls}, ' '))"
@@ -599,6 +599,32 @@ def exact_match_rate_q(spark, sf):
                                      F.round(F.sum("em") / F.count(F.lit(1)), 6).alias("em_rate"))
 
 
+# Procedures with nested blocks; the prediction departs from the gold one at a place
+# that the customer's key decides, so the expected path is known without any parser.
+NESTED_CODE_SQL = f"""concat('CREATE OR REPLACE PROCEDURE sp(a IN NUMBER, b IN NUMBER) IS BEGIN FOR i IN 1..', cast(c_nationkey as string),
+ ' LOOP IF a > ', cast(c_custkey as string), ' THEN UPDATE t SET x = (a + (b * 2)); ELSE BEGIN DELETE FROM t WHERE x = ''it''''s ', c_mktsegment,
+ '''; INSERT INTO t VALUES (1, .5, 1e5); END; END IF; END LOOP; x := CASE WHEN a = 1 THEN 2 ELSE 3 END; END;')"""
+NESTED_PRED_SQL = f"""(case c_custkey % 8 when 0 then replace({NESTED_CODE_SQL}, 'x = ''it', 'x > ''it')
+ when 1 then replace({NESTED_CODE_SQL}, '(b * 2)', '(b / 2)') when 2 then replace({NESTED_CODE_SQL}, 'INSERT INTO t VALUES (1, .5, 1e5); ', '')
+ when 3 then replace({NESTED_CODE_SQL}, 'ELSE 3 END', 'END') when 4 then replace({NESTED_CODE_SQL}, 'END LOOP;', 'END LOOP; COMMIT;')
+ when 5 then replace(replace({NESTED_CODE_SQL}, 'it''''s', 'its'), '.5, 1e5', '2, 3') when 6 then replace({NESTED_CODE_SQL}, ' t ', '   s ')
+ else null end)"""
+
+
+@register("code_first_difference", sql="""
+with way as (select '1:STATEMENT/8:BEGIN/1:STATEMENT/7:LOOP/1:STATEMENT/1:IF' as branch)
+select c_custkey, case when c_custkey % 8 in (5, 6) then 1 else 0 end as same,
+  case c_custkey % 8 when 0 then branch || '/2:STATEMENT/2:BEGIN/1:STATEMENT/6:=' when 1 then branch || '/1:STATEMENT/10:(/1:STATEMENT/3:(/1:STATEMENT/2:*'
+    when 2 then branch || '/2:STATEMENT/2:BEGIN/2:STATEMENT' when 3 then '1:STATEMENT/8:BEGIN/2:STATEMENT/3:CASE/1:STATEMENT/7:ELSE'
+    when 4 then '1:STATEMENT/8:BEGIN/2:STATEMENT/1:<IDENTIFIER>' when 7 then '' end as first_difference
+from customer, way
+""")
+def code_first_difference_q(spark, sf):
+    from ..functions.code_tree import compare_code
+    c = table(spark, sf, "customer").select("c_custkey", F.expr(NESTED_CODE_SQL).alias("gold"), F.expr(NESTED_PRED_SQL).alias("pred"))
+    return compare_code(c, "gold", "pred").select("c_custkey", "same", "first_difference")
+
+
 # One dump file per customer: a table, a commented-out insert (lost with its
 # comment line, as in the reference), an update, and blank statements.
 SCRIPT_FILE_SQL = "concat(lower(c_mktsegment), '-', cast(c_custkey as string), '.sqlite.sql')"
