@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import kept_table
+from .frames import kept_table, renamed
 
 BLOCK_CHARS = 2048
 BUCKETS = 65_536
@@ -101,8 +101,8 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", block_c
 def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: for each normalised
     text one row with the largest key."""
-    kept = duplicates(docs, key, text).where("kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_sha", F.sha2(normalized(F.col(text)), 256))
-    left, right = marked.alias("l"), kept.alias("r")
-    return left.join(right, F.col(f"l.{key}").eqNullSafe(F.col("r._key")) & (F.col("l._sha") == F.col("r._sha")), "left_semi") \
-               .dropDuplicates([key, "_sha"]).drop("_sha")
+    kept = duplicates(docs, key, text).where("kept").select(F.col(key).alias("kept_key"), F.col("text_sha256").alias("kept_sha")).distinct()
+    rows, (own, said), back = renamed(docs, key, text)
+    marked = rows.withColumn("sha", F.sha2(normalized(F.col(said)), 256))
+    return marked.join(kept, F.col(own).eqNullSafe(F.col("kept_key")) & (F.col("sha") == F.col("kept_sha")), "left_semi") \
+                 .dropDuplicates([own, "sha"]).select(*back)

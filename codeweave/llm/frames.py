@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -47,6 +47,14 @@ def kept_table(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def renamed(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], list[Column]]:
+    """``df`` with its columns called in0, in1, ..., what ``names`` are called there, and the
+    columns that give the table back: an operator's own columns then clash with none."""
+    own = [f"in{i}" for i in range(len(df.columns))]
+    at = {c.lower(): n for c, n in zip(df.columns, own)}
+    return df.toDF(*own), [at[n.lower()] for n in names], [F.col(n).alias(c) for n, c in zip(own, df.columns)]
+
+
 def column_udf(kernel: Callable[[pa.Array], pa.Array], returns: str):
     """An Arrow function of whole columns as a Spark column function."""
     def run(column: pa.Array) -> pa.Array:

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .frames import renamed
+
 BANDS = 16    # size bands for each doubling of the size
 OFFSETS = 32  # evenly spaced offsets, after a random start, of which a source takes one
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +57,35 @@ def source_targets(sizes: DataFrame, weights: list[int], max_repeats: int) -> Da
     return free.select("source", "source_size", F.when(F.col("full"), F.col("most").cast("double")).otherwise(share).alias("target"))
 
 
+def _placed(docs: DataFrame, weights: list[int], max_repeats: int, key: str, text: str, source: str, seed: str) -> tuple[DataFrame, list[Column]]:
+    """The renamed rows with a struct ``mix``, and the columns that give ``docs`` back."""
+    rows, (key, text, source), back = renamed(docs, key, text, source)
+    sized = rows.withColumn("size", n_words(F.col(text)))
+    targets = source_targets(sized.select(F.col(source).alias("source"), "size"), weights, max_repeats) \
+        .select(F.col("source").alias("t_source"), F.col("source_size").alias("t_size"), F.col("target").alias("t_target"))
+    marked = sized.withColumn("hash", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))) \
+                  .withColumn("band", F.floor(F.log2(F.col("size") + 1) * BANDS)).withColumn("digit", F.substring("hash", 1, 1))
+    cell = [F.col(source), F.col("band"), F.col("digit")]
+    counts = marked.groupBy(cell[0].alias("c_source"), cell[1].alias("c_band"), cell[2].alias("c_digit")).agg(F.count(F.lit(1)).alias("n"))
+    along = W.partitionBy("c_source").orderBy("c_band", "c_digit").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.withColumn("begins", F.coalesce(F.sum("n").over(along), F.lit(0))) \
+                   .join(targets, F.col("c_source").eqNullSafe(F.col("t_source"))).drop("t_source", "n")
+    inside = W.partitionBy(*cell).orderBy("size", "hash", key)
+    ranked = marked.withColumn("rank", F.row_number().over(inside)) \
+                   .join(starts, cell[0].eqNullSafe(F.col("c_source")) & (cell[1] == F.col("c_band")) & (cell[2] == F.col("c_digit")))
+    placed = ranked.withColumn("rank", F.col("begins") + F.col("rank"))
+    each = F.when(F.col("t_size") > 0, F.col("t_target") / F.col("t_size")).otherwise(F.lit(0.0))
+    upto = lambda rank, offset: F.floor(rank * each + offset)
+    copies = lambda offset: F.least(upto(F.col("rank"), offset) - upto(F.col("rank") - 1, offset), F.lit(max_repeats)).cast("long")
+    begin = uniform(F.concat(F.lit(f"{seed}:offset:"), F.coalesce(F.col(source).cast("string"), F.lit(""))))
+    away = lambda j: F.abs(F.sum(F.col("size") * copies(begin + j / OFFSETS)) - F.max("t_target"))
+    nearest = F.array_min(F.array(*(F.struct(away(j).alias("away"), F.lit(j).alias("j")) for j in range(OFFSETS))))
+    offsets = placed.groupBy(F.col(source).alias("o_source")).agg(nearest["j"].alias("j"))
+    taken = placed.join(offsets, F.col(source).eqNullSafe(F.col("o_source")))
+    own = F.struct("size", F.col("t_size").alias("source_size"), F.col("t_target").alias("target"), copies(begin + F.col("j") / OFFSETS).alias("copies"))
+    return taken.withColumn("mix", own), back
+
+
 def mix(docs: DataFrame, weights: list[int], max_repeats: int = 3, key: str = "doc_id", text: str = "text",
         source: str = "source", seed: str = "mix") -> DataFrame:
     """``docs`` with a struct column ``_mix`` (size, source_size, target, copies):
@@ -62,38 +93,15 @@ def mix(docs: DataFrame, weights: list[int], max_repeats: int = 3, key: str = "d
 
     Null texts and texts without words have size 0; null is a source of its own.
     Rows that agree in key and size are interchangeable.  An empty table gives an
-    empty one.  No column of ``docs`` is read but the three named.
+    empty one.  No column of ``docs`` is read but the three named; one called
+    ``_mix`` is replaced.
     """
-    sized = docs.withColumn("_mix_size", n_words(F.col(text)))
-    targets = source_targets(sized.select(F.col(source).alias("source"), F.col("_mix_size").alias("size")), weights, max_repeats) \
-        .select(F.col("source").alias("_t_source"), F.col("source_size").alias("_t_size"), F.col("target").alias("_t_target"))
-    rows = sized.withColumn("_mix_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))) \
-                .withColumn("_mix_band", F.floor(F.log2(F.col("_mix_size") + 1) * BANDS)) \
-                .withColumn("_mix_digit", F.substring("_mix_hash", 1, 1))
-    cell = [F.col(source), F.col("_mix_band"), F.col("_mix_digit")]
-    counts = rows.groupBy(cell[0].alias("_c_source"), cell[1].alias("_c_band"), cell[2].alias("_c_digit")).agg(F.count(F.lit(1)).alias("_n"))
-    along = W.partitionBy("_c_source").orderBy("_c_band", "_c_digit").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(along), F.lit(0))) \
-                   .join(targets, F.col("_c_source").eqNullSafe(F.col("_t_source"))).drop("_t_source", "_n")
-    inside = W.partitionBy(*cell).orderBy("_mix_size", "_mix_hash", key)
-    ranked = rows.withColumn("_mix_rank", F.row_number().over(inside)) \
-                 .join(starts, cell[0].eqNullSafe(F.col("_c_source")) & (cell[1] == F.col("_c_band")) & (cell[2] == F.col("_c_digit")))
-    placed = ranked.withColumn("_mix_rank", F.col("_start") + F.col("_mix_rank"))
-    each = F.when(F.col("_t_size") > 0, F.col("_t_target") / F.col("_t_size")).otherwise(F.lit(0.0))
-    upto = lambda rank, offset: F.floor(rank * each + offset)
-    copies = lambda offset: F.least(upto(F.col("_mix_rank"), offset) - upto(F.col("_mix_rank") - 1, offset),
-                                    F.lit(max_repeats)).cast("long")
-    begin = uniform(F.concat(F.lit(f"{seed}:offset:"), F.coalesce(F.col(source).cast("string"), F.lit(""))))
-    away = lambda j: F.abs(F.sum(F.col("_mix_size") * copies(begin + j / OFFSETS)) - F.max("_t_target"))
-    nearest = F.array_min(F.array(*(F.struct(away(j).alias("away"), F.lit(j).alias("j")) for j in range(OFFSETS))))
-    offsets = placed.groupBy(F.col(source).alias("_o_source")).agg(nearest["j"].alias("_j"))
-    taken = placed.join(offsets, F.col(source).eqNullSafe(F.col("_o_source")))
-    return taken.select(*(F.col(c) for c in docs.columns if c != "_mix"),
-                        F.struct(F.col("_mix_size").alias("size"), F.col("_t_size").alias("source_size"),
-                                 F.col("_t_target").alias("target"), copies(begin + F.col("_j") / OFFSETS).alias("copies")).alias("_mix"))
+    taken, back = _placed(docs, weights, max_repeats, key, text, source, seed)
+    return taken.select(*(b for b, c in zip(back, docs.columns) if c.lower() != "_mix"), F.col("mix").alias("_mix"))
 
 
-def mixed(docs: DataFrame, weights: list[int], max_repeats: int = 3, **names) -> DataFrame:
+def mixed(docs: DataFrame, weights: list[int], max_repeats: int = 3, key: str = "doc_id", text: str = "text",
+          source: str = "source", seed: str = "mix") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged."""
-    taken = mix(docs, weights, max_repeats, **names).where(F.col("_mix.copies") > 0)
-    return taken.withColumn("_mix", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix.copies")))).drop("_mix")
+    taken, back = _placed(docs, weights, max_repeats, key, text, source, seed)
+    return taken.where("mix.copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies")))).select(*back)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..operators.prefix import grouped_exclusive_prefix
 from .components import components
-from .frames import bounded_batches, kept_table
+from .frames import bounded_batches, kept_table, renamed
 from .words import Words, find, mix, pieces, seeds, window_starts, windows
 
 TREES, DEPTH = 16, 8
@@ -300,5 +300,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:
     """The rows of ``docs`` that stay: the smallest key of each component."""
-    dropped = near_duplicates(docs, key, text, like).where("NOT kept").select(F.col(key).alias("_key")).distinct()
-    return docs.join(dropped, F.col(key) == F.col("_key"), "left_anti")
+    dropped = near_duplicates(docs, key, text, like).where("NOT kept").select(F.col(key).alias("gone")).distinct()
+    rows, (own,), back = renamed(docs, key)
+    return rows.join(dropped, F.col(own) == F.col("gone"), "left_anti").select(*back)

@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .frames import column_udf
-from .words import covered, find, mix, per_text, pieces, seeds
+from .words import _BYTE_POWERS, covered, find, mix, per_text, pieces, seeds
 
 MIN_REPEAT = 5        # words; shorter repeats are ordinary prose
 MAX_COVERED = 20      # per cent of the words that may lie in repeats
@@ -93,7 +93,6 @@ def longest_repeats(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _duplicate_lines(raw: np.ndarray, at: np.ndarray, in_word: np.ndarray) -> np.ndarray:
     """For each text the number of lines with a word that equal an earlier line."""
-    from .words import _BYTE_POWERS
     n, texts = len(raw), len(at) - 1
     if not n:
         return np.zeros(texts, np.int64)

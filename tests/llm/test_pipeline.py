@@ -85,3 +85,16 @@ def test_nulls_empty_and_extra_columns(spark, docs):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, df, SMALL).collect()
             assert len(out) <= 3 * len(data)
+
+
+def test_columns_of_any_name_pass_the_stages(spark):
+    """Columns called like those that stages use inside come through unchanged."""
+    names = ["_r", "_key", "_sha", "sha", "gone", "kept_key", "_mix", "_mix_size", "_t_target", "_j", "mix", "size", "hash", "copy", "rank", "in0", "In3", "measured"]
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{text} x{i % 4}" if i % 4 else f"other {i} {text[::-1]}", f"s{i % 2}", *(f"{n}{i}" for n in names)) for i in range(12)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"`{n}` string" for n in names)]))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert kept and all(tuple(r)[3:] == tuple(f"{n}{r.doc_id}" for n in names) for r in kept)
