@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweave.llm import bpe, exact, mixing, neardup, repetition
-from codeweave.llm.frames import bounded_batches, kept_table
+from codeweave.llm.frames import bounded_batches, kept_table, renamed
 
 RANKS = "byte_bpe_50k.tiktoken"
 LIKE = neardup.Likeness(80, 100, 5)
@@ -23,8 +23,9 @@ WEIGHTS, MAX_REPEATS = [5, 2, 1], 3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules accept."""
     bounded_batches(spark)
-    judged = docs.withColumn("_r", repetition.repetition(F.col("text")))
-    return judged.where(repetition.accepted(F.col("_r"))).drop("_r")
+    rows, (text,), back = renamed(docs, "text")
+    judged = rows.withColumn("measured", repetition.repetition(F.col(text)))
+    return judged.where(repetition.accepted(F.col("measured"))).select(*back)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
