@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_array import read_json_array
+
 # Declared, never inferred: inference turns matched_contents into a struct.
 TASK_DDL = (
     "task_id long, text string, concise_text string, detailed_text string, plsql string, call array<string>, "
@@ -20,13 +22,14 @@ TASK_DDL = (
 
 
 def read_tasks(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
-    """Read task files.  ``layout`` is ``"array"`` (one JSON array in each file; a
-    file is one task, so split large inputs into several files) or ``"lines"``
-    (JSON lines; splittable).  ``task_id`` must be in the records: file position
-    is not a stable key in Spark."""
-    if layout not in ("array", "lines"):
+    """Read task files.  ``layout`` is ``"array"`` (one JSON array in each file, read by
+    many tasks, see ``json_array``) or ``"lines"`` (JSON lines).  ``task_id`` must be in
+    the records: file position is not a stable key in Spark."""
+    if layout == "array":
+        return read_json_array(spark, path, TASK_DDL)
+    if layout != "lines":
         raise ValueError(f"layout is 'array' or 'lines', not {layout!r}")
-    return spark.read.schema(TASK_DDL).option("multiLine", layout == "array").json(path)
+    return spark.read.schema(TASK_DDL).json(path)
 
 
 def schema_tables(tasks: DataFrame) -> DataFrame:
