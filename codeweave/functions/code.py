@@ -236,6 +236,9 @@ def exact_match(gold: str | Column, pred: str | Column, dialect: str = "oracle")
 # Candidate cleaning
 # ---------------------------------------------------------------------------
 
+_MARK = "\u0001"  # between tokens; a control character that no code contains
+
+
 def _cut_after(code: Column, terminator: str) -> Column:
     idx = F.instr(code, terminator)
     return F.when(idx > 0, F.substring(code, F.lit(1), idx + len(terminator) - 1)).otherwise(code)
@@ -268,16 +271,19 @@ def clean_candidate(code: str | Column, terms: str | Column, dialect: str = "ora
         return F.when(hit, F.lit("sp")).otherwise(quote(e["t"]))
     named = F.transform(zipped, rename)
 
-    # stateful pass: inside "sp ... ( ... )" strip double quotes
-    init = F.struct(F.lit(False).alias("mon"), F.lit(False).alias("meet"),
-                    F.array().cast("array<string>").alias("out"))
-
-    def step(acc, t):
-        mon = F.when(t == ")", F.lit(False)).when(t == "sp", F.lit(True)).otherwise(acc["mon"])
-        meet = F.when(t == ")", F.lit(False)).when(t == "(", F.lit(True)).otherwise(acc["meet"])
-        val = F.when(mon & meet, F.regexp_replace(t, '"', "")).otherwise(t)
-        return F.struct(mon.alias("mon"), meet.alias("meet"), F.concat(acc["out"], F.array(val)).alias("out"))
-    unquoted = F.aggregate(named, init, step, lambda acc: acc["out"])
+    # between a "(" behind "sp" (or the other way round) and the next ")" double quotes go:
+    # in each stretch up to a ")", from where the later of the two first stands
+    mark = lambda t: _MARK + t + _MARK  # noqa: E731 - every token stands between marks
+    whole = F.concat(F.lit(_MARK), F.array_join(named, _MARK + _MARK), F.lit(_MARK))
+
+    def strip(stretch):
+        called, opened = F.instr(stretch, mark("sp")), F.instr(stretch, mark("("))
+        since = F.greatest(called, opened)
+        rest = F.replace(F.substr(stretch, since), F.lit('"'), F.lit(""))
+        return F.when((called > 0) & (opened > 0), F.concat(F.substr(stretch, F.lit(1), since - 1), rest)).otherwise(stretch)
+    stripped = F.array_join(F.transform(F.split(whole, mark(r"\)")), strip), mark(")"))
+    unquoted = F.when(n > 0, F.split(F.substr(stripped, F.lit(2), F.char_length(stripped) - 2), _MARK + _MARK)) \
+                .otherwise(F.array().cast("array<string>"))
 
     if dialect != "oracle":
         m = F.size(unquoted)

@@ -3,11 +3,12 @@ of code skeletons (P13) and the tree edit distance as an Arrow UDF (F4)."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from .text import col
 from .trees import Tree, tree_edit_distance
@@ -63,18 +64,28 @@ def skeleton_tree(skeleton: str | Column) -> Column:
     tokens are leaves.  Values are upper-cased."""
     parts = F.filter(F.transform(F.split(col(skeleton), r"\$\$"), lambda p: F.trim(p)), lambda p: p != "")
     toks = F.flatten(F.transform(parts, lambda p: F.regexp_extract_all(p, F.lit(SKELETON_TOKEN), 1)))
-    init = F.struct(F.lit(0).alias("d"), F.array().cast("array<struct<depth:int,value:string>>").alias("out"))
-
-    def step(acc, t):
-        u = F.upper(t)
-        is_end = u.startswith("END")
-        opens = u.isin(*BLOCK_OPENERS)
-        node = F.array(F.struct(acc["d"].alias("depth"), u.alias("value")))
-        out = F.when(is_end, acc["out"]).otherwise(F.concat(acc["out"], node))
-        d = (F.when(is_end, F.greatest(acc["d"] - 1, F.lit(0)))
-             .when(opens, acc["d"] + 1).otherwise(acc["d"]))
-        return F.struct(d.alias("d"), out.alias("out"))
-    return F.aggregate(toks, init, step, lambda acc: acc["out"])
+    return _preorder(F.transform(toks, lambda t: F.upper(t)))
+
+
+def clamped_depths(steps: np.ndarray) -> np.ndarray:
+    """The depth before each step of +1, 0 or -1 that never goes below zero.  Runs of steps
+    compose as (sum, lowest partial sum), so one running sum and one running minimum do:
+    the depth is the sum, less its lowest value so far where that is negative."""
+    total = np.concatenate([[0], np.cumsum(steps)])
+    return (total - np.minimum.accumulate(total))[:-1]
+
+
+@pandas_udf(ArrayType(StructType([StructField("depth", IntegerType()), StructField("value", StringType())])))
+def _preorder(tokens: pd.Series) -> pd.Series:
+    def nodes(values):
+        if values is None:
+            return None
+        ends = np.array([v.startswith("END") for v in values], bool)
+        opens = np.array([v in BLOCK_OPENERS for v in values], bool)
+        depths = clamped_depths(opens.astype(np.int64) - ends)
+        return [(d, v) for d, v, end in zip(depths.tolist(), values, ends.tolist()) if not end]
+
+    return pd.Series([nodes(v) for v in tokens], dtype=object)
 
 
 @pandas_udf(DoubleType())

@@ -5,16 +5,17 @@ from __future__ import annotations
 import os
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
+ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 _CATALOG_DDL = "table_name string, ordinal int, column_name string, data_type string"
 
 
 def read_snapshot(spark: SparkSession, folder: str, tables: Sequence[str]) -> dict[str, DataFrame | None]:
     """Every listed table of a snapshot folder (``<table>.parquet`` or
-    ``<table>/``); a table that cannot be read is recorded as None and does
-    not stop the job."""
+    ``<table>/``); a table that isn't there (no such path, or no Parquet file in it) is
+    recorded as None and does not stop the job; any other fault raises."""
     out: dict[str, DataFrame | None] = {}
     for t in tables:
         df = None
@@ -23,7 +24,9 @@ def read_snapshot(spark: SparkSession, folder: str, tables: Sequence[str]) -> di
                 df = spark.read.parquet(cand)
                 df.schema  # noqa: B018 - resolve now so a missing path fails here
                 break
-            except AnalysisException:
+            except AnalysisException as e:
+                if e.getCondition() not in ABSENT:
+                    raise
                 df = None
         out[t] = df
     return out

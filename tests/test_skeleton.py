@@ -83,3 +83,37 @@ def test_question_skeleton(spark):
     got = {r["id"]: r["q"] for r in question_skeleton(df, "text", lex, out="q", key="id").collect()}
     assert got[1] == "Show the _"  # city 's banks in 3 states -> one _
     assert got[2] == "list _ all"
+
+
+def test_clamped_depths_equal_the_loop():
+    import random
+
+    import numpy as np
+
+    from codeweave.functions.skeleton import clamped_depths
+    rnd = random.Random(2)
+    for n in (0, 1, 5, 200):
+        steps, depth, want = [rnd.choice([1, 0, -1, -1]) for _ in range(n)], 0, []
+        for s in steps:
+            want.append(depth)
+            depth = max(0, depth + s)
+        assert clamped_depths(np.array(steps, np.int64)).tolist() == want
+
+
+def test_long_skeletons_and_candidates_take_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from codeweave.functions.code import clean_candidate
+    from codeweave.functions.skeleton import skeleton_tree
+
+    def seconds(column):
+        t0 = time.time()
+        spark.range(1).select(column).write.format("noop").mode("overwrite").save()
+        return time.time() - t0
+
+    for make in (lambda n: skeleton_tree(F.lit("BEGIN _ ; LOOP END " * (n // 5))),
+                 lambda n: clean_candidate(F.lit('procedure x ( "a" , b ) ' * (n // 8)), F.array(F.lit("a")))):
+        seconds(make(1000))
+        assert seconds(make(32_000)) < 8 * max(seconds(make(8_000)), 0.3)

@@ -61,3 +61,53 @@ def test_task_layouts(spark, tmp_path):
         assert sorted(r["task_id"] for r in got) == list(range(5)) and got[0]["matched_contents"] == {"a.b": ["x"]}
     with pytest.raises(ValueError, match="layout"):
         read_tasks(spark, "x", "csv")
+
+
+def test_cache_of_nulls_and_reruns(spark, scratch):
+    import os
+    calls = []
+
+    def compute(todo):
+        calls.append(sorted(r["text"] or "-" for r in todo.collect()))
+        return todo.select("key", F.coalesce(F.upper("text"), F.lit("NONE")).alias("sk"))
+    path = f"{scratch}/nulls"
+    df = spark.createDataFrame([("a", 1, "x"), (None, 2, "y"), ("null", 3, "z"), (None, 4, "w")], "text string, key int, value string")
+    for _ in range(3):
+        out = materialize_missing(df, "text", compute, path, "sk")
+        assert out.columns == ["text", "key", "value", "sk"]
+        assert sorted((r["key"], r["sk"], r["value"]) for r in out.collect()) == [(1, "A", "x"), (2, "NONE", "y"), (3, "NULL", "z"), (4, "NONE", "w")]
+    assert calls == [["-", "a", "null"]]
+    assert len([d for d in os.listdir(path) if d.startswith("batch-")]) == 1
+
+
+def test_cache_of_killed_and_parallel_writers(spark, scratch):
+    from codeweave.sources.cache import committed
+    path = f"{scratch}/writers"
+    df = spark.createDataFrame([("a",), ("b",)], "text string")
+
+    def fails(todo):
+        return todo.select("key", F.when(F.col("text") == "b", F.raise_error(F.lit("killed"))).otherwise(F.col("text")).alias("sk"))
+
+    import pytest
+    with pytest.raises(Exception, match="killed"):
+        materialize_missing(df, "text", fails, path, "sk")
+    assert committed(spark, path) == []
+    def parallel(todo):  # another writer commits the same keys meanwhile
+        materialize_missing(df, "text", lambda t: t.select("key", F.lit("first").alias("sk")), path, "sk")
+        return todo.select("key", F.lit("second").alias("sk"))
+    out = materialize_missing(df, "text", parallel, path, "sk").collect()
+    assert len(out) == 2 and len({r["sk"] for r in out}) == 1 and len(committed(spark, path)) == 2
+
+
+def test_snapshot_faults_are_not_absence(spark, scratch):
+    import os
+
+    import pytest
+
+    from codeweave.sources.catalog import read_snapshot
+    os.makedirs(f"{scratch}/snap/broken", exist_ok=True)
+    with open(f"{scratch}/snap/broken/part.parquet", "w") as f:
+        f.write("no parquet")
+    assert read_snapshot(spark, f"{scratch}/snap", ["absent"]) == {"absent": None}
+    with pytest.raises(Exception):
+        read_snapshot(spark, f"{scratch}/snap", ["broken"])["broken"].collect()
