@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,6 +44,7 @@ from .words import find, mix, pieces, seeds
 EVIDENCE = 16            # one in so many shingles of a set must be found again in the lists
 BUCKET_TEXT = 4_000_000  # text bytes for each bucket of lists
 BLOCK = 1_000_000        # shingles of a cluster that meet in one bucket
+FILTER_BITS = 1 << 25
 MU = 0.0085              # cost of a probe against a merge step: how many lists are long
 
 _U = np.uint64
@@ -276,6 +278,35 @@ def spanning_links(sets: list[np.ndarray], like: Overlap) -> list[tuple[int, int
     return out
 
 
+def _filter_bits(keys: np.ndarray) -> list[np.ndarray]:
+    return [(mix(keys.view(_U) + salt) & _U(FILTER_BITS - 1)) for salt in seeds(2, 43)]
+
+
+def key_filter(members: DataFrame) -> np.ndarray:
+    """A Bloom filter of the members' keys, of ``FILTER_BITS`` bits whatever their number:
+    keeps the sets of most other documents from being shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.unique(np.concatenate(_filter_bits(batch.column(0).to_numpy())))
+            word, at = np.unique(bits >> _U(6), return_inverse=True)
+            held = np.zeros(len(word), _U)
+            np.bitwise_or.at(held, at, _U(1) << (bits & _U(63)))
+            yield pa.RecordBatch.from_pydict({"word": word.astype(np.int64), "held": held.view(np.int64)})
+
+    words = members.select("key").mapInArrow(run, "word long, held long").groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, _U)
+    out[words.column("word").to_numpy()] = words.column("held").to_numpy().view(_U)
+    return out
+
+
+def _in_filter(known: np.ndarray, keys: pa.Array) -> np.ndarray:
+    """Which keys may be members'; null is none."""
+    valid = keys.is_valid().to_numpy(zero_copy_only=False)
+    for bit in _filter_bits(keys.fill_null(0).to_numpy()):
+        valid = valid & ((known[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) == 1)
+    return valid
+
+
 def confirmed_links(members: DataFrame, docs: DataFrame, like: Overlap) -> DataFrame:
     """(a, b): links that span the components of the members (key, n_shingles, cluster)
     of each cluster, judged on whole sets."""
@@ -290,15 +321,18 @@ def confirmed_links(members: DataFrame, docs: DataFrame, like: Overlap) -> DataF
     meets = wanted.select("cluster", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
     buckets = 8 * (placed.agg(F.sum("n_shingles")).first()[0] or 0) // BLOCK + 1
 
+    packed = zlib.compress(key_filter(placed).tobytes(), 1)
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, owner, found, n, _ in _sets(batches, like):
+        known = np.frombuffer(zlib.decompress(packed), _U)
+        wanted = (batch.filter(pa.array(_in_filter(known, batch.column("key")))) for batch in batches)
+        for part, owner, found, n, _ in _sets(wanted, like):
             ends = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("cluster"), part.column("block"), pa.array(n, pa.int64()),
-                                              pa.array([found[e - k:e].tobytes() for e, k in zip(ends, n)], pa.binary())],
-                                             ["key", "cluster", "block", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n, pa.int64()), pa.array([found[e - k:e].tobytes() for e, k in zip(ends, n)], pa.binary())],
+                                             ["key", "n", "shingles"])
 
-    texts = docs.join(placed.select("key", "cluster", "block"), "key")
-    rows = texts.mapInArrow(sets, "key long, cluster long, block long, n long, shingles binary").join(meets, ["cluster", "block"])
+    held = docs.mapInArrow(sets, "key long, n long, shingles binary")
+    rows = held.join(placed.select("key", "cluster", "block"), "key").join(meets, ["cluster", "block"])
     dealt = rows.select(F.xxhash64("cluster", "x", "y").alias("meeting"), "key", "n", "shingles") \
                 .withColumn("bucket", F.pmod(F.xxhash64("meeting"), F.lit(buckets)))
 
