@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .frames import column_udf, worker_store
 from .words import pieces
 
-# Encoded pre-tokens a Python worker remembers; beyond that they are encoded in each piece anew.
-CACHE_ENTRIES = 200_000
+# Encoded pre-tokens a Python worker remembers; others are encoded whenever they come.
+CACHE_ENTRIES = 400_000
 
 
 def byte_characters() -> list[str]:
@@ -107,22 +107,30 @@ class Encoder:
         self.map = str.maketrans(dict(enumerate(byte_characters())))
         unknown = self.model.unk_id()
         self.whole = {self.model.id_to_piece(i): packed([i]) for i in range(self.model.get_piece_size()) if i != unknown}
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self)
 
-    def _new(self, parts: list[str]) -> dict[str, bytes]:
-        mapped = [p.encode().decode("latin-1").translate(self.map) for p in parts]
-        rest = [m for m in mapped if m not in self.whole]
-        merged = map(packed, self.model.encode(rest, num_threads=1) if rest else [])
-        return {p: self.whole[m] if m in self.whole else next(merged) for p, m in zip(parts, mapped)}
+    def one(self, part: str) -> bytes:
+        """Ids of one pre-token."""
+        mapped = part.encode().decode("latin-1").translate(self.map)
+        ids = self.whole.get(mapped)
+        return packed(self.model.encode(mapped)) if ids is None else ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts, known = [self.split(t) for t in texts], self.known
-        new = list(set(chain.from_iterable(parts)).difference(known))
-        known.update(self._new(new))
-        ids = [b"".join(map(known.__getitem__, p)) for p in parts]
-        if len(known) > CACHE_ENTRIES:  # what came first, and so is common, stays
-            for p in new:
-                del known[p]
+        known = self.known.__getitem__
+        return [b"".join(map(known, self.split(t))) for t in texts]
+
+
+class _Known(dict):
+    """Encoded pre-tokens; what comes first, and so is common, stays."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.encoder.one(part)
+        if len(self) < CACHE_ENTRIES:
+            self[part] = ids
         return ids
 
 
