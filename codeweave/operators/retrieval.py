@@ -7,9 +7,10 @@ All (eval, demo) pairs count, as in the reference, but they are never rows:
 
 * both sides are reduced to distinct values by ``groupBy``; of a demo value only
   the k smallest demo ids can be in any top k, of an eval value one row is scored;
-* distinct values are dealt into blocks; a block meets each block of the other
-  side in a task of its own (a co-group), which scores them with one matrix product
-  and keeps the k best for each eval value;
+* both sides' distinct values are dealt to a grid of cells: a value is copied to the
+  cells of its row or column only (``GRID``, more where a part would outgrow a task);
+  a cell is a co-group, which scores run against run and keeps the k best for each
+  eval value;
 * Spark ranks these few survivors with a ``row_number`` window
   (``WindowGroupLimit`` prunes before the shuffle) and joins the evals back.
 
@@ -19,75 +20,119 @@ extrema (A1/A2/A3; from the partial extrema of the same blocks) reach the driver
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from typing import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.trees import Tree, tree_edit_distance
 
 SCALE = 1_000_000  # scores are rounded to 6 decimals before ranking
-EVAL_ROWS, DEMO_ROWS = 1024, 512  # distinct values in a block
+EVAL_ROWS, DEMO_ROWS = 1024, 512  # distinct values scored at once
+GRID, CELL_ROWS = 8, 16_384       # parts of a side, and values that a part may hold
+DENSE_TERMS, DENSE_PAIRS = 1024, 4096  # terms in a matrix product: most, and pairs from which one is
+PAIRS = 1 << 22                   # posting pairs expanded at once
 
 
 # ---------------------------------------------------------------------------
-# Similarity kinds: each turns (demo batch, eval block) into a score matrix.
+# Similarity kinds: ``pack`` turns a run of column values into arrays, ``scores``
+# gives the (demo x eval) matrix of two packed runs.
 # ---------------------------------------------------------------------------
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Bounds and values of a list column (null: empty)."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), pc.list_flatten(column)
+
+
 @dataclass(frozen=True)
 class Cosine:
     """Cosine similarity of two vector columns (array<float|double>)."""
     column: str
     is_distance: bool = False
 
-    def eval_state(self, values: Sequence) -> np.ndarray:
-        return _unit_rows(values)
+    def pack(self, column: pa.Array) -> np.ndarray:
+        bounds, values = _flat(column)
+        mat = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return mat / np.linalg.norm(mat, axis=1, keepdims=True)  # zero vectors give NaN, as cosine is undefined there
+
+    def scores(self, evals: np.ndarray, demos: np.ndarray) -> np.ndarray:
+        return demos @ evals.T
+
 
-    def block(self, state: np.ndarray, values: Sequence) -> np.ndarray:
-        return _unit_rows(values) @ state.T
+@dataclass(frozen=True)
+class _Postings:
+    """Postings of a run of rows, by term: ``row`` and unit ``weight`` of term i stand at
+    ``start[i]:start[i + 1]``; rows without any direction are ``empty``."""
+    terms: np.ndarray
+    start: np.ndarray
+    row: np.ndarray
+    weight: np.ndarray
+    empty: np.ndarray
+
+    def dense(self, at: np.ndarray) -> np.ndarray:
+        """(row x chosen term) matrix."""
+        out = np.zeros((len(self.empty), len(at)))
+        for k, i in enumerate(at):
+            own = slice(self.start[i], self.start[i + 1])
+            out[self.row[own], k] = self.weight[own]
+        return out
 
 
 @dataclass(frozen=True)
 class SparseCosine:
     """Cosine similarity of two term columns (array<struct<term:long, weight:double>>,
-    see ``tfidf_vectors``).  The eval block is kept as postings by term; every demo
-    adds up the postings of its own terms."""
+    see ``tfidf_vectors``).  Both runs are kept as postings by term.  Terms that meet in
+    many pairs go through one matrix product; of the others only the pairs that do
+    share a term are touched."""
     column: str
     is_distance: bool = False
 
-    def eval_state(self, values: Sequence):
-        rows, terms, weights, norms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], np.zeros(len(values))
-        for i, v in enumerate(values):
-            t, w = _terms(v)
-            norms[i] = np.linalg.norm(w)
-            rows.append(np.full(len(t), i))
-            terms.append(t)
-            weights.append(w)
-        rows, terms, weights = (np.concatenate(x) for x in (rows, terms, weights))
-        order = np.argsort(terms, kind="stable")
-        return rows[order], terms[order], weights[order], norms
-
-    def block(self, state, values: Sequence) -> np.ndarray:
-        rows, terms, weights, norms = state
-        out = np.empty((len(values), len(norms)))
-        for i, v in enumerate(values):
-            t, w = _terms(v)
-            lo = np.searchsorted(terms, t, "left")
-            n = np.searchsorted(terms, t, "right") - lo
-            at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
-            dot = np.bincount(rows[at], weights[at] * np.repeat(w, n), minlength=len(norms))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out[i] = dot / (norms * np.linalg.norm(w))  # an empty text has no direction: NaN
+    def pack(self, column: pa.Array) -> _Postings:
+        bounds, values = _flat(column)
+        term = values.field("term").to_numpy(zero_copy_only=False)
+        weight = values.field("weight").to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(column)), np.diff(bounds))
+        norm = np.sqrt(np.bincount(row, weight * weight, len(column)))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            weight = weight / norm[row]
+        order = np.argsort(term, kind="stable")
+        terms, start = np.unique(term[order], return_index=True)
+        return _Postings(terms, np.append(start, len(term)), row[order], weight[order], norm == 0)
+
+    def scores(self, evals: _Postings, demos: _Postings) -> np.ndarray:
+        _, x, y = np.intersect1d(evals.terms, demos.terms, assume_unique=True, return_indices=True)
+        n, m = np.diff(evals.start)[x], np.diff(demos.start)[y]
+        often = np.zeros(len(x), bool)
+        often[np.argsort(-(n * m), kind="stable")[:DENSE_TERMS]] = True
+        often &= n * m >= DENSE_PAIRS
+        out = demos.dense(y[often]) @ evals.dense(x[often]).T
+        x, y, n, m = x[~often], y[~often], n[~often], m[~often]
+        # all (eval posting, demo posting) pairs of a term, for all terms at once
+        pairs = np.cumsum(n * m)
+        for a, b in _runs(pairs, PAIRS):
+            size, width = (n * m)[a:b], m[a:b]
+            term = np.repeat(np.arange(b - a), size)
+            k = np.arange(len(term)) - np.repeat(np.cumsum(size) - size, size)
+            e, d = evals.start[x[a:b]][term] + k // width[term], demos.start[y[a:b]][term] + k % width[term]
+            out += np.bincount(demos.row[d] * out.shape[1] + evals.row[e], evals.weight[e] * demos.weight[d], out.size).reshape(out.shape)
+        out[demos.empty, :] = np.nan  # an empty text has no direction
+        out[:, evals.empty] = np.nan
         return out
 
 
-def _terms(value) -> tuple[np.ndarray, np.ndarray]:
-    pairs = [(x["term"], x["weight"]) if isinstance(x, dict) else (x[0], x[1]) for x in value] if value is not None else []
-    return np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.float64)
+def _runs(total: np.ndarray, most: int):
+    """Runs [a, b) of entries with running totals ``total`` that add up to about ``most``."""
+    a = 0
+    while a < len(total):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
 
 
 @dataclass(frozen=True)
@@ -96,11 +141,11 @@ class Equality:
     column: str
     is_distance: bool = False
 
-    def eval_state(self, values: Sequence) -> np.ndarray:
-        return np.asarray(values)
+    def pack(self, column: pa.Array) -> np.ndarray:
+        return np.array(column.to_pylist(), dtype=object)
 
-    def block(self, state: np.ndarray, values: Sequence) -> np.ndarray:
-        return (np.asarray(values)[:, None] == state[None, :]).astype(np.float64)
+    def scores(self, evals: np.ndarray, demos: np.ndarray) -> np.ndarray:
+        return (demos[:, None] == evals[None, :]).astype(np.float64)
 
 
 @dataclass(frozen=True)
@@ -111,21 +156,11 @@ class TreeDistance:
     column: str
     is_distance: bool = True
 
-    def eval_state(self, values: Sequence):
-        return [Tree(v) for v in values]
-
-    def block(self, state, values: Sequence) -> np.ndarray:
-        return np.array([[tree_edit_distance(d, e) for e in state] for d in map(Tree, values)],
-                        dtype=np.float64).reshape(len(values), len(state))
-
+    def pack(self, column: pa.Array) -> list[Tree]:
+        return [Tree(v) for v in column.to_pylist()]
 
-def _unit_rows(values: Sequence) -> np.ndarray:
-    if len(values) == 0:
-        return np.zeros((0, 0))
-    mat = np.vstack([np.asarray(v, dtype=np.float64) for v in values])
-    norms = np.linalg.norm(mat, axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return mat / norms  # zero vectors give NaN, as cosine is undefined there
+    def scores(self, evals: list[Tree], demos: list[Tree]) -> np.ndarray:
+        return np.array([[tree_edit_distance(d, e) for e in evals] for d in demos], dtype=np.float64).reshape(len(demos), len(evals))
 
 
 # ---------------------------------------------------------------------------
@@ -150,42 +185,77 @@ def _fused(kinds, blocks, mode, weights, extrema):
     return out
 
 
-def _raw_blocks(kinds, evals: pd.DataFrame, demos: pd.DataFrame):
-    return [k.block(k.eval_state(evals[k.column].tolist()), demos[k.column].tolist()) for k in kinds]
+@dataclass
+class _Run:
+    """A run of values of one side of a cell: their ids, counts and packed columns."""
+    ids: np.ndarray
+    only: np.ndarray
+    n: np.ndarray
+    packed: list
+
+
+def _packed_runs(kinds, rows: pa.Table, name: str, size: int) -> list[_Run]:
+    """The cell's values by ascending id, packed run by run."""
+    rows = rows.sort_by("_first").combine_chunks()
+    column = lambda part, c: part.column(c).combine_chunks() if isinstance(part.column(c), pa.ChunkedArray) else part.column(c)
+    out = []
+    for a in range(0, rows.num_rows, size):
+        part = rows.slice(a, size).combine_chunks()
+        out.append(_Run(*(column(part, c).to_numpy() for c in (name, "_only", "_n")), [k.pack(column(part, k.column)) for k in kinds]))
+    return out
+
+
+def _meetings(kinds, evals: pa.Table, demos: pa.Table):
+    """(eval run, demo run, raw score matrices) of a cell, demos in ascending order."""
+    held = _packed_runs(kinds, demos, "_d", DEMO_ROWS)
+    for e in _packed_runs(kinds, evals, "_v", EVAL_ROWS):
+        for d in held:
+            yield e, d, [k.scores(x, y) for k, x, y in zip(kinds, e.packed, d.packed)]
 
 
 def _extrema_fn(kinds, exclude_self):
-    def run(evals: pd.DataFrame, demos: pd.DataFrame) -> pd.DataFrame:
-        if not len(evals) or not len(demos):
-            return pd.DataFrame()
-        # a value of one eval and a value of one demo with the same id hold no real pair
-        alone = ((demos["_only"].to_numpy()[:, None] == evals["_only"].to_numpy()[None, :])
-                 & (demos["_n"].to_numpy() == 1)[:, None] & (evals["_n"].to_numpy() == 1)[None, :])
-        row = {}
-        for i, blk in enumerate(_raw_blocks(kinds, evals, demos)):
-            vals = blk[~alone] if exclude_self else blk.ravel()
-            vals = vals[~np.isnan(vals)]
-            row[f"lo{i}"] = [float(vals.min()) if vals.size else None]
-            row[f"hi{i}"] = [float(vals.max()) if vals.size else None]
-        return pd.DataFrame(row)
+    names = [f"{x}{i}" for i in range(len(kinds)) for x in ("lo", "hi")]
+
+    def run(evals: pa.Table, demos: pa.Table) -> pa.Table:
+        rows = []
+        for e, d, blocks in _meetings(kinds, evals, demos):
+            # a value of one eval and a value of one demo with the same id hold no real pair
+            alone = (d.only[:, None] == e.only[None, :]) & (d.n == 1)[:, None] & (e.n == 1)[None, :]
+            row = {}
+            for i, blk in enumerate(blocks):
+                vals = blk[~alone] if exclude_self else blk.ravel()
+                vals = vals[~np.isnan(vals)]
+                row[f"lo{i}"], row[f"hi{i}"] = (float(vals.min()), float(vals.max())) if vals.size else (None, None)
+            rows.append(row)
+        return pa.Table.from_pylist(rows, pa.schema([(n, pa.float64()) for n in names]))
     return run
 
 
 def _topk_fn(kinds, k, mode, weights, extrema):
-    def run(evals: pd.DataFrame, demos: pd.DataFrame) -> pd.DataFrame:
-        if not len(evals) or not len(demos):
-            return pd.DataFrame()
-        demos = demos.sort_values("_first", kind="stable")
-        score = np.rint(_fused(kinds, _raw_blocks(kinds, evals, demos), mode, weights, extrema) * SCALE).T
-        # the k best demo values of each eval value; equal scores by smallest demo id (the sort is stable)
-        best = np.argsort(np.where(np.isnan(score), np.inf, -score), axis=1, kind="stable")[:, :k]
-        chosen = np.take_along_axis(score, best, axis=1)
-        sims = pd.array([None if math.isnan(v) else v / SCALE for v in chosen.ravel().tolist()], dtype="Float64")
-        return pd.DataFrame({"_v": np.repeat(evals["_v"].to_numpy(), best.shape[1]),
-                             "_d": demos["_d"].to_numpy()[best.ravel()], "sim": sims})
+    def run(evals: pa.Table, demos: pa.Table) -> pa.Table:
+        found: dict[int, tuple] = {}
+        for e, d, blocks in _meetings(kinds, evals, demos):
+            score = np.rint(_fused(kinds, blocks, mode, weights, extrema) * SCALE).T
+            ids = np.broadcast_to(d.ids, score.shape)
+            if id(e) in found:  # what is held has smaller ids: the stable sort prefers it
+                score, ids = (np.concatenate(x, axis=1) for x in zip(found[id(e)][1:], (score, ids)))
+            best = np.argsort(np.where(np.isnan(score), np.inf, -score), axis=1, kind="stable")[:, :k]
+            found[id(e)] = (e, np.take_along_axis(score, best, axis=1), np.take_along_axis(ids, best, axis=1))
+        values, ids, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for e, score, best in found.values():
+            values.append(np.repeat(e.ids, best.shape[1]))
+            ids.append(best.ravel())
+            sims.append(score.ravel() / SCALE)
+        return pa.Table.from_pydict({"_v": np.concatenate(values), "_d": np.concatenate(ids), "sim": pa.array(np.concatenate(sims), from_pandas=True)})
     return run
 
 
+def _cells(values: int, run: int) -> int:
+    """Into how many parts a side is dealt: few enough that a value is copied to ``GRID``
+    cells only, as long as a part fits a task (``CELL_ROWS``)."""
+    return max(values // CELL_ROWS + 1, min(GRID, values // run + 1))
+
+
 def _distinct(rows: DataFrame, cols: Sequence[str], name: str) -> DataFrame:
     """One row for each distinct value: ``name`` (its smallest id), ``_n`` rows, the
     smallest id again as ``_only`` and ``_first``."""
@@ -221,7 +291,7 @@ def topk_similar(evals: DataFrame, demos: DataFrame, k: int, *,
     de = demos.select(F.col(demo_id).cast("long").alias("_id"), *cols)
     ev_values, de_values = _distinct(ev, cols, "_v"), _distinct(de, cols, "_d")
     k_value = k + 1 if exclude_self else k  # one more when the eval itself must go
-    blocks = {side: values.count() // size + 1 for side, values, size in (("e", ev_values, EVAL_ROWS), ("d", de_values, DEMO_ROWS))}
+    blocks = {side: _cells(values.count(), size) for side, values, size in (("e", ev_values, EVAL_ROWS), ("d", de_values, DEMO_ROWS))}
     dealt = lambda values, name, side: values.withColumn(f"_b{side}", F.pmod(F.xxhash64(name), F.lit(blocks[side])))
     every = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks[side] - 1).cast("long"))).alias(f"_b{side}")
     left = dealt(ev_values, "_v", "e").select("*", every("d")).groupBy("_be", "_bd")
@@ -231,10 +301,10 @@ def topk_similar(evals: DataFrame, demos: DataFrame, k: int, *,
     extrema = None
     if mode == "weighted" or any(kd.is_distance for kd in kinds):
         names = [f"{x}{i}" for i in range(len(kinds)) for x in ("lo", "hi")]
-        row = meet.applyInPandas(_extrema_fn(kinds, exclude_self), ", ".join(f"{n} double" for n in names)) \
+        row = meet.applyInArrow(_extrema_fn(kinds, exclude_self), ", ".join(f"{n} double" for n in names)) \
             .agg(*[(F.min if n.startswith("lo") else F.max)(n).alias(n) for n in names]).first()
         extrema = [(row[f"lo{i}"], row[f"hi{i}"]) for i in range(len(kinds))]
-    found = meet.applyInPandas(_topk_fn(kinds, k_value, mode, weights, extrema), "_v long, _d long, sim double")
+    found = meet.applyInArrow(_topk_fn(kinds, k_value, mode, weights, extrema), "_v long, _d long, sim double")
     per_value = rank_within(found, "_v", k_value, tie="_d").drop("rank")
     # a demo value stands for its k smallest ids: more can't be in any top k
     by_value = Window.partitionBy("_d").orderBy("_id")
