@@ -152,7 +152,8 @@ class Equality:
 class TreeDistance:
     """Edit distance of skeleton trees given as preorder arrays of
     struct(depth, value) (see ``functions.skeleton.skeleton_tree``).  It is a
-    distance: scores use (max - d) / (max - min)."""
+    distance: scores use (max - d) / (max - min).  Its bounds keep most pairs from
+    being scored."""
     column: str
     is_distance: bool = True
 
@@ -162,6 +163,37 @@ class TreeDistance:
     def scores(self, evals: list[Tree], demos: list[Tree]) -> np.ndarray:
         return np.array([[tree_edit_distance(d, e) for e in evals] for d in demos], dtype=np.float64).reshape(len(demos), len(evals))
 
+    def bounds(self, evals: list[Tree], demos: list[Tree]) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the largest distance that each (demo, eval) pair can have, from
+        the nodes below the roots alone.
+
+        A child of the longer list that isn't set against one with its label and number
+        of children costs 1 or more, whatever happens to it.  At most, one side's
+        children go along the border, at 1 each, and the other side's nodes all come."""
+        names: dict = {}
+        for t in (*evals, *demos):
+            for c in t.children[0]:
+                names.setdefault((t.values[c], len(t.children[c])), len(names))
+
+        def counts(trees):
+            out = np.zeros((len(trees), len(names)), np.int32)
+            for i, t in enumerate(trees):
+                for c in t.children[0]:
+                    out[i, names[t.values[c], len(t.children[c])]] += 1
+            return out, np.array([len(t.children[0]) for t in trees], np.int64), np.array([t.sizes[0] - 1 for t in trees], np.int64)
+
+        (have_e, kids_e, nodes_e), (have_d, kids_d, nodes_d) = counts(evals), counts(demos)
+        common = np.zeros((len(demos), len(evals)), np.int64)
+        for k in np.flatnonzero(have_e.any(axis=0) & have_d.any(axis=0)):
+            common += np.minimum(have_d[:, k, None], have_e[None, :, k])
+        roots = np.array([[d.values[0] != e.values[0] for e in evals] for d in demos], np.int64).reshape(common.shape)
+        low = np.maximum(kids_d[:, None], kids_e[None, :]) - common + roots
+        high = np.minimum(kids_d[:, None] + nodes_e[None, :], kids_e[None, :] + nodes_d[:, None]) + roots
+        return low.astype(np.float64), high.astype(np.float64)
+
+    def score(self, one: Tree, other: Tree) -> float:
+        return float(tree_edit_distance(other, one))
+
 
 # ---------------------------------------------------------------------------
 # The distributed kernel
@@ -206,11 +238,58 @@ def _packed_runs(kinds, rows: pa.Table, name: str, size: int) -> list[_Run]:
 
 
 def _meetings(kinds, evals: pa.Table, demos: pa.Table):
-    """(eval run, demo run, raw score matrices) of a cell, demos in ascending order."""
+    """(eval run, demo run) pairs of a cell, demos in ascending order."""
     held = _packed_runs(kinds, demos, "_d", DEMO_ROWS)
     for e in _packed_runs(kinds, evals, "_v", EVAL_ROWS):
         for d in held:
-            yield e, d, [k.scores(x, y) for k, x, y in zip(kinds, e.packed, d.packed)]
+            yield e, d
+
+
+def bounded_extrema(kind, evals: list, demos: list, counts: np.ndarray) -> tuple[float | None, float | None, int]:
+    """The exact least and largest score among the pairs that count, and how many pairs
+    had to be scored: pairs go by their bounds, until no bound is beyond what is found."""
+    low, high = kind.bounds(evals, demos)
+    scored: dict[int, float] = {}
+
+    def extreme(bound, sign):
+        best = None
+        for at in np.argsort(sign * bound, axis=None, kind="stable"):
+            if not counts.flat[at]:
+                continue
+            if best is not None and sign * bound.flat[at] >= sign * best:
+                break
+            if at not in scored:
+                d, e = divmod(int(at), len(evals))
+                scored[at] = kind.score(evals[e], demos[d])
+            best = scored[at] if best is None or sign * scored[at] < sign * best else best
+        return best
+
+    return extreme(low, 1), extreme(high, -1), len(scored)
+
+
+def bounded_scores(kinds, e: _Run, d: _Run, k: int, fuse, held: np.ndarray | None) -> tuple[np.ndarray, int]:
+    """(eval x demo) rounded scores in which every demo that can be among an eval's k best
+    has its exact one, and the number of pairs scored; the others have minus infinity.
+
+    Distances with bounds enter as their least value first, which makes a score an upper
+    bound; an eval's demos are scored from the best bound down until the k-th best
+    score (``held``: its best ones so far) is above the next bound."""
+    blocks = [kd.bounds(x, y)[0] if hasattr(kd, "bounds") else kd.scores(x, y) for kd, x, y in zip(kinds, e.packed, d.packed)]
+    upper = np.rint(fuse(blocks) * SCALE).T
+    score, scored = np.where(np.isnan(upper), np.nan, -np.inf), 0
+    for row in range(len(upper)):
+        best = sorted([v for v in held[row] if not np.isnan(v)] if held is not None else [], reverse=True)[:k]
+        order = np.argsort(np.where(np.isnan(upper[row]), np.inf, -upper[row]), kind="stable")
+        for at in order:
+            if np.isnan(upper[row, at]) or len(best) == k and upper[row, at] < best[-1]:
+                break
+            one = [np.array([[kd.score(x[row], y[at])]]) if hasattr(kd, "bounds") else blk[at:at + 1, row:row + 1]
+                   for kd, x, y, blk in zip(kinds, e.packed, d.packed, blocks)]
+            score[row, at] = np.rint(fuse(one)[0, 0] * SCALE)
+            scored += 1
+            if not np.isnan(score[row, at]):
+                best = sorted([*best, score[row, at]], reverse=True)[:k]
+    return score, scored
 
 
 def _extrema_fn(kinds, exclude_self):
@@ -218,12 +297,15 @@ def _extrema_fn(kinds, exclude_self):
 
     def run(evals: pa.Table, demos: pa.Table) -> pa.Table:
         rows = []
-        for e, d, blocks in _meetings(kinds, evals, demos):
+        for e, d in _meetings(kinds, evals, demos):
             # a value of one eval and a value of one demo with the same id hold no real pair
             alone = (d.only[:, None] == e.only[None, :]) & (d.n == 1)[:, None] & (e.n == 1)[None, :]
-            row = {}
-            for i, blk in enumerate(blocks):
-                vals = blk[~alone] if exclude_self else blk.ravel()
+            counts, row = ~alone if exclude_self else np.ones(alone.shape, bool), {}
+            for i, (kd, x, y) in enumerate(zip(kinds, e.packed, d.packed)):
+                if hasattr(kd, "bounds"):
+                    row[f"lo{i}"], row[f"hi{i}"], _ = bounded_extrema(kd, x, y, counts)
+                    continue
+                vals = kd.scores(x, y)[counts]
                 vals = vals[~np.isnan(vals)]
                 row[f"lo{i}"], row[f"hi{i}"] = (float(vals.min()), float(vals.max())) if vals.size else (None, None)
             rows.append(row)
@@ -232,10 +314,14 @@ def _extrema_fn(kinds, exclude_self):
 
 
 def _topk_fn(kinds, k, mode, weights, extrema):
+    bounded = any(hasattr(kd, "bounds") for kd in kinds)
+
     def run(evals: pa.Table, demos: pa.Table) -> pa.Table:
         found: dict[int, tuple] = {}
-        for e, d, blocks in _meetings(kinds, evals, demos):
-            score = np.rint(_fused(kinds, blocks, mode, weights, extrema) * SCALE).T
+        fuse = lambda blocks: _fused(kinds, blocks, mode, weights, extrema)
+        for e, d in _meetings(kinds, evals, demos):
+            score, _ = bounded_scores(kinds, e, d, k, fuse, found[id(e)][1] if id(e) in found else None) if bounded else \
+                (np.rint(fuse([kd.scores(x, y) for kd, x, y in zip(kinds, e.packed, d.packed)]) * SCALE).T, 0)
             ids = np.broadcast_to(d.ids, score.shape)
             if id(e) in found:  # what is held has smaller ids: the stable sort prefers it
                 score, ids = (np.concatenate(x, axis=1) for x in zip(found[id(e)][1:], (score, ids)))

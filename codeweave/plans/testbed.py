@@ -1109,6 +1109,24 @@ select eval_id, cast(rk as integer) as rank, demo_id, sim from r where rk <= 3
 """
 
 
+# Trees of one level: the root's children are a name's letters, all of size 1, so the
+# tree distance is the Levenshtein distance.
+@register("tree_distance_topk", sql="""
+with d as (select n_nationkey as eval_id, p_partkey as demo_id, levenshtein(lower(n_name), lower(p_name || ' ' || p_brand)) as d from nation, part),
+s as (select eval_id, demo_id, round((max(d) over () - d) / (max(d) over () - min(d) over ()), 6) as sim from d)
+select eval_id, cast(row_number() over (partition by eval_id order by sim desc, demo_id) as integer) as rank, demo_id, sim
+from s qualify rank <= 5
+""")
+def tree_distance_topk_q(spark, sf):
+    """J2 + A2 + W1: the part names with the nearest letter trees to each nation's name."""
+    from ..operators.retrieval import TreeDistance
+    letters = lambda c: F.transform(F.filter(F.split(F.lower(c), ""), lambda x: x != ""),
+                                    lambda x: F.struct(F.lit(0).alias("depth"), x.alias("value")))
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("eval_id"), letters(F.col("n_name")).alias("tree"))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("demo_id"), letters(F.concat("p_name", F.lit(" "), "p_brand")).alias("tree"))
+    return topk_similar(nations, parts, 5, kinds=[TreeDistance("tree")])
+
+
 @register("text_skeleton_topk", sql=_TEXT_SKELETON_SQL)
 def text_skeleton_topk_q(spark, sf):
     """P7 + F2 + J1 + A3(max) + W1: benchmark items retrieve documents by

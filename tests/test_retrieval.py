@@ -3,6 +3,7 @@ than the pool, leave-one-out, fusion modes, eval blocks over the budget."""
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codeweave.operators.retrieval import Cosine, Equality, minmax_normalize, topk_similar
 
@@ -119,3 +120,59 @@ def test_empty_sides(spark):
     ev, de, _ = _frames(spark, np.ones((3, 2)), [0] * 3)
     assert topk_similar(ev.limit(0), de, 2, kinds=[Cosine("v")]).collect() == []
     assert topk_similar(ev, de.limit(0), 2, kinds=[Cosine("v")], mode="weighted").collect() == []
+
+
+def _random_trees(rnd, n):
+    out = []
+    for _ in range(n):
+        depth, tree = 0, []
+        for _ in range(rnd.choice([0, 1, 4, 12, 30])):
+            tree.append((depth, rnd.choice(["BEGIN", "LOOP", "_", ";", "(", "IF", "UPDATE"])))
+            depth = max(0, min(depth + rnd.choice([-1, 0, 0, 1]), 5))
+        out.append(tree)
+    return out
+
+
+def test_tree_bounds_hold_and_prune():
+    import random
+
+    from codeweave.functions.trees import Tree
+    from codeweave.operators import retrieval
+    from codeweave.operators.retrieval import TreeDistance, bounded_extrema, bounded_scores
+    rnd, kind = random.Random(5), TreeDistance("tree")
+    evals, demos = [Tree(t) for t in _random_trees(rnd, 30)], [Tree(t) for t in _random_trees(rnd, 60)]
+    exact = kind.scores(evals, demos)
+    low, high = kind.bounds(evals, demos)
+    assert (low <= exact).all() and (exact <= high).all()
+    counts = np.ones(exact.shape, bool)
+    counts[3, 4] = False
+    lo, hi, scored = bounded_extrema(kind, evals, demos, counts)
+    assert (lo, hi) == (exact[counts].min(), exact[counts].max()) and scored < exact.size / 4
+    fuse = lambda blocks: retrieval._fused([kind], blocks, "single", None, [(lo, hi)])
+    runs = [retrieval._Run(np.arange(len(x)), None, None, [x]) for x in (evals, demos)]
+    want = np.rint(fuse([exact]) * retrieval.SCALE).T
+    for held in (None, want[:, :3]):
+        score, scored = bounded_scores([kind], *runs, 2, fuse, held)
+        top = lambda m: np.argsort(-m, axis=1, kind="stable")[:, :2]
+        assert scored < exact.size * 0.6 and (held is None) <= (top(score) == top(want)).all()
+        assert (score[np.isfinite(score)] == want[np.isfinite(score)]).all()
+
+
+@pytest.mark.parametrize("mode,exclude_self", [("single", False), ("weighted", True), ("max", False)])
+def test_pruned_trees_rank_as_all_pairs(spark, monkeypatch, mode, exclude_self):
+    import random
+
+    from codeweave.operators import retrieval
+    from codeweave.operators.retrieval import TreeDistance
+    monkeypatch.setattr(retrieval, "EVAL_ROWS", 7)
+    monkeypatch.setattr(retrieval, "DEMO_ROWS", 9)
+
+    class AllPairs(TreeDistance):
+        bounds = property()  # not there: every pair is scored
+
+    ev, de = _trees(spark, _random_trees(random.Random(6), 40))
+    vec = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.sin(i * F.col("n")))
+    ev, de = ev.withColumn("n", F.col("eval_id")).withColumn("v", vec), de.withColumn("n", F.col("demo_id") + 1).withColumn("v", vec)
+    found = [topk_similar(ev, de, 4, kinds=[Cosine("v"), kind("tree")] if mode != "single" else [kind("tree")], mode=mode, weights=[.4, .6],
+                          exclude_self=exclude_self).orderBy("eval_id", "rank").collect() for kind in (TreeDistance, AllPairs)]
+    assert found[0] == found[1] and len(found[0]) == 160
