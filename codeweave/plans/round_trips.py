@@ -50,20 +50,23 @@ def task_files(spark, sf):
 
 
 @register("token_block_files", sql="""
-select l_orderkey as block_id, string_agg(cast(l_partkey % 65536 as varchar), ',' order by l_linenumber, l_partkey) as labels,
-       cast(count(*) as bigint) as mask_sum
-from lineitem group by l_orderkey having count(*) = 4
+with l as (select (row_number() over (order by l_orderkey, l_linenumber, l_partkey) - 1) as place, l_partkey % 65536 as id from lineitem),
+b as (select place // 1024 as block_id, string_agg(cast(id as varchar), ',' order by place) as labels, cast(count(*) as bigint) as mask_sum from l group by 1)
+select block_id, md5(labels) as labels_md5, mask_sum from b where mask_sum = 1024
 """)
 def token_block_files(spark, sf):
-    """S3 + S4: line items as blocks of an order, written and read with the partial
-    ones dropped."""
+    """S3 + S4 + W6: all line items as one stream of ids, cut into blocks of 1,024, written
+    and read with the one partial block at the end dropped."""
+    from ..operators.prefix import exclusive_prefix_sums
     from ..sources.blocks import read_token_blocks, write_token_blocks
     out = _folder(spark, "blocks")
-    line = F.struct("l_linenumber", "l_partkey")
-    ids = F.transform(F.array_sort(F.collect_list(line)), lambda x: (x["l_partkey"] % 65536).cast("int"))
-    write_token_blocks(table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("block_id")).agg(ids.alias("input_ids")), out)
-    return read_token_blocks(spark, out, block_size=4).select(
-        "block_id", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"),
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lit(1).cast("long").alias("one"))
+    placed = exclusive_prefix_sums(lines, ["l_orderkey", "l_linenumber", "l_partkey"], ["one"]).withColumn("at", F.col("one_before"))
+    token = F.struct("at", (F.col("l_partkey") % 65536).cast("int").alias("id"))
+    blocks = placed.groupBy(F.floor(F.col("at") / 1024).alias("block_id")).agg(F.transform(F.array_sort(F.collect_list(token)), lambda x: x["id"]).alias("input_ids"))
+    write_token_blocks(blocks, out)
+    return read_token_blocks(spark, out, block_size=1024).select(
+        "block_id", F.md5(F.array_join(F.col("labels").cast("array<string>"), ",")).alias("labels_md5"),
         F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("mask_sum"))
 
 
@@ -79,8 +82,11 @@ def cached_column(spark, sf):
 
 
 @register("snapshot_files", sql="""
-select * from (values ('missing', 'skipped'), ('nation', 'missing_b'), ('orders', 'differs'), ('region', 'same')) t(table_name, status)
-where status <> 'skipped'
+with changed as (select * replace (o_totalprice + case when o_orderkey % 1000 = 1 then 1 else 0 end as o_totalprice) from orders),
+away as (select (select count(*) from (select * from orders except all select * from changed)) + (select count(*) from (select * from changed except all select * from orders)) as n)
+select 'nation' as table_name, case when count(*) >= 0 then 'missing_b' end as status from nation
+union all select 'orders', case when n > 0 then 'differs' else 'same' end from away
+union all select 'region', case when count(*) > 0 then 'differs' else 'same' end from (select * from region except all select * from region)
 """)
 def snapshot_files(spark, sf):
     """S8 + J10: the tables of a folder against a changed copy of it."""

@@ -762,34 +762,38 @@ def prompts_q(spark, sf):
 _TOK = "regexp_extract_all({t}, '([\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s])', 1)"
 
 
+# A tokenizer that SQL can follow: a word's id comes from its first character and length.
+_ID = "(3 + (ascii({w}) * 31 + length({w})) % 49149)"
+_MAX = 8192
+
+
 @register("training_examples", sql=f"""
-with pairs as (select u.conv_id, u.turn, len({_TOK.format(t='u.text')}) as np, len({_TOK.format(t='a.text')}) as nt
-               from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1
-               where u.role = 'user' and a.role = 'assistant'),
-x as (select *, (np + 1) + (nt + 1) as l from pairs)
-select conv_id, turn, cast(least(l, 256) as integer) as mask_ones,
-       cast(case when l <= 256 then nt + 1 else least(nt + 1, 256) end as integer) as label_tokens,
-       cast(case when l <= 256 then 256 - l else 0 end as integer) as pad_tokens,
-       cast(case when np > 128 then 128 else np end as integer) as prompt_len
-from x
+with ids as (select conv_id, turn, role, list_transform({_TOK.format(t="coalesce(text, '')")}, lambda w: {_ID.format(w='w')}) as ids from conversations),
+pairs as (select u.conv_id, u.turn, list_concat([1], u.ids) as p, list_concat(a.ids, [2]) as t, len(u.ids) as np
+          from ids u join ids a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'),
+x as (select *, len(p) + len(t) as n, list_concat(p, t) as joined, list_concat(list_transform(p, lambda i: -100), t) as lab from pairs),
+ex as (select conv_id, turn, np,
+  case when n <= {_MAX} then list_concat(joined, list_transform(range({_MAX} - n), lambda i: 0)) else list_concat([1], joined[n - {_MAX} + 2:]) end as input_ids,
+  case when n <= {_MAX} then list_concat(lab, list_transform(range({_MAX} - n), lambda i: -100)) else lab[n - {_MAX} + 1:] end as labels,
+  cast(least(n, {_MAX}) as integer) as mask_ones from x)
+select conv_id, turn, mask_ones, md5(array_to_string(input_ids, ',')) as ids_md5, md5(array_to_string(labels, ',')) as labels_md5,
+  cast(case when np > {_MAX} - 256 then {_MAX} - 256 else np end as integer) as prompt_len
+from ex
 """)
 def training_examples_q(spark, sf):
-    from ..operators.packing import hashed_tokenizer
+    """P14 + P15 at the flow's own sizes: whole ids and labels."""
     from ..operators.prompts import sft_example, truncate_left
+    from ..functions.text import WORD_OR_SYMBOL
+    tok = lambda c: F.transform(F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(WORD_OR_SYMBOL), 1),
+                                lambda w: F.lit(3) + (F.ascii(w) * 31 + F.char_length(w)) % 49149)
     conv = table(spark, sf, "conversations")
-    tok = hashed_tokenizer()
-    u = conv.where(F.col("role") == "user").select("conv_id", "turn", tok(F.col("text")).alias("p"))
-    a = conv.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), tok(F.col("text")).alias("t"))
-    ex = u.join(a, ["conv_id", "turn"]).select(
-        "conv_id", "turn", sft_example("p", "t", 256, bos=1, eos=2, pad=0).alias("ex"),
-        F.size(truncate_left("p", 128, bos=[1])).alias("prompt_len"))
-    return ex.select(
-        "conv_id", "turn",
-        F.aggregate("ex.attention_mask", F.lit(0), lambda acc, x: acc + x).alias("mask_ones"),
-        F.size(F.filter("ex.labels", lambda x: x != -100)).alias("label_tokens"),
-        F.size(F.filter("ex.input_ids", lambda x: x == 0)).alias("pad_tokens"),
-        "prompt_len")
+    u = conv.where(F.col("role") == "user").select("conv_id", "turn", tok("text").alias("p"))
+    a = conv.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), tok("text").alias("t"))
+    ex = u.join(a, ["conv_id", "turn"]).select("conv_id", "turn", sft_example("p", "t", _MAX, bos=1, eos=2, pad=0).alias("ex"),
+                                               F.size(truncate_left("p", _MAX - 256, bos=[1])).alias("prompt_len"))
+    joined = lambda c: F.md5(F.array_join(F.col(f"ex.{c}").cast("array<string>"), ","))
+    return ex.select("conv_id", "turn", F.aggregate("ex.attention_mask", F.lit(0), lambda acc, x: acc + x).alias("mask_ones"),
+                     joined("input_ids").alias("ids_md5"), joined("labels").alias("labels_md5"), "prompt_len")
 
 
 # ---------------------------------------------------------------------------

@@ -111,3 +111,21 @@ def test_snapshot_faults_are_not_absence(spark, scratch):
     assert read_snapshot(spark, f"{scratch}/snap", ["absent"]) == {"absent": None}
     with pytest.raises(Exception):
         read_snapshot(spark, f"{scratch}/snap", ["broken"])["broken"].collect()
+
+
+def test_some_blocks_open_their_folders_only(spark, scratch, monkeypatch):
+    from codeweave.sources import blocks
+    monkeypatch.setattr(blocks, "RUN", 100)
+    path = f"{scratch}/runs"
+    data = spark.range(5000).select(F.col("id").alias("block_id"), F.array(F.col("id").cast("int"), F.lit(7)).alias("input_ids"))
+    blocks.write_token_blocks(data.repartition(7), path)
+    wanted = [101, 103, 150, 199, 4200]
+    some = blocks.read_token_blocks(spark, path, ids=wanted)
+    assert sorted((r.block_id, list(r.input_ids)) for r in some.collect()) == [(i, [i, 7]) for i in wanted]
+    opened = spark.read.parquet(path).where(F.col("run").isin(1, 42)).select("_metadata.file_path").distinct().count()
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert opened == 2 and "PartitionFilters: [run" in plan and "In(block_id" in plan
+    assert blocks.read_token_blocks(spark, path).count() == 5000
+    import pytest
+    with pytest.raises(Exception, match="outside 0..65535"):
+        blocks.write_token_blocks(spark.createDataFrame([(1, [70000])], "block_id long, input_ids array<int>"), f"{scratch}/bad")
