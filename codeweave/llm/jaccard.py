@@ -36,14 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.prefix import grouped_exclusive_prefix
 from .components import components
 from .frames import bounded_batches, kept_table
-from .neardup import in_blocks, shingles
+from .neardup import shingles
 from .words import find, mix, pieces, seeds
 
 EVIDENCE = 16            # one in so many shingles of a set must be found again in the lists
 BUCKET_TEXT = 4_000_000  # text bytes for each bucket of lists
-BLOCK = 1_000_000        # shingles of a cluster that meet in one bucket
+BLOCK = 500_000          # shingles of a cluster's block; two blocks meet in a task
+HELD = 500_000           # listed shingles that a task holds before it passes them on
 FILTER_BITS = 1 << 25
 MU = 0.0085              # cost of a probe against a merge step: how many lists are long
 
@@ -140,7 +142,7 @@ def cluster_links(docs: DataFrame, reps: DataFrame, like: Overlap) -> DataFrame:
             ids.append(name[owner[use]])
             hashes.append(found[use])
             held += int(use.sum())
-            if held > 2_000_000:
+            if held > HELD:
                 yield of_lists(ids, hashes)
                 ids, hashes, held = [np.zeros(0, _U)], [np.zeros(0, _U)], 0
         yield of_lists(ids, hashes)
@@ -310,7 +312,8 @@ def _in_filter(known: np.ndarray, keys: pa.Array) -> np.ndarray:
 def confirmed_links(members: DataFrame, docs: DataFrame, like: Overlap) -> DataFrame:
     """(a, b): links that span the components of the members (key, n_shingles, cluster)
     of each cluster, judged on whole sets."""
-    placed = kept_table(in_blocks(members), "blocks")
+    summed = grouped_exclusive_prefix(members.select("key", "n_shingles", "cluster"), ["n_shingles", "key"], "n_shingles", ["cluster"], "before")
+    placed = kept_table(summed.select("key", "n_shingles", "cluster", F.floor(F.col("before") / BLOCK).alias("block")), "blocks")
     blocks = placed.groupBy("cluster", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     one, two = blocks.alias("one"), blocks.alias("two")
     pairs = one.join(two, (F.col("one.cluster") == F.col("two.cluster")) & (F.col("one.block") <= F.col("two.block"))

@@ -12,9 +12,8 @@ from .test_neardup import brute, rows
 
 @pytest.mark.parametrize("block,bucket", [(1_000_000, 4_000_000), (900, 3000)])
 def test_components_equal_brute_force(spark, docs, monkeypatch, block, bucket):
-    from codeweave.llm import neardup
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "HELD", block // 2)
     monkeypatch.setattr(jaccard, "BUCKET_TEXT", bucket)
     monkeypatch.setattr(jaccard, "FILTER_BITS", 1 << 25 if block > 900 else 64)  # a full filter only costs work
     got = jaccard_join(docs(rows()).repartition(3)).collect()
