@@ -15,6 +15,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .prefix import grouped_exclusive_prefix
+
 
 def topk_per_group(df: DataFrame, group: Sequence[str], score: str, pos: str, k: int,
                    rank_col: str = "rank") -> DataFrame:
@@ -127,6 +130,10 @@ def merge_chunk_scores(tables: DataFrame, chunk_tables: DataFrame, chunk_columns
 # alignment
 # ---------------------------------------------------------------------------
 
+LONG_TASK = 10_000  # items; a task of more is cut over many tasks
+BAND = 64           # budgets of text length in a band
+
+
 def piece_count(word: str | Column, width: int = 4) -> Column:
     """Default token count of one word: pieces of at most ``width`` characters
     per whitespace-free run (a stand-in for a subword tokenizer)."""
@@ -144,11 +151,17 @@ def budget_chunks(items: DataFrame, texts: DataFrame, budget: int = 500, task: s
     Names are the decorated ones the caller passes.  An empty leading chunk
     (first item alone too long) is not emitted.  Returns items + chunk_pos.
 
-    The fold is sequential inside a task, so it is an ``aggregate`` over the
-    task's ordered items (one task's schema per group)."""
+    A task's items are folded in order by an ``aggregate``.  Tasks of more than
+    ``LONG_TASK`` items go over many tasks instead, see ``long_chunks``."""
     base = texts.select(task, (F.lit(2) + length(F.col(text))).alias("_base"))
     it = items.select(task, table, col, length(F.col(table_name)).alias("_tl"),
                       length(F.col(column_name)).alias("_cl"))
+    long = it.groupBy(task).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LONG_TASK).select(task)
+    chunks = None
+    if not long.isEmpty():
+        placed = it.join(long, task).join(base, task).toDF("task", "table", "col", "tl", "cl", "base")
+        chunks = long_chunks(placed, budget).toDF(task, table, col, "chunk_pos")
+        it = it.join(long, task, "left_anti")
     per_task = (it.groupBy(task).agg(F.array_sort(F.collect_list(F.struct(table, col, "_tl", "_cl"))).alias("_it"))
                 .join(base, task))
     init = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("n"), F.col("_base").cast("int").alias("len"),
@@ -166,8 +179,51 @@ def budget_chunks(items: DataFrame, texts: DataFrame, budget: int = 500, task: s
                         x[table].cast("long").alias("cur"), F.concat(acc["out"], F.array(new_chunk)).alias("out"))
     folded = per_task.select(task, "_it", F.aggregate("_it", init, step, lambda a: a["out"]).alias("_ch"))
     z = folded.select(task, F.explode(F.arrays_zip("_it", "_ch")).alias("z"))
-    return z.select(task, F.col(f"z._it.{table}").alias(table), F.col(f"z._it.{col}").alias(col),
-                    F.col("z._ch").alias("chunk_pos"))
+    short = z.select(task, F.col(f"z._it.{table}").alias(table), F.col(f"z._it.{col}").alias(col),
+                     F.col("z._ch").alias("chunk_pos"))
+    return short if chunks is None else short.unionByName(chunks)
+
+
+def long_chunks(items: DataFrame, budget: int) -> DataFrame:
+    """(task, table, col, chunk_pos) for the items (task, table, col, tl, cl, base) of long
+    tasks, as ``budget_chunks`` cuts them, without an order that one task has to follow.
+
+    With the running sum P of the items' lengths (``tl`` only where a table begins), the
+    chunk that begins at item i ends before the first later item whose P reaches a limit
+    known from i alone.  So every item has a successor, found in bands of P; of the
+    chain of successors from a task's first item the chunk starts are marked by
+    doubling: after round k the first 2**k ones are known and every link is 2**k long.
+    A last running sum counts the starts up to each item.  P names an item: it grows
+    by 1 or more."""
+    firsts = items.groupBy("task", "table").agg(F.min("col").alias("first"))
+    sized = items.join(firsts, ["task", "table"]).withColumn("fresh", F.col("tl") + 2 + F.col("cl")) \
+        .withColumn("size", F.when(F.col("col") == F.col("first"), F.col("fresh")).otherwise(F.col("cl") + 1).cast("long"))
+    summed = grouped_exclusive_prefix(sized, ["table", "col"], "size", ["task"], "before").withColumn("p", F.col("before") + F.col("size"))
+    placed = cut_lineage(summed.select("task", "table", "col", "p", F.greatest(F.lit(budget) - F.col("base") - F.col("fresh") + F.col("p"),
+                                                                              F.col("p") + 1).alias("limit")))
+    band = lambda c: F.floor(F.col(c) / (BAND * budget)).alias("band")
+    points = placed.select("task", band("p"), F.col("p").alias("v"), F.lit(None).cast("long").alias("at"), F.lit(1).alias("kind"))
+    wanted = placed.select("task", band("limit"), F.col("limit").alias("v"), F.col("p").alias("at"), F.lit(0).alias("kind"))
+    rows = points.unionByName(wanted)
+    point = F.when(F.col("kind") == 1, F.col("v"))
+    onward = Window.partitionBy("task", "band").orderBy("v", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    inside = rows.withColumn("next", F.first(point, ignorenulls=True).over(onward)).where("kind = 0")
+    later = Window.partitionBy("task").orderBy("band").rowsBetween(1, Window.unboundedFollowing)
+    bands = rows.groupBy("task", "band").agg(F.min(point).alias("low")).withColumn("beyond", F.first("low", ignorenulls=True).over(later))
+    links = inside.join(bands.select("task", "band", "beyond"), ["task", "band"]).select("task", "at", F.coalesce("next", "beyond").alias("next"))
+    jump = cut_lineage(links.where("next IS NOT NULL"))
+    starts = cut_lineage(placed.groupBy("task").agg(F.min("p").alias("at")))
+    while True:
+        found = cut_lineage(starts.join(jump, ["task", "at"]).select("task", F.col("next").alias("at")))
+        if found.isEmpty():
+            break
+        starts = cut_lineage(starts.unionByName(found))
+        ahead = jump.select("task", F.col("at").alias("next"), F.col("next").alias("after"))
+        jump = cut_lineage(jump.join(ahead, ["task", "next"]).select("task", "at", F.col("after").alias("next")))
+    marked = placed.join(starts.select("task", F.col("at").alias("p"), F.lit(1).alias("starts")), ["task", "p"], "left") \
+        .select("task", "table", "col", F.coalesce("starts", F.lit(0)).cast("long").alias("starts"))
+    counted = grouped_exclusive_prefix(marked, ["table", "col"], "starts", ["task"], "before")
+    return counted.select("task", "table", "col", (F.col("before") + F.col("starts") - 1).cast("int").alias("chunk_pos"))
 
 
 def score_schema_items(chunked: DataFrame, texts: DataFrame, scorer=None, task: str = "task_id",
@@ -201,7 +257,6 @@ def name_token_spans(texts: DataFrame, tables: DataFrame, columns: DataFrame, ma
     ``tables(task, table_pos, table_name)``, ``columns(task, table_pos,
     col_pos, column_name)``.  Offsets come from a grouped prefix sum that is
     split by ranges, not a window per task."""
-    from .prefix import grouped_exclusive_prefix
     ncols = columns.groupBy(task, table).agg(F.max(col).alias("_last"))
     t = tables.join(ncols, [task, table], "left")
     words = (

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeweave.operators.schema_items import (budget_chunks, decorate_name, filter_foreign_keys,
@@ -38,7 +39,11 @@ def _chunks_by_loop(text, tables, budget):
     return [c for c in chunks if c]
 
 
-def test_budget_chunks_brute_force(spark):
+@pytest.mark.parametrize("long_task", [10_000, 4])
+def test_budget_chunks_brute_force(spark, monkeypatch, long_task):
+    from codeweave.operators import schema_items
+    monkeypatch.setattr(schema_items, "LONG_TASK", long_task)  # 4: most tasks are cut by doubling
+    monkeypatch.setattr(schema_items, "BAND", 1)
     rnd = random.Random(9)
     items, texts, want = [], [], {}
     for task in range(40):
@@ -60,6 +65,34 @@ def test_budget_chunks_brute_force(spark):
     assert got == want
 
 
+def test_a_long_task_is_spread_and_equals_the_loop(spark, monkeypatch):
+    from codeweave.operators import prefix, schema_items
+    rows = spark.range(20_000).select(F.lit(7).alias("task_id"), (F.col("id") / 50).cast("int").alias("table_pos"), (F.col("id") % 50).cast("int").alias("col_pos"),
+                                      F.concat(F.lit("t"), (F.col("id") / 50).cast("int")).alias("table_name"),
+                                      F.repeat(F.lit("c"), (F.col("id") % 23 + 1).cast("int")).alias("column_name"))
+    texts = spark.createDataFrame([(7, "some words")], "task_id int, text string")
+    ranges, dealt = [], prefix.ranged
+    monkeypatch.setattr(prefix, "ranged", lambda *a: (ranges.append(out := dealt(*a)), out)[1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = schema_items.budget_chunks(rows, texts, budget=100).collect()
+        most = max(r["count"] for r in ranges[0].groupBy("_range").count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, pos, used, last = {}, -1, 0, None
+    for i in range(20_000):
+        t, size = i // 50, math.ceil((i % 23 + 1) / 4)
+        fresh = math.ceil(len(f"t{t}") / 4) + 2 + size
+        add = size + 1 if last == t else fresh
+        if pos >= 0 and used + add < 100:
+            used += add
+        else:
+            pos, used = pos + 1, 2 + 3 + fresh
+        last = t
+        want[t, i % 50] = pos
+    assert {(r.table_pos, r.col_pos): r.chunk_pos for r in spread} == want and most < 10_000
+
+
 def test_merge_chunk_scores_cases(spark):
     tables = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "task_id long, table_pos int")
     ct = spark.createDataFrame([(1, 0, 0, 0.3), (1, 1, 0, 0.7), (1, 1, 1, 0.5)],
