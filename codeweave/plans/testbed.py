@@ -1201,6 +1201,34 @@ def clean_candidates_q(spark, sf):
     return c.select("c_custkey", clean_candidate(raw, terms, "oracle").alias("cleaned"))
 
 
+@register("catalog_profile", sql="""
+with a as (select o_orderkey, o_totalprice, o_orderpriority from orders),
+b as (select o_orderkey, case when o_orderkey % 2 = 1 then o_totalprice * 2 else o_totalprice end as o_totalprice,
+             case when o_orderpriority <> '1-URGENT' then o_orderpriority end as o_orderpriority from orders),
+fa as (select 'o_orderkey' as column_name, count(*) as n, count(*) - count(o_orderkey) as n_null, min(o_orderkey)::double as low, max(o_orderkey)::double as high, null as first_text from a
+  union all select 'o_totalprice', count(*), count(*) - count(o_totalprice), min(o_totalprice), max(o_totalprice), null from a
+  union all select 'o_orderpriority', count(*), count(*) - count(o_orderpriority), null, null, min(o_orderpriority) from a),
+fb as (select 'o_orderkey' as column_name, count(*) as n, count(*) - count(o_orderkey) as n_null, min(o_orderkey)::double as low, max(o_orderkey)::double as high, null as first_text from b
+  union all select 'o_totalprice', count(*), count(*) - count(o_totalprice), min(o_totalprice), max(o_totalprice), null from b
+  union all select 'o_orderpriority', count(*), count(*) - count(o_orderpriority), null, null, min(o_orderpriority) from b)
+select column_name, fb.n as n_rows, fb.n_null, round(fb.low, 6) as low, round(fb.high, 6) as high, fb.first_text,
+  fa.low is distinct from fb.low or fa.high is distinct from fb.high or fa.first_text is distinct from fb.first_text as range_changed,
+  abs(fa.n_null / fa.n - fb.n_null / fb.n) > 0.05 as nulls_changed
+from fa join fb using (column_name)
+""")
+def catalog_profile_q(spark, sf):
+    """S7 + J11 on data: the columns of orders before and after a change, profiled in one
+    pass each and compared."""
+    from ..sources.profile import drift, profile
+    from ..session import cut_lineage
+    before = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    after = before.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 2 == 1, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice"))) \
+                  .withColumn("o_orderpriority", F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderpriority")))
+    a, b = (cut_lineage(profile({"orders": df})) for df in (before, after))
+    changes = drift(a, b).select("column_name", F.array_contains("changed", "range").alias("range_changed"), F.array_contains("changed", "nulls").alias("nulls_changed"))
+    return b.select("column_name", "n_rows", "n_null", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "first_text").join(changes, "column_name")
+
+
 @register("catalog_diff", sql="""
 with cols as (select distinct table_name, column_name, cast(ordinal_position as integer) as ordinal, data_type
               from information_schema.columns),
