@@ -14,7 +14,8 @@ with, so it is enough to look where T of its inverted lists meet.
 * In a cluster, DivideSkip: of the lists of a set the L longest are set aside, the short
   ones are merged by a heap that leaves out members which cannot come to T - L
   places, and for those that do, the long lists are probed by binary search.  What
-  reaches the overlap that both sizes require is linked.  A member that is found
+  reaches the overlap that both sizes require is linked.  Where the short lists are too
+  long for a heap, or the probes too many, entries are counted instead.  A member that is found
   leaves the search, so a large group of copies is found by few searches; links
   span the components.
 * A cluster of more than ``BLOCK`` shingles is cut into blocks by set size, and all pairs
@@ -47,6 +48,9 @@ BUCKET_TEXT = 4_000_000  # text bytes for each bucket of lists
 BLOCK = 500_000          # shingles of a cluster's block; two blocks meet in a task
 HELD = 500_000           # listed shingles that a task holds before it passes them on
 FILTER_BITS = 1 << 25
+HEAP = 1000              # entries of the short lists that a heap merges; more are counted
+ROWS = 255               # lists kept as rows (a byte counts them)
+PROBE = 30               # cost of a probe against counting an entry
 MU = 0.0085              # cost of a probe against a merge step: how many lists are long
 
 _U = np.uint64
@@ -200,8 +204,17 @@ class Lists:
         self.names, kind, self.count = np.unique(np.concatenate([sets[m] for m in members]), return_inverse=True, return_counts=True)
         order = np.argsort(kind, kind="stable")
         self.places = kind[order] * len(members) + owner[order]  # (list, member), ascending
-        self.entries = memoryview(np.ascontiguousarray(owner[order]))
+        self.owners = np.ascontiguousarray(owner[order])
+        self.entries = memoryview(self.owners)
         self.first = np.cumsum(self.count) - self.count
+        # the longest lists that hold an eighth of the members or more, as rows of zeros and ones
+        long = np.flatnonzero(8 * self.count >= len(members)) if len(members) > 64 else np.zeros(0, np.int64)
+        long = long[np.argsort(-self.count[long], kind="stable")[:ROWS]]
+        self.row = np.full(len(self.count), -1)
+        self.row[long] = np.arange(len(long))
+        self.rows = np.zeros((len(long), len(members)), np.uint8)
+        for k, i in enumerate(long):
+            self.rows[k, self.owners[self.first[i]:self.first[i] + self.count[i]]] = 1
 
     def _merged(self, lists: np.ndarray, low: int, high: int, need: int) -> dict[int, int]:
         """Members of low..high-1 that occur in ``need`` or more of the lists."""
@@ -232,6 +245,15 @@ class Lists:
                     heapq.heappush(heap, (entries[at[i]], i))
         return out
 
+    def _counted(self, lists: np.ndarray) -> np.ndarray:
+        """In how many of the lists each member occurs."""
+        row = self.row[lists]
+        out = self.rows[row[row >= 0]].sum(axis=0, dtype=np.uint8).astype(np.int64)
+        lists = lists[row < 0]
+        n = self.count[lists]
+        at = np.arange(n.sum()) + np.repeat(self.first[lists] - (np.cumsum(n) - n), n)
+        return out + np.bincount(self.owners[at], minlength=len(self.members))
+
     def search(self, own: np.ndarray) -> np.ndarray:
         """Members linked with the set ``own``."""
         none = np.zeros(0, np.int64)
@@ -245,15 +267,22 @@ class Lists:
         lists = lists[np.argsort(-self.count[lists], kind="stable")]
         longest = int(self.count[lists[0]])
         aside = max(0, min(need - 1, int(need / (MU * math.log2(max(longest, 2)) + 1))))
-        found = self._merged(lists[aside:], low, high, need - aside)
-        if not found:
+        apart, short = lists[:aside], lists[aside:]
+        if self.count[short].sum() <= HEAP:
+            found = self._merged(short, low, high, need - aside)
+            member, both = np.array(list(found), np.int64), np.array(list(found.values()), np.int64)
+        else:
+            tally = self._counted(short)
+            member = low + np.flatnonzero(tally[low:high] >= need - aside)
+            both = tally[member]
+        if not len(member):
             return none
-        member, both = np.array(list(found)), np.array(list(found.values()))
-        step = max(1, (1 << 20) // max(aside, 1))
-        for a in range(0, len(member), step):
-            probe = lists[:aside, None] * len(self.members) + member[a:a + step]
+        if PROBE * len(member) * aside > np.where(self.row[apart] < 0, self.count[apart], len(self.members) // 16).sum():  # so many probes that counting the long lists costs less
+            both = both + self._counted(apart)[member]
+        else:
+            probe = apart[:, None] * len(self.members) + member
             place = np.minimum(np.searchsorted(self.places, probe), len(self.places) - 1)
-            both[a:a + step] += (self.places[place] == probe).sum(axis=0)
+            both = both + (self.places[place] == probe).sum(axis=0)
         return self.members[member[self.like.linked(both, n, self.sizes[member])]]
 
 

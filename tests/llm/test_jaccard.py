@@ -50,7 +50,10 @@ def near(rnd, n, size, kinds):
     return out
 
 
-def test_heap_merge_with_probes_finds_what_counting_finds():
+@pytest.mark.parametrize("heap,probe", [(1000, 30), (10 ** 9, 0), (0, 10 ** 9), (0, 0)])
+def test_heap_merge_with_probes_finds_what_counting_finds(monkeypatch, heap, probe):
+    monkeypatch.setattr(jaccard, "HEAP", heap)
+    monkeypatch.setattr(jaccard, "PROBE", probe)
     rnd = random.Random(6)
     for least in (60, 80, 95):
         like = Overlap(least, 100, 5)
