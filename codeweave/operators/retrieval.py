@@ -141,11 +141,16 @@ class Equality:
     column: str
     is_distance: bool = False
 
-    def pack(self, column: pa.Array) -> np.ndarray:
-        return np.array(column.to_pylist(), dtype=object)
+    def pack(self, column: pa.Array) -> list:
+        return column.to_pylist()
 
-    def scores(self, evals: np.ndarray, demos: np.ndarray) -> np.ndarray:
-        return (demos[:, None] == evals[None, :]).astype(np.float64)
+    def scores(self, evals: list, demos: list) -> np.ndarray:
+        names: dict = {}  # equal values get one number; numbers are compared, not values
+        try:
+            e, d = (np.array([names.setdefault(v, len(names)) for v in side], np.int32) for side in (evals, demos))
+        except TypeError:  # lists and the like
+            return np.array([[x == y for y in evals] for x in demos], np.float64).reshape(len(demos), len(evals))
+        return (d[:, None] == e[None, :]).astype(np.float64)
 
 
 @dataclass(frozen=True)
@@ -209,9 +214,11 @@ def _fused(kinds, blocks, mode, weights, extrema):
             if lo is None or hi is None or not hi > lo:
                 blk = np.full_like(blk, 1.0 if kind.is_distance else 0.0)
             else:
-                blk = (hi - blk if kind.is_distance else blk - lo) / (hi - lo)
+                blk = hi - blk if kind.is_distance else blk - lo
+                blk /= hi - lo  # an array of its own
         if mode == "weighted":
-            out = weights[i] * blk if out is None else out + weights[i] * blk
+            blk = weights[i] * blk
+            out = blk if out is None else np.add(out, blk, out=out)
         else:
             out = blk if out is None else np.maximum(out, blk)  # NaN wins, as in numpy
     return out
@@ -292,6 +299,13 @@ def bounded_scores(kinds, e: _Run, d: _Run, k: int, fuse, held: np.ndarray | Non
     return score, scored
 
 
+def _alone(e: _Run, d: _Run) -> tuple[np.ndarray, np.ndarray]:
+    """(demo, eval) places of two values that hold one row each, of the same id."""
+    x, y = np.flatnonzero(e.n == 1), np.flatnonzero(d.n == 1)
+    _, i, j = np.intersect1d(e.only[x], d.only[y], return_indices=True)
+    return y[j], x[i]
+
+
 def _extrema_fn(kinds, exclude_self):
     names = [f"{x}{i}" for i in range(len(kinds)) for x in ("lo", "hi")]
 
@@ -299,20 +313,46 @@ def _extrema_fn(kinds, exclude_self):
         rows = []
         for e, d in _meetings(kinds, evals, demos):
             # a value of one eval and a value of one demo with the same id hold no real pair
-            alone = (d.only[:, None] == e.only[None, :]) & (d.n == 1)[:, None] & (e.n == 1)[None, :]
-            counts, row = ~alone if exclude_self else np.ones(alone.shape, bool), {}
+            alone, row = _alone(e, d) if exclude_self else (np.zeros(0, np.int64),) * 2, {}
             for i, (kd, x, y) in enumerate(zip(kinds, e.packed, d.packed)):
                 if hasattr(kd, "bounds"):
+                    counts = np.ones((len(d.ids), len(e.ids)), bool)
+                    counts[alone] = False
                     row[f"lo{i}"], row[f"hi{i}"], _ = bounded_extrema(kd, x, y, counts)
                     continue
-                vals = kd.scores(x, y)[counts]
-                vals = vals[~np.isnan(vals)]
-                row[f"lo{i}"], row[f"hi{i}"] = (float(vals.min()), float(vals.max())) if vals.size else (None, None)
+                vals = kd.scores(x, y)
+                vals[alone] = np.nan
+                # without initial values, fmin and fmax give NaN if there is nothing else
+                ends = [float(f.reduce(vals, axis=None)) for f in (np.fmin, np.fmax)] if vals.size else [np.nan] * 2
+                row[f"lo{i}"], row[f"hi{i}"] = (None, None) if np.isnan(ends[0]) else ends
             rows.append(row)
         return pa.Table.from_pylist(rows, pa.schema([(n, pa.float64()) for n in names]))
     return run
 
 
+def _better(score: np.ndarray, ids: np.ndarray, fused: np.ndarray, demo_ids: np.ndarray) -> None:
+    """Take what beats the k best that each eval holds (``score`` and ``ids``, best first,
+    changed in place) from a (demo x eval) block of scores.
+
+    Only scores above an eval's k-th are looked at, not sorted blocks.  An equal score
+    loses: what is held has smaller ids.  NaN beats nothing."""
+    k = score.shape[1]
+    last = np.where(np.isnan(score[:, -1]), -np.inf, score[:, -1])
+    at, row = np.nonzero(fused >= (last + 0.4) / SCALE)  # rounds to last + 1 or more from last + 0.5 on
+    if not len(at):
+        return
+    fresh = np.rint(fused[at, row] * SCALE)
+    keep = fresh > last[row]
+    at, row, fresh = at[keep], row[keep], fresh[keep]
+    hit = np.unique(row)
+    rows = np.concatenate([np.repeat(hit, k), row])
+    scores, names = np.concatenate([score[hit].ravel(), fresh]), np.concatenate([ids[hit].ravel(), demo_ids[at]])
+    order = np.lexsort((names, np.where(np.isnan(scores), np.inf, -scores), rows))
+    first = np.searchsorted(rows[order], hit)
+    best = order[first[:, None] + np.arange(k)]
+    score[hit], ids[hit] = scores[best], names[best]
+
+
 def _topk_fn(kinds, k, mode, weights, extrema):
     bounded = any(hasattr(kd, "bounds") for kd in kinds)
 
@@ -320,8 +360,14 @@ def _topk_fn(kinds, k, mode, weights, extrema):
         found: dict[int, tuple] = {}
         fuse = lambda blocks: _fused(kinds, blocks, mode, weights, extrema)
         for e, d in _meetings(kinds, evals, demos):
-            score, _ = bounded_scores(kinds, e, d, k, fuse, found[id(e)][1] if id(e) in found else None) if bounded else \
-                (np.rint(fuse([kd.scores(x, y) for kd, x, y in zip(kinds, e.packed, d.packed)]) * SCALE).T, 0)
+            if bounded:
+                score, _ = bounded_scores(kinds, e, d, k, fuse, found[id(e)][1] if id(e) in found else None)
+            else:
+                fused = fuse([kd.scores(x, y) for kd, x, y in zip(kinds, e.packed, d.packed)])
+                if id(e) in found and found[id(e)][1].shape[1] == k:
+                    _better(*found[id(e)][1:], fused, d.ids)
+                    continue
+                score = np.rint(fused * SCALE).T
             ids = np.broadcast_to(d.ids, score.shape)
             if id(e) in found:  # what is held has smaller ids: the stable sort prefers it
                 score, ids = (np.concatenate(x, axis=1) for x in zip(found[id(e)][1:], (score, ids)))

@@ -176,3 +176,30 @@ def test_pruned_trees_rank_as_all_pairs(spark, monkeypatch, mode, exclude_self):
     found = [topk_similar(ev, de, 4, kinds=[Cosine("v"), kind("tree")] if mode != "single" else [kind("tree")], mode=mode, weights=[.4, .6],
                           exclude_self=exclude_self).orderBy("eval_id", "rank").collect() for kind in (TreeDistance, AllPairs)]
     assert found[0] == found[1] and len(found[0]) == 160
+
+
+@pytest.mark.parametrize("mode", ["single", "weighted", "max"])
+def test_only_what_beats_the_held_scores_is_sorted(monkeypatch, mode):
+    """Not every block of pairs: a block after the first costs a product and a comparison."""
+    import pyarrow as pa
+
+    from codeweave.operators import retrieval
+    monkeypatch.setattr(retrieval, "EVAL_ROWS", 16)
+    monkeypatch.setattr(retrieval, "DEMO_ROWS", 8)
+    rng, n = np.random.default_rng(8), 64
+    vecs = np.concatenate([rng.normal(size=(n - 8, 6)), rng.integers(1, 3, size=(7, 6)), np.zeros((1, 6))])
+    labels = [None if i % 9 == 0 else i % 3 for i in range(n)]
+    side = lambda name: pa.table({name: np.arange(n), "_only": np.arange(n), "_first": np.arange(n), "_n": np.ones(n, np.int64),
+                                  "v": pa.array(vecs.tolist(), pa.list_(pa.float64())), "lab": pa.array(labels)})
+    kinds = [Cosine("v")] if mode == "single" else [Cosine("v"), Equality("lab")]
+    extrema, sorted_at_once, argsort = [(-1.0, 1.0), (0.0, 1.0)], [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *x, **y: sorted_at_once.append(np.size(a)) or argsort(a, *x, **y))
+    got = retrieval._topk_fn(kinds, 3, mode, [0.5, 0.5], extrema)(side("_v"), side("_d")).to_pydict()
+    assert sum(sorted_at_once) <= n * 8
+    unit = vecs / np.where(np.linalg.norm(vecs, axis=1, keepdims=True) == 0, np.nan, np.linalg.norm(vecs, axis=1, keepdims=True))
+    same = np.array([[float(a == b) for b in labels] for a in labels])
+    score = {"single": unit @ unit.T, "max": np.maximum(unit @ unit.T, same), "weighted": 0.5 * (unit @ unit.T + 1) / 2 + 0.5 * same}[mode]
+    score = np.rint(score * 1e6)
+    best = argsort(np.where(np.isnan(score), np.inf, -score), axis=1, kind="stable")[:, :3]
+    assert dict(zip(zip(got["_v"], got["_d"]), got["sim"])) == {
+        (i, int(j)): None if np.isnan(score[i, j]) else score[i, j] / 1e6 for i in range(n) for j in best[i]}
