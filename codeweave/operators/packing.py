@@ -10,9 +10,13 @@ than one block.
 
 from __future__ import annotations
 
-from typing import Callable, Sequence
+from typing import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,20 +179,57 @@ def frequency_vocab(df: DataFrame, text: str = "text", first_id: int = 3) -> Dat
     return ranked.select("token", (F.col("_one_before") + first_id).cast("int").alias("id"))
 
 
+def looked_up(df: DataFrame, key: str, tokens: Column, values: DataFrame, default: Column) -> DataFrame:
+    """(``key``, ``found``): for each row the array of its tokens' values by the table
+    ``values(token, value)`` (``default`` where a token isn't listed).
+
+    Tokens don't travel one by one: a batch of rows is written once as its distinct
+    tokens and small codes; the distinct tokens join the table and come back to the
+    codes of their batch."""
+    from ..llm.frames import bounded_batches, kept_table
+    bounded_batches(df.sparkSession)
+    rows = df.select(F.col(key).alias("key"), tokens.alias("tokens"))
+    kind, value = rows.schema["key"].dataType.simpleString(), values.schema["value"].dataType.simpleString()
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, batch in enumerate(batches):
+            keys, lists = batch.columns
+            found = pc.list_flatten(lists).dictionary_encode()
+            width = 2 if len(found.dictionary) <= 1 << 16 else 4
+            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([TaskContext.get().partitionId() << 32 | n], pa.int64()), one(keys), one(pc.fill_null(pc.list_value_length(lists), 0)),
+                 one(found.dictionary), pa.array([found.indices.to_numpy().astype(f"<u{width}").tobytes()], pa.binary()), pa.array([width], pa.int32())],
+                ["part", "keys", "sizes", "tokens", "codes", "width"])
+
+    parts = kept_table(rows.mapInArrow(coded, f"part long, keys array<{kind}>, sizes array<int>, tokens array<string>, codes binary, width int"), "codes")
+    named = parts.select("part", F.posexplode("tokens").alias("at", "token")).join(values.groupBy("token").agg(F.min("value").alias("value")), "token", "left")
+    tables = (named.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("value", default).alias("value")))).alias("t"))
+              .select("part", F.transform("t", lambda x: x["value"]).alias("table")))
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, codes, width, table = batch.columns
+            for i in range(batch.num_rows):
+                at = np.frombuffer(codes[i].as_py(), f"<u{width[i].as_py()}").astype(np.int32)
+                bounds = np.concatenate([[0], np.cumsum(sizes[i].values.to_numpy())])
+                values = table[i].values.take(pa.array(at)) if len(at) else table.values.slice(0, 0)
+                yield pa.RecordBatch.from_arrays([keys[i].values, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)], ["key", "found"])
+
+    whole = parts.select("part", "keys", "sizes", "codes", "width").join(tables, "part", "left").drop("part")
+    return whole.mapInArrow(decoded, f"key {kind}, found array<{value}>").withColumnRenamed("key", key)
+
+
 def tokenize_with_vocab(df: DataFrame, key: str, vocab: DataFrame, text: str = "text",
                         unk_id: int = 0, eos_id: int = EOS_ID) -> DataFrame:
     """P2 with a vocabulary table: ids in token order, unknown tokens ->
-    ``unk_id``, EOS appended, ``length``.  Each text joins the vocabulary once
-    for each of its distinct tokens (a frequent token is split by AQE's skewed
-    join); positions return with the id as one array for each text (``key``
-    unique)."""
-    toks = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(WORD_OR_SYMBOL), 1))
-                     .alias("pos", "token"))
-    places = toks.groupBy(key, "token").agg(F.collect_list("pos").alias("at"))
-    ided = places.join(vocab.select("token", "id"), "token", "left").select(
-        key, F.transform("at", lambda p: F.struct(p.alias("pos"), F.coalesce("id", F.lit(unk_id)).alias("id"))).alias("at"))
-    ids = (ided.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("_s"))
-           .select(key, F.transform("_s", lambda x: x["id"]).alias("_ids")))
+    ``unk_id``, EOS appended, ``length``.  See ``looked_up`` for how the ids get to
+    the texts (``key`` unique; texts of one key are merged by position)."""
+    words = F.regexp_extract_all(F.col(text), F.lit(WORD_OR_SYMBOL), 1)
+    found = looked_up(df, key, words, vocab.select("token", F.col("id").cast("int").alias("value")), F.lit(unk_id))
+    placed = F.flatten(F.transform("_l", lambda ids: F.transform(ids, lambda x, i: F.struct(i.alias("pos"), x.alias("id")))))
+    ids = found.groupBy(key).agg(F.collect_list("found").alias("_l")).select(
+        key, F.when(F.size("_l") == 1, F.element_at("_l", 1)).otherwise(F.transform(F.array_sort(placed), lambda x: x["id"])).alias("_ids"))
     out = df.join(ids, key, "left").withColumn(
         "input_ids", F.concat(F.coalesce("_ids", F.array().cast("array<int>")), F.array(F.lit(eos_id))))
     return out.drop("_ids").withColumn("length", F.size("input_ids"))

@@ -103,3 +103,16 @@ def test_order_by_strings_and_several_columns(spark):
     rows = [("b", 2, 5), ("a", 9, 1), ("b", 1, 7), (None, 3, 2)]
     got = {(r["s"], r["n"]): r["v_before"] for r in exclusive_prefix_sums(spark.createDataFrame(rows, "s string, n int, v long"), ["s", "n"], ["v"]).collect()}
     assert got == {(None, 3): 0, ("a", 9): 2, ("b", 1): 3, ("b", 2): 10}
+
+
+def test_tokens_are_looked_up_by_batches(spark):
+    """Texts travel as codes of their batch's distinct tokens, not token by token; texts
+    of one key are merged by position, a null key finds nothing."""
+    from codeweave.operators.packing import tokenize_with_vocab
+    rows = [(1, "b a b"), (2, None), (3, ""), (4, "x a"), (None, "a"), (5, "a"), (5, "b b")]
+    vocab = spark.createDataFrame([("a", 7), ("b", 8)], "token string, id int")
+    out = tokenize_with_vocab(spark.createDataFrame(rows, "k long, text string").repartition(3), "k", vocab)
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(((r["k"], r["input_ids"], r["length"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, [8, 7, 8, 2], 4), (2, [2], 1), (3, [2], 1), (4, [0, 7, 2], 3), (None, [2], 1),
+                          (5, [7, 8, 8, 2], 4), (5, [7, 8, 8, 2], 4)], key=str)
