@@ -162,3 +162,29 @@ def test_names_of_any_letters(spark):
         'CREATE PROCEDURE sp ( x NUMBER ) IS BEGIN UPDATE "größe" SET "läufe" = 1 ; END ;'
     pair = spark.createDataFrame([("UPDATE größe SET ßif = 1", "UPDATE höhe SET längs = 2")], "a string, b string")
     assert pair.select(exact_match("a", "b", "oracle")).first()[0] == 1
+
+
+ASCII_CODES = [
+    "create or replace procedure P ( a IN number ) is begin  if x = 1 then select count ( * ) into y from \"T\" ; end if ; END;",
+    "CREATE PROCEDURE p(a IN text, b double precision) LANGUAGE plpgsql AS $$ begin x := f ( 1 , 2 ); exit when not found ; end; $$;",
+    "a.INTO_x _if if_ 1if if1 'or' \"and\" or\tand\n\n text.int timestamp timestamptz PLPGSQL", "", " ", "--", "if", "$$if$$"]
+
+
+def test_ascii_rules_equal_unicode_rules(spark):
+    from codeweave.functions import code
+    df = spark.createDataFrame([(c,) for c in ASCII_CODES], "c string")
+    for dialect in ("oracle", "postgres"):
+        for r in df.select(*[code._normalized(F.col("c"), dialect, ascii).alias(str(ascii)) for ascii in (True, False)]).collect():
+            assert r["True"] == r["False"]
+
+
+def test_texts_are_tokenised_once_per_row(spark):
+    from codeweave.functions.code import clean_candidate
+    df = spark.createDataFrame([("sp ( a )",), ("café İF if",), (None,)], "c string")
+    plan = df.select(clean_candidate("c", F.array(F.lit("a")), "oracle").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_one_row_group_is_dealt_to_several_tasks(spark):
+    from codeweave.plans.registry import spread
+    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() >= 4
