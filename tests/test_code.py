@@ -167,7 +167,9 @@ def test_names_of_any_letters(spark):
 ASCII_CODES = [
     "create or replace procedure P ( a IN number ) is begin  if x = 1 then select count ( * ) into y from \"T\" ; end if ; END;",
     "CREATE PROCEDURE p(a IN text, b double precision) LANGUAGE plpgsql AS $$ begin x := f ( 1 , 2 ); exit when not found ; end; $$;",
-    "a.INTO_x _if if_ 1if if1 'or' \"and\" or\tand\n\n text.int timestamp timestamptz PLPGSQL", "", " ", "--", "if", "$$if$$"]
+    "a.INTO_x _if if_ 1if if1 'or' \"and\" or\tand\n\n text.int timestamp timestamptz PLPGSQL", "", " ", "--", "if", "$$if$$",
+    " \n raise \t\t exception  when  others then a . b %type ; v t %ROWTYPE := 1 ; where current  of  c ; exit  when not  found ; \r\n",
+    "x double  precision , y\x0bDouble Precision\x0c, count(*) , f ( \n * ) \" q \" $$ a $$ b $$ <= >= : = :="]
 
 
 def test_ascii_rules_equal_unicode_rules(spark):
