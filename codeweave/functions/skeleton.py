@@ -35,24 +35,25 @@ def question_skeleton(df: DataFrame, text: str, lexicon: DataFrame, out: str = "
     ``_`` collapsed and a leading ``_ `` removed.  A word listed twice takes
     its smallest tag.  The POS model of the reference is not built.
 
-    ``key`` is unique in ``df``.  A row joins the lexicon once for each of its
-    distinct tokens (AQE splits the join's hot words) and is put together
-    again from their positions."""
-    lex = lexicon.groupBy(F.col("word").alias("tok")).agg(F.min("tag").alias("tag"))
+    Rows of one key are merged by position.  The texts stay where they are: only a
+    batch's distinct tokens join the lexicon (see ``looked_up``)."""
+    from ..operators.packing import keys_repeat, looked_up
+
+    lex = lexicon.groupBy(F.col("word").alias("token")).agg(F.min("tag").alias("tag"))
+    masked = lex.where(F.col("tag").isin(*MASKED_TAGS)).select("token", F.lit("_").alias("value"))
+    shown = (F.when(F.col("token").rlike(r"^\p{N}"), F.lit("_"))
+             .when(F.col("token").isin(*DROPPED_TOKENS), F.lit(None)).otherwise(F.col("token")))
+    # a number is tagged CD whatever the lexicon says; CD is masked like the rest
     toks = F.regexp_extract_all(F.col(text), F.lit(QUESTION_TOKEN), 1)
-    places = (df.select(key, F.posexplode(toks).alias("pos", "tok")).groupBy(key, "tok")
-              .agg(F.collect_list("pos").alias("at")))
-    tag = F.when(F.col("tok").rlike(r"^\p{N}"), F.lit("CD")).otherwise(F.col("tag"))
-    shown = (F.when(tag.isin(*MASKED_TAGS), F.lit("_"))
-             .when(F.col("tok").isin(*DROPPED_TOKENS), F.lit(None)).otherwise(F.col("tok")))
-    words = places.join(lex, "tok", "left").withColumn("w", shown).where(F.col("w").isNotNull())
-    joined = (words.select(key, F.transform("at", lambda p: F.struct(p.alias("pos"), F.col("w").alias("w"))).alias("at"))
-              .groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("at"))), lambda s: s["w"]), " ").alias("_j")))
-    s = F.replace(F.col("_j"), F.lit("_ 's"), F.lit("_"))
-    s = F.replace(s, F.lit(" 's"), F.lit("'s"))
-    s = F.regexp_replace(s, "_( _)+", "_")
-    s = F.regexp_replace(s, "^_ ", "")
-    res = joined.select(key, s.alias(out))
+    found = looked_up(df.withColumn("_row", F.struct(*df.columns)), "_row", toks, masked, shown)
+    repaired = lambda words: F.regexp_replace(F.regexp_replace(F.replace(F.replace(
+        F.array_join(words, " "), F.lit("_ 's"), F.lit("_")), F.lit(" 's"), F.lit("'s")), "_( _)+", "_"), "^_ ", "")
+    if not keys_repeat(df, key):
+        return found.select("_row.*", F.coalesce(repaired(F.col("found")), F.lit("")).alias(out))
+    placed = F.filter(F.flatten(F.transform("_l", lambda ws: F.transform(ws, lambda w, i: F.struct(i.alias("pos"), w.alias("w"))))),
+                      lambda x: x["w"].isNotNull())
+    res = (found.select(F.col("_row")[key].alias(key), "found").groupBy(key).agg(F.collect_list("found").alias("_l"))
+           .select(key, repaired(F.transform(F.array_sort(placed), lambda x: x["w"])).alias(out)))
     return df.join(res, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
 
 

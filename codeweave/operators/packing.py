@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import WORD_OR_SYMBOL
 from .prefix import exclusive_prefix_sums
@@ -179,45 +180,65 @@ def frequency_vocab(df: DataFrame, text: str = "text", first_id: int = 3) -> Dat
     return ranked.select("token", (F.col("_one_before") + first_id).cast("int").alias("id"))
 
 
-def looked_up(df: DataFrame, key: str, tokens: Column, values: DataFrame, default: Column) -> DataFrame:
+def looked_up(df: DataFrame, key: str, tokens: Column, values: DataFrame, default: Column, bag: bool = False) -> DataFrame:
     """(``key``, ``found``): for each row the array of its tokens' values by the table
-    ``values(token, value)`` (``default`` where a token isn't listed).
+    ``values(token, value)`` (``default``, which may use ``token``, where a token isn't
+    listed or its value is null).  With ``bag`` each distinct token of a row comes once,
+    its number of places in a third column ``n``.
 
     Tokens don't travel one by one: a batch of rows is written once as its distinct
     tokens and small codes; the distinct tokens join the table and come back to the
-    codes of their batch."""
+    codes of their batch.  ``key`` may be a struct of whole rows."""
     from ..llm.frames import bounded_batches, kept_table
     bounded_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), tokens.alias("tokens"))
-    kind, value = rows.schema["key"].dataType.simpleString(), values.schema["value"].dataType.simpleString()
+    kind = rows.schema["key"].dataType
+    one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, batch in enumerate(batches):
             keys, lists = batch.columns
             found = pc.list_flatten(lists).dictionary_encode()
             width = 2 if len(found.dictionary) <= 1 << 16 else 4
-            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+            codes, sizes, counts = found.indices.to_numpy(), pc.fill_null(pc.list_value_length(lists), 0), np.zeros(0)
+            if bag:
+                most = max(len(found.dictionary), 1)
+                places, counts = np.unique(np.repeat(np.arange(len(keys)), sizes.to_numpy()) * most + codes, return_counts=True)
+                codes, sizes = places % most, pa.array(np.bincount(places // most, minlength=len(keys)), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId() << 32 | n], pa.int64()), one(keys), one(pc.fill_null(pc.list_value_length(lists), 0)),
-                 one(found.dictionary), pa.array([found.indices.to_numpy().astype(f"<u{width}").tobytes()], pa.binary()), pa.array([width], pa.int32())],
-                ["part", "keys", "sizes", "tokens", "codes", "width"])
-
-    parts = kept_table(rows.mapInArrow(coded, f"part long, keys array<{kind}>, sizes array<int>, tokens array<string>, codes binary, width int"), "codes")
+                [pa.array([TaskContext.get().partitionId() << 32 | n], pa.int64()), one(keys), one(sizes), one(found.dictionary),
+                 pa.array([codes.astype(f"<u{width}").tobytes()], pa.binary()), pa.array([width], pa.int32()),
+                 pa.array([counts.astype("<i4").tobytes()], pa.binary())],
+                ["part", "keys", "sizes", "tokens", "codes", "width", "counts"])
+
+    written = T.StructType().add("part", "long").add("keys", T.ArrayType(kind)).add("sizes", T.ArrayType(T.IntegerType())) \
+                            .add("tokens", T.ArrayType(T.StringType())).add("codes", "binary").add("width", "integer").add("counts", "binary")
+    parts = kept_table(rows.mapInArrow(coded, written), "codes")
     named = parts.select("part", F.posexplode("tokens").alias("at", "token")).join(values.groupBy("token").agg(F.min("value").alias("value")), "token", "left")
     tables = (named.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("value", default).alias("value")))).alias("t"))
               .select("part", F.transform("t", lambda x: x["value"]).alias("table")))
+    value = tables.schema["table"].dataType
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, codes, width, table = batch.columns
+            keys, sizes, codes, width, counts, table = batch.columns
             for i in range(batch.num_rows):
                 at = np.frombuffer(codes[i].as_py(), f"<u{width[i].as_py()}").astype(np.int32)
-                bounds = np.concatenate([[0], np.cumsum(sizes[i].values.to_numpy())])
-                values = table[i].values.take(pa.array(at)) if len(at) else table.values.slice(0, 0)
-                yield pa.RecordBatch.from_arrays([keys[i].values, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)], ["key", "found"])
+                bounds = pa.array(np.concatenate([[0], np.cumsum(sizes[i].values.to_numpy())]), pa.int32())
+                found = table[i].values.take(pa.array(at)) if len(at) else table.values.slice(0, 0)
+                out = {"key": keys[i].values, "found": pa.ListArray.from_arrays(bounds, found)}
+                if bag:
+                    out["n"] = pa.ListArray.from_arrays(bounds, pa.array(np.frombuffer(counts[i].as_py(), "<i4")))
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    read = T.StructType().add("key", kind).add("found", value)
+    whole = parts.select("part", "keys", "sizes", "codes", "width", "counts").join(tables, "part", "left").drop("part")
+    return whole.mapInArrow(decoded, read.add("n", T.ArrayType(T.IntegerType())) if bag else read).withColumnRenamed("key", key)
+
 
-    whole = parts.select("part", "keys", "sizes", "codes", "width").join(tables, "part", "left").drop("part")
-    return whole.mapInArrow(decoded, f"key {kind}, found array<{value}>").withColumnRenamed("key", key)
+def keys_repeat(df: DataFrame, key: str) -> bool:
+    """Whether a key stands in several rows or is null.  Only keys travel."""
+    return not df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col(key).isNull() | (F.col("_n") > 1)).isEmpty()
 
 
 def tokenize_with_vocab(df: DataFrame, key: str, vocab: DataFrame, text: str = "text",

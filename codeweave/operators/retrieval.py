@@ -5,8 +5,9 @@ Plan shape
 ----------
 All (eval, demo) pairs count, as in the reference, but they are never rows:
 
-* both sides are reduced to distinct values by ``groupBy``; of a demo value only
-  the k smallest demo ids can be in any top k, of an eval value one row is scored;
+* rows are named by the digest of their values, and ids travel with digests; of a demo
+  value only the k smallest demo ids can be in any top k, of an eval value one row is
+  scored: copies are merged within a batch before they travel, the rest in their cell;
 * both sides' distinct values are dealt to a grid of cells: a value is copied to the
   cells of its row or column only (``GRID``, more where a part would outgrow a task);
   a cell is a co-group, which scores run against run and keeps the k best for each
@@ -20,15 +21,18 @@ extrema (A1/A2/A3; from the partial extrema of the same blocks) reach the driver
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
-from typing import Sequence
+from typing import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.text import WORD_OR_SYMBOL
 from ..functions.trees import Tree, tree_edit_distance
 
 SCALE = 1_000_000  # scores are rounded to 6 decimals before ranking
@@ -235,12 +239,13 @@ class _Run:
 
 def _packed_runs(kinds, rows: pa.Table, name: str, size: int) -> list[_Run]:
     """The cell's values by ascending id, packed run by run."""
-    rows = rows.sort_by("_first").combine_chunks()
+    rows = _merged(rows, name).sort_by(name).combine_chunks()
     column = lambda part, c: part.column(c).combine_chunks() if isinstance(part.column(c), pa.ChunkedArray) else part.column(c)
     out = []
     for a in range(0, rows.num_rows, size):
         part = rows.slice(a, size).combine_chunks()
-        out.append(_Run(*(column(part, c).to_numpy() for c in (name, "_only", "_n")), [k.pack(column(part, k.column)) for k in kinds]))
+        ids, n = (column(part, c).to_numpy() for c in (name, "_n"))
+        out.append(_Run(ids, ids, n, [k.pack(column(part, k.column)) for k in kinds]))
     return out
 
 
@@ -388,15 +393,43 @@ def _cells(values: int, run: int) -> int:
     return max(values // CELL_ROWS + 1, min(GRID, values // run + 1))
 
 
-def _distinct(rows: DataFrame, cols: Sequence[str], name: str) -> DataFrame:
-    """One row for each distinct value: ``name`` (its smallest id), ``_n`` rows, the
-    smallest id again as ``_only`` and ``_first``."""
-    return (rows.groupBy(*cols).agg(F.min("_id").alias(name), F.count(F.lit(1)).alias("_n"))
-            .withColumn("_only", F.col(name)).withColumn("_first", F.col(name)))
+def _digests(columns: Sequence[pa.Array]) -> list[bytes]:
+    """16 bytes for each row that only rows of the same values share (SHA-256)."""
+    rows = pa.RecordBatch.from_arrays(list(columns), [str(i) for i in range(len(columns))])
+    return [hashlib.sha256(rows.slice(i, 1).serialize()).digest()[:16] for i in range(rows.num_rows)]
 
 
-def _same(left: str, right: str, cols: Sequence[str]):
-    return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in cols]
+def _valued(rows: DataFrame, cols: Sequence[str], name: str, combined: bool) -> DataFrame:
+    """Rows (``_value``, ``name``): the digest of the row's values and its id.
+    ``combined``: one row for each value of a batch, with the smallest id, ``_n`` rows
+    and the values themselves."""
+    from ..llm.frames import bounded_batches
+    bounded_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [batch.column(c) for c in cols]
+            own = pa.table({"_value": pa.array(_digests(values), pa.binary()), name: batch.column("_id")})
+            if not combined:
+                yield from own.to_batches()
+                continue
+            own = pa.table({**dict(zip(own.column_names, own.columns)), "_n": np.ones(len(own), np.int64), **dict(zip(cols, values))})
+            yield from _merged(own, name).combine_chunks().to_batches()
+
+    out = T.StructType().add("_value", "binary").add(name, "long")
+    if combined:
+        out = T.StructType([*out, T.StructField("_n", T.LongType()), *(rows.schema[c] for c in cols)])
+    return rows.mapInArrow(run, out)
+
+
+def _merged(rows: pa.Table, name: str) -> pa.Table:
+    """One row for each ``_value``, with its smallest id and all its rows counted."""
+    at = rows.select(["_value", name, "_n"]).append_column("_at", pa.array(np.arange(len(rows)))).combine_chunks()
+    at = at.group_by("_value").aggregate([(name, "min"), ("_n", "sum"), ("_at", "min")])
+    out = rows.take(at.column("_at_min"))
+    for c, f in ((name, "min"), ("_n", "sum")):
+        out = out.set_column(out.schema.get_field_index(c), c, at.column(f"{c}_{f}"))
+    return out
 
 
 def topk_similar(evals: DataFrame, demos: DataFrame, k: int, *,
@@ -415,19 +448,22 @@ def topk_similar(evals: DataFrame, demos: DataFrame, k: int, *,
     Inputs are read several times: checkpoint those that are expensive to
     derive.  The kinds' columns must be groupable (no maps).
     """
+    from ..llm.frames import kept_table
     kinds = list(kinds)
     if mode == "weighted":
         weights = list(weights) if weights is not None else [1.0 / len(kinds)] * len(kinds)
     cols = sorted({kd.column for kd in kinds})
     ev = evals.select(F.col(eval_id).cast("long").alias("_id"), *cols)
     de = demos.select(F.col(demo_id).cast("long").alias("_id"), *cols)
-    ev_values, de_values = _distinct(ev, cols, "_v"), _distinct(de, cols, "_d")
+    # ids by the digest of their values; the values themselves travel to their cells only
+    ev_ids, de_ids = (kept_table(_valued(rows, cols, "_id", False), "values") for rows in (ev, de))
+    ev_values, de_values = (ids.groupBy("_value").agg(F.min("_id").alias(name)) for ids, name in ((ev_ids, "_v"), (de_ids, "_d")))
     k_value = k + 1 if exclude_self else k  # one more when the eval itself must go
     blocks = {side: _cells(values.count(), size) for side, values, size in (("e", ev_values, EVAL_ROWS), ("d", de_values, DEMO_ROWS))}
-    dealt = lambda values, name, side: values.withColumn(f"_b{side}", F.pmod(F.xxhash64(name), F.lit(blocks[side])))
+    dealt = lambda values, side: values.withColumn(f"_b{side}", F.pmod(F.xxhash64("_value"), F.lit(blocks[side])))
     every = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks[side] - 1).cast("long"))).alias(f"_b{side}")
-    left = dealt(ev_values, "_v", "e").select("*", every("d")).groupBy("_be", "_bd")
-    right = dealt(de_values, "_d", "d").select("*", every("e")).groupBy("_be", "_bd")
+    left = dealt(_valued(ev, cols, "_v", True), "e").select("*", every("d")).groupBy("_be", "_bd")
+    right = dealt(_valued(de, cols, "_d", True), "d").select("*", every("e")).groupBy("_be", "_bd")
     meet = left.cogroup(right)
 
     extrema = None
@@ -440,11 +476,11 @@ def topk_similar(evals: DataFrame, demos: DataFrame, k: int, *,
     per_value = rank_within(found, "_v", k_value, tie="_d").drop("rank")
     # a demo value stands for its k smallest ids: more can't be in any top k
     by_value = Window.partitionBy("_d").orderBy("_id")
-    members = (de.alias("r").join(de_values.select(*cols, "_d").alias("u"), _same("r", "u", cols)).select("_d", "r._id")
+    members = (de_ids.join(de_values, "_value").select("_d", "_id")
                .withColumn("_r", F.row_number().over(by_value)).where(F.col("_r") <= k_value).drop("_r"))
     listed = per_value.join(members.select("_d", F.col("_id").alias(demo_id)), "_d").select("_v", demo_id, "sim")
     listed = rank_within(listed, "_v", k_value, tie=demo_id).drop("rank")
-    mapping = ev.alias("r").join(ev_values.select(*cols, "_v").alias("u"), _same("r", "u", cols)).select("_v", F.col("r._id").alias("eval_id"))
+    mapping = ev_ids.join(ev_values, "_value").select("_v", F.col("_id").alias("eval_id"))
     expanded = mapping.join(listed, "_v").select("eval_id", F.col(demo_id).alias("demo_id"), "sim")
     if exclude_self:
         expanded = expanded.where(F.col("demo_id") != F.col("eval_id"))
@@ -488,7 +524,6 @@ def fuse_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], col_a: str, col_
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, n): words and signs of the lower-cased text."""
-    from ..functions.text import WORD_OR_SYMBOL
     return (df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_OR_SYMBOL), 1)).alias("token"))
             .groupBy(key, "token").agg(F.count(F.lit(1)).alias("n")))
 
@@ -499,11 +534,20 @@ def tfidf_vectors(df: DataFrame, text: str, out: str, *, key: str, fit_on: DataF
     log((N + 1) / (df + 1)) over the N rows of ``fit_on``, default ``df``) for the
     ``SparseCosine`` kind.  Every word counts, whatever their number.  A model
     encoder is any vector column that the caller adds instead."""
+    from .packing import keys_repeat, looked_up
     pool = fit_on if fit_on is not None else df
     total = pool.count()
-    seen = term_counts(pool, key, text).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.col("n") * F.log((F.lit(total) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))
-    terms = (term_counts(df, key, text).join(seen, "token", "left")
-             .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("token").alias("term"), weight.alias("weight")))).alias(out)))
+    tokens = lambda: F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_OR_SYMBOL), 1)
+    each = term_counts(pool, key, text) if keys_repeat(pool, key) else pool.select(F.explode(F.array_distinct(tokens())).alias("token"))
+    seen = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rarity = lambda n: F.log((F.lit(total) + 1.0) / (n + 1.0))
+    values = seen.select("token", F.struct(F.xxhash64("token").alias("term"), rarity(F.col("df")).alias("rarity")).alias("value"))
+    default = F.struct(F.xxhash64("token").alias("term"), rarity(F.lit(0)).alias("rarity"))
+    weighed = lambda found, n: F.array_sort(F.zip_with(found, n, lambda v, k: F.struct(v["term"].alias("term"), (k * v["rarity"]).alias("weight"))))
+    if not keys_repeat(df, key):
+        found = looked_up(df.withColumn("_row", F.struct(*df.columns)), "_row", tokens(), values, default, bag=True)
+        return found.select("_row.*", weighed(F.col("found"), F.col("n")).alias(out))
+    counts = term_counts(df, key, text).join(values, "token", "left").withColumn("value", F.coalesce("value", default))
+    terms = counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("value.term").alias("term"), (F.col("n") * F.col("value.rarity")).alias("weight")))).alias(out))
     empty = F.array().cast("array<struct<term:bigint,weight:double>>")
     return df.join(terms, key, "left").withColumn(out, F.coalesce(F.col(out), empty))
