@@ -92,6 +92,13 @@ class WordEncoder:
         return out
 
 
+def _encoder(spec: str) -> WordEncoder:
+    made = worker_store("word encoders")
+    if spec not in made:
+        made[spec] = WordEncoder(spec)
+    return made[spec]
+
+
 def encode_words(text: Column, tokenizer_path: str) -> Column:
     """array<int> of each whole text by a tokenizer file of the tokenizers library that
     lower-cases, drops white space, and takes runs of letters or of signs as
@@ -100,10 +107,7 @@ def encode_words(text: Column, tokenizer_path: str) -> Column:
         spec = f.read()
 
     def run(column: pa.Array) -> pa.Array:
-        made = worker_store("word encoders")
-        if spec not in made:
-            made[spec] = WordEncoder(spec)
-        encoder = made[spec]
+        encoder = _encoder(spec)
         return id_lists(chain.from_iterable(encoder([t or "" for t in column.slice(i, j - i).to_pylist()]) for i, j in pieces(column)))
 
     return column_udf(run, "array<int>")(text)
@@ -218,35 +222,62 @@ def _block(shard: int, block: int, keys: list, runs: list[np.ndarray]) -> pa.Rec
         "rules": packed(g.rules), "lengths": g.lengths.astype("<u4").tobytes(), "sequence": packed(g.sequence), "width": width}], _BLOCK)
 
 
+def _blocks(documents: Iterator[tuple], block_tokens: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of a partition's documents (key, ids)."""
+    shard, block, held, keys, runs = TaskContext.get().partitionId(), 0, 0, [], []
+    for key, ids in documents:
+        keys.append(key)
+        runs.append(ids)
+        held += len(ids)
+        if held >= block_tokens:
+            yield _block(shard, block, keys, runs)
+            block, held, keys, runs = block + 1, 0, [], []
+    if keys:
+        yield _block(shard, block, keys, runs)
+
+
 def to_blocks(ids: DataFrame, key: str = "doc_id", column: str = "ids", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Blocks (``BLOCK``) of rows (key, ids) that are already in order within their
     partitions, partitions ascending.  A block ends with the document that fills it."""
     bounded_batches(ids.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block, held, keys, runs = TaskContext.get().partitionId(), 0, 0, [], []
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             lists = batch.column(1)
             at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             for i, k in enumerate(batch.column(0).to_pylist()):
-                keys.append(k)
-                runs.append(flat[at[i]:at[i + 1]].copy())
-                held += len(runs[-1])
-                if held >= block_tokens:
-                    yield _block(shard, block, keys, runs)
-                    block, held, keys, runs = block + 1, 0, [], []
-        if keys:
-            yield _block(shard, block, keys, runs)
+                yield k, flat[at[i]:at[i + 1]].copy()
 
-    return ids.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<int>").alias("ids")).mapInArrow(run, BLOCK)
+    return (ids.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<int>").alias("ids"))
+            .mapInArrow(lambda batches: _blocks(documents(batches), block_tokens), BLOCK))
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
-    """Encode every whole text, append ``end_id``, and write the blocks to ``path`` in
-    ascending order of key (null first; equal keys by text)."""
+def text_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text",
+                block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of whole texts, as ``to_blocks`` makes them of ``encode_words`` with
+    ``end_id`` appended, in ascending order of key (null first; equal keys by text).
+    One Python worker encodes and compresses: the ids never travel."""
+    bounded_batches(docs.sparkSession)
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec = f.read()
+    end = np.array([end_id], np.int32).tobytes()
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        encoder = _encoder(spec)
+        for batch in batches:
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            for i, j in pieces(texts):
+                for k, ids in zip(keys[i:j], encoder([t or "" for t in texts.slice(i, j - i).to_pylist()])):
+                    yield k, np.frombuffer(ids + end, np.int32)
+
     ordered = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
-    ids = ordered.select("key", F.concat(encode_words(F.col("text"), tokenizer_path), F.array(F.lit(end_id))).alias("ids"))
-    to_blocks(ids, "key").write.parquet(path)
+    return (ordered.select(F.col("key").cast("long").alias("key"), "text")
+            .mapInArrow(lambda batches: _blocks(documents(batches), block_tokens), BLOCK))
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
+    """Write the blocks of every whole text (``text_blocks``) to ``path``."""
+    text_blocks(docs, tokenizer_path, end_id, key, text).write.parquet(path)
 
 
 def grammar_of(row: dict) -> Grammar:

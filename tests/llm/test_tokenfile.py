@@ -96,6 +96,16 @@ def test_blocks_of_few_tokens(spark):
     assert spark.read.parquet(path).count() > 10
 
 
+def test_texts_become_blocks_in_one_worker(spark, docs):
+    rows = [(i, f"word{i % 7} " * i) for i in range(60)]
+    blocks = tokenfile.text_blocks(docs(rows), PATH, 1, block_tokens=100)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    apart = (docs(rows).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+             .select("doc_id", F.concat(tokenfile.encode_words(F.col("text"), PATH), F.array(F.lit(1))).alias("ids")))
+    assert sorted(blocks.collect()) == sorted(tokenfile.to_blocks(apart, block_tokens=100).collect())
+
+
 def test_empty_table(spark, docs):
     path = shared_folder(spark, "tokens")
     tokenfile.write_tokens(docs([]), path, PATH, 1)
