@@ -393,10 +393,32 @@ def _cells(values: int, run: int) -> int:
     return max(values // CELL_ROWS + 1, min(GRID, values // run + 1))
 
 
+def _spans(array: pa.Array, at: np.ndarray) -> list[bytes]:
+    """Bytes of each run ``at[i]:at[i + 1]`` of an array: equal for equal values only."""
+    ends = list(zip(at[:-1].tolist(), at[1:].tolist()))
+    cut = lambda a: [a[x:y].tobytes() for x, y in ends]
+    parts, kind = [cut(array.is_valid().to_numpy(zero_copy_only=False))], array.type
+    if pa.types.is_list(kind):
+        bounds, values = _flat(array)
+        parts += [cut(np.diff(bounds)), _spans(values, bounds[at])]
+    elif pa.types.is_struct(kind):
+        parts += [_spans(field, at) for field in array.flatten()]
+    elif pa.types.is_integer(kind) or pa.types.is_floating(kind):
+        values = pc.fill_null(array, 0).to_numpy(zero_copy_only=False)
+        if pa.types.is_floating(kind):
+            values = values + 0  # one zero and one NaN, as in groups
+            values[np.isnan(values)] = np.nan
+        parts.append(cut(values))
+    else:
+        values = array.to_pylist()
+        parts.append([repr(values[x:y]).encode() for x, y in ends])
+    return list(map(b"".join, zip(*parts)))
+
+
 def _digests(columns: Sequence[pa.Array]) -> list[bytes]:
-    """16 bytes for each row that only rows of the same values share (SHA-256)."""
-    rows = pa.RecordBatch.from_arrays(list(columns), [str(i) for i in range(len(columns))])
-    return [hashlib.sha256(rows.slice(i, 1).serialize()).digest()[:16] for i in range(rows.num_rows)]
+    """16 bytes for each row that the rows of the same values share (SHA-256)."""
+    at = np.arange(len(columns[0]) + 1)
+    return [hashlib.sha256(b"".join(row)).digest()[:16] for row in zip(*(_spans(c, at) for c in columns))]
 
 
 def _valued(rows: DataFrame, cols: Sequence[str], name: str, combined: bool) -> DataFrame:

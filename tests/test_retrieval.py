@@ -228,3 +228,18 @@ def test_terms_of_repeated_and_null_keys_count_together(spark):
     log = lambda n: round(float(np.log(5 / (n + 1))), 6)
     one = sorted([log(3), round(2 * float(np.log(5 / 2)), 6), log(1)])
     assert sorted(got, key=str) == sorted([(1, one), (1, one), (None, []), (2, [log(3)])], key=str)
+
+
+def test_digests_are_equal_for_equal_values_only():
+    import pyarrow as pa
+
+    from codeweave.operators.retrieval import _digests
+    rows = [([1.0, 2.0], "a", 1), ([1.0, 2.0], "a", 1), ([1.0], "a", 1), ([1.0, 2.0], "b", 1), ([1.0, 2.0], "a", None), (None, "a", 1),
+            ([], "a", 1), ([0.0], None, 0), ([-0.0], None, 0), ([None], None, 0), ([1.0, 2.0], "a", 1)]
+    vectors, names, labels = (pa.array(x, t) for x, t in zip(zip(*rows), (pa.list_(pa.float64()), pa.string(), pa.int32())))
+    trees = pa.array([[{"term": len(n or ""), "name": n}] * 2 for n in names.to_pylist()], pa.list_(pa.struct([("term", pa.int64()), ("name", pa.string())])))
+    got = _digests([vectors, names, labels, trees])
+    for i, x in enumerate(rows):
+        for j, y in enumerate(rows):
+            assert (got[i] == got[j]) == (x == y), (x, y)
+    assert _digests([c.slice(1) for c in (vectors, names, labels, trees)]) == got[1:]
