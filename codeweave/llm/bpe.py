@@ -4,16 +4,15 @@ A rank file (base64 token, rank) becomes a serialised sentencepiece BPE model:
 every token is a piece whose bytes are mapped to printable characters, its score
 is the negative rank, and normalisation is the identity.  Sentencepiece merges the
 neighbouring pair whose joined piece scores best, leftmost first, which is the
-merge rule of ranks.  Each pre-token is encoded by itself; ids decode by the
-inverse byte mapping.
+merge rule of ranks.  Each pre-token is merged by itself, once for a run of texts; ids
+decode by the inverse byte mapping.
 """
 
 from __future__ import annotations
 
 import base64
 import struct
-from array import array
-from collections.abc import Iterable
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -22,6 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .frames import column_udf, worker_store
+from .vocabulary import Vocabulary, binary_runs, id_lists
 from .words import pieces
 
 # Encoded pre-tokens a Python worker remembers; others are encoded whenever they come.
@@ -82,20 +82,51 @@ def model_proto(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + _block(2, trainer) + _block(3, normalizer)
 
 
-def packed(ids: list[int]) -> bytes:
-    """Ids as native 32-bit integers."""
-    return array("i", ids).tobytes()
-
-
-def id_lists(runs: Iterable[bytes]) -> pa.Array:
-    """An array<int> column of packed runs."""
-    runs = list(runs)
-    at = np.cumsum([0, *(len(r) // 4 for r in runs)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(runs), np.int32)))
+# The pattern whose matches are found by array operations, and its short forms.
+CLASSES_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SHORT = ("s", "t", "re", "ve", "m", "ll", "d")
+_BLANK, _APOSTROPHE, _END = 0x20, 0x27, 4
+# Bytes of new pre-tokens that sentencepiece gets at once, with a mark between them that is no piece.
+_TOGETHER = 8192
+_MARK = 0xE000
+
+
+def _character_classes() -> np.ndarray:
+    """Class of each code point: 0 white space, 1 letters, 2 numbers, 3 the rest."""
+    import regex
+
+    out = np.full(0x110000, 3, np.uint8)
+    every = "".join(map(chr, range(0x110000)))
+    for kind, of in enumerate((r"\s+", r"\p{L}+", r"\p{N}+")):
+        for found in regex.finditer(of, every):
+            out[found.start():found.end()] = kind
+    return out
+
+
+def _part_starts(points: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where the matches of ``CLASSES_PATTERN`` start, by code points and their classes; a
+    text's end is a character of class ``_END``.  The matches leave nothing out."""
+    n = len(points)
+    start = np.ones(n, bool)
+    start[1:] = kind[1:] != kind[:-1]
+    # the last of the white space before another character is a match of its own, or
+    # (a blank) the beginning of what follows
+    after = np.flatnonzero(start[1:] & (kind[:-1] == 0) & (kind[1:] != _END)) + 1
+    start[after - 1] = True
+    start[after[points[after - 1] == _BLANK]] = False
+    at = np.flatnonzero(start & (points == _APOSTROPHE) & (kind == 3))
+    for short in _SHORT:
+        here = at[at + len(short) < n]
+        for i, c in enumerate(short, 1):
+            here = here[points[here + i] == ord(c)]
+        start[here + 1] = False
+        here = here[here + len(short) + 1 < n]
+        start[here + len(short) + 1] = True
+    return start
 
 
 class Encoder:
-    """Encodes texts (to packed ids) with the model; made once in each Python worker."""
+    """Encodes texts with the model; made once in each Python worker."""
 
     def __init__(self, proto: bytes, pattern: str):
         import regex
@@ -103,35 +134,70 @@ class Encoder:
 
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(proto)
+        self.classes = _character_classes() if pattern == CLASSES_PATTERN else None
         self.split = regex.compile(pattern).findall
-        self.map = str.maketrans(dict(enumerate(byte_characters())))
+        mapped = byte_characters()
+        self.map = np.array([ord(c) for c in mapped], "<u4")
+        back = {c: b for b, c in enumerate(mapped)}
         unknown = self.model.unk_id()
-        self.whole = {self.model.id_to_piece(i): packed([i]) for i in range(self.model.get_piece_size()) if i != unknown}
-        self.known = _Known(self)
-
-    def one(self, part: str) -> bytes:
-        """Ids of one pre-token."""
-        mapped = part.encode().decode("latin-1").translate(self.map)
-        ids = self.whole.get(mapped)
-        return packed(self.model.encode(mapped)) if ids is None else ids
+        tokens = [bytes(map(back.__getitem__, self.model.id_to_piece(i))) for i in range(self.model.get_piece_size()) if i != unknown]
+        self.known = Vocabulary(self._merged, CACHE_ENTRIES, tokens)
+
+    def _merged(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens that are no token, and how many each has."""
+        unknown, found = self.model.unk_id(), []
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+        end = np.cumsum(size)
+        bounds = np.flatnonzero(np.diff((end - size) // _TOGETHER, prepend=-1)).tolist()
+        for i, j in zip(bounds, [*bounds[1:], len(parts)]):
+            points = self.map[np.frombuffer(b"\0".join([*parts[i:j], b""]), np.uint8)]
+            points[end[i:j] - 1 - (end[i] - size[i])] = _MARK
+            found.append(np.array(self.model.encode(points.tobytes().decode("utf-32-le")), np.int32))
+        ids = np.concatenate(found)
+        marks = np.flatnonzero(ids == unknown)
+        if len(marks) != len(parts):
+            raise ValueError("sentencepiece merged over a mark")
+        return ids[ids != unknown], np.diff(marks, prepend=-1) - 1
+
+    def _parts(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """All pre-tokens of the texts, and the bounds of each text's."""
+        if self.classes is None:
+            parts = [self.split(t) for t in texts]
+            return (pa.array([p.encode() for p in chain.from_iterable(parts)], pa.large_binary()),
+                    np.cumsum([0, *map(len, parts)]))
+        joined = "".join([f"{t}\0" for t in texts])
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind = self.classes[points]
+        kind[ends] = _END
+        start = _part_starts(points, kind)
+        start[ends] = False
+        # the end marks are taken out: no part holds one
+        kept = kind != _END
+        start = np.flatnonzero(start[kept])
+        points = points[kept]
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        if len(raw) > len(points):
+            at = np.flatnonzero((raw & 0xC0) != 0x80)[start]
+        else:
+            at = start
+        return binary_runs(raw, np.append(at, len(raw))), np.searchsorted(start, np.concatenate([[0], ends - np.arange(len(ends))]))
+
+    def lists(self, column: pa.Array) -> pa.Array:
+        """The ids of each text (null: none), as an array<int> column."""
+        found = [self._parts([t or "" for t in column.slice(i, j - i).to_pylist()]) for i, j in pieces(column)]
+        if not found:
+            return pa.array([], pa.list_(pa.int32()))
+        parts = pa.concat_arrays([parts for parts, _ in found])
+        size = np.concatenate([np.diff(first) for _, first in found])
+        ids, count = self.known(parts)
+        return id_lists(ids, count, np.concatenate([[0], np.cumsum(size)]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.known.__getitem__
-        return [b"".join(map(known, self.split(t))) for t in texts]
-
-
-class _Known(dict):
-    """Encoded pre-tokens; what comes first, and so is common, stays."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.encoder.one(part)
-        if len(self) < CACHE_ENTRIES:
-            self[part] = ids
-        return ids
+        """The ids of each text, as native 32-bit integers."""
+        made = self.lists(pa.array(texts, pa.string()))
+        at, ids = made.offsets.to_numpy(), made.values.to_numpy()
+        return [ids[i:j].tobytes() for i, j in zip(at, at[1:])]
 
 
 def encode(text: Column, tokens: list[bytes], pattern: str) -> Column:
@@ -143,8 +209,7 @@ def encode(text: Column, tokens: list[bytes], pattern: str) -> Column:
         made = worker_store("byte-level encoders")
         if (proto, pattern) not in made:
             made[proto, pattern] = Encoder(proto, pattern)
-        encoder = made[proto, pattern]
-        return id_lists(chain.from_iterable(encoder([t or "" for t in column.slice(i, j - i).to_pylist()]) for i, j in pieces(column)))
+        return made[proto, pattern].lists(column)
 
     return column_udf(run, "array<int>")(text)
 
@@ -161,18 +226,33 @@ def decode(ids: Column, tokens: list[bytes]) -> Column:
             model = sentencepiece.SentencePieceProcessor()
             model.LoadFromSerializedProto(proto)
             back = str.maketrans({c: chr(b) for b, c in enumerate(mapped)})
-            made.append([model.id_to_piece(i).translate(back).encode("latin-1") for i in range(len(tokens))])
+            made.append(pa.array([model.id_to_piece(i).translate(back).encode("latin-1") for i in range(len(tokens))], pa.large_binary()))
         table = made[0]
-        bounds, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-        if len(flat) and not (0 <= flat.min() and flat.max() < len(table)):
-            raise ValueError("an id is not in the vocabulary")
         valid = column.is_valid().to_numpy(zero_copy_only=False)
-        return pa.array([b"".join(map(table.__getitem__, flat[bounds[i]:bounds[i + 1]].tolist())) if valid[i] else None
-                         for i in range(len(column))], pa.binary())
+        bounds, out = column.offsets.to_numpy(), []
+        for i, j in _runs(bounds):
+            flat = column.values.slice(bounds[i], bounds[j] - bounds[i])
+            if len(flat) and (flat.null_count or not (0 <= (a := flat.to_numpy()).min() and a.max() < len(table))):
+                raise ValueError("an id is not in the vocabulary")
+            taken = table.take(flat)
+            end = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, taken.offset * 8) if len(taken) else np.zeros(1, np.int64)
+            data = taken.buffers()[2].to_pybytes() if len(taken) else b""
+            end = end[bounds[i:j + 1] - bounds[i]].tolist()
+            out += [data[a:b] if v else None for a, b, v in zip(end, end[1:], valid[i:j].tolist())]
+        return pa.array(out, pa.binary())
 
     return column_udf(run, "binary")(ids)
 
 
+def _runs(bounds: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of rows with at most ``most`` values, or one row."""
+    i, n = 0, len(bounds) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, "right")) - 1))
+        yield i, j
+        i = j
+
+
 def ids_digest(ids: Column) -> Column:
     """SHA-256 (lower-case hex) of the decimal ids joined by one blank."""
     return F.sha2(F.array_join(ids.cast("array<string>"), " "), 256)

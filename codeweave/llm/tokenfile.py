@@ -12,9 +12,9 @@ without expanding what stands before it.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import byte_characters, id_lists, packed
+from .bpe import byte_characters
 from .frames import bounded_batches, column_udf, worker_store
-from .words import pieces
+from .vocabulary import Vocabulary, binary_runs
+from .words import word_bytes
 
 BLOCK_TOKENS = 1 << 20
 MIN_COUNT = 16    # replacements that make a rule worth its place
@@ -38,7 +39,7 @@ _PLAIN = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
 
 
 class WordEncoder:
-    """Words to packed 32-bit ids, with what was met before remembered.
+    """Texts to ids, each distinct word of a run of texts looked up once.
 
     A word of plain letters and closing punctuation is two pre-tokens, whose merges
     are looked up directly; any other goes through the whole tokenizer."""
@@ -50,46 +51,53 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.split = re.compile(r"[^\x20\x09-\x0D]+").findall
         self.plain = re.compile(_PLAIN).fullmatch
         self.bytes = str.maketrans(dict(enumerate(byte_characters())))
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: packed(e.ids) for w, e in zip(words, found)}
-
-    def _new(self, words: set[str]) -> dict[str, bytes]:
-        merge, plain, stems, closing = self.tokenizer.model.tokenize, self.plain, {}, {"": b""}
-        out, rest = {}, []
-        for word in words:
+        self.closing: dict[str, bytes] = {"": b""}
+        self.known = Vocabulary(self._new, CACHE_ENTRIES)
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _signs(self, signs: str) -> bytes:
+        ids = self.closing.get(signs)
+        if ids is None:
+            ids = self._whole([signs])[0]
+            if len(self.closing) < 10_000:
+                self.closing[signs] = ids
+        return ids
+
+    def _new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has."""
+        merge, plain, known, stems = self.tokenizer.model.tokenize, self.plain, self.known.get, {}
+        runs, rest = [], []
+        for word in b"\n".join(words).decode().split("\n"):
             stem = word.rstrip(".,;:!?")
             low = stem.lower()
             ids = stems.get(low) if stem.isascii() else None
             if ids is None:
                 if not plain(stem):
-                    rest.append(word)
+                    rest.append(len(runs))
+                    runs.append(word)
                     continue
                 ids = stems.get(low)
                 if ids is None:
-                    mapped = low if low.isascii() else low.encode().decode("latin-1").translate(self.bytes)
-                    ids = stems[low] = packed([t.id for t in merge(mapped)])
-            signs = word[len(stem):]
-            if signs not in closing:
-                closing.update(self._whole([signs]))
-            out[word] = ids + closing[signs]
-        out.update(self._whole(rest))
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split, known = [self.split(t) for t in texts], self.known
-        new = set(chain.from_iterable(split)).difference(known)
-        known.update(self._new(new))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        if len(known) > CACHE_ENTRIES:  # what came first, and so is common, stays
-            for w in new:
-                del known[w]
-        return out
+                    coded = low.encode()
+                    ids = known(coded)  # a plain word by itself has the same merges
+                    if ids is None:
+                        mapped = low if low.isascii() else coded.decode("latin-1").translate(self.bytes)
+                        ids = array("i", [t.id for t in merge(mapped)]).tobytes()
+                    stems[low] = ids
+            runs.append(ids + self._signs(word[len(stem):]) if len(stem) < len(word) else ids)
+        for i, ids in zip(rest, self._whole([runs[i] for i in rest])):
+            runs[i] = ids
+        return np.frombuffer(b"".join(runs), np.int32), np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none), and the bounds of each text's."""
+        raw, at, first = word_bytes(texts)
+        ids, count = self.known(binary_runs(raw, at))
+        return ids, np.concatenate([[0], np.cumsum(count)])[first]
 
 
 def _encoder(spec: str) -> WordEncoder:
@@ -107,8 +115,8 @@ def encode_words(text: Column, tokenizer_path: str) -> Column:
         spec = f.read()
 
     def run(column: pa.Array) -> pa.Array:
-        encoder = _encoder(spec)
-        return id_lists(chain.from_iterable(encoder([t or "" for t in column.slice(i, j - i).to_pylist()]) for i, j in pieces(column)))
+        ids, bounds = _encoder(spec)(column)
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
 
     return column_udf(run, "array<int>")(text)
 
@@ -260,15 +268,14 @@ def text_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "d
     bounded_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
-    end = np.array([end_id], np.int32).tobytes()
-
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         encoder = _encoder(spec)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i, j in pieces(texts):
-                for k, ids in zip(keys[i:j], encoder([t or "" for t in texts.slice(i, j - i).to_pylist()])):
-                    yield k, np.frombuffer(ids + end, np.int32)
+            ids, bounds = encoder(batch.column(1))
+            ids = np.insert(ids, bounds[1:], end_id)
+            bounds = (bounds + np.arange(len(bounds))).tolist()
+            for key, i, j in zip(batch.column(0).to_pylist(), bounds, bounds[1:]):
+                yield key, ids[i:j]
 
     ordered = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
     return (ordered.select(F.col("key").cast("long").alias("key"), "text")

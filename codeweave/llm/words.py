@@ -122,13 +122,10 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
-def find(column, lower: bool = False) -> Words:
-    """Words of every text; ``lower``: hash A-Z as a-z."""
-    raw, at = text_bytes(column)
+def spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word of the texts ``raw[at[i]:at[i + 1]]``, and the bounds of
+    each text's words."""
     n = len(raw)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return Words(raw, at, none, none, np.zeros(len(at), np.int64), np.zeros(0, _U))
     gap = _SEPARATOR[raw]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
@@ -136,7 +133,27 @@ def find(column, lower: bool = False) -> Words:
     begin[1:] &= gap[:-1] | edge[1:n]
     stop[:-1] &= gap[1:] | edge[1:n]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    first = np.searchsorted(start, at)
+    return start, end, np.searchsorted(start, at)
+
+
+def word_bytes(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words, one after the other, the bounds of each word in them, and
+    the bounds of each text's words."""
+    raw, at = text_bytes(column)
+    if not len(raw):
+        return raw, np.zeros(1, np.int64), np.zeros(len(at), np.int64)
+    start, end, first = spans(raw, at)
+    return raw[~_SEPARATOR[raw]], np.concatenate([[0], np.cumsum(end - start)]), first
+
+
+def find(column, lower: bool = False) -> Words:
+    """Words of every text; ``lower``: hash A-Z as a-z."""
+    raw, at = text_bytes(column)
+    n = len(raw)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return Words(raw, at, none, none, np.zeros(len(at), np.int64), np.zeros(0, _U))
+    start, end, first = spans(raw, at)
     if not len(start):
         return Words(raw, at, start, end, first, np.zeros(0, _U))
     up, down = _BYTE_POWERS(n)

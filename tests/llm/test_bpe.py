@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codeweave.llm import bpe
 from codeweave.llm.registry import QUERIES
+from codeweave.llm.vocabulary import byte_strings
 
 TOKENS = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 REFERENCE = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
@@ -71,3 +74,44 @@ def test_query_over_all_documents(spark):
         assert got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_array_splits_equal_the_pattern():
+    rnd = random.Random(5)
+    letters = " \n\t'sdtrevml19é日ABCabc_=-!　\xa0\x85\x1c​́Ⅷ²\0\r ᠎\U0001F600"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(40))) for _ in range(4000)]
+    texts += ["".join(rnd.choice(" 'strevmld\n") for _ in range(rnd.randrange(12))) for _ in range(4000)]
+    texts += [f"{chr(i)}'s {chr(i)}{chr(i)} a{chr(i)}" for i in range(0x3000)]
+    parts, first = ENCODER._parts(texts)
+    parts = [p.decode() for p in byte_strings(parts)]
+    assert [parts[i:j] for i, j in zip(first, first[1:])] == [ENCODER.split(t) for t in texts]
+
+
+def test_other_patterns_are_matched_as_they_are():
+    other = bpe.Encoder(bpe.model_proto(TOKENS), r"\p{L}+|\d")
+    for text in ("don't stop 12 naïve", "", "!!", "日本語 x"):
+        want = [i for part in re.findall(r"[^\W\d_]+|\d", text) for i in REFERENCE.encode_ordinary(part)]
+        assert unpacked(other([text])[0]) == want
+
+
+class Counted:
+    """A model that counts its calls."""
+
+    def __init__(self, model):
+        self.model, self.calls = model, 0
+
+    def __getattr__(self, name):
+        return getattr(self.model, name)
+
+    def encode(self, text):
+        self.calls += 1
+        return self.model.encode(text)
+
+
+def test_new_words_go_to_the_model_together_and_once(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 0)
+    encoder = bpe.Encoder(bpe.model_proto(TOKENS), public_tokenizers.PATTERN)
+    encoder.model = Counted(encoder.model)
+    texts = [" ".join(f"qzx{chr(97 + i % 26)}{chr(97 + i // 26)}jkv" for i in range(600)) for _ in range(20)]
+    assert [unpacked(r) for r in encoder(texts)] == [REFERENCE.encode_ordinary(t) for t in texts]
+    assert encoder.model.calls < 10
