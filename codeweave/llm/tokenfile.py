@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .bpe import byte_characters
 from .frames import bounded_batches, column_udf, worker_store
 from .vocabulary import Vocabulary, binary_runs
-from .words import word_bytes
+from .words import pieces, word_bytes
 
 BLOCK_TOKENS = 1 << 20
 MIN_COUNT = 16    # replacements that make a rule worth its place
@@ -95,9 +95,14 @@ class WordEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: none), and the bounds of each text's."""
-        raw, at, first = word_bytes(texts)
-        ids, count = self.known(binary_runs(raw, at))
-        return ids, np.concatenate([[0], np.cumsum(count)])[first]
+        found = [word_bytes(texts.slice(i, j - i)) for i, j in pieces(texts)]
+        if not found:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        words = pa.concat_arrays([binary_runs(raw, at) for raw, at, _ in found])
+        size = np.concatenate([np.diff(first) for _, _, first in found])
+        del found
+        ids, count = self.known(words)
+        return ids, np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(size)])]
 
 
 def _encoder(spec: str) -> WordEncoder:
@@ -160,57 +165,75 @@ def _mixed(codes: np.ndarray) -> np.ndarray:
     return codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _replaced(codes: np.ndarray, often: np.ndarray, own: np.ndarray, pairs: np.ndarray, measure: np.ndarray,
-              least: int, min_count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places, without overlap, of pairs of ``least`` measure that no overlapping pair's
-    exceeds (of ties in a row every second), and which pair is there; ``min_count`` or
-    more of each."""
-    weight = np.zeros(len(codes), np.int64)
-    weight[often] = measure[own]
+def _replaced(at: np.ndarray, own: np.ndarray, pairs: int, measure: np.ndarray, least: int,
+              min_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the places ``at`` (ascending) of pairs ``own``: those, without overlap, of pairs of
+    ``least`` measure that no overlapping pair's exceeds (of ties in a row every second), and
+    which pair is there; ``min_count`` or more of each."""
+    weight = measure[own]
+    apart = np.diff(at) != 1
     best = weight >= least
-    best[1:] &= weight[1:] >= weight[:-1]
-    best[:-1] &= weight[:-1] >= weight[1:]
-    run = np.flatnonzero(best & ~np.concatenate([[False], best[:-1]]))
-    place = np.flatnonzero(best)
-    place = place[(place - run[np.searchsorted(run, place, "right") - 1]) % 2 == 0]
-    kind = np.searchsorted(pairs, codes[place])
-    enough = np.bincount(kind, minlength=len(pairs)) >= min_count
-    return place[enough[kind]], kind[enough[kind]]
+    best[1:] &= apart | (weight[1:] >= weight[:-1])
+    best[:-1] &= apart | (weight[:-1] >= weight[1:])
+    place, kind = at[best], own[best]
+    run = np.maximum.accumulate(np.where(np.diff(place, prepend=-2) != 1, place, 0))
+    even = (place - run) % 2 == 0
+    place, kind = place[even], kind[even]
+    enough = (np.bincount(kind, minlength=pairs) >= min_count)[kind]
+    return place[enough], kind[enough]
 
 
 def re_pair(ids: np.ndarray, min_count: int = MIN_COUNT) -> Grammar:
     """Grammar of a sequence of ids.  In each round a pair is replaced where it is more
     frequent than the pairs that overlap it, if that happens ``min_count`` times or more;
-    the rounds end when no pair has so many places without overlap."""
+    the rounds end when no pair has so many places without overlap.  A pair that is not
+    frequent in one round never becomes so: later rounds look at frequent pairs and at
+    those of new symbols."""
     sequence = ids.astype(np.int64)
     base = int(sequence.max()) + 1 if len(sequence) else 0
     grammar = Grammar(base, np.zeros((0, 2), np.int64), np.zeros(0, np.int64), sequence)
-    while len(sequence := grammar.sequence) > 1:
-        top = base + len(grammar.rules)
-        codes = sequence[:-1] * top + sequence[1:]
+    open_ = np.arange(max(0, len(sequence) - 1))  # places of pairs that may be frequent
+    while len(open_):
+        sequence, top = grammar.sequence, base + len(grammar.rules)
+        left, right = sequence[open_], sequence[open_ + 1]
+        codes, equal = left * top + right, left == right
+        del left, right
         slot = (_mixed(codes) >> np.uint64(64 - SLOTS)).view(np.int64)
         often = (np.bincount(slot, minlength=1 << SLOTS) >= min_count)[slot]  # no frequent pair is lost
-        same = np.flatnonzero(sequence[1:] == sequence[:-1])
-        run = np.flatnonzero(np.diff(same, prepend=-2) != 1)
+        del slot
+        open_, codes, same = open_[often], codes[often], np.flatnonzero(equal[often])
+        run = np.flatnonzero(np.diff(open_[same], prepend=-2) != 1)
         nth = np.arange(len(same)) - np.repeat(run, np.diff(run, append=len(same)))
-        often[same[nth % 2 == 1]] = False  # in a run of equals every second
-        often = np.flatnonzero(often)
-        pairs, own, count = np.unique(codes[often], return_inverse=True, return_counts=True)
-        if not (count >= min_count).any():
+        second = same[nth % 2 == 1]
+        counted = np.ones(len(open_), bool)
+        counted[second] = False  # in a run of equals every second
+        at = open_[counted]
+        pairs, own, count = np.unique(codes[counted], return_inverse=True, return_counts=True)
+        frequent = count >= min_count
+        if not frequent.any():
             break
-        at, kind = _replaced(codes, often, own, pairs, count, min_count, min_count)
-        if not len(at):  # ties cut every pair's places: by rank the most frequent pair gets all of its own
+        still = np.empty(len(open_), bool)
+        still[counted] = frequent[own]
+        still[second] = still[second - 1]
+        place, kind = _replaced(at, own, len(pairs), count, min_count, min_count)
+        if not len(place):  # ties cut every pair's places: by rank the most frequent pair gets all of its own
             rank = np.empty(len(pairs), np.int64)
             rank[np.lexsort((_mixed(pairs), count))] = np.arange(1, len(pairs) + 1)
-            at, kind = _replaced(codes, often, own, pairs, np.where(count >= min_count, rank, 0), 1, min_count)
-        fresh = np.unique(kind)
-        symbol = np.zeros(len(pairs), np.int64)
-        symbol[fresh] = top + np.arange(len(fresh))
+            place, kind = _replaced(at, own, len(pairs), np.where(frequent, rank, 0), 1, min_count)
+        used = np.bincount(kind, minlength=len(pairs)) > 0
+        fresh = np.flatnonzero(used)
+        symbol = top + np.cumsum(used) - 1
         rules = np.stack([pairs[fresh] // top, pairs[fresh] % top], axis=1)
         lengths = grammar.sizes(rules.ravel()).reshape(-1, 2).sum(axis=1)
         sequence = sequence.copy()
-        sequence[at] = symbol[kind]
-        grammar = Grammar(base, np.concatenate([grammar.rules, rules]), np.concatenate([grammar.lengths, lengths]), np.delete(sequence, at + 1))
+        sequence[place] = symbol[kind]
+        kept, live = np.ones(len(sequence), bool), np.zeros(len(sequence), bool)
+        kept[place + 1] = False
+        live[open_[still]] = True
+        live[place] = True
+        live[place[place > 0] - 1] = True
+        open_ = np.flatnonzero(live[kept][:-1])
+        grammar = Grammar(base, np.concatenate([grammar.rules, rules]), np.concatenate([grammar.lengths, lengths]), sequence[kept])
     return grammar
 
 

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +118,26 @@ def test_query_over_all_documents(spark, d):
     got = [tuple(r) for r in QUERIES["op2_token_grammar"][0](spark, d).collect()]
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(got) == sorted(brute(rows))
+
+
+def test_each_word_is_looked_up_once_for_a_batch(monkeypatch):
+    monkeypatch.setattr(tokenfile, "CACHE_ENTRIES", 0)
+    with open(PATH, encoding="utf-8") as f:
+        encoder = tokenfile.WordEncoder(f.read())
+    asked = []
+    encoder.known.encode = lambda words: asked.extend(words) or encoder._new(words)
+    texts = ["Naïve café, x1 don't qzxjk. " * 50, None, "", "café, café qzxjk. É\x1cb"] * 5
+    ids, bounds = encoder(pa.array(texts))
+    assert [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:])] == [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(asked) == len(set(asked)) == 7
+
+
+def test_later_rounds_look_at_few_pairs(monkeypatch):
+    rng = np.random.default_rng(6)
+    passage = rng.integers(0, 49_000, 512)
+    ids = np.concatenate([rng.integers(0, 49_000, 200_000), np.tile(passage, 20)])
+    seen = []
+    monkeypatch.setattr(tokenfile, "_mixed", lambda codes, own=tokenfile._mixed: seen.append(len(codes)) or own(codes))
+    g = tokenfile.re_pair(ids)
+    assert (g.expand(g.sequence) == ids).all() and len(g.sequence) < 201_000
+    assert len(seen) > 5 and max(seen[1:]) < 50_000
