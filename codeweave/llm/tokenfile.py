@@ -208,7 +208,10 @@ def re_pair(ids: np.ndarray, min_count: int = MIN_COUNT) -> Grammar:
         counted = np.ones(len(open_), bool)
         counted[second] = False  # in a run of equals every second
         at = open_[counted]
-        pairs, own, count = np.unique(codes[counted], return_inverse=True, return_counts=True)
+        codes = codes[counted]
+        del often, equal, same, run, nth
+        pairs, own, count = np.unique(codes, return_inverse=True, return_counts=True)
+        del codes
         frequent = count >= min_count
         if not frequent.any():
             break
@@ -295,6 +298,7 @@ def text_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "d
         encoder = _encoder(spec)
         for batch in batches:
             ids, bounds = encoder(batch.column(1))
+            pa.default_memory_pool().release_unused()
             ids = np.insert(ids, bounds[1:], end_id)
             bounds = (bounds + np.arange(len(bounds))).tolist()
             for key, i, j in zip(batch.column(0).to_pylist(), bounds, bounds[1:]):

@@ -14,7 +14,10 @@ def gathered(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarr
     end = np.cumsum(count)
     if not len(end) or not end[-1]:
         return flat[:0]
-    return flat[np.repeat(start - (end - count), count) + np.arange(end[-1])]
+    kind = np.int32 if max(end[-1], len(flat)) < 1 << 31 else np.int64
+    place = np.arange(end[-1], dtype=kind)
+    place += np.repeat((start - (end - count)).astype(kind), count)
+    return flat[place]
 
 
 def binary_runs(raw: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -67,6 +70,7 @@ class Vocabulary:
         """Ids of all pieces of a large binary array, and how many each piece has."""
         coded = pieces.dictionary_encode()
         distinct, own = byte_strings(coded.dictionary), coded.indices.to_numpy()
+        del coded, pieces
         number = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int64, len(distinct))
         old, new = np.flatnonzero(number >= 0), np.flatnonzero(number < 0)
         count = np.empty(len(distinct), np.int64)
