@@ -15,6 +15,17 @@ from ..session import ensure_checkpoint_dir
 BATCH_BYTES = 4 * 1024 * 1024
 
 
+def spare_memory() -> None:
+    """Hand freed memory back to the system.  A Python worker lives on after its tasks and
+    shares the executor's memory with others, so what it no longer needs must not stay."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Limit the Arrow batches of this session by bytes, so that many long texts
     never stand in one batch (a single longer text still travels alone)."""
@@ -29,6 +40,7 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.Re
         for batch in batches:
             if batch.num_rows:
                 yield from kernel(batch)
+                spare_memory()
 
     return df.mapInArrow(run, schema)
 
@@ -58,7 +70,9 @@ def renamed(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], list[Colu
 def column_udf(kernel: Callable[[pa.Array], pa.Array], returns: str):
     """An Arrow function of whole columns as a Spark column function."""
     def run(column: pa.Array) -> pa.Array:
-        return kernel(column)
+        out = kernel(column)
+        spare_memory()
+        return out
 
     return F.arrow_udf(run, returns)
 

@@ -193,9 +193,9 @@ def op2_token_grammar(spark, sf_dir):
     """Every whole document's ids written as Re-Pair blocks and read back."""
     path = shared_folder(spark, "tokens")
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    read = tokenfile.read_tokens(spark.read.parquet(path))
-    return read.select(F.col("key").alias("doc_id"), "start", F.size("ids").cast("long").alias("n_tokens"),
-                       tokenfile.ids_crc32(F.col("ids")).alias("ids_crc32"))
+    read = tokenfile.read_tokens(spark.read.parquet(path), packed=True)
+    return read.select(F.col("key").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.crc32("ids").alias("ids_crc32"))
 
 
 OP5_SQL = rf"""

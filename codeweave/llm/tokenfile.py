@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
-from .frames import bounded_batches, column_udf, worker_store
+from .frames import bounded_batches, column_udf, spare_memory, worker_store
 from .vocabulary import Vocabulary, binary_runs
 from .words import pieces, word_bytes
 
@@ -298,7 +298,7 @@ def text_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "d
         encoder = _encoder(spec)
         for batch in batches:
             ids, bounds = encoder(batch.column(1))
-            pa.default_memory_pool().release_unused()
+            spare_memory()
             ids = np.insert(ids, bounds[1:], end_id)
             bounds = (bounds + np.arange(len(bounds))).tolist()
             for key, i, j in zip(batch.column(0).to_pylist(), bounds, bounds[1:]):
@@ -332,10 +332,21 @@ def block_starts(blocks: DataFrame) -> DataFrame:
                 .select("shard", "block", (F.col("zero") + F.col("in")).alias("start"))
 
 
-def read_tokens(blocks: DataFrame) -> DataFrame:
+def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _little_endian(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    data = pa.py_buffer(ids.astype("<u4"))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((4 * bounds).astype(np.int32)), data])
+
+
+def read_tokens(blocks: DataFrame, packed: bool = False) -> DataFrame:
     """(key, start, ids) of every document of the blocks: ``start`` counts the ids of all
-    documents before it."""
+    documents before it.  ``packed``: the ids as binary, little-endian unsigned 32-bit
+    integers, which Spark's own functions digest without another Python worker."""
     bounded_batches(blocks.sparkSession)
+    column, kind = (_little_endian, "binary") if packed else (_lists, "array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,9 +357,11 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
                 ends = np.cumsum(row["counts"])
                 yield pa.RecordBatch.from_pydict({
                     "key": pa.array(row["keys"], pa.int64()), "start": pa.array(row["start"] + ends - row["counts"], pa.int64()),
-                    "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))})
+                    "ids": column(ids, np.concatenate([[0], ends]))})
+                del row, g, ids, ends
+                spare_memory()
 
-    return blocks.join(block_starts(blocks), ["shard", "block"]).mapInArrow(run, "key long, start long, ids array<int>")
+    return blocks.join(block_starts(blocks), ["shard", "block"]).mapInArrow(run, f"key long, start long, ids {kind}")
 
 
 def ids_crc32(ids: Column) -> Column:

@@ -141,3 +141,13 @@ def test_later_rounds_look_at_few_pairs(monkeypatch):
     g = tokenfile.re_pair(ids)
     assert (g.expand(g.sequence) == ids).all() and len(g.sequence) < 201_000
     assert len(seen) > 5 and max(seen[1:]) < 50_000
+
+
+def test_the_query_reads_and_digests_in_one_worker(spark, docs, tmp_path):
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op2_token_grammar"][0](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    assert dict(got.dtypes) == {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"}
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == brute(rows)
