@@ -184,14 +184,14 @@ class Encoder:
         return binary_runs(raw, np.append(at, len(raw))), np.searchsorted(start, np.concatenate([[0], ends - np.arange(len(ends))]))
 
     def lists(self, column: pa.Array) -> pa.Array:
-        """The ids of each text (null: none), as an array<int> column."""
-        found = [self._parts([t or "" for t in column.slice(i, j - i).to_pylist()]) for i, j in pieces(column)]
-        if not found:
-            return pa.array([], pa.list_(pa.int32()))
-        parts = pa.concat_arrays([parts for parts, _ in found])
-        size = np.concatenate([np.diff(first) for _, first in found])
-        ids, count = self.known(parts)
-        return id_lists(ids, count, np.concatenate([[0], np.cumsum(size)]))
+        """The ids of each text (null: none), as an array<int> column.  Piece by piece: the
+        temporary arrays of a whole batch would be large."""
+        found = []
+        for i, j in pieces(column):
+            parts, first = self._parts([t or "" for t in column.slice(i, j - i).to_pylist()])
+            found.append(id_lists(*self.known(parts), first))
+            del parts
+        return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.int32()))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as native 32-bit integers."""

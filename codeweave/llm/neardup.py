@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..operators.prefix import grouped_exclusive_prefix
 from .components import components
-from .frames import bounded_batches, kept_table, renamed
+from .frames import bounded_batches, kept_table, renamed, spare_memory
 from .words import Words, find, mix, pieces, seeds, window_starts, windows
 
 TREES, DEPTH = 16, 8
@@ -131,6 +131,7 @@ def signatures(docs: DataFrame, key: str, text: str, like: Likeness) -> DataFram
                     [batch.column(0).slice(i, j - i), pa.array(count, pa.int64()), *map(_signed, names),
                      pa.array([row.tobytes() for row in (low & np.uint32(255)).astype(np.uint8)], pa.binary()), *prefixes],
                     ["key", "n_shingles", "class_a", "class_b", "signature", "shallow", "deep"])
+            spare_memory()
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, SIGNATURE)
@@ -241,6 +242,7 @@ def confirmed_links(clusters: DataFrame, docs: DataFrame, key: str, text: str, l
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), part.column("cluster"), part.column("block"),
                      pa.array([found[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())], ["key", "cluster", "block", "shingles"])
+            spare_memory()
 
     member = rows.mapInArrow(sets, "key long, cluster long, block long, shingles binary").join(meets, ["cluster", "block"]) \
         .withColumn("bucket", F.pmod(F.xxhash64("cluster", "one", "two"), F.lit(buckets))) \

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -10,9 +11,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codeweave.llm import bpe
+from codeweave.llm import bpe, frames
 from codeweave.llm.registry import QUERIES
 from codeweave.llm.vocabulary import byte_strings
+from codeweave.llm.words import PIECE_BYTES
 
 TOKENS = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 REFERENCE = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
@@ -115,3 +117,19 @@ def test_new_words_go_to_the_model_together_and_once(monkeypatch):
     texts = [" ".join(f"qzx{chr(97 + i % 26)}{chr(97 + i // 26)}jkv" for i in range(600)) for _ in range(20)]
     assert [unpacked(r) for r in encoder(texts)] == [REFERENCE.encode_ordinary(t) for t in texts]
     assert encoder.model.calls < 10
+
+
+def test_no_lookup_holds_more_than_a_piece_of_a_batch(monkeypatch):
+    encoder, held = bpe.Encoder(bpe.model_proto(TOKENS), public_tokenizers.PATTERN), []
+    known = encoder.known
+    encoder.known = lambda parts: held.append(sum(map(len, byte_strings(parts)))) or known(parts)
+    texts = ["some words " * 60_000, "", "others here " * 50_000, "naïve " * 10]
+    assert [unpacked(r) for r in encoder(texts)] == [REFERENCE.encode_ordinary(t) for t in texts]
+    assert sum(held) == sum(len(t.encode()) for t in texts) and max(held) <= PIECE_BYTES
+
+
+def test_a_worker_hands_freed_memory_back_after_a_batch(monkeypatch):
+    calls = []
+    monkeypatch.setattr(frames, "spare_memory", lambda: calls.append(1))
+    assert frames.column_udf(lambda column: column, "int").func(pa.array([1, 2])).to_pylist() == [1, 2]
+    assert calls == [1]
