@@ -29,6 +29,7 @@ Tokenizer = Callable[[Column], Column]
 # ids 0..2 are reserved (pad, bos, eos) by the default hashed tokenizer
 PAD_ID, BOS_ID, EOS_ID = 0, 1, 2
 DEFAULT_VOCAB = 49152
+DECODED_ROWS = 1000  # rows handed back at once
 
 
 def hashed_tokenizer(vocab_size: int = DEFAULT_VOCAB) -> Tokenizer:
@@ -180,40 +181,53 @@ def frequency_vocab(df: DataFrame, text: str = "text", first_id: int = 3) -> Dat
     return ranked.select("token", (F.col("_one_before") + first_id).cast("int").alias("id"))
 
 
+def _bounds(lists: pa.Array) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+
+
 def looked_up(df: DataFrame, key: str, tokens: Column, values: DataFrame, default: Column, bag: bool = False) -> DataFrame:
     """(``key``, ``found``): for each row the array of its tokens' values by the table
     ``values(token, value)`` (``default``, which may use ``token``, where a token isn't
     listed or its value is null).  With ``bag`` each distinct token of a row comes once,
     its number of places in a third column ``n``.
 
-    Tokens don't travel one by one: a batch of rows is written once as its distinct
-    tokens and small codes; the distinct tokens join the table and come back to the
-    codes of their batch.  ``key`` may be a struct of whole rows."""
-    from ..llm.frames import bounded_batches, kept_table
+    Tokens don't travel one by one: a run of rows is written once as its distinct
+    tokens and small codes, packed; the distinct tokens join the table and come back to
+    the codes of their run.  ``key`` may be a struct of whole rows."""
+    from ..llm.frames import PACKED_BYTES, bounded_batches, kept_table, packed_rows, unpacked_rows
     bounded_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), tokens.alias("tokens"))
     kind = rows.schema["key"].dataType
-    one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+
+    def part(n: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        keys, lists = (pa.concat_arrays([b.column(c) for b in held]) for c in (0, 1))
+        found = pc.list_flatten(lists).dictionary_encode()
+        codes, sizes = found.indices.to_numpy(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        columns = {"key": keys}
+        if bag:
+            most = max(len(found.dictionary), 1)
+            places, counts = np.unique(np.repeat(np.arange(len(keys)), sizes) * most + codes, return_counts=True)
+            codes, sizes = places % most, np.bincount(places // most, minlength=len(keys))
+        bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        listed = lambda a: pa.ListArray.from_arrays(bounds, pa.array(a, pa.int32()))
+        if bag:
+            columns["counts"] = listed(counts)
+        packed = packed_rows(pa.table({"codes": listed(codes), **columns}), bytewise=("codes",))
+        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | n], pa.int64()), pa.array([packed], pa.binary()),
+                                           pa.ListArray.from_arrays(pa.array([0, len(found.dictionary)], pa.int32()), found.dictionary)], ["part", "rows", "tokens"])
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, batch in enumerate(batches):
-            keys, lists = batch.columns
-            found = pc.list_flatten(lists).dictionary_encode()
-            width = 2 if len(found.dictionary) <= 1 << 16 else 4
-            codes, sizes, counts = found.indices.to_numpy(), pc.fill_null(pc.list_value_length(lists), 0), np.zeros(0)
-            if bag:
-                most = max(len(found.dictionary), 1)
-                places, counts = np.unique(np.repeat(np.arange(len(keys)), sizes.to_numpy()) * most + codes, return_counts=True)
-                codes, sizes = places % most, pa.array(np.bincount(places // most, minlength=len(keys)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId() << 32 | n], pa.int64()), one(keys), one(sizes), one(found.dictionary),
-                 pa.array([codes.astype(f"<u{width}").tobytes()], pa.binary()), pa.array([width], pa.int32()),
-                 pa.array([counts.astype("<i4").tobytes()], pa.binary())],
-                ["part", "keys", "sizes", "tokens", "codes", "width", "counts"])
-
-    written = T.StructType().add("part", "long").add("keys", T.ArrayType(kind)).add("sizes", T.ArrayType(T.IntegerType())) \
-                            .add("tokens", T.ArrayType(T.StringType())).add("codes", "binary").add("width", "integer").add("counts", "binary")
-    parts = kept_table(rows.mapInArrow(coded, written), "codes")
+        n, held = 0, []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= PACKED_BYTES:
+                yield part(n, held)
+                n, held = n + 1, []
+        if held:
+            yield part(n, held)
+
+    written = T.StructType().add("part", "long").add("rows", "binary").add("tokens", T.ArrayType(T.StringType()))
+    parts = kept_table(rows.mapInArrow(coded, written), "codes", lean=True)
     named = parts.select("part", F.posexplode("tokens").alias("at", "token")).join(values.groupBy("token").agg(F.min("value").alias("value")), "token", "left")
     tables = (named.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("value", default).alias("value")))).alias("t"))
               .select("part", F.transform("t", lambda x: x["value"]).alias("table")))
@@ -221,18 +235,19 @@ def looked_up(df: DataFrame, key: str, tokens: Column, values: DataFrame, defaul
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, codes, width, counts, table = batch.columns
+            packed, tables = batch.columns
             for i in range(batch.num_rows):
-                at = np.frombuffer(codes[i].as_py(), f"<u{width[i].as_py()}").astype(np.int32)
-                bounds = pa.array(np.concatenate([[0], np.cumsum(sizes[i].values.to_numpy())]), pa.int32())
-                found = table[i].values.take(pa.array(at)) if len(at) else table.values.slice(0, 0)
-                out = {"key": keys[i].values, "found": pa.ListArray.from_arrays(bounds, found)}
-                if bag:
-                    out["n"] = pa.ListArray.from_arrays(bounds, pa.array(np.frombuffer(counts[i].as_py(), "<i4")))
-                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+                own = unpacked_rows(packed[i].as_py())
+                table = tables[i].values if tables[i].is_valid else tables.values.slice(0, 0)
+                for run in own.to_batches(max_chunksize=DECODED_ROWS):
+                    bounds, codes = pa.array(_bounds(run.column("codes")), pa.int32()), pc.list_flatten(run.column("codes"))
+                    out = {"key": run.column("key"), "found": pa.ListArray.from_arrays(bounds, table.take(codes))}
+                    if bag:
+                        out["n"] = pa.ListArray.from_arrays(bounds, pc.list_flatten(run.column("counts")))
+                    yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     read = T.StructType().add("key", kind).add("found", value)
-    whole = parts.select("part", "keys", "sizes", "codes", "width", "counts").join(tables, "part", "left").drop("part")
+    whole = parts.select("part", "rows").join(tables, "part", "left").drop("part")
     return whole.mapInArrow(decoded, read.add("n", T.ArrayType(T.IntegerType())) if bag else read).withColumnRenamed("key", key)
 
 
