@@ -194,7 +194,7 @@ def looked_up(df: DataFrame, key: str, tokens: Column, values: DataFrame, defaul
     Tokens don't travel one by one: a run of rows is written once as its distinct
     tokens and small codes, packed; the distinct tokens join the table and come back to
     the codes of their run.  ``key`` may be a struct of whole rows."""
-    from ..llm.frames import PACKED_BYTES, bounded_batches, kept_table, packed_rows, unpacked_rows
+    from ..llm.frames import PACKED_BYTES, bounded_batches, kept_table, packed_rows, spare_memory, unpacked_rows
     bounded_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), tokens.alias("tokens"))
     kind = rows.schema["key"].dataType
@@ -223,6 +223,7 @@ def looked_up(df: DataFrame, key: str, tokens: Column, values: DataFrame, defaul
             if sum(b.nbytes for b in held) >= PACKED_BYTES:
                 yield part(n, held)
                 n, held = n + 1, []
+                spare_memory()
         if held:
             yield part(n, held)
 
@@ -233,18 +234,20 @@ def looked_up(df: DataFrame, key: str, tokens: Column, values: DataFrame, defaul
               .select("part", F.transform("t", lambda x: x["value"]).alias("table")))
     value = tables.schema["table"].dataType
 
+    def given_back(packed: bytes, table: pa.Array) -> Iterator[pa.RecordBatch]:
+        for run in unpacked_rows(packed).to_batches(max_chunksize=DECODED_ROWS):
+            bounds, codes = pa.array(_bounds(run.column("codes")), pa.int32()), pc.list_flatten(run.column("codes"))
+            out = {"key": run.column("key"), "found": pa.ListArray.from_arrays(bounds, table.take(codes))}
+            if bag:
+                out["n"] = pa.ListArray.from_arrays(bounds, pc.list_flatten(run.column("counts")))
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed, tables = batch.columns
             for i in range(batch.num_rows):
-                own = unpacked_rows(packed[i].as_py())
-                table = tables[i].values if tables[i].is_valid else tables.values.slice(0, 0)
-                for run in own.to_batches(max_chunksize=DECODED_ROWS):
-                    bounds, codes = pa.array(_bounds(run.column("codes")), pa.int32()), pc.list_flatten(run.column("codes"))
-                    out = {"key": run.column("key"), "found": pa.ListArray.from_arrays(bounds, table.take(codes))}
-                    if bag:
-                        out["n"] = pa.ListArray.from_arrays(bounds, pc.list_flatten(run.column("counts")))
-                    yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+                yield from given_back(packed[i].as_py(), tables[i].values if tables[i].is_valid else tables.values.slice(0, 0))
+                spare_memory()
 
     read = T.StructType().add("key", kind).add("found", value)
     whole = parts.select("part", "rows").join(tables, "part", "left").drop("part")

@@ -440,7 +440,7 @@ def _parted(rows: DataFrame, cols: Sequence[str], name: str, parts: int) -> Data
     """Rows (``_part``, ``_rows``): the values of a run of rows that belong to one part of
     their side, by their digests, packed.  A value stands once, with its digest, its
     smallest id (``name``) and ``_n`` rows."""
-    from ..llm.frames import PACKED_BYTES, bounded_batches, packed_rows
+    from ..llm.frames import PACKED_BYTES, bounded_batches, packed_rows, spare_memory
     bounded_batches(rows.sparkSession)
 
     def packed(held: list[pa.Table]) -> pa.RecordBatch:
@@ -460,6 +460,7 @@ def _parted(rows: DataFrame, cols: Sequence[str], name: str, parts: int) -> Data
             if sum(t.nbytes for t in held) >= PACKED_BYTES:
                 yield packed(held)
                 held = []
+                spare_memory()
         if held:
             yield packed(held)
 
